@@ -151,3 +151,30 @@ def ngram_starts(first: np.ndarray, n: int) -> np.ndarray:
     np.add.at(ok, first[:-1][long], 1)
     np.add.at(ok, first[1:][long] - n + 1, -1)
     return np.flatnonzero(np.cumsum(ok[:-1]) > 0)
+
+
+def padded(data: np.ndarray, start: np.ndarray, end: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some words one after another, each between ``left`` and ``right`` spaces, and the n + 1 places where
+    they begin."""
+    size = end - start
+    first = np.concatenate(([0], np.cumsum(size + left + right)))
+    flat = np.full(first[-1], 0x20, np.uint8)
+    run = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    flat[np.repeat(first[:-1] + left, size) + run] = data[np.repeat(start, size) + run]
+    return flat, first
+
+
+def distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words of a block, one place of each distinct word, and for every word the number of its distinct word."""
+    _, where, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+    return where, inverse
+
+
+def text_sums(w: Words, values: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` (one per word) over each text."""
+    total = np.concatenate(([0.0], np.cumsum(values)))
+    return total[w.first[1:]] - total[w.first[:-1]]
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
