@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import decontaminate
 from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
+from .neighbours import nearest
 from .packing import pack
 from .quality import quality
 from .toxicity import toxicity
@@ -40,6 +41,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark, _table(spark, sf_dir, "embeddings"), every=100)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_near_dedup": op3_near_dedup,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
 }
