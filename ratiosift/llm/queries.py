@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
+from .html_text import extract
 from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .neighbours import nearest
@@ -53,6 +54,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark, _table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
+    "op10_html_text": op10_html_text,
 }
 
 _OP7_SQL = r"""
