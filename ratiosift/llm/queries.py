@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .html_text import extract
+from .licences import scan
 from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
 from .quality import quality
+from .quotations import link
 from .toxicity import toxicity
 
 
@@ -46,6 +49,13 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, _table(spark, sf_dir, "embeddings"), every=100)
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files ``source/lang/doc_id.txt``."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.format_string("%s/%s/%d.txt", "source", "lang", "doc_id")
+    return scan(spark, docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -58,14 +68,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark, _table(spark, sf_dir, "pages"))
 
 
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(spark, _table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op3_near_dedup": op3_near_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_licence_scan": op6_licence_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
+    "op9_quotation_linking": op9_quotation_linking,
     "op10_html_text": op10_html_text,
 }
 
