@@ -34,8 +34,8 @@ from .textkernel import Words, blocks, byte_class, text_bytes
 CAPACITY = 2048
 END_ID = 0
 ROUNDS, STEP = 60, 3.0
-#: Distinct words whose ids a worker remembers.
-MOST_WORDS = 1_500_000
+#: Distinct words whose ids a task remembers.
+MOST_WORDS = 400_000
 #: How byte-level tokenizer files split a text, and the characters beyond ASCII that count as white space.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -49,7 +49,7 @@ class Encoder:
     """Ids of whole texts by a tokenizer file, without special tokens; strings that name those are ordinary text.
 
     A byte-level tokenizer splits a text before every single space that stands between two other characters. Words at
-    such spaces are encoded once for each distinct word of a worker and looked up by hash after that; texts in which
+    such spaces are encoded once for each distinct word of a task and looked up by hash after that; texts in which
     spaces stand otherwise, and all texts of other kinds of tokenizers, are encoded whole.
     """
 
@@ -59,7 +59,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.core = self._core(json.loads(self.tokenizer.to_str()))
-        self._forget()
+        self.forget()
 
     @staticmethod
     def _core(spec: dict):
@@ -90,7 +90,7 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.slot: dict[int, int] = {}
         self.flat, self.at = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
 
@@ -116,7 +116,7 @@ class Encoder:
         if self.core is None:
             return self._whole([text(k) for k in range(n)])
         if len(self.slot) > MOST_WORDS:
-            self._forget()
+            self.forget()
         w = Words(data, offsets, _NOT_BLANK, lower=False)
         key = w.hash.copy()
         key[w.first[:-1][w.counts > 0]] ^= np.uint64(0x9E3779B97F4A7C15)  # a text's first word has no space before it
@@ -179,6 +179,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                         rows.append((doc_id, k, start, length, zlib.crc32(memoryview(whole)[4 * start : 4 * (start + length)]), part, seen[length]))
                         seen[length] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+        encoder.forget()
 
     return pieces
 
