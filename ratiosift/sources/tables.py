@@ -135,7 +135,19 @@ def read_npy(spark: SparkSession, x_path: str, y_path: str, unlabeled_path: str
 
 
 #: Nested results, one row per method and data set.
-RESULT = T.StructType.fromDDL("method string, dataset string, selected_names array<string>, coef array<double>, intercept double, fit struct<n: double, k: int, sse: double, r2: double, adj_r2: double, bic: double, aic: double>, discovery struct<n_tp: bigint, n_fp: bigint, n_fn: bigint, fdr: double, tpr: double>, compute struct<elapsed_seconds: double>, params map<string, string>")
+_LONG, _DOUBLE, _TEXT = T.LongType(), T.DoubleType(), T.StringType()
+_STRUCT = lambda **fields: T.StructType([T.StructField(n, t) for n, t in fields.items()])
+RESULT = _STRUCT(
+    method=_TEXT,
+    dataset=_TEXT,
+    selected_names=T.ArrayType(_TEXT),
+    coef=T.ArrayType(_DOUBLE),
+    intercept=_DOUBLE,
+    fit=_STRUCT(n=_DOUBLE, k=T.IntegerType(), sse=_DOUBLE, r2=_DOUBLE, adj_r2=_DOUBLE, bic=_DOUBLE, aic=_DOUBLE),
+    discovery=_STRUCT(n_tp=_LONG, n_fp=_LONG, n_fn=_LONG, fdr=_DOUBLE, tpr=_DOUBLE),
+    compute=_STRUCT(elapsed_seconds=_DOUBLE),
+    params=T.MapType(_TEXT, _TEXT),
+)
 
 
 def write_json(results: DataFrame, path: str) -> None:
