@@ -22,11 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows that travel to a Python worker at once: whole texts are long, and 10,000 of them (Spark's default) are 30 MB and more
+#: for each running task, several times over.
+MOST_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
-    """The intermediate tables of one operator. ``keep`` writes one; ``close`` deletes all but those marked ``last``."""
+    """The intermediate tables of one operator. ``keep`` writes one; ``close`` deletes all but those marked ``last``.
+
+    Lowers the session's Arrow batch size to ``MOST_ROWS`` where it is larger.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        if not 0 < int(spark.conf.get(_BATCH)) <= MOST_ROWS:
+            spark.conf.set(_BATCH, str(MOST_ROWS))
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._made: list[str] = []
 
