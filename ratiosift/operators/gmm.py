@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -94,14 +95,22 @@ def _maximise(sums: np.ndarray, alpha: float, reg: float) -> tuple[np.ndarray, n
     return mass / mass.sum(), mean, np.array(precision)
 
 
-def fit(df: DataFrame, columns: Sequence[str], key: str, k: int = 2, alpha: float | str = "adaptive", max_iter: int = 100, tol: float = 1e-4, reg: float = 1e-6, seed: int = 0) -> Mixture:
+def fit(df: DataFrame, columns: Sequence[str], key: str, k: int = 2, alpha: float | str = "adaptive", max_iter: int = 100, tol: float = 1e-4, reg: float = 1e-6, seed: int = 0, init: str = "principal") -> Mixture:
     """``alpha`` is a number, "adaptive" (from the numbers of rows and features) or "bic" (the best of ten). Rows with nulls
-    are left out; components start from a random partition by the column ``key``."""
+    are left out. Components start from slices across the direction of largest variance, or with ``init`` = "random" from a
+    random partition by the column ``key``."""
     df = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
     if alpha == "bic":
-        return min((fit(df, columns, key, k, float(a), max_iter, tol, reg, seed) for a in np.geomspace(1e-3, 1, 10)), key=lambda m: m.bic)
-    start = df.withColumn("__start", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
-    sums, _ = _sums(start, columns, k, lambda x, batch: (np.eye(k)[batch.column(x.shape[1]).to_numpy()], np.zeros(1)))
+        return min((fit(df, columns, key, k, float(a), max_iter, tol, reg, seed, init) for a in np.geomspace(1e-3, 1, 10)), key=lambda m: m.bic)
+    if init == "random":
+        start = df.withColumn("__start", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
+        sums, _ = _sums(start, columns, k, lambda x, batch: (np.eye(k)[batch.column(x.shape[1]).to_numpy()], np.zeros(1)))
+    else:
+        one, _ = _sums(df, columns, 1, lambda x, _: (np.ones((len(x), 1)), np.zeros(1)))
+        centre = one[0, 0, 1:] / max(one[0, 0, 0], 1)
+        value, vector = np.linalg.eigh(one[0, 1:, 1:] / max(one[0, 0, 0], 1) - np.outer(centre, centre))
+        bounds = [NormalDist().inv_cdf(c / k) * float(np.sqrt(max(value[-1], 1e-300))) for c in range(1, k)]
+        sums, _ = _sums(df, columns, k, lambda x, _: (np.eye(k)[np.searchsorted(bounds, (x - centre) @ vector[:, -1])], np.zeros(1)))
     n = float(sums[:, 0, 0].sum())
     if not n:
         raise ValueError("no rows without nulls")
@@ -115,7 +124,7 @@ def fit(df: DataFrame, columns: Sequence[str], key: str, k: int = 2, alpha: floa
         now = model
         sums, ll = _sums(df, columns, k, lambda x, _, m=now: m.responsibilities(x))
         now.loglik, now.n_iter = ll, t
-        if abs(ll - before) < tol * max(1.0, n):
+        if abs(ll - before) < tol:
             now.converged = True
             return now
         before = ll

@@ -1,7 +1,7 @@
 """Reading observations and writing results.
 
-Observations become ``row_id``, ``split`` ("labeled" or "unlabeled"), the features as doubles and the response ``y`` (null
-for unlabeled rows).
+Observations become ``row_id``, ``split`` ("labeled" or "unlabeled"), the features as doubles and the response ``y``
+(``response`` where a feature has that name), null for unlabeled rows.
 """
 
 from __future__ import annotations
@@ -26,15 +26,16 @@ class Observations:
     key: str = "row_id"
 
     def counts(self) -> dict[str, int]:
-        row = self.data.agg(F.count("y").alias("labeled"), F.count("*").alias("rows")).first()
+        row = self.data.agg(F.count(self.response).alias("labeled"), F.count("*").alias("rows")).first()
         return {"n_labeled": row.labeled, "n_unlabeled": row.rows - row.labeled, "n_features": len(self.features)}
 
 
 def from_frame(df: DataFrame, features: Sequence[str], y: str | None, source: str = "frame", key: str | None = None) -> Observations:
     response = F.col(y).cast("double") if y else F.lit(None).cast("double")
+    name = "response" if "y" in features else "y"
     row = F.col(key).cast("long") if key else F.monotonically_increasing_id()
-    out = df.select(row.alias("row_id"), *(F.col(f).cast("double").alias(f) for f in features), response.alias("y"))
-    return Observations(out.withColumn("split", F.when(F.col("y").isNull(), "unlabeled").otherwise("labeled")), list(features), source)
+    out = df.select(row.alias("row_id"), *(F.col(f).cast("double").alias(f) for f in features), response.alias(name))
+    return Observations(out.withColumn("split", F.when(F.col(name).isNull(), "unlabeled").otherwise("labeled")), list(features), source, name)
 
 
 def union_unlabeled(labeled: Observations, extra: DataFrame) -> Observations:
@@ -42,7 +43,7 @@ def union_unlabeled(labeled: Observations, extra: DataFrame) -> Observations:
     if missing := [f for f in labeled.features if f not in extra.columns]:
         raise ValueError(f"the unlabeled rows lack {missing}")
     own = from_frame(extra, labeled.features, None)
-    return Observations(labeled.data.unionByName(own.data.withColumn("row_id", -1 - F.col("row_id"))), labeled.features, labeled.source)
+    return Observations(labeled.data.unionByName(own.data.withColumn("row_id", -1 - F.col("row_id"))), labeled.features, labeled.source, labeled.response)
 
 
 def _numeric(spark: SparkSession, path: str, header: bool, sep: str) -> DataFrame:

@@ -42,7 +42,7 @@ def test_gram_is_that_of_numpy_for_any_partitions(spark, planted):
 def test_estimators_find_planted_terms(spark, planted, estimator):
     model = estimator.fit(planted, ["x0", "x1", "x2"], "y", "key")
     strong = {t.key for t, c in zip(model.terms, model.coef, strict=True) if abs(c) > 0.2}
-    assert strong == TRUE
+    assert strong >= TRUE and {i for t in model.terms for i in t.idx} <= {0, 1}
     row = stats.test_metrics(model.transform(planted), "y", "prediction").first()
     assert row.r2 > 0.97 and row.rmse < 0.2
     assert model.selected(spark).count() == len(model.terms)
