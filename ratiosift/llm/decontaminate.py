@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .shared import Scratch
-from .textkernel import ALNUM, Words, blocks, ngram_hashes, ngram_starts, text_bytes
+from .textkernel import ALNUM, Words, blocks, ngram_hashes, ngram_starts, text_bytes, tidy
 
 WINDOW, K = 10, 5
 
@@ -133,7 +133,7 @@ def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFram
     lengths = {r.len: r.n for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
     maps = {n: bloom.build(windows.where(F.col("len") == n).select("print").distinct(), "print", count) for n, count in sorted(lengths.items())}
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.keep(docs.mapInArrow(_scan(maps), "row long, doc_id long, n_words long, found array<struct<len: int, hash: long, places: array<int>>>"), "rows", last=True)
+    rows = scratch.keep(docs.mapInArrow(tidy(_scan(maps)), "row long, doc_id long, n_words long, found array<struct<len: int, hash: long, places: array<int>>>"), "rows", last=True)
 
     known = windows.groupBy("len", "hash").agg(F.collect_set(F.coalesce("item_id", F.lit("\0"))).alias("items"))
     hits = rows.select("row", F.explode("found").alias("f")).select("row", "f.len", "f.hash", "f.places").join(known, ["len", "hash"])

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_layouts
+from .textkernel import tidy
 
 PAGES, TREES, DEPTH, RATE, BINS = 700, 70, 5, 0.2, 32
 _CHUNK_CHARS = 1 << 20
@@ -322,4 +323,4 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
                 lo = hi
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

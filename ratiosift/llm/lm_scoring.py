@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .labelled import remainder
 from .shared import Scratch
-from .textkernel import NOT_SPACE, Words, blocks, distinct, text_bytes, text_sums
+from .textkernel import NOT_SPACE, Words, blocks, distinct, text_bytes, text_sums, tidy
 
 MOD, OUT = 7, 2
 #: Bytes of text for each shard of the model.
@@ -306,12 +306,12 @@ def train(spark: SparkSession, texts: DataFrame) -> Model:
     shards = max(1, -(-size // SHARD_BYTES))
     told = lambda df: {r.shard: json.loads(r.info) for r in df.select("shard", "info").collect()}  # noqa: E731  a row for each file
 
-    found = told(texts.mapInArrow(_count_words(shards), _ROWS).groupBy("shard").applyInArrow(_merge_words(root), _ROWS))
+    found = told(texts.mapInArrow(tidy(_count_words(shards)), _ROWS).groupBy("shard").applyInArrow(_merge_words(root), _ROWS))
     model = Model(words=[(found[k]["file"], found[k]["n"]) if k in found else ("", 0) for k in range(shards)], tokens=sum(x["tokens"] for x in found.values()))
     if not model.tokens:
         return model
     bounds = model.bounds = [(model.vocabulary + 1) * k // shards for k in range(shards + 1)]
-    pairs = texts.mapInArrow(_count_pairs(model), _ROWS).groupBy("shard").applyInArrow(_merge_pairs(root, bounds), _ROWS)
+    pairs = texts.mapInArrow(tidy(_count_pairs(model)), _ROWS).groupBy("shard").applyInArrow(_merge_pairs(root, bounds), _ROWS)
     found = told(pairs.groupBy("shard").applyInArrow(_merge_before(root, bounds), _ROWS))
     empty: dict[int, str] = {}
 
@@ -374,7 +374,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             for i, j, raw, at in blocks(data, offsets):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *map(pa.array, _score_block(model, raw, at))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return documents.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return documents.select("doc_id", "held_out", "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def lm_scores(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .components import connected_components
 from .shared import Scratch
-from .textkernel import NOT_SPACE, Words, blocks, mix64, ngram_hashes, text_bytes
+from .textkernel import NOT_SPACE, Words, blocks, mix64, ngram_hashes, text_bytes, tidy
 
 SHINGLE = 5
 #: Similarity of 75 in 100, as whole numbers, so that the comparison is exact.
@@ -179,10 +179,10 @@ class NearDuplicates:
             for batch in batches:
                 yield batch.filter(pa.array(spread.value.test(batch.column(2).to_numpy())))
 
-        texts = self.docs.mapInArrow(may, self.docs.schema).alias("d")
+        texts = self.docs.mapInArrow(tidy(may), self.docs.schema).alias("d")
         w = wanted.alias("w")
         rows = texts.join(w, F.expr("d.text_hash = w.text_hash and d.doc_id <=> w.doc_id")).select("w.node", "d.text")
-        return self.scratch.keep(rows.mapInArrow(_whole_sets, "node long, members binary"), "sets")
+        return self.scratch.keep(rows.mapInArrow(tidy(_whole_sets), "node long, members binary"), "sets")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a: pivot, b) that full sets confirm. A pivot with many partners is copied for every ``BLOCK`` of them."""
@@ -210,7 +210,7 @@ class NearDuplicates:
 
     def run(self) -> DataFrame:
         keep = self.scratch.keep
-        every = keep(self.docs.select("doc_id", "text", "text_hash").mapInArrow(_sketches, "node long, doc_id long, text_hash long, n long, h1 long, h2 long, sketch array<long>"), "every")
+        every = keep(self.docs.select("doc_id", "text", "text_hash").mapInArrow(tidy(_sketches), "node long, doc_id long, text_hash long, n long, h1 long, h2 long, sketch array<long>"), "every")
         classes = keep(every.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id")), "classes")
         self.reps = keep(every.join(classes.select("node"), "node", "left_semi").select("node", "doc_id", "text_hash", "n", "sketch"), "reps")
 

@@ -15,6 +15,7 @@ other. An empty table gives no rows. The plan's size depends on ``capacity``, no
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -29,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
-from .textkernel import Words, blocks, byte_class, text_bytes
+from .textkernel import Words, blocks, byte_class, text_bytes, tidy
 
 CAPACITY = 2048
 END_ID = 0
 ROUNDS, STEP = 60, 3.0
 #: Distinct words whose ids a task remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 #: How byte-level tokenizer files split a text, and the characters beyond ASCII that count as white space.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -54,12 +55,19 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.core = self._core(json.load(file))
+        self.forget()
+
+    @functools.cached_property
+    def tokenizer(self):
+        """The tokenizer itself, read when the first text needs it."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.core = self._core(json.loads(self.tokenizer.to_str()))
-        self.forget()
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
 
     @staticmethod
     def _core(spec: dict):
@@ -71,7 +79,7 @@ class Encoder:
         plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         if not plain or spec.get("normalizer") or model.get("dropout") or model.get("unk_token") or model.get("ignore_merges"):
             return None
-        special = {x["content"] for x in spec["added_tokens"]}
+        special = {x["content"] for x in spec.get("added_tokens", [])}
         order = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
         if order != sorted(order):
             return None
@@ -95,7 +103,7 @@ class Encoder:
         self.flat, self.at = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [] if not texts else [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str], keys: list[int]) -> None:
         ids = [self.core(w) for w in words]
@@ -283,7 +291,7 @@ def pack(spark: SparkSession, documents: DataFrame, tokenizer_path: str, capacit
     are ignored."""
     scratch = Scratch(spark, "pack")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = scratch.keep(docs.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"), "pieces", last=True)
+    made = scratch.keep(docs.mapInArrow(tidy(_pieces(tokenizer_path, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"), "pieces", last=True)
     each = made.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
 

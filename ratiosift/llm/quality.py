@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .labelled import fit_logistic, labelled_sample, logistic, remainder
 from .shared import Scratch
-from .textkernel import NOT_SPACE, Words, blocks, distinct, mix64, padded, text_bytes, text_sums
+from .textkernel import NOT_SPACE, Words, blocks, distinct, mix64, padded, release, text_bytes, text_sums, tidy
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (3, 4, 5)
 ROWS, EPOCHS, BATCH, RATE = 1_500, 6, 32, 0.5
@@ -123,7 +123,7 @@ class Quality:
 def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows: int = ROWS) -> Quality:
     scratch = Scratch(spark, "quality")
     sample = labelled_sample(documents, labels, "quality", MOD, OUT, rows).select("text", "doc_id", "label", "weight")
-    made = scratch.keep(sample.mapInArrow(_features, "doc_id long, label int, weight double, bucket binary, share binary"), "features").orderBy("doc_id").toArrow()
+    made = scratch.keep(sample.mapInArrow(tidy(_features), "doc_id long, label int, weight double, bucket binary, share binary"), "features").orderBy("doc_id").toArrow()
     scratch.close()
     label, weight = made.column("label").to_numpy(), made.column("weight").to_numpy()
     if len(np.unique(label)) < 2:
@@ -145,7 +145,9 @@ def with_score(spark: SparkSession, documents: DataFrame, model: Quality, column
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(given.value.scores(text))
+        scores = given.value.scores(text)
+        release()
+        return pa.array(scores)
 
     return documents.withColumn(column, score(F.col("text").cast("string")))
 

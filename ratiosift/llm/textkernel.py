@@ -6,7 +6,9 @@ treat a null text as an empty one. Work is cut into blocks of about ``BLOCK_BYTE
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,3 +180,23 @@ def text_sums(w: Words, values: np.ndarray) -> np.ndarray:
 
 def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a worker keeps it otherwise, also while it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over Arrow batches that releases its memory at its end."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        release()
+
+    return run

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .labelled import fit_logistic, labelled_sample, logistic, remainder
 from .shared import Scratch
-from .textkernel import ALNUM, Words, blocks, distinct, lowered, padded, text_bytes, text_sums
+from .textkernel import ALNUM, Words, blocks, distinct, lowered, padded, release, text_bytes, text_sums, tidy
 
 ORDER, SHARED = 6, 2
 ROWS = 6_000
@@ -149,7 +149,7 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows: in
     scratch = Scratch(spark, "toxicity")
     sample = scratch.keep(labelled_sample(documents, labels, "toxic", MOD, OUT, rows), "sample")
     third = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
-    counted = sample.where(~third).select("text", "label").mapInArrow(_count, "label int, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.where(~third).select("text", "label").mapInArrow(tidy(_count), "label int, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
     shares = {r.label: r.n for r in sample.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
     label = counted.column("label").to_numpy()
     if len(shares) < 2 or len(np.unique(label)) < 2:
@@ -164,7 +164,7 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows: in
             for i, j, own, at in blocks(data, offsets):
                 yield pa.RecordBatch.from_arrays([*map(pa.array, given.value.evidence(own, at).T), batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i)], names=["a", "b", "c", "label", "weight"])
 
-    held = sample.where(third).select("text", "label", "weight").mapInArrow(evidence, "a double, b double, c double, label int, weight double").toArrow()
+    held = sample.where(third).select("text", "label", "weight").mapInArrow(tidy(evidence), "a double, b double, c double, label int, weight double").toArrow()
     x = np.column_stack([held.column(c).to_numpy() for c in "abc"])
     curve = fit_logistic(x, held.column("label").to_numpy().astype(float), held.column("weight").to_numpy())
     scratch.close()
@@ -176,7 +176,9 @@ def with_score(spark: SparkSession, documents: DataFrame, model: Toxicity, colum
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(given.value.scores(text))
+        scores = given.value.scores(text)
+        release()
+        return pa.array(scores)
 
     return documents.withColumn(column, score(F.col("text").cast("string")))
 
