@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licences
 from .decontaminate import decontaminate
 from .html_text import extract
 from .licences import scan
@@ -100,6 +101,64 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
+_BARE = "list_filter(list_transform(regexp_split_to_array(lower({0}), '[^a-z0-9.-]+'), lambda w: regexp_replace(w, '^[.-]+|[.-]+$', '', 'g')), lambda w: w <> '')"
+_SAYS = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, t) in enumerate(licences.TEMPLATES))
+_OP6_SQL = f"""
+WITH t AS (SELECT * FROM (VALUES {_SAYS}) v(k, name, text)),
+tc AS (SELECT k, w, count(*) AS tf FROM (SELECT k, unnest({_BARE.format("text")}) AS w FROM t) GROUP BY ALL),
+idf AS (SELECT w, ln({len(licences.TEMPLATES) + 1}.0::DOUBLE / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM tc GROUP BY w),
+tn AS (SELECT k, sqrt(sum(tf * idf * tf * idf)) AS norm FROM tc JOIN idf USING (w) GROUP BY k),
+tw AS (SELECT k, w, tf * idf / norm AS weight FROM tc JOIN idf USING (w) JOIN tn USING (k)),
+d AS (SELECT doc_id, source || '/' || lang AS dir, source || '/' || lang || '/' || doc_id || '.txt' AS path, text, regexp_matches(text, '{licences.TRIGGER}') AS says FROM documents),
+l AS (SELECT doc_id, line, s[line] AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM d WHERE says)),
+lc AS (SELECT doc_id, line, w, count(*) AS tf FROM (SELECT doc_id, line, unnest({_BARE.format("s")}) AS w FROM l WHERE regexp_matches(s, '{licences.TRIGGER}')) GROUP BY ALL),
+lw AS (SELECT doc_id, line, w, tf, tf * coalesce(idf, ln({len(licences.TEMPLATES) + 1}.0::DOUBLE) + 1.0::DOUBLE) AS weight FROM lc LEFT JOIN idf USING (w)),
+ln AS (SELECT doc_id, line, sqrt(sum(weight * weight)) AS norm, sum(tf) AS n FROM lw GROUP BY ALL),
+c AS (SELECT doc_id, line, k, sum(lw.weight * tw.weight) AS dot FROM lw JOIN tw USING (w) GROUP BY ALL),
+b AS (SELECT doc_id, line, n, round(dot / norm, 6) AS similarity, name FROM c JOIN ln USING (doc_id, line) JOIN t USING (k) QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY round(dot / norm, 6) DESC, name) = 1),
+o AS (SELECT doc_id, count(*) AS n_statements, sum(n) AS stated, arg_max(name, (similarity, -rank)) AS own_license, max(similarity) AS similarity
+ FROM (SELECT *, rank() OVER (ORDER BY name) AS rank FROM b WHERE similarity >= {licences.LEAST}) GROUP BY doc_id),
+f AS (SELECT d.doc_id, dir, path, n_statements, own_license, similarity, 2 * stated >= len({_BARE.format("text")}) AS is_file FROM d LEFT JOIN o USING (doc_id)),
+s AS (SELECT dir AS above, arg_min(own_license, path) AS license FROM f WHERE is_file AND own_license IS NOT NULL GROUP BY dir),
+n AS (SELECT x.dir, s.above, s.license FROM (SELECT DISTINCT dir FROM f) x JOIN s ON s.above = x.dir)
+SELECT f.doc_id, f.path, coalesce(n_statements, 0)::BIGINT AS n_statements, own_license, similarity, coalesce(own_license, n.license) AS license,
+       CASE WHEN own_license IS NULL THEN n.above END AS inherited_from FROM f LEFT JOIN n USING (dir)
+"""
+
+_OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_have FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both_have >= 75 * (na.n + nb.n - both_have)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON r.doc_id = e.a),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+_MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+_OP9_SQL = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS s FROM conversations),
+x AS (SELECT id, conv_id, turn, i, s[i] AS line FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM m)),
+l AS (SELECT id, conv_id, turn, i, length(regexp_replace(regexp_extract(line, '{_MARKS}', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '{_MARKS}', '') AS bare,
+ trim(regexp_replace(lower(regexp_replace(line, '{_MARKS}', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS words FROM x),
+k AS (SELECT *, sum(CASE WHEN words = '' OR level IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS p FROM (SELECT *, lag(level) OVER (PARTITION BY id ORDER BY i) AS before FROM l)),
+g AS (SELECT id, conv_id, turn, p, level, string_agg(words, ' ' ORDER BY i) AS whole, list(words) AS parts FROM k WHERE words <> '' GROUP BY ALL),
+u AS (SELECT DISTINCT id, conv_id, turn, p, level, unit, unit = whole AS is_whole FROM (SELECT *, unnest(list_distinct(list_append(parts, whole))) AS unit FROM g)),
+o AS (SELECT conv_id, unit, min(turn) AS origin FROM u WHERE level = 0 GROUP BY ALL),
+f AS (SELECT id, p, level, coalesce(max(origin) FILTER (is_whole), max(origin)) AS origin FROM u JOIN o USING (conv_id, unit) WHERE level > 0 AND origin < turn GROUP BY ALL),
+q AS (SELECT id, count(*) AS n_linked, coalesce(max(origin) FILTER (level = 1), max(origin)) AS reply_to FROM f GROUP BY id),
+z AS (SELECT id, count(DISTINCT p) FILTER (level > 0) AS n_quotes FROM g GROUP BY id),
+c AS (SELECT id, trim(coalesce(string_agg(bare, chr(10) ORDER BY i) FILTER (level = 0), '')) AS text FROM l GROUP BY id),
+a AS (SELECT m.id, conv_id, turn, role, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, reply_to, text FROM m JOIN c USING (id) LEFT JOIN z USING (id) LEFT JOIN q USING (id)),
+t AS (SELECT conv_id, turn, arg_min(reply_to, (role, text, id)) AS reply_to FROM a GROUP BY ALL),
+r AS (SELECT conv_id, turn, turn AS thread FROM t WHERE reply_to IS NULL UNION ALL SELECT t.conv_id, t.turn, r.thread FROM t JOIN r ON t.conv_id = r.conv_id AND t.reply_to = r.turn)
+SELECT conv_id, turn, role, n_quotes::BIGINT AS n_quotes, n_linked::BIGINT AS n_linked, reply_to, thread, row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn, role, text, id) - 1 AS position, text FROM a JOIN r USING (conv_id, turn)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_dedup": _OP3_SQL,
+    "op9_quotation_linking": _OP9_SQL,
+    "op6_licence_scan": _OP6_SQL,
     "op7_decontaminate": _OP7_SQL,
 }
