@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import random
 
-MARK = ""
+MARK = "\ue000"
 
 _SYLLABLES = "ba co da en fi ga ho il ka lo me no or pa qui ra so te un vo wa xe yo zi the ing tion er".split()
 #: Names that sites give to the parts of their pages.
