@@ -137,7 +137,10 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows: in
     weights = sgd([bucket[k] for k in fit], [share[k] for k in fit], label[fit])
     held = np.flatnonzero(third) if len(np.unique(label[third])) == 2 else fit
     x = np.array([[float(weights[bucket[k].astype(np.int64)] @ share[k])] for k in held])
-    return Quality(weights.astype(np.float32), fit_logistic(x, label[held].astype(float), weight[held]), 0.5)
+    curve = fit_logistic(x, label[held].astype(float), weight[held])
+    del made, bucket, share
+    release()
+    return Quality(weights.astype(np.float32), curve, 0.5)
 
 
 def with_score(spark: SparkSession, documents: DataFrame, model: Quality, column: str) -> DataFrame:

@@ -6,11 +6,14 @@ a session names none (tests, a laptop) a temporary folder is made and set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .textkernel import release
+
 _KEY = "spark.checkpoint.dir"
 
 
@@ -49,6 +52,7 @@ class Scratch:
         df.write.parquet(path)
         if not last:
             self._made.append(path)
+        release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, path: str) -> None:
@@ -60,3 +64,5 @@ class Scratch:
         for path in self._made:
             self.drop(path)
         self._made = []
+        gc.collect()  # frames refer to each other, and each holds its plan in the JVM
+        release()

@@ -156,6 +156,8 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows: in
         scratch.close()
         return Toxicity(None, None, 0.5 if not shares else float(shares.get(1, 0) / sum(shares.values())))
     model = KneserNey(label, counted.column("gram").to_numpy(), counted.column("n").to_numpy())
+    del counted, label
+    release()
     given = spark.sparkContext.broadcast(model)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
