@@ -35,33 +35,36 @@ from .textkernel import ALNUM, Words, blocks, ngram_hashes, ngram_starts, text_b
 WINDOW, K = 10, 5
 
 
-def fingerprints(first: np.ndarray, grams: np.ndarray, window: int = WINDOW, k: int = K) -> np.ndarray:
-    """Places of the ``k``-grams that winnowing keeps; the last smallest of every ``window - k + 1`` in one text."""
+def minima(first: np.ndarray, grams: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of single texts start, and the place of each one's smallest ``k``-gram, the last of equals."""
     span = window - k + 1
     starts = ngram_starts(first, window)
     if not len(starts):
-        return starts
+        return starts, starts
     groups = sliding_window_view(grams, span)[starts]
-    at = starts + span - 1 - np.argmin(groups[:, ::-1], axis=1)
-    return at[np.concatenate(([True], at[1:] != at[:-1]))]
+    return starts, starts + span - 1 - np.argmin(groups[:, ::-1], axis=1)
+
+
+def fingerprints(first: np.ndarray, grams: np.ndarray, window: int = WINDOW, k: int = K) -> np.ndarray:
+    """Places of the ``k``-grams that winnowing keeps; the last smallest of every ``window - k + 1`` in one text."""
+    _, at = minima(first, grams, window, k)
+    return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, len, hash, prints): every item's windows, and the fingerprints inside each (one at least)."""
+    """(item_id, len, hash, print): every item's windows, and each one's own fingerprint, which any text with it keeps."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         for i, j, own, at in blocks(data, offsets):
             w = Words(own, at, ALNUM)
             where, length, value, print_ = [], [], [], []
-            starts = ngram_starts(w.first, WINDOW)
+            grams = ngram_hashes(w.hash, K)
+            starts, own_print = minima(w.first, grams)
             if len(starts):
-                grams = ngram_hashes(w.hash, K)
-                kept = fingerprints(w.first, grams)
-                inside = kept[np.searchsorted(kept, starts)]
                 where.append(np.searchsorted(w.first, starts, side="right") - 1)
                 length.append(np.full(len(starts), WINDOW))
                 value.append(ngram_hashes(w.hash, WINDOW)[starts])
-                print_.append(grams[inside])
+                print_.append(grams[own_print])
             for d in np.flatnonzero((w.counts > 0) & (w.counts < WINDOW)):
                 n = int(w.counts[d])
                 where.append([d])

@@ -156,6 +156,17 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.decontaminate(spark, spark.createDataFrame(docs, "doc_id long, text string"), bench.limit(0)).where("contaminated").isEmpty()
 
 
+def test_decontamination_finds_the_last_words_of_items(spark):
+    r = random.Random(5)
+    words = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    items = [(k, words(40)) for k in range(150)]
+    docs = [(100 * k + n, n, words(20) + w[-n:] + words(3 * (k % 2))) for k, w in items for n in range(9, 16)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    out = decontaminate.decontaminate(spark, spark.createDataFrame([(d, " ".join(w)) for d, _, w in docs], "doc_id long, text string"), bench)
+    got = {r.doc_id: (r.n_hit, r.items) for r in out.collect()}
+    assert got == {d: (n, [str(d // 100)]) if n >= 10 else (0, []) for d, n, _ in docs}
+
+
 def test_winnowing_keeps_a_fingerprint_in_every_window():
     grams = np.random.default_rng(0).integers(0, 50, 300).astype(np.uint64)
     first = np.array([0, 4, 120, 304])
