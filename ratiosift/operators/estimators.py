@@ -63,7 +63,7 @@ class Prepared:
         return own, float(intercept - self.mean[: len(coef)] @ own)
 
 
-def prepare(df: DataFrame, features: Sequence[str], y: str, terms: list[Term], fold: str | None, own: Sequence[int] | None = None, copies: Copies | None = None) -> Prepared:
+def prepare(df: DataFrame, features: Sequence[str], y: str, terms: list[Term], fold: str | None, own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None) -> Prepared:
     """Terms of the features with the numbers ``own`` (all), followed by the same terms of their knockoffs where ``copies``
     says how to make them. Tasks expand batches of rows as matrices; no expanded row leaves them."""
     p = len(features)
@@ -83,26 +83,61 @@ def prepare(df: DataFrame, features: Sequence[str], y: str, terms: list[Term], f
 
 @dataclass
 class Copies:
-    """How tasks make knockoffs of some features: a sampler, the constant or (``slope``) conditional means, and the normal
-    numbers' key."""
+    """How tasks make knockoffs of the features ``own`` from one Gaussian: a sampler and the normal numbers' key."""
 
     sampler: knockoffs.Sampler
     own: list[int]
     key: str
     seed: int
     stream: str = "knock"
-    known: list[int] = field(default_factory=list)
-    known_mean: np.ndarray | None = None
-    slope: np.ndarray | None = None
 
     def noise(self) -> list[Column]:
         return [keyed.normal(F.col(self.key), self.seed, f"{self.stream}{j}") for j in range(len(self.own))]
 
     def make(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-        mean = self.sampler.mean if self.slope is None else self.sampler.mean + (x[:, self.known] - self.known_mean) @ self.slope.T
+        mean = self.sampler.mean
         return mean + (x[:, self.own] - mean) @ self.sampler.a.T + z @ self.sampler.l.T
 
 
+@dataclass
+class MixtureCopies:
+    """Knockoffs under a mixture, given the features ``known``. Each row draws a component by its responsibilities for the
+    whole row, and its copy comes from that component's distribution given the known features; under the mixture originals
+    and copies can then be swapped. Averaged means and one covariance could not be, wherever components differ."""
+
+    mixture: gmm.Mixture
+    own: list[int]
+    known: list[int]
+    key: str
+    seed: int
+    stream: str = "knock"
+
+    def __post_init__(self) -> None:
+        m = self.mixture
+        self.parts = [gmm.Mixture(np.ones(1), m.mean[[k]], m.precision[[k]]) for k in range(len(m.weight))]
+        self.samplers = []
+        for part in self.parts:
+            mean, precision = part.conditional(self.known, part.mean[:, self.known])
+            cov = np.linalg.inv(precision) + 1e-6 * np.eye(len(self.own))
+            self.samplers.append(knockoffs.Sampler.gaussian(mean[0], cov, knockoffs.s_values_conditional(cov)))
+
+    def noise(self) -> list[Column]:
+        """Normal numbers, and an even one that draws the component."""
+        key = F.col(self.key)
+        return [*(keyed.normal(key, self.seed, f"{self.stream}{j}") for j in range(len(self.own))), keyed.uniform(key, self.seed, f"{self.stream}component")]
+
+    def make(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), len(self.own)))
+        upto = np.cumsum(self.mixture.responsibilities(x)[0], axis=1)
+        of = np.minimum((upto <= z[:, [-1]]).sum(axis=1), len(self.parts) - 1)
+        for k, (part, sampler) in enumerate(zip(self.parts, self.samplers, strict=True)):
+            at = np.flatnonzero(of == k)
+            if len(at):
+                mean, _ = part.conditional(self.known, x[np.ix_(at, self.known)])
+                out[at] = mean + (x[np.ix_(at, self.own)] - mean) @ sampler.a.T + z[at, :-1] @ sampler.l.T
+        return out
+
+
 class Estimator:
     """Shared settings: degree of the dictionary, pair products, and the column of the row key that deals folds."""
 
@@ -271,25 +306,18 @@ class IterativeKnockoffs(Estimator):
 
     method = "ic_knock_poly"
 
-    def __init__(self, q: float = 0.1, rule: str = "zeta", gamma: float = 0.5, offset: int = 0, w: str = "signed_max", components: int = 1, alpha: float | str = "adaptive", max_iter: int = 10, refit: str = "cv", first: str = "sample", **kwargs) -> None:
+    def __init__(self, q: float = 0.1, rule: str = "zeta", gamma: float = 0.5, offset: int = 0, w: str = "signed_max", components: int = 2, alpha: float | str = "adaptive", max_iter: int = 10, refit: str = "cv", first: str = "sample", **kwargs) -> None:
         super().__init__(**kwargs)
         self.q, self.rule, self.gamma, self.offset, self.w = q, rule, gamma, offset, w
         self.components, self.alpha, self.max_iter, self.refit, self.first = components, alpha, max_iter, refit, first
 
-    def _copies(self, df: DataFrame, features: Sequence[str], known: list[int], mixture: gmm.Mixture | None, key: str, stream: str) -> Copies:
+    def _copies(self, df: DataFrame, features: Sequence[str], known: list[int], mixture: gmm.Mixture | None, key: str, stream: str) -> Copies | MixtureCopies:
         """Knockoffs of the features not known, given the known ones."""
         rest = [j for j in range(len(features)) if j not in known]
         if mixture is None or not known and self.first == "sample":
             mean, cov, _ = knockoffs.covariance(df, [features[j] for j in rest])
             return Copies(knockoffs.Sampler.gaussian(mean, cov + 1e-6 * np.eye(len(cov))), rest, key, self.seed, stream)
-        cov = np.linalg.inv(mixture.precision)
-        mean = mixture.weight @ mixture.mean
-        off = mixture.mean - mean
-        mixed = np.einsum("k,kij->ij", mixture.weight, cov + off[:, :, None] * off[:, None, :])
-        slope = np.linalg.solve(mixed[np.ix_(known, known)], mixed[np.ix_(known, rest)]).T if known else np.zeros((len(rest), 0))
-        own = mixed[np.ix_(rest, rest)] - slope @ mixed[np.ix_(known, rest)] + 1e-6 * np.eye(len(rest))
-        sampler = knockoffs.Sampler.gaussian(mean[rest], own, knockoffs.s_values_conditional(own))
-        return Copies(sampler, rest, key, self.seed, stream, known, mean[known], slope)
+        return MixtureCopies(mixture, rest, known, key, self.seed, stream)
 
     def fit(self, df: DataFrame, features: Sequence[str], y: str, key: str) -> Fitted:
         features = list(features)

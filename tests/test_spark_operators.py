@@ -78,6 +78,32 @@ def test_mixture_and_conditional(spark):
     assert mean.shape == (2, 1) and mean[0, 0] == pytest.approx(0.8, abs=0.15) and precision.shape == (1, 1)
 
 
+@pytest.mark.parametrize("known", [[], [0], [1]])
+def test_knockoffs_of_two_clusters(spark, known):
+    """The first feature does not tell the clusters apart, the other two do, with correlations of opposite sign."""
+    key = F.col("id")
+    side = F.when(key % 2 == 0, 4.0).otherwise(-4.0)
+    df = spark.range(4000).select("id", keyed.normal(key, 1, "a").alias("a"), (side + keyed.normal(key, 1, "b")).alias("b"))
+    df = df.withColumn("c", side + 0.15 * side * (F.col("b") - side) + 0.8 * keyed.normal(key, 1, "c"))
+    names = ["a", "b", "c"]
+    e = estimators.IterativeKnockoffs(first="mixture", alpha=0.01)
+    mixture = gmm.fit(df, names, "id", e.components, e.alpha, max_iter=50)
+    copies = e._copies(df, names, known, mixture, "id", "s")
+    m = df.select(*names, *(c.alias(f"z{k}") for k, c in enumerate(copies.noise()))).toPandas().to_numpy()
+    x, k = m[:, :3], copies.make(m[:, :3], m[:, 3:])
+    k = dict(zip(copies.own, k.T, strict=True))
+    b, c, kb, kc = x[:, 1], x[:, 2], k.get(1, x[:, 1]), k[2]
+    assert len(mixture.weight) == 2 and (np.abs(kc) < 1.5).mean() < 0.02
+    for f in (lambda u, v: u**2 * v**2, lambda u, v: u**2 * v, lambda u, v: u * v):
+        want = f(b, c).mean()
+        for got in (f(kb, kc), f(b, kc), f(kb, c)):
+            assert got.mean() == pytest.approx(want, rel=0.06, abs=1.5)
+    # within a cluster the copies' correlation is that of the originals
+    for sign in (1, -1):
+        at = sign * b > 0
+        assert np.cov(kb[at], kc[at])[0, 1] == pytest.approx(np.cov(b[at], c[at])[0, 1], abs=0.1)
+
+
 def test_knockoff_moments_on_spark(spark):
     key = F.col("id")
     df = spark.range(20_000).select("id", keyed.normal(key, 5, "a").alias("a")).withColumn("b", 0.6 * F.col("a") + 0.8 * keyed.normal(key, 5, "b"))
