@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +95,10 @@ class Copies:
     def noise(self) -> list[Column]:
         return [keyed.normal(F.col(self.key), self.seed, f"{self.stream}{j}") for j in range(len(self.own))]
 
+    def drawn(self, n: int) -> np.ndarray:
+        """The same for rows at hand."""
+        return np.random.default_rng([self.seed, crc32(self.stream.encode())]).normal(size=(n, len(self.own)))
+
     def make(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
         mean = self.sampler.mean
         return mean + (x[:, self.own] - mean) @ self.sampler.a.T + z @ self.sampler.l.T
@@ -126,6 +131,11 @@ class MixtureCopies:
         key = F.col(self.key)
         return [*(keyed.normal(key, self.seed, f"{self.stream}{j}") for j in range(len(self.own))), keyed.uniform(key, self.seed, f"{self.stream}component")]
 
+    def drawn(self, n: int) -> np.ndarray:
+        """The same for rows at hand."""
+        rng = np.random.default_rng([self.seed, crc32(self.stream.encode())])
+        return np.column_stack((rng.normal(size=(n, len(self.own))), rng.uniform(size=n)))
+
     def make(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), len(self.own)))
         upto = np.cumsum(self.mixture.responsibilities(x)[0], axis=1)
@@ -138,6 +148,80 @@ class MixtureCopies:
         return out
 
 
+class SparkRows:
+    """What a fit needs of the rows of a DataFrame: their statistics, never the rows. The response is ``y`` or, with
+    ``residual``, what the terms found so far leave of it."""
+
+    def __init__(self, df: DataFrame, features: Sequence[str], y: str, key: str, folds: int, seed: int) -> None:
+        self.df, self.features, self.y = df, list(features), y
+        self.dealt = df.withColumn("__fold", stats.hashed_fold(F.col(key), folds, seed)).withColumn("__residual", F.col(y).cast("double"))
+        self.key = key
+
+    def covariance(self, at: Sequence[int], labelled: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+        return knockoffs.covariance(self.df.where(F.col(self.y).isNotNull()) if labelled else self.df, [self.features[j] for j in at])
+
+    def mixture(self, k: int, alpha: float | str, seed: int) -> gmm.Mixture:
+        return gmm.fit(self.df, self.features, self.key, k, alpha, max_iter=50, seed=seed)
+
+    def prepare(self, terms: list[Term], own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, residual: bool = False) -> Prepared:
+        return prepare(self.dealt, self.features, "__residual" if residual else self.y, terms, "__fold", own, copies)
+
+    def leave(self, terms: list[Term], coef: np.ndarray, constant: float) -> None:
+        fitted = linear(terms, coef, constant, [F.col(f).cast("double") for f in self.features])
+        self.dealt = self.dealt.withColumn("__residual", F.col(self.y) - fitted)
+
+    def norm(self) -> float:
+        return self.dealt.agg(F.sqrt(F.sum(F.col("__residual") * F.col("__residual")))).first()[0]
+
+    def mean(self) -> float:
+        return float(self.df.agg(F.avg(self.y)).first()[0] or 0.0)
+
+
+class LocalRows:
+    """The same of rows at hand, as in a task that fits one small trial; folds are consecutive rows. NaN is null."""
+
+    key = ""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, folds: int) -> None:
+        self.x, self.y, self.features = np.asarray(x, float), np.asarray(y, float), [f"x{j}" for j in range(x.shape[1])]
+        self.residual, self.folds = self.y, folds
+
+    def covariance(self, at: Sequence[int], labelled: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+        x = self.x[~np.isnan(self.y) if labelled else slice(None)][:, list(at)]
+        x = x[~np.isnan(x).any(axis=1)]
+        if not len(x):
+            raise ValueError("no rows without nulls")
+        return x.mean(axis=0), np.atleast_2d(np.cov(x, rowvar=False, ddof=min(1, len(x) - 1))), float(len(x))
+
+    def mixture(self, k: int, alpha: float | str, seed: int) -> gmm.Mixture:
+        return gmm.fit_rows(self.x[~np.isnan(self.x).any(axis=1)], k, alpha, max_iter=50)
+
+    def prepare(self, terms: list[Term], own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, residual: bool = False) -> Prepared:
+        y = self.residual if residual else self.y
+        held = ~np.isnan(np.column_stack((self.x, y))).any(axis=1)
+        x, y = self.x[held], y[held]
+        z = expanded(x if own is None else x[:, list(own)], terms)
+        if copies is not None:
+            z = np.hstack((z, expanded(copies.make(x, copies.drawn(len(self.x))[held]), terms)))
+        mean, scale = z.mean(axis=0), z.std(axis=0)
+        scale[~(scale > 1e-7 * np.maximum(1, np.abs(mean)))] = 1.0
+        z = (z - mean) / scale
+        of = np.repeat(np.arange(self.folds), [len(y) // self.folds + (f < len(y) % self.folds) for f in range(self.folds)])
+        return Prepared(terms, mean, scale, {f: stats.gram_of(z[of == f], y[of == f]) for f in range(self.folds) if (of == f).any()})
+
+    def predict(self, terms: list[Term], coef: np.ndarray, constant: float) -> np.ndarray:
+        return expanded(self.x, terms) @ coef + constant if terms else np.full(len(self.x), constant)
+
+    def leave(self, terms: list[Term], coef: np.ndarray, constant: float) -> None:
+        self.residual = self.y - self.predict(terms, coef, constant)
+
+    def norm(self) -> float:
+        return float(np.sqrt(np.nansum(self.residual**2)))
+
+    def mean(self) -> float:
+        return float(np.nanmean(self.y))
+
+
 class Estimator:
     """Shared settings: degree of the dictionary, pair products, and the column of the row key that deals folds."""
 
@@ -153,8 +237,11 @@ class Estimator:
         return df.withColumn("__fold", stats.hashed_fold(F.col(key), self.folds, self.seed))
 
     def fit(self, df: DataFrame, features: Sequence[str], y: str, key: str) -> Fitted:
-        made = prepare(self._with_fold(df, key), features, y, self._terms(len(features)), "__fold")
-        return self.fitted(features, made, *self.solve(made))
+        return self.fit_rows(SparkRows(df, features, y, key, self.folds, self.seed))
+
+    def fit_rows(self, rows: SparkRows | LocalRows) -> Fitted:
+        made = rows.prepare(self._terms(len(rows.features)))
+        return self.fitted(rows.features, made, *self.solve(made))
 
     def solve(self, made: Prepared) -> tuple[np.ndarray, float, dict]:
         raise NotImplementedError
@@ -238,11 +325,11 @@ class ImprovedSTLSQ(Estimator):
         return b, y - mean @ b, {"ridge": self.alpha}
 
 
-def _refit(df: DataFrame, features: Sequence[str], y: str, terms: list[Term], how: str, fold: str) -> tuple[np.ndarray, float]:
+def _refit(rows: SparkRows | LocalRows, terms: list[Term], how: str) -> tuple[np.ndarray, float]:
     """Coefficients of these terms on the raw axis."""
     if not terms:
-        return np.zeros(0), float(df.agg(F.avg(y)).first()[0] or 0.0)
-    made = prepare(df, features, y, terms, fold)
+        return np.zeros(0), rows.mean()
+    made = rows.prepare(terms)
     if how == "ols":
         g, c, _, mean, my, _ = _pieces(made)
         b = solvers.ols(g, c)
@@ -260,15 +347,15 @@ class PolyKnockoff(Estimator):
         super().__init__(**kwargs)
         self.q, self.offset, self.w, self.alpha = q, offset, w, alpha
 
-    def covariance(self, df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        mean, cov, _ = knockoffs.covariance(df, features)
+    def covariance(self, rows: SparkRows | LocalRows) -> tuple[np.ndarray, np.ndarray]:
+        mean, cov, _ = rows.covariance(range(len(rows.features)))
         return mean, cov + 1e-6 * np.eye(len(cov))
 
-    def fit(self, df: DataFrame, features: Sequence[str], y: str, key: str) -> Fitted:
-        sampler = knockoffs.Sampler.gaussian(*self.covariance(df, features))
-        df = self._with_fold(df, key)
+    def fit_rows(self, rows: SparkRows | LocalRows) -> Fitted:
+        features = rows.features
+        sampler = knockoffs.Sampler.gaussian(*self.covariance(rows))
         terms = self._terms(len(features))
-        made = prepare(df, features, y, terms, "__fold", copies=Copies(sampler, list(range(len(features))), key, self.seed))
+        made = rows.prepare(terms, copies=Copies(sampler, list(range(len(features))), rows.key, self.seed))
         m = len(terms)
         if self.alpha is None:
             b, _, _ = solvers.lasso_cv(made.folds)
@@ -278,7 +365,7 @@ class PolyKnockoff(Estimator):
         w = fdr.w_statistics(b[:m], b[m:], self.w)
         tau = fdr.threshold(w, self.q, self.offset)
         chosen = [t for t, v in zip(terms, w, strict=True) if v >= tau]
-        coef, constant = _refit(df, features, y, chosen, "ols", "__fold")
+        coef, constant = _refit(rows, chosen, "ols")
         return Fitted(self.method, list(features), chosen, coef, constant, params={"tau": tau, "w": w.tolist()})
 
 
@@ -287,8 +374,9 @@ class PolyClime(PolyKnockoff):
 
     method = "poly_clime"
 
-    def covariance(self, df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        mean, cov, n = knockoffs.covariance(df, features)
+    def covariance(self, rows: SparkRows | LocalRows) -> tuple[np.ndarray, np.ndarray]:
+        features = rows.features
+        mean, cov, n = rows.covariance(range(len(features)))
         theta = solvers.graphical_lasso(cov, float(np.clip(0.5 * np.sqrt(np.log(max(2, len(features))) / n), 1e-4, 1.0)))
         if self.alpha is None:
             m = 2 * len(self._terms(len(features)))
@@ -312,19 +400,21 @@ class IterativeKnockoffs(Estimator):
         self.components, self.alpha, self.max_iter, self.refit, self.first = components, alpha, max_iter, refit, first
 
     def _copies(self, df: DataFrame, features: Sequence[str], known: list[int], mixture: gmm.Mixture | None, key: str, stream: str) -> Copies | MixtureCopies:
+        return self._round_copies(SparkRows(df, features, features[0], key, self.folds, self.seed), known, mixture, stream)
+
+    def _round_copies(self, rows: SparkRows | LocalRows, known: list[int], mixture: gmm.Mixture | None, stream: str) -> Copies | MixtureCopies:
         """Knockoffs of the features not known, given the known ones."""
-        rest = [j for j in range(len(features)) if j not in known]
+        rest = [j for j in range(len(rows.features)) if j not in known]
         if mixture is None or not known and self.first == "sample":
-            mean, cov, _ = knockoffs.covariance(df, [features[j] for j in rest])
-            return Copies(knockoffs.Sampler.gaussian(mean, cov + 1e-6 * np.eye(len(cov))), rest, key, self.seed, stream)
-        return MixtureCopies(mixture, rest, known, key, self.seed, stream)
+            mean, cov, _ = rows.covariance(rest, labelled=True)
+            return Copies(knockoffs.Sampler.gaussian(mean, cov + 1e-6 * np.eye(len(cov))), rest, rows.key, self.seed, stream)
+        return MixtureCopies(mixture, rest, known, rows.key, self.seed, stream)
 
-    def fit(self, df: DataFrame, features: Sequence[str], y: str, key: str) -> Fitted:
-        features = list(features)
+    def fit_rows(self, rows: SparkRows | LocalRows) -> Fitted:
+        features = rows.features
         mixture = None
         if self.first == "mixture" or self.max_iter > 1:
-            mixture = gmm.fit(df, features, key, self.components, self.alpha, max_iter=50, seed=self.seed)
-        labelled = self._with_fold(df.where(F.col(y).isNotNull()), key).withColumn("__residual", F.col(y).cast("double"))
+            mixture = rows.mixture(self.components, self.alpha, self.seed)
         active: list[Term] = []
         history: list[dict] = []
         coef, constant = np.zeros(0), 0.0
@@ -334,7 +424,7 @@ class IterativeKnockoffs(Estimator):
             if not rest:
                 break
             terms = self._terms(len(rest))
-            ready = prepare(labelled, features, "__residual", terms, "__fold", rest, self._copies(labelled, features, known, mixture, key, f"round{t}-"))
+            ready = rows.prepare(terms, rest, self._round_copies(rows, known, mixture, f"round{t}-"), residual=True)
             b, _, _ = solvers.lasso_cv(ready.folds)
             m = len(terms)
             w = fdr.w_statistics(b[:m], b[m:], self.w)
@@ -343,15 +433,14 @@ class IterativeKnockoffs(Estimator):
             new = [Term(tuple(rest[i] for i in term.idx), term.exp) for term, v in zip(terms, w, strict=True) if v >= tau]
             if new:
                 active += new
-                coef, constant = _refit(labelled, features, y, active, self.refit, "__fold")
-                fitted = linear(active, coef, constant, [F.col(f).cast("double") for f in features])
-                labelled = labelled.withColumn("__residual", F.col(y) - fitted)
-            norm = labelled.agg(F.sqrt(F.sum(F.col("__residual") * F.col("__residual")))).first()[0]
+                coef, constant = _refit(rows, active, self.refit)
+                rows.leave(active, coef, constant)
+            norm = rows.norm()
             history.append({"iteration": t, "q_t": share, "tau_t": None if np.isinf(tau) else tau, "n_candidates": len(rest), "n_new_selected": len(new), "residual_norm": norm})
             if not new:
                 break
         if not active:
-            coef, constant = _refit(labelled, features, y, [], "ols", "__fold")
+            coef, constant = _refit(rows, [], "ols")
         return Fitted(self.method, features, active, coef, constant, history)
 
     def fit_with_cv(self, df: DataFrame, features: Sequence[str], y: str, key: str, candidates: Sequence[float] = (0.05, 0.1, 0.15, 0.2), folds: int = 3) -> Fitted:
@@ -376,6 +465,12 @@ class IterativeKnockoffs(Estimator):
 METHODS = {e.method: e for e in (IterativeKnockoffs, PolyLasso, PolyOMP, PolyClime, PolyKnockoff, PolySTLSQ, ImprovedSTLSQ)}
 
 
+def made(method: str, degree: int = 2, q: float = 0.1, seed: int = 0) -> Estimator:
+    """The estimator of this name with its own defaults."""
+    kind = METHODS[method]
+    return kind(q=q, degree=degree, seed=seed) if kind in (IterativeKnockoffs, PolyKnockoff, PolyClime) else kind(degree=degree, seed=seed)
+
+
 def compare(df: DataFrame, features: Sequence[str], y: str, key: str, methods: Sequence[str] = tuple(METHODS), degree: int = 2, q: float = 0.1, seed: int = 0) -> dict[str, Fitted]:
     """Fits several methods on the same rows. Those that need no knockoffs share one pass over the expanded features."""
     if unknown := set(methods) - METHODS.keys():
@@ -386,7 +481,7 @@ def compare(df: DataFrame, features: Sequence[str], y: str, key: str, methods: S
         if name not in methods:
             continue
         kind = METHODS[name]
-        own = kind(q=q, degree=degree, seed=seed) if kind in (IterativeKnockoffs, PolyKnockoff, PolyClime) else kind(degree=degree, seed=seed)
+        own = made(name, degree, q, seed)
         if kind in (IterativeKnockoffs, PolyKnockoff, PolyClime):
             out[name] = own.fit(df, features, y, key)
             continue

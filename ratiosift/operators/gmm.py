@@ -102,27 +102,45 @@ def fit(df: DataFrame, columns: Sequence[str], key: str, k: int = 2, alpha: floa
     df = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
     if alpha == "bic":
         return min((fit(df, columns, key, k, float(a), max_iter, tol, reg, seed, init) for a in np.geomspace(1e-3, 1, 10)), key=lambda m: m.bic)
+    start = None
     if init == "random":
-        start = df.withColumn("__start", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
-        sums, _ = _sums(start, columns, k, lambda x, batch: (np.eye(k)[batch.column(x.shape[1]).to_numpy()], np.zeros(1)))
-    else:
-        one, _ = _sums(df, columns, 1, lambda x, _: (np.ones((len(x), 1)), np.zeros(1)))
+        dealt = df.withColumn("__start", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
+        start, _ = _sums(dealt, columns, k, lambda x, batch: (np.eye(k)[batch.column(x.shape[1]).to_numpy()], np.zeros(1)))
+    return _maximised(lambda parts, weigh: _sums(df, columns, parts, lambda x, _: weigh(x)), len(columns), k, alpha, max_iter, tol, reg, start)
+
+
+def fit_rows(x: np.ndarray, k: int = 2, alpha: float | str = "adaptive", max_iter: int = 100, tol: float = 1e-4, reg: float = 1e-6) -> Mixture:
+    """The same for rows at hand, from slices across the direction of largest variance."""
+    if alpha == "bic":
+        return min((fit_rows(x, k, float(a), max_iter, tol, reg) for a in np.geomspace(1e-3, 1, 10)), key=lambda m: m.bic)
+    m = np.column_stack((np.ones(len(x)), x))
+
+    def sums(parts: int, weigh) -> tuple[np.ndarray, float]:
+        r, l = weigh(x)
+        return np.einsum("ik,ij,il->kjl", r, m, m, optimize=True), float(l.sum())
+
+    return _maximised(sums, x.shape[1], k, alpha, max_iter, tol, reg)
+
+
+def _maximised(sums_of, p: int, k: int, alpha: float | str, max_iter: int, tol: float, reg: float, sums: np.ndarray | None = None) -> Mixture:
+    """Expectation-maximisation; ``sums_of`` gives the sums of so many components for a weighing of rows, ``sums`` starts."""
+    if sums is None:
+        one, _ = sums_of(1, lambda x: (np.ones((len(x), 1)), np.zeros(1)))
         centre = one[0, 0, 1:] / max(one[0, 0, 0], 1)
         value, vector = np.linalg.eigh(one[0, 1:, 1:] / max(one[0, 0, 0], 1) - np.outer(centre, centre))
         bounds = [NormalDist().inv_cdf(c / k) * float(np.sqrt(max(value[-1], 1e-300))) for c in range(1, k)]
-        sums, _ = _sums(df, columns, k, lambda x, _: (np.eye(k)[np.searchsorted(bounds, (x - centre) @ vector[:, -1])], np.zeros(1)))
+        sums, _ = sums_of(k, lambda x: (np.eye(k)[np.searchsorted(bounds, (x - centre) @ vector[:, -1])], np.zeros(1)))
     n = float(sums[:, 0, 0].sum())
     if not n:
         raise ValueError("no rows without nulls")
     for c in range(k):
         if sums[c, 0, 0] < 2:
             sums[c] = sums.sum(axis=0)
-    p = len(columns)
     penalty = float(np.clip((0.5 if p <= n else 1.0) * np.sqrt(np.log(max(p, 1)) / n), 0.01, 1.0)) if alpha == "adaptive" else float(alpha)
     model, before = Mixture(*_maximise(sums, penalty, reg), n=n), -np.inf
     for t in range(1, max_iter + 1):
         now = model
-        sums, ll = _sums(df, columns, k, lambda x, _, m=now: m.responsibilities(x))
+        sums, ll = sums_of(k, now.responsibilities)
         now.loglik, now.n_iter = ll, t
         if abs(ll - before) < tol:
             now.converged = True

@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, fdr, knockoffs, solvers
-from ..operators.stats import Gram, gram_of
-from ..operators.terms import Term, dictionary, expanded
+from ..operators import estimators, evaluate
+from ..operators.terms import Term
 
 TRIAL = "config_id int, method string, trial int, n int, n_selected int, n_tp int, n_fp int, n_fn int, fdr double, tpr double, r_squared double, elapsed_seconds double, status string"
 
@@ -27,39 +26,16 @@ def grid(spark: SparkSession, **values: Sequence) -> DataFrame:
     return out.withColumn("config_id", F.dense_rank().over(Window.orderBy(*values)).cast("int"))
 
 
-def _folds(z: np.ndarray, y: np.ndarray, folds: int) -> dict[int, Gram]:
-    of = np.repeat(np.arange(folds), [len(y) // folds + (f < len(y) % folds) for f in range(folds)])
-    return {f: gram_of(z[of == f], y[of == f]) for f in range(folds)}
-
-
 def local_fit(method: str, x: np.ndarray, y: np.ndarray, degree: int, q: float, seed: int = 0) -> tuple[list[Term], np.ndarray, float]:
-    """A fit on rows at hand: selected terms, coefficients of the standardised terms, R2."""
-    terms = dictionary(x.shape[1], degree, bias=False)
-    z = expanded(x, terms)
-    if method == "poly_knockoff":
-        z = np.column_stack((z, expanded(knockoffs.generate(x, seed), terms)))
-    z = (z - z.mean(axis=0)) / np.where((s := z.std(axis=0)) > 0, s, 1)
-    folds = _folds(z, y, 5)
-    whole = sum(folds.values(), Gram(np.zeros_like(folds[0].a)))
-    g, c, var, _, _ = whole.centred()
-    m = len(terms)
-    if method == "poly_lasso":
-        b = solvers.lasso(g, c, solvers.theory_penalty(solvers.theory_sigma(g, c, var, len(y)), len(y), m))
-    elif method == "poly_omp":
-        b = solvers.omp(g, c, max(1, min(len(y) // 6, m // 6, 15)))
-    elif method == "sparse_poly_stlsq":
-        b = solvers.stlsq(g, c, len(y), None, 1.0 if len(y) < m else 0.0, relative=False)
-    elif method == "poly_knockoff":
-        beta, _, _ = solvers.lasso_cv(folds, 40)
-        w = fdr.w_statistics(beta[:m], beta[m:])
-        keep = np.flatnonzero(w >= fdr.threshold(w, q))
-        b = np.zeros(m)
-        b[keep] = solvers.ols(g[np.ix_(keep, keep)], c[keep])
-        g, c = g[:m, :m], c[:m]
-    else:
+    """A fit of the estimator of this name on rows at hand: selected terms, their coefficients, R2."""
+    if method not in estimators.METHODS:
         raise ValueError(f"unknown method {method!r}")
-    r2 = float((2 * c @ b - b @ g @ b) / var) if var > 0 else 0.0
-    return [t for t, v in zip(terms, b, strict=True) if v], b[b != 0], r2
+    rows = estimators.LocalRows(x, y, 5)
+    fitted = estimators.made(method, degree, q, seed).fit_rows(rows)
+    used = [k for k, c in enumerate(fitted.coef) if c]
+    sst = float(((y - y.mean()) ** 2).sum())
+    sse = float(((y - rows.predict(fitted.terms, fitted.coef, fitted.intercept)) ** 2).sum())
+    return [fitted.terms[k] for k in used], fitted.coef[used], 1 - sse / sst if sst > 0 else 0.0
 
 
 def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], degree: int = 2, q: float = 0.2, seed: int = 0) -> DataFrame:

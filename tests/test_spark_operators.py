@@ -161,6 +161,21 @@ def test_sweep_and_reports(spark, planted):
     assert sweep.plot_data(trials, "n", "tpr").count() > 0
 
 
+def test_sweep_runs_every_estimator(spark, planted):
+    rows = planted.select((F.col("key") % 8).cast("int").alias("trial"), F.lit(0).alias("config_id"), F.col("key").alias("row_id"), "x0", "x1", "x2", "y")
+    out = sweep.run(rows, ["config_id", "trial"], ["x0", "x1", "x2"], "y", [Term((0,), (1,)), Term((1,), (-1,))], list(estimators.METHODS)).toPandas()
+    assert len(out) == 8 * 7 and set(out.status) == {"ok"}
+
+
+@pytest.mark.parametrize("method", ["poly_lasso", "poly_omp", "sparse_poly_stlsq", "improved_stlsq"])
+def test_local_fit_is_the_estimator(planted, method):
+    own = planted.where("key < 150").orderBy("key").toPandas()
+    found, coef, _ = sweep.local_fit(method, own[["x0", "x1", "x2"]].to_numpy(), own["y"].to_numpy(), 2, 0.2)
+    model = estimators.METHODS[method]().fit(planted.where("key < 150"), ["x0", "x1", "x2"], "y", "key")
+    assert [t.key for t in found] == [t.key for t in model.terms]
+    np.testing.assert_allclose(coef, model.coef, rtol=1e-5, atol=1e-7)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text("u,v,y\n1,2,3\n4,5,6\n")
     (tmp_path / "b.csv").write_text("u,v\n7,8\n")
