@@ -1,9 +1,8 @@
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
-from ratiosift.llm import html_layouts, html_text, neighbours, queries
+from ratiosift.llm import html_layouts, html_text, queries
 from ratiosift.llm.licences import scan
 from ratiosift.llm.near_dedup import near_duplicates
 from ratiosift.llm.decontaminate import decontaminate
@@ -12,31 +11,6 @@ from ratiosift.llm.quotations import link
 from ratiosift.llm.toxicity import toxicity
 
 
-def test_neighbours_recall_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 1500)
-    monkeypatch.setattr(neighbours, "LEAST", 150)
-    rng = np.random.default_rng(0)
-    v = rng.normal(size=(3000, 24)).astype("float32")
-    v[500:900] = v[500]
-    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(3000, None), (3100, [0.0] * 24), (3200, [float("nan")] + [1.0] * 23), (3300, [None] + [1.0] * 23), (None, [1.0] * 24), (3400, [1.0] * 5), (20, v[20].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as query_id", "2 as rank")
-    out = neighbours.nearest(spark, df, 100).toPandas()
-    x, hits, total = v.astype(float), 0, 0
-    for q, own in out[out.query_id < 3000].groupby("query_id"):
-        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
-        d[q] = np.inf
-        best = np.lexsort((np.arange(3000), d))[:10]
-        hits, total = hits + len(set(best) & set(own.vec_id)), total + 10
-        assert own.sort_values("rank")["rank"].tolist() == list(range(1, 11)) and np.allclose(own.sort_values("rank").score, np.sort(own.score))
-        assert np.allclose(own.score, d[own.vec_id.to_numpy()], atol=1e-12)
-        if q == 500:
-            assert sorted(own.vec_id) == list(range(501, 511))
-    assert total == 300 and hits / total >= 0.9
-    assert set(out.query_id) == set(range(0, 3000, 100))
-    assert neighbours.nearest(spark, df.limit(0), 100).count() == 0
-    assert neighbours.nearest(spark, df.where("vec_id in (0, 1, 2)"), 100).count() == 2
-
-
 def test_licences(spark):
     rows = [(1, "a/b/x.py", "Released under the MIT License.\nfoo"), (2, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (3, "a/b/c/y.py", "code"), (4, "a/z.py", "no"), (5, "a/b/c/d/w", "Licensed under CC BY-NC 4.0.\n" + "w " * 50), (6, None, "This work is licensed under the GNU General Public License, version 3."), (7, "a/q", None), (8, "a/b/k", "Copyright holder of things"), (8, "a/b/k", "Copyright holder of things"), (9, "top", "")]
     out = scan(spark, spark.createDataFrame(rows, "doc_id long, path string, text string").selectExpr("*", "'x' as license"))
