@@ -12,7 +12,7 @@ Scale: equal vectors are one class, which keeps its ``k + 1`` smallest ids (no r
 a third of all rows hold is indexed and asked once. Classes are range-partitioned along one line of unit length into blocks
 of about ``BLOCK``, each with its own sorted arrays. A query is answered in its own block first; the distance found then
 bounds it: on a line of unit length nobody is nearer than the places are, so only blocks whose range meets the window of
-that bound are asked, and there it stops at the bound at the latest. A block that more than ``QUERIES`` queries visit is
+that bound are asked, with the bound as radius. A block that more than ``QUERIES`` queries visit is
 searched by several tasks, each with a copy of it; a copy serves that many searches, so it costs no more to move than the
 queries do. Queries are a stated set; neither side is ever gathered or broadcast whole. The blocks' ranges are broadcast:
 at most ``MOST_BLOCKS`` of them and one more for each other length of vectors.
@@ -70,7 +70,7 @@ class Index:
         self.lines = lines_of(vectors.shape[1])[:, 1:]
         n = len(vectors)
         places = (vectors @ self.lines).T
-        self.order = np.argsort(places, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(places, axis=1, kind="stable")
         ordered = np.take_along_axis(places, self.order, axis=1)
         # All lines as one sorted array, each moved beyond the one before it: one search finds the windows of all lines.
         self.reach = np.abs(ordered).max() + 1
@@ -88,23 +88,28 @@ class Index:
         down = centre - self.all[np.maximum(at - k // 2, self.base)]
         return float(np.median(np.maximum(np.minimum(up, down), 0))) / WINDOW
 
+    def _count(self, spans: list[tuple[int, int]]) -> np.ndarray:
+        return np.bincount(np.concatenate([self.order[a:b] for a, b in spans]), minlength=len(self.vectors))
+
     def nearest(self, query: np.ndarray, k: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of the ``k`` nearest found within ``bound``, nearest first (ties: the earlier row)."""
+        """Rows and distances of the ``k`` nearest found within ``bound``, nearest first (ties: the earlier row). A given bound is the
+        radius: windows open that wide at once."""
         n, need = len(self.vectors), threshold()
         place = (query @ self.lines).clip(-self.reach, self.reach)
         centre = place + self.shift
-        counts, distance = np.zeros(n, np.int32), np.full(n, np.nan)
-        radius = min(self._first_radius(centre, k), bound)
+        counts, distance = np.zeros(n, np.int64), np.full(n, np.nan)
+        radius = bound if np.isfinite(bound) else self._first_radius(centre, k)
         lo = hi = None
         worst = np.inf
         while True:
             half = np.minimum(WINDOW * radius * (1 + 1e-12), 2 * self.reach)
             new_lo = np.searchsorted(self.all, centre - half - 1e-12).clip(self.base, self.base + n)
             new_hi = np.searchsorted(self.all, centre + half + 1e-12, side="right").clip(self.base, self.base + n)
-            if lo is None:
-                lo = hi = new_lo
-            spans = [*zip(new_lo.tolist(), lo.tolist(), strict=True), *zip(hi.tolist(), new_hi.tolist(), strict=True)]
-            counts += np.bincount(np.concatenate([self.order[a:b] for a, b in spans]), minlength=n).astype(np.int32)
+            if lo is None and 2 * int((new_hi - new_lo).sum()) > n * LINES:  # fewer lie outside
+                counts = LINES - self._count([*zip(self.base.tolist(), new_lo.tolist(), strict=True), *zip(new_hi.tolist(), (self.base + n).tolist(), strict=True)])
+            else:
+                lo, hi = (lo, hi) if lo is not None else (new_lo, new_lo)
+                counts += self._count([*zip(new_lo.tolist(), lo.tolist(), strict=True), *zip(hi.tolist(), new_hi.tolist(), strict=True)])
             lo, hi = new_lo, new_hi
             fresh = np.flatnonzero((counts >= need) & np.isnan(distance))
             if len(fresh):
