@@ -101,28 +101,35 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
-_BARE = "list_filter(list_transform(regexp_split_to_array(lower({0}), '[^a-z0-9.-]+'), lambda w: regexp_replace(w, '^[.-]+|[.-]+$', '', 'g')), lambda w: w <> '')"
+_BARE = "list_filter(list_transform(regexp_split_to_array(lower({0}), '[^a-z0-9.-]+'), lambda w: trim(w, '.-')), lambda w: w <> '')"
 _SAYS = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, t) in enumerate(licences.TEMPLATES))
+_IN = lambda names: ", ".join(f"'{x}'" for x in names)
 _OP6_SQL = f"""
 WITH t AS (SELECT * FROM (VALUES {_SAYS}) v(k, name, text)),
 tc AS (SELECT k, w, count(*) AS tf FROM (SELECT k, unnest({_BARE.format("text")}) AS w FROM t) GROUP BY ALL),
-idf AS (SELECT w, ln({len(licences.TEMPLATES) + 1}.0::DOUBLE / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM tc GROUP BY w),
+d AS (SELECT row_number() OVER () AS id, doc_id, source || '/' || lang AS dir, source || '/' || lang || '/' || doc_id || '.txt' AS path, {_BARE.format("coalesce(text, '')")} AS ws FROM documents),
+df AS (SELECT w, count(DISTINCT id) AS df FROM (SELECT id, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM tc) GROUP BY w),
+n AS (SELECT count(*)::DOUBLE AS n FROM d),
+idf AS (SELECT w, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + coalesce(df, 0))) + 1.0::DOUBLE AS idf FROM (SELECT DISTINCT w FROM tc) LEFT JOIN df USING (w), n),
 tn AS (SELECT k, sqrt(sum(tf * idf * tf * idf)) AS norm FROM tc JOIN idf USING (w) GROUP BY k),
 tw AS (SELECT k, w, tf * idf / norm AS weight FROM tc JOIN idf USING (w) JOIN tn USING (k)),
-d AS (SELECT doc_id, source || '/' || lang AS dir, source || '/' || lang || '/' || doc_id || '.txt' AS path, text, regexp_matches(text, '{licences.TRIGGER}') AS says FROM documents),
-l AS (SELECT doc_id, line, s[line] AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM d WHERE says)),
-lc AS (SELECT doc_id, line, w, count(*) AS tf FROM (SELECT doc_id, line, unnest({_BARE.format("s")}) AS w FROM l WHERE regexp_matches(s, '{licences.TRIGGER}')) GROUP BY ALL),
-lw AS (SELECT doc_id, line, w, tf, tf * coalesce(idf, ln({len(licences.TEMPLATES) + 1}.0::DOUBLE) + 1.0::DOUBLE) AS weight FROM lc LEFT JOIN idf USING (w)),
-ln AS (SELECT doc_id, line, sqrt(sum(weight * weight)) AS norm, sum(tf) AS n FROM lw GROUP BY ALL),
-c AS (SELECT doc_id, line, k, sum(lw.weight * tw.weight) AS dot FROM lw JOIN tw USING (w) GROUP BY ALL),
-b AS (SELECT doc_id, line, n, round(dot / norm, 6) AS similarity, name FROM c JOIN ln USING (doc_id, line) JOIN t USING (k) QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY round(dot / norm, 6) DESC, name) = 1),
-o AS (SELECT doc_id, count(*) AS n_statements, sum(n) AS stated, arg_max(name, (similarity, -rank)) AS own_license, max(similarity) AS similarity
- FROM (SELECT *, rank() OVER (ORDER BY name) AS rank FROM b WHERE similarity >= {licences.LEAST}) GROUP BY doc_id),
-f AS (SELECT d.doc_id, dir, path, n_statements, own_license, similarity, 2 * stated >= len({_BARE.format("text")}) AS is_file FROM d LEFT JOIN o USING (doc_id)),
-s AS (SELECT dir AS above, arg_min(own_license, path) AS license FROM f WHERE is_file AND own_license IS NOT NULL GROUP BY dir),
-n AS (SELECT x.dir, s.above, s.license FROM (SELECT DISTINCT dir FROM f) x JOIN s ON s.above = x.dir)
-SELECT f.doc_id, f.path, coalesce(n_statements, 0)::BIGINT AS n_statements, own_license, similarity, coalesce(own_license, n.license) AS license,
-       CASE WHEN own_license IS NULL THEN n.above END AS inherited_from FROM f LEFT JOIN n USING (dir)
+w AS (SELECT id, ws, ws[i] AS w, i FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+p AS (SELECT id, 0 AS pl, 0 AS b, 0 AS a, ws AS own FROM d WHERE list_has_any(ws, [{_IN(licences.TRIGGERS + licences.OPENERS)}])
+ UNION ALL SELECT id, i, b, a, ws[greatest(1, i - b):i + a] FROM w, (SELECT unnest({list(licences.BEFORE)}) AS b), (SELECT unnest({list(licences.AFTER)}) AS a) WHERE w IN ({_IN(licences.TRIGGERS)})
+ UNION ALL SELECT id, i, 0, a, ws[i:i + a] FROM w, (SELECT unnest({list(licences.REACH)}) AS a) WHERE w IN ({_IN(licences.OPENERS)})),
+pc AS (SELECT id, pl, b, a, w, count(*) AS tf FROM (SELECT id, pl, b, a, unnest(own) AS w FROM p) GROUP BY ALL),
+pw AS (SELECT id, pl, b, a, w, tf * coalesce(idf, ln(1.0::DOUBLE + n) + 1.0::DOUBLE) AS weight FROM pc LEFT JOIN idf USING (w), n),
+pn AS (SELECT id, pl, b, a, sqrt(sum(weight * weight)) AS norm FROM pw GROUP BY ALL),
+c AS (SELECT id, pl, b, a, k, sum(pw.weight * tw.weight) AS dot FROM pw JOIN tw USING (w) GROUP BY ALL),
+h AS (SELECT id, pl, round(dot / norm, 6) AS similarity, name FROM c JOIN pn USING (id, pl, b, a) JOIN t USING (k)),
+g AS (SELECT * FROM h WHERE similarity >= CASE WHEN pl = 0 THEN {licences.WHOLE} ELSE {licences.LEAST} END),
+o AS (SELECT id, pl = 0 AS whole, name AS own_license, similarity FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY pl = 0 DESC, least(9, floor(10 * similarity)) DESC, pl, similarity DESC, name) = 1),
+s AS (SELECT id, count(DISTINCT pl) FILTER (pl > 0) AS n_statements FROM g GROUP BY id),
+f AS (SELECT d.doc_id, dir, path, n_statements, own_license, similarity, regexp_matches(path, '{licences.FILE_NAME}') OR coalesce(whole, false) AS is_file FROM d LEFT JOIN o USING (id) LEFT JOIN s USING (id)),
+u AS (SELECT dir AS above, arg_min(own_license, (path, own_license)) AS license FROM f WHERE is_file AND own_license IS NOT NULL AND dir IS NOT NULL GROUP BY dir),
+x AS (SELECT dir, arg_max(above, length(above)) AS above, arg_max(license, length(above)) AS license FROM (SELECT DISTINCT dir FROM f) y JOIN u ON u.above = '' OR u.above = y.dir OR starts_with(y.dir, u.above || '/') GROUP BY dir)
+SELECT f.doc_id, f.path, coalesce(n_statements, 0)::BIGINT AS n_statements, own_license, similarity, coalesce(own_license, x.license) AS license,
+       CASE WHEN own_license IS NULL THEN x.above END AS inherited_from FROM f LEFT JOIN x USING (dir)
 """
 
 _OP3_SQL = r"""

@@ -3,7 +3,6 @@ import pytest
 
 import corpus_pipeline
 from ratiosift.llm import html_layouts, html_text, queries
-from ratiosift.llm.licences import scan
 from ratiosift.llm.near_dedup import near_duplicates
 from ratiosift.llm.decontaminate import decontaminate
 from ratiosift.llm.quality import quality
@@ -11,14 +10,6 @@ from ratiosift.llm.quotations import link
 from ratiosift.llm.toxicity import toxicity
 
 
-def test_licences(spark):
-    rows = [(1, "a/b/x.py", "Released under the MIT License.\nfoo"), (2, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (3, "a/b/c/y.py", "code"), (4, "a/z.py", "no"), (5, "a/b/c/d/w", "Licensed under CC BY-NC 4.0.\n" + "w " * 50), (6, None, "This work is licensed under the GNU General Public License, version 3."), (7, "a/q", None), (8, "a/b/k", "Copyright holder of things"), (8, "a/b/k", "Copyright holder of things"), (9, "top", "")]
-    out = scan(spark, spark.createDataFrame(rows, "doc_id long, path string, text string").selectExpr("*", "'x' as license"))
-    got = sorted((r.doc_id, r.own_license, r.license, r.inherited_from) for r in out.fillna("-").collect())
-    assert got == [(1, "MIT", "MIT", "-"), (2, "Apache-2.0", "Apache-2.0", "-"), (3, "-", "Apache-2.0", "a/b"), (4, "-", "-", "-"), (5, "CC-BY-NC-4.0", "CC-BY-NC-4.0", "-"), (6, "GPL-3.0", "GPL-3.0", "-"), (7, "-", "-", "-"), (8, "-", "Apache-2.0", "a/b"), (8, "-", "Apache-2.0", "a/b"), (9, "-", "-", "-")]
-    assert scan(spark, spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
-
-
 def test_quotations(spark):
     rows = [(1, 0, "u", "Hello there.\nHow are you?\n\nSecond para here"), (1, 1, "a", "> Hello there. How\n> are you?\nI am fine"), (1, 2, "u", ">> Hello there. How are you?\n> I am fine\nGood."), (1, 3, "b", "> Second para here\nok"), (1, 4, "c", "new topic"), (1, 5, "c", "> new topic\nre"), (2, 0, "u", "> nothing\nx"), (None, 0, "u", "> x"), (2, 1, None, None), (1, 2, "u", ">> Hello there. How are you?\n> I am fine\nGood.")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as thread", "2 as position")
