@@ -47,17 +47,20 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file, without special tokens; strings that name those are ordinary text.
+    """Ids of whole texts by a tokenizer file, as it gives them without adding special tokens.
 
     A byte-level tokenizer splits a text before every single space that stands between two other characters. Words at
     such spaces are encoded once for each distinct word of a task and looked up by hash after that; texts in which
-    spaces stand otherwise, and all texts of other kinds of tokenizers, are encoded whole.
+    spaces stand otherwise or that name an added token, and all texts of other kinds of tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         self.path = path
         with open(path, encoding="utf-8") as file:
-            self.core = self._core(json.load(file))
+            spec = json.load(file)
+        self.core = self._core(spec)
+        names = [x["content"].encode() for x in spec.get("added_tokens", []) if x["content"]]
+        self.named = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.forget()
 
     @functools.cached_property
@@ -65,9 +68,7 @@ class Encoder:
         """The tokenizer itself, read when the first text needs it."""
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(self.path)
-        made.encode_special_tokens = True
-        return made
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
     def _core(spec: dict):
@@ -148,9 +149,8 @@ class Encoder:
             out[k] = own
         return out
 
-    @staticmethod
-    def _odd(raw: bytes, data: np.ndarray, offsets: np.ndarray) -> list[int]:
-        """Texts with a space at an end or beside other white space."""
+    def _odd(self, raw: bytes, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Texts with a space at an end or beside other white space, and those that name an added token."""
         blank, space = data == 0x20, _SPACE[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
@@ -160,7 +160,7 @@ class Encoder:
         if len(data):
             bad[0] |= blank[0]
             bad[-1] |= blank[-1]
-        places = np.concatenate((np.flatnonzero(bad), np.array([m.start() for m in _WIDE_SPACE.finditer(raw)], np.int64)))
+        places = np.concatenate((np.flatnonzero(bad), np.array([m.start() for m in _WIDE_SPACE.finditer(raw)], np.int64), np.array([m.start() for m in self.named.finditer(raw)] if self.named else [], np.int64)))
         return np.unique(np.searchsorted(offsets, places, side="right") - 1).tolist()
 
 
