@@ -6,7 +6,7 @@ same of its ancestors, depth, place among its siblings, and its neighbours. Deco
 all main text, all other text, or mixed, and only the parts of a mixed node are judged on their own; the likeliest
 consistent assignment is found bottom-up. So nothing inside a dropped part is kept and nothing inside a kept one dropped.
 
-The trees are fitted in numpy, once for each call, on ``html_layouts`` (``PAGES`` made-up pages of known main text).
+The trees are fitted in numpy, once for each process, on ``html_layouts`` (``PAGES`` made-up pages of known main text).
 Scripts, styles, heads and controls of forms are never text. Character references are decoded, white space in a block
 becomes one space, and blocks are joined by an empty line. Null and empty pages give an empty text. Pages of any length
 are read whole.
@@ -14,6 +14,7 @@ are read whole.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ _CHUNK_CHARS = 1 << 20
 #: Fixed values of HTML: elements that start a block, never have content, are not text, or end an open paragraph or item.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript template svg math iframe object select button head xmp noframes".split())
+_RAW = frozenset("script style title textarea template iframe select button head".split())
 _CLOSES_P = _BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 _SAME = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tr": ("tr td th", ("table",)), "tbody": ("tbody thead tfoot tr td th", ("table",)), "tfoot": ("tbody thead tfoot tr td th", ("table",)), "thead": ("tbody thead tfoot tr td th", ("table",))}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -243,6 +244,7 @@ class Trees:
         return out
 
 
+@functools.cache
 def train(pages: int = PAGES) -> Trees:
     parsed, label, weight = [], [], []
     for page in html_layouts.pages(pages):
