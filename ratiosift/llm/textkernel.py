@@ -35,23 +35,41 @@ _STEP = _U(0x9E3779B97F4A7C15)
 with np.errstate(over="ignore"):
     _BYTE_VALUE = mix64((np.arange(256, dtype=_U) + _U(1)) * _STEP)
 _BASE = 0xD1342543DE82EF95
-_powers = np.ones(1, dtype=_U)
-_inverse_powers = np.ones(1, dtype=_U)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``_BASE`` and of its inverse modulo 2**64, for exponents 0..n-1."""
-    global _powers, _inverse_powers
-    if len(_powers) < n:
-        size = max(n, BLOCK_BYTES + (1 << 16))
-        with np.errstate(over="ignore"):
-            up = np.full(size, _U(_BASE))
-            up[0] = 1
-            _powers = np.multiply.accumulate(up)
-            down = np.full(size, _U(pow(_BASE, -1, 1 << 64)))
-            down[0] = 1
-            _inverse_powers = np.multiply.accumulate(down)
-    return _powers[:n], _inverse_powers
+@functools.cache
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``_BASE`` and of its inverse modulo 2**64, for exponents below ``BLOCK_BYTES``."""
+    with np.errstate(over="ignore"):
+        up = np.full(BLOCK_BYTES, _U(_BASE))
+        up[0] = 1
+        down = np.full(BLOCK_BYTES, _U(pow(_BASE, -1, 1 << 64)))
+        down[0] = 1
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _word_sums(values: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each word the sum of its bytes' values times powers of ``_BASE``, the first byte's power being 0. Works on some
+    ``BLOCK_BYTES`` of words at a time, and on parts of a word that is longer."""
+    up, down = _power_tables()
+    out = np.zeros(len(start), _U)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(start):
+            begin = int(start[i])
+            j = int(np.searchsorted(end, begin + BLOCK_BYTES, side="right"))
+            if j > i:
+                terms = values[data[begin : end[j - 1]]]
+                terms *= up[: len(terms)]
+                own = start[i:j] - begin
+                out[i:j] = np.add.reduceat(terms, own) * down[own]
+                i = j
+                continue
+            for at in range(begin, int(end[i]), BLOCK_BYTES):
+                terms = values[data[at : min(at + BLOCK_BYTES, int(end[i]))]]
+                out[i] += (terms * up[: len(terms)]).sum(dtype=_U) * _U(pow(_BASE, at - begin, 1 << 64))
+            i += 1
+    return out
 
 
 def byte_class(predicate) -> np.ndarray:
@@ -114,11 +132,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         values = np.where(is_word, _BYTE_VALUE[_LOWER] if lower else _BYTE_VALUE, _U(0))
         with np.errstate(over="ignore"):
-            up, down = _power_tables(n)
-            terms = values[data]
-            terms *= up
-            sums = np.add.reduceat(terms, self.start) if len(self.start) else np.zeros(0, _U)
-            sums *= down[self.start]
+            sums = _word_sums(values, data, self.start, self.end)
             sums += (self.end - self.start).astype(_U) * _STEP
         self.hash = mix64(sums)
 
