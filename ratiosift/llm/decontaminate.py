@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .shared import Scratch
+from .shared import Scratch, free_name
 from .textkernel import ALNUM, Words, blocks, ngram_hashes, ngram_starts, text_bytes, tidy
 
 WINDOW, K = 10, 5
@@ -164,7 +164,8 @@ def without_benchmark(spark: SparkSession, documents: DataFrame, benchmark: Data
     broadcast up to ``MOST_BROADCAST``; beyond it both sides are shuffled. Rows without an id are judged by their text's
     hash."""
     found = decontaminate(spark, documents.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), benchmark)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+    name = free_name(documents.columns, "bad")
+    bad = found.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
     small = bad.count() <= MOST_BROADCAST
     key = F.coalesce(documents["doc_id"].cast("long"), F.xxhash64(documents["text"]))
-    return documents.join(F.broadcast(bad) if small else bad, key == F.col("bad"), "left_anti")
+    return documents.join(F.broadcast(bad) if small else bad, key == F.col(name), "left_anti")

@@ -1,7 +1,7 @@
 """Tables that are written to the folder all executors share, and read again.
 
 Cutting a plan this way bounds lineage and survives lost executors. The folder is ``spark.checkpoint.dir``; only where
-a session names none (tests, a laptop) a temporary folder is made and set.
+a session names none (tests, a laptop) a temporary folder is made, one for each application.
 """
 
 from __future__ import annotations
@@ -15,16 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from .textkernel import release
 
 _KEY = "spark.checkpoint.dir"
+_own: dict[str, str] = {}  # by application
 
 
 def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(_KEY, where)
+        app = spark.sparkContext.applicationId
+        where = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-")
     return where.rstrip("/")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as it takes to clash with no column (case ignored)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows that travel to a Python worker at once: whole texts are long, and 10,000 of them (Spark's default) are 30 MB and more
 #: for each running task, several times over.
 MOST_ROWS = 1_000

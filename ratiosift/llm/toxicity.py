@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import fit_logistic, labelled_sample, logistic, remainder
-from .shared import Scratch
+from .shared import Scratch, free_name
 from .textkernel import ALNUM, Words, blocks, distinct, lowered, padded, release, text_bytes, text_sums, tidy
 
 ORDER, SHARED = 6, 2
@@ -195,5 +195,6 @@ def toxicity(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows:
 
 def without_toxic(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """The rows of ``documents``, with all their columns, whose score is under the threshold."""
-    scored = with_score(spark, documents, train(spark, documents, labels, rows), "__toxicity")
-    return scored.where(F.col("__toxicity") < THRESHOLD).select(documents.columns)
+    name = free_name(documents.columns, "__toxicity")
+    scored = with_score(spark, documents, train(spark, documents, labels, rows), name)
+    return scored.where(F.col(name) < THRESHOLD).select(documents.columns)
