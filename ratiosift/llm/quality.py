@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import fit_logistic, labelled_sample, logistic, remainder
-from .shared import Scratch
+from .shared import Scratch, free_name
 from .textkernel import NOT_SPACE, Words, blocks, distinct, mix64, padded, release, text_bytes, text_sums, tidy
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (3, 4, 5)
@@ -56,13 +56,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _, where, n = np.unique(w.hash[a:e], return_index=True, return_counts=True)
                 count = np.zeros(BUCKETS)
                 for b, word in _buckets(w, a + where) if len(where) else ():
-                    np.add.at(count, b, n[word])
+                    count += np.bincount(b, n[word], BUCKETS)
                 used = np.flatnonzero(count)
                 bucket.append(used.astype(np.uint16).tobytes())
                 share.append((count[used] / max(1, count.sum())).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), pa.array(bucket, pa.binary()), pa.array(share, pa.binary())], names=["doc_id", "label", "weight", "bucket", "share"])
 
 
+def _summed(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by sorted group numbers."""
+    out = np.zeros((n, values.shape[1]))
+    if len(group):
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        out[group[first]] = np.add.reduceat(values, first, axis=0)
+    return out
+
+
 def sgd(bucket: list[np.ndarray], share: list[np.ndarray], label: np.ndarray, seed: int = 7) -> np.ndarray:
     """Trains embeddings and softmax layer; returns each bucket's part in the difference of the two classes' outputs."""
     rng = np.random.default_rng(seed)
@@ -75,8 +84,7 @@ def sgd(bucket: list[np.ndarray], share: list[np.ndarray], label: np.ndarray, se
             rows = np.concatenate([bucket[k] for k in batch]).astype(np.int64)
             parts = np.concatenate([share[k] for k in batch]).astype(float)
             doc = np.repeat(np.arange(len(batch)), [len(bucket[k]) for k in batch])
-            mean = np.zeros((len(batch), DIM))
-            np.add.at(mean, doc, vectors[rows] * parts[:, None])
+            mean = _summed(vectors[rows] * parts[:, None], doc, len(batch))
             out = mean @ layer + constant
             p = np.exp(out - out.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -85,9 +93,9 @@ def sgd(bucket: list[np.ndarray], share: list[np.ndarray], label: np.ndarray, se
             wrong /= len(batch)
             back = wrong @ layer.T
             to_layer, to_constant = mean.T @ wrong, wrong.sum(axis=0)
-            used, at = np.unique(rows, return_inverse=True)
-            step = np.zeros((len(used), DIM))
-            np.add.at(step, at, back[doc] * parts[:, None])
+            order = np.argsort(rows, kind="stable")
+            used, at = np.unique(rows[order], return_inverse=True)
+            step = _summed((back[doc] * parts[:, None])[order], at, len(used))
             seen_v[used] += (step**2).mean(axis=1)
             vectors[used] -= rate * step / np.sqrt(seen_v[used])[:, None]
             seen_l += (to_layer**2).mean()
@@ -165,5 +173,6 @@ def quality(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows:
 
 def of_quality(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """The rows of ``documents``, with all their columns, whose score reaches the threshold."""
-    scored = with_score(spark, documents, train(spark, documents, labels, rows), "__quality")
-    return scored.where(F.col("__quality") >= THRESHOLD).select(documents.columns)
+    name = free_name(documents.columns, "__quality")
+    scored = with_score(spark, documents, train(spark, documents, labels, rows), name)
+    return scored.where(F.col(name) >= THRESHOLD).select(documents.columns)
