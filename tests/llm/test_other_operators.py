@@ -48,6 +48,8 @@ def test_html_on_unseen_layouts(trees):
 def test_html_reader_and_decoding(trees):
     page = "<html><head><title>no</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav><article><h1>Tom &amp; Jerry</h1><p><b>First  part.<br>Second &lt;part&gt; of it, with words.<p>Next paragraph here, long enough to be read. It has two sentences.</p></article><footer>&copy; me"
     assert html_text.main_text([page], trees) == ["Tom & Jerry\n\nFirst part. Second <part> of it, with words.\n\nNext paragraph here, long enough to be read. It has two sentences."]
+    odd = page.replace("Next paragraph here", "The area <math><mi>r</mi></math> is <svg><text>small</text></svg> <noscript>indeed</noscript>, <object>spare words</object> here")
+    assert html_text.main_text([odd], trees)[0].endswith("The area r is small indeed, spare words here, long enough to be read. It has two sentences.")
     assert html_text.main_text(["", "   ", "<p", "<!-- x"], trees)[:2] == ["", ""]
     keep = html_text.decode([0.1, 3.0, -6.0, 4.0, -5.0], [-1, 0, 1, 1, 0], [True] * 5)
     assert keep[3] and not keep[2] and not keep[4]

@@ -6,12 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from ratiosift.llm import bloom, decontaminate, lm_scoring, near_dedup, packing, quality, textkernel, toxicity
+from ratiosift.llm import bloom, decontaminate, lm_scoring, near_dedup, packing, quality, shared, textkernel, toxicity
 from ratiosift.llm.components import connected_components
 from ratiosift.llm.queries import tokenizer_path
 from ratiosift.llm.shared import Scratch
@@ -66,6 +68,27 @@ def test_word_kernel_equals_regex():
     assert bytes(sliced[0]).decode() == texts[3] + texts[4]
 
 
+def test_word_kernel_on_very_long_texts(monkeypatch):
+    texts = ["ab cd " * 500, "x" * 3000 + " y", "", " q", None]
+    data, offsets = textkernel.text_bytes(pa.array(texts))
+    whole = textkernel.Words(data, offsets, textkernel.NOT_SPACE).hash
+    monkeypatch.setattr(textkernel, "BLOCK_BYTES", 64)
+    textkernel._power_tables.cache_clear()
+    assert (textkernel.Words(data, offsets, textkernel.NOT_SPACE).hash == whole).all()
+    monkeypatch.undo()
+    textkernel._power_tables.cache_clear()
+    data, offsets = textkernel.text_bytes(pa.array(["word and other " * 3_500_000]))  # 52 MB
+    w = textkernel.Words(data, offsets, textkernel.NOT_SPACE)
+    assert len(w.hash) == 10_500_000 and len(np.unique(w.hash[:3000])) == 3 and (w.hash[:3] == w.hash[-3:]).all()
+    assert len(textkernel._power_tables()[0]) == textkernel.BLOCK_BYTES
+
+
+def test_scratch_folder_where_none_is_named(spark, monkeypatch):
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), applicationId="none named"))
+    assert shared.shared_dir(unset) == shared.shared_dir(unset) and shared.shared_dir(unset).startswith("file:///")
+    assert shared.free_name(["bad", "BAD_"], "bad") == "bad__"
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(500 + k, 501 + k) for k in range(40)] + [(7, 7), (None, 3)]
@@ -151,7 +174,9 @@ def test_decontamination_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("item_id", "text", "1 as doc_id")
     out = decontaminate.decontaminate(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).drop("items")
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
-    clean = decontaminate.without_benchmark(spark, spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    named = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'mine' as bad", "'also' as BAD_")
+    clean = decontaminate.without_benchmark(spark, named, bench)
+    assert clean.columns == named.columns and {r.bad for r in clean.collect()} == {"mine"}
     assert {r.doc_id for r in clean.collect()} == {d for d, *_, bad in want if not bad}
     assert decontaminate.decontaminate(spark, spark.createDataFrame(docs, "doc_id long, text string"), bench.limit(0)).where("contaminated").isEmpty()
 
@@ -178,18 +203,19 @@ def test_winnowing_keeps_a_fingerprint_in_every_window():
 
 def test_encoder_is_the_tokenizer():
     e = packing.Encoder(tokenizer_path())
-    texts = ["", " ", "  a", "a  b", "a b ", "x\n y", "x \ny", "　 a", "don't  \n\n x", "<|endoftext|> a", "a\tb c", "日本 語", None, "\x1c a", "é x", "👍🏽 ok", "The cat sat, on 12 mats."]
+    whole = Tokenizer.from_file(tokenizer_path())
+    texts = ["", " ", "  a", "a  b", "a b ", "x\n y", "x \ny", "　 a", "don't  \n\n x", "<|endoftext|> a", "a<|endoftext|>b <|endoftext|>", "a\tb c", "日本 語", None, "\x1c a", "é x", "👍🏽 ok", "The cat sat, on 12 mats."]
     data, offsets = textkernel.text_bytes(pa.array(texts))
     got = e.encode(data, offsets)
     assert e.core is not None
     for t, ids in zip(texts, got, strict=True):
-        assert ids.tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert ids.tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
 def test_packing_is_whole_and_tight(spark):
     rows = corpus(3, 120)
     out = packing.pack(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), tokenizer_path(), capacity=256).toPandas()
-    tokenizer = packing.Encoder(tokenizer_path()).tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_path())
     want = []
     for d, t, _ in rows:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
@@ -300,7 +326,7 @@ def labelled(n=600):
 def test_classifiers(spark, run, keep, label, mod, out):
     docs, labels = labelled()
     extra = [(None, "ba lo"), (9000, None), (9001, ""), (9002, "ti " * 5000), (3, docs[3][1])]
-    d = spark.createDataFrame(docs + extra, "doc_id long, text string").selectExpr("*", "'x' as source", "0 as label")
+    d = spark.createDataFrame(docs + extra, "doc_id long, text string").selectExpr("*", "'x' as source", "0 as label", "7 as __quality", "8 as __toxicity", "9 as score")
     l = spark.createDataFrame([*labels, (None, 1, 1), (5, None, None), labels[7]], "doc_id long, quality int, toxic int")
     rows = run(spark, d, l).collect()
     assert len(rows) == len(docs) + len(extra) and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3) for x in rows)
@@ -310,6 +336,8 @@ def test_classifiers(spark, run, keep, label, mod, out):
     assert np.mean([x.predicted == truth[x.doc_id] for x in held]) > 0.93
     kept = keep(spark, d, l)
     assert kept.columns == d.columns
+    own = kept.selectExpr("min(__quality)", "max(__quality)", "min(__toxicity)", "max(__toxicity)", "min(score)", "max(score)").first()
+    assert tuple(own) == (7, 7, 8, 8, 9, 9)
     assert run(spark, d.limit(0), l).count() == 0
     none = run(spark, d.limit(5), l.limit(0)).collect()
     assert all(x.score == 0.5 for x in none)
