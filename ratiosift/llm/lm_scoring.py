@@ -7,21 +7,24 @@ one unknown word, so that the probabilities after each context sum to one.
 
 Everything is counted in Spark over all training texts, none dropped: tasks hash words, merge their own counts and deal
 them to shards by value; each shard's task merges them and writes a sorted array to the shared folder. A word's number is
-its place among the sorted word hashes, a bigram's key is two such numbers. Three kinds of files result: word hashes and
-counts, bigram keys and counts with the statistics of their contexts, and numbers of predecessors. Their names travel to
-the driver, a few for each ``SHARD_BYTES`` of text, never their contents. Scoring tasks map the files into memory (from a
-store that is not a file system, after copying them to an unnamed local file) and look up the distinct words and bigrams
-of a block by binary search. Files of task attempts that were lost are not in the list and are never read.
+its place among the sorted word hashes, a bigram's key is two such numbers, scrambled by a bijection, so that the bigrams
+of one frequent context spread over all shards. What is known of a word as a context or as a successor is summed from all
+shards in a second step. Three kinds of files result, each with one file a shard: word hashes and counts; scrambled bigram
+keys and counts; statistics of words. A file's name follows from its shard and it is moved to its place when complete, so
+repeated task attempts write the same file again; the driver gets a few numbers for each ``SHARD_BYTES`` of text. Scoring
+tasks map the files into memory and look up the distinct words and bigrams of a block by binary search. Where the shared
+folder is no file system that can be mapped, files are read into a cache of ``CACHE_BYTES`` instead. The scores are
+written, and then the model is deleted.
 
 The highest order is two: with three, counts of 0.5 GB of text took more than the four times of disk that the limits
-allow (see README). Null texts count as empty: one end token. Rows without an id are training rows. Repeated rows count
-as often as they come. Without training rows every token has probability one.
+allow (see README). Words are numbered in 32 bits; a larger vocabulary is refused. Null texts count as empty: one end
+token. Rows without an id are training rows. Repeated rows count as often as they come. Without training rows every token
+has probability one.
 """
 
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,45 +37,46 @@ from pyspark.sql import functions as F
 
 from .labelled import remainder
 from .shared import Scratch
-from .textkernel import NOT_SPACE, Words, blocks, distinct, text_bytes, text_sums, tidy
+from .textkernel import NOT_SPACE, Words, blocks, distinct, mix64, text_bytes, tidy, unmix64
 
 MOD, OUT = 7, 2
 #: Bytes of text for each shard of the model.
 SHARD_BYTES = 32 << 20
+#: Bytes of files that a worker keeps where they cannot be mapped.
+CACHE_BYTES = 256 << 20
 _END = np.uint64(0x3C2F733E5F454E44)
 _MERGE_AT = 3_000_000
 _U32 = np.uint64(0xFFFFFFFF)
-_CONTEXT = np.dtype([("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+_MOST_WORDS = (1 << 32) - 1
+#: Of a word: tokens after it, different ones that came once, twice, more often; different tokens before it.
+_WORD = np.dtype([("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("before", "<u4")])
 
 
-def _write(root: str, name: str, *arrays: np.ndarray) -> str:
-    """Arrays one after another in a new file under ``root``; the name is another one for each task attempt."""
-    uri = f"{root}/{name}-{uuid.uuid4().hex}.bin"
-    store, path = pafs.FileSystem.from_uri(uri)
+def _write(root: str, name: str, *arrays: np.ndarray) -> None:
+    """Arrays one after another in the file ``name`` under ``root``, which appears only when it is whole."""
+    store, path = pafs.FileSystem.from_uri(f"{root}/{name}.bin")
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(path) as out:
+    draft = f"{path}-{uuid.uuid4().hex}"
+    with store.open_output_stream(draft) as out:
         for a in arrays:
             out.write(memoryview(np.ascontiguousarray(a)).cast("B") if a.size else b"")
-    return uri
+    store.move(draft, path)
 
 
 _mapped: dict[str, np.ndarray] = {}
 
 
 def _map(uri: str) -> np.ndarray:
-    """A file's bytes, mapped into memory and shared by all tasks of a worker."""
+    """A file's bytes, mapped into memory for the rest of the task."""
     if uri not in _mapped:
         store, path = pafs.FileSystem.from_uri(uri)
-        if store.get_file_info(path).size == 0:
-            _mapped[uri] = np.zeros(0, np.uint8)
-        elif isinstance(store, pafs.LocalFileSystem):
+        if isinstance(store, pafs.LocalFileSystem):
             _mapped[uri] = np.memmap(path, np.uint8, "r")
         else:
-            with tempfile.TemporaryFile() as copy, store.open_input_stream(path) as source:
-                while piece := source.read(8 << 20):
-                    copy.write(piece)
-                copy.flush()
-                _mapped[uri] = np.memmap(copy, np.uint8, "r")
+            while _mapped and sum(x.nbytes for x in _mapped.values()) > CACHE_BYTES:
+                del _mapped[next(iter(_mapped))]
+            with store.open_input_stream(path) as source:
+                _mapped[uri] = np.frombuffer(source.read(), np.uint8)
     return _mapped[uri]
 
 
@@ -137,14 +141,21 @@ def _discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0] + [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True)])
 
 
+def _even(shards: int) -> np.ndarray:
+    """The first 64-bit value of each of some equal ranges but the first."""
+    return np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
+
+
 @dataclass
 class Model:
-    """What tasks need to find and read the model: names of files and totals. Arrays stay in the files."""
-
-    words: list[tuple[str, int]] = field(default_factory=list)  # by shard: file and number of words
-    pairs: list[tuple[str, int, int]] = field(default_factory=list)  # file, number of bigrams, of counts over 254
-    before: list[str] = field(default_factory=list)
-    bounds: list[int] = field(default_factory=list)  # the first word of each shard of pairs and predecessors, and the end
+    """What tasks need to find and read the model: the folder, sizes by shard, and totals. Arrays stay in the files."""
+
+    root: str
+    shards: int
+    words: np.ndarray  # number of words by shard
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # number of bigrams by shard
+    over: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of them with counts over 254
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the first word of each shard of statistics, and the end
     tokens: int = 0
     types: int = 0
     discounts: tuple[np.ndarray, np.ndarray] = (np.zeros(4), np.zeros(4))
@@ -152,55 +163,38 @@ class Model:
 
     @property
     def vocabulary(self) -> int:
-        return sum(n for _, n in self.words)
+        return int(self.words.sum())
 
-    def word_bounds(self) -> np.ndarray:
-        s = len(self.words)
-        return np.array([(k << 64) // s for k in range(1, s)], np.uint64)
+    def _file(self, kind: str, shard: int) -> np.ndarray:
+        return _map(f"{self.root}/{kind}-{shard}.bin")
 
     def lookup_words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts of sorted distinct word hashes."""
         number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        cut, base = np.concatenate(([0], np.searchsorted(hashes, self.word_bounds()), [len(hashes)])), 0
-        for (uri, n), a, e in zip(self.words, cut[:-1], cut[1:], strict=True):
-            if n and e > a:
-                raw = _map(uri)
+        base = np.cumsum(self.words) - self.words
+        for k, a, e in _runs(hashes, _even(self.shards)):
+            if n := int(self.words[k]):
+                raw = self._file("words", k)
                 keys, own = raw[: 8 * n].view("<u8"), hashes[a:e]
                 at = np.minimum(np.searchsorted(keys, own), n - 1)
                 hit = keys[at] == own
-                number[a:e][hit] = base + at[hit]
+                number[a:e][hit] = base[k] + at[hit]
                 count[a:e][hit] = raw[8 * n :].view("<u8")[at[hit]]
-            base += n
         return number, count
 
-    def _by_shard(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        cut = np.searchsorted(numbers, np.array(self.bounds[1:-1], np.int64))
-        for k, (a, e) in enumerate(zip(np.concatenate(([0], cut)).tolist(), np.append(cut, len(numbers)).tolist(), strict=True)):
-            if e > a:
-                yield k, a, e
-
-    def predecessors(self, numbers: np.ndarray) -> np.ndarray:
-        """Numbers of different words before these (sorted)."""
-        out = np.zeros(len(numbers), np.int64)
-        for k, a, e in self._by_shard(numbers):
-            out[a:e] = _map(self.before[k]).view("<u4")[numbers[a:e] - self.bounds[k]]
-        return out
-
-    def contexts(self, numbers: np.ndarray) -> np.ndarray:
-        """Statistics of these words (sorted; the vocabulary's size is the start mark) as contexts."""
-        out = np.zeros(len(numbers), _CONTEXT)
-        for k, a, e in self._by_shard(numbers):
-            uri, n, over = self.pairs[k]
-            out[a:e] = _map(uri)[9 * n + 16 * over :].view(_CONTEXT)[numbers[a:e] - self.bounds[k]]
+    def statistics(self, numbers: np.ndarray) -> np.ndarray:
+        """What is known of these words (sorted; the vocabulary's size is the start mark) as contexts and successors."""
+        out = np.zeros(len(numbers), _WORD)
+        for k, a, e in _runs(numbers, self.bounds[1:-1]):
+            out[a:e] = self._file("statistics", k).view(_WORD)[numbers[a:e] - self.bounds[k]]
         return out
 
     def lookup_pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct bigram keys."""
+        """Counts of sorted distinct scrambled bigram keys."""
         out = np.zeros(len(keys), np.int64)
-        for k, a, e in self._by_shard((keys >> np.uint64(32)).astype(np.int64)):
-            uri, n, over = self.pairs[k]
-            if n:
-                raw = _map(uri)
+        for k, a, e in _runs(keys, _even(self.shards)):
+            if n := int(self.pairs[k]):
+                raw, over = self._file("pairs", k), int(self.over[k])
                 known, own = raw[: 8 * n].view("<u8"), keys[a:e]
                 at = np.minimum(np.searchsorted(known, own), n - 1)
                 found = np.where(known[at] == own, raw[8 * n : 9 * n][at], 0).astype(np.int64)
@@ -211,6 +205,18 @@ class Model:
         return out
 
 
+def _runs(values: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, first, end) of the shards that hold some of these sorted values."""
+    cut = np.searchsorted(values, bounds)
+    for k, (a, e) in enumerate(zip(np.concatenate(([0], cut)).tolist(), np.append(cut, len(values)).tolist(), strict=True)):
+        if e > a:
+            yield k, a, e
+
+
+def _pair_keys(before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return mix64(before.astype(np.uint64) << np.uint64(32) | (own.astype(np.uint64) & _U32))
+
+
 def _tokens(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers and counts of the distinct words of a block and the end (last), the place of each word among them, and
     for each token (words, then one end a text) the numbers of the token before and of itself."""
@@ -229,8 +235,6 @@ def _tokens(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _count_words(shards: int):
-    bounds = Model(words=[("", 0)] * shards).word_bounds()
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Counts()
         for batch in batches:
@@ -238,7 +242,7 @@ def _count_words(shards: int):
             for _, _, raw, at in blocks(data, offsets):
                 own.add(*np.unique(Words(raw, at, NOT_SPACE).hash, return_counts=True))
             own.add(np.array([_END]), np.array([len(batch)]))
-        yield from own.rows(bounds)
+        yield from own.rows(_even(shards))
 
     return count
 
@@ -250,8 +254,9 @@ def _count_pairs(model: Model):
             data, offsets = text_bytes(batch.column(0))
             for _, _, raw, at in blocks(data, offsets):
                 _, _, _, before, number = _tokens(Words(raw, at, NOT_SPACE), model)
-                own.add(*np.unique(before.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64), return_counts=True))
-        yield from own.rows(np.array(model.bounds[1:-1], np.uint64) << np.uint64(32))
+                own.add(*np.unique(_pair_keys(before, number), return_counts=True))
+        _mapped.clear()
+        yield from own.rows(_even(model.shards))
 
     return count
 
@@ -259,68 +264,82 @@ def _count_pairs(model: Model):
 def _merge_words(root: str):
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         hashes, count = _read(table)
-        info = {"file": _write(root, "words", hashes, count), "n": len(hashes), "tokens": int(count.sum())}
-        return pa.Table.from_batches([_row(key[0].as_py(), info=json.dumps(info))])
+        _write(root, f"words-{key[0].as_py()}", hashes, count)
+        return pa.Table.from_batches([_row(key[0].as_py(), info=json.dumps({"n": len(hashes), "tokens": int(count.sum())}))])
 
     return merge
 
 
-def _merge_pairs(root: str, bounds: list[int]):
+def _merge_pairs(root: str, bounds: np.ndarray):
+    """Writes a shard's bigrams; says how many there are (shard -1 - k), and of each word what the shard knows."""
+
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         keys, count = _read(table)
-        word = (keys >> np.uint64(32)).astype(np.int64)
-        context = np.zeros(bounds[shard + 1] - bounds[shard], _CONTEXT)
-        for name, value in (("total", count), ("n1", count == 1), ("n2", count == 2), ("n3", count > 2)):
-            context[name] = np.bincount(word - bounds[shard], value, len(context))
         large = count > 254
-        info = {"file": _write(root, "pairs", keys, np.minimum(count, 255).astype(np.uint8), keys[large], count[large], context), "n": len(keys), "over": int(large.sum()), "of": _counts_of_counts(count)}
-        rows = [_row(-1 - shard, info=json.dumps(info))]
-        after, n = np.unique((keys & _U32).astype("<u4"), return_counts=True)
-        cut = np.searchsorted(after, np.array(bounds[1:-1]))
-        rows += [_row(k, a.tobytes(), c.astype("<u4").tobytes()) for k, (a, c) in enumerate(zip(np.split(after, cut), np.split(n, cut), strict=True)) if len(a)]
+        _write(root, f"pairs-{shard}", keys, np.minimum(count, 255).astype(np.uint8), keys[large], count[large])
+        rows = [_row(-1 - shard, info=json.dumps({"n": len(keys), "over": int(large.sum()), "of": _counts_of_counts(count)}))]
+        pair = unmix64(keys)
+        for name, word in (("context", pair >> np.uint64(32)), ("successor", pair & _U32)):
+            order = np.argsort(word, kind="stable")
+            word, own = word[order], count[order]
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            sums = [np.diff(np.append(first, len(word)))] if name == "successor" else [np.add.reduceat(x.astype(np.uint64), first) for x in (own, own == 1, own == 2, own > 2)]
+            for k, a, e in _runs(word[first].astype(np.int64), bounds[1:-1]):
+                packed = b"".join(s[a:e].astype("<u4" if j or name == "successor" else "<u8").tobytes() for j, s in enumerate(sums))
+                rows.append(_row(k, word[first][a:e].astype("<u4").tobytes(), packed, name))
         return pa.Table.from_batches(rows)
 
     return merge
 
 
-def _merge_before(root: str, bounds: list[int]):
+def _merge_statistics(root: str, bounds: np.ndarray):
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         if shard < 0:
             return table
-        number, count = _read(table, "<u4")
-        dense = np.zeros(bounds[shard + 1] - bounds[shard], "<u4")
-        dense[number.astype(np.int64) - bounds[shard]] = count
-        info = {"file": _write(root, "before", dense), "of": _counts_of_counts(dense), "types": int(dense.sum()), "more": int((dense > 2).sum())}
-        return pa.Table.from_batches([_row(shard, info=json.dumps(info))])
+        size = int(bounds[shard + 1] - bounds[shard])
+        sums = {name: np.zeros(size, np.int64) for name in _WORD.names}
+        for number, packed, name in zip(table.column("keys"), table.column("counts"), table.column("info").to_pylist(), strict=True):
+            at = np.frombuffer(number.as_buffer(), "<u4").astype(np.int64) - bounds[shard]
+            raw, n = packed.as_buffer(), len(at)
+            if name == "successor":
+                sums["before"][at] += np.frombuffer(raw, "<u4")
+            else:
+                sums["total"][at] += np.frombuffer(raw, "<u8", n).astype(np.int64)
+                for j, part in enumerate(("n1", "n2", "n3")):
+                    sums[part][at] += np.frombuffer(raw, "<u4", n, 8 * n + 4 * n * j)
+        dense = np.zeros(size, _WORD)
+        for name, value in sums.items():
+            dense[name] = value
+        _write(root, f"statistics-{shard}", dense)
+        before = sums["before"]
+        return pa.Table.from_batches([_row(shard, info=json.dumps({"of": _counts_of_counts(before), "types": int(before.sum()), "more": int((before > 2).sum())}))])
 
     return merge
 
 
-def train(spark: SparkSession, texts: DataFrame) -> Model:
-    """Counts the column ``text`` of all rows."""
-    root = Scratch(spark, "lm").root
+def train(spark: SparkSession, texts: DataFrame, scratch: Scratch) -> Model:
+    """Counts the column ``text`` of all rows; the model's files are there until ``scratch`` is closed."""
+    root = scratch.folder("model")
     texts = texts.select(F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    told = lambda df: {r.shard: json.loads(r.info) for r in df.select("shard", "info").collect()}  # noqa: E731  a row for each file
+    told = lambda df: {r.shard: json.loads(r.info) for r in df.select("shard", "info").collect()}  # noqa: E731  a few numbers for each shard
+    by_shard = lambda found, name, sign=1: np.array([found.get(k if sign > 0 else -1 - k, {}).get(name, 0) for k in range(shards)], np.int64)
 
     found = told(texts.mapInArrow(tidy(_count_words(shards)), _ROWS).groupBy("shard").applyInArrow(_merge_words(root), _ROWS))
-    model = Model(words=[(found[k]["file"], found[k]["n"]) if k in found else ("", 0) for k in range(shards)], tokens=sum(x["tokens"] for x in found.values()))
+    model = Model(root, shards, by_shard(found, "n"), tokens=sum(x["tokens"] for x in found.values()))
     if not model.tokens:
         return model
-    bounds = model.bounds = [(model.vocabulary + 1) * k // shards for k in range(shards + 1)]
+    if model.vocabulary >= _MOST_WORDS:
+        raise ValueError(f"{model.vocabulary} different words; numbers have 32 bits")
+    bounds = model.bounds = np.array([(model.vocabulary + 1) * k // shards for k in range(shards + 1)], np.int64)
+    # Every shard of statistics gets a row, so that each has its file.
+    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"), F.lit("successor").alias("info"))
     pairs = texts.mapInArrow(tidy(_count_pairs(model)), _ROWS).groupBy("shard").applyInArrow(_merge_pairs(root, bounds), _ROWS)
-    found = told(pairs.groupBy("shard").applyInArrow(_merge_before(root, bounds), _ROWS))
-    empty: dict[int, str] = {}
-
-    def nothing(k: int, kind: np.dtype) -> str:
-        empty[k] = _write(root, "none", np.zeros(bounds[k + 1] - bounds[k], kind))
-        return empty[k]
-
-    model.pairs = [(x["file"], x["n"], x["over"]) if (x := found.get(-1 - k)) else (nothing(k, _CONTEXT), 0, 0) for k in range(shards)]
-    model.before = [found[k]["file"] if k in found else nothing(k, np.dtype("<u4")) for k in range(shards)]
+    found = told(pairs.union(every).groupBy("shard").applyInArrow(_merge_statistics(root, bounds), _ROWS))
+    model.pairs, model.over = by_shard(found, "n", -1), by_shard(found, "over", -1)
     high = np.sum([x["of"] for k, x in found.items() if k < 0], axis=0).tolist()
     low = np.sum([x["of"] for k, x in found.items() if k >= 0], axis=0).tolist()
     more = sum(x["more"] for k, x in found.items() if k >= 0)
@@ -345,17 +364,17 @@ def _score_block(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndar
         kinds = np.zeros(len(number), np.int64)
         known = np.flatnonzero(number >= 0)
         known = known[np.argsort(number[known])]
-        kinds[known] = model.predecessors(number[known])
+        kinds[known] = model.statistics(number[known])["before"]
         lower = ((kinds - low[np.minimum(kinds, 3)]) / model.types + model.back / (v + 1))[place]
         context, of = np.unique(before, return_inverse=True)
-        stats = np.zeros(len(context), _CONTEXT)
+        stats = np.zeros(len(context), _WORD)
         ok = context >= 0
-        stats[ok] = model.contexts(context[ok])
+        stats[ok] = model.statistics(context[ok])
         total = stats["total"].astype(float)
         back = np.ones(len(context))
         seen = total > 0
         back[seen] = (high[1] * stats["n1"] + high[2] * stats["n2"] + high[3] * stats["n3"])[seen] / total[seen]
-        key = before.astype(np.uint64) << np.uint64(32) | (own.astype(np.uint64) & _U32)
+        key = _pair_keys(before, own)
         some = (before >= 0) & (own >= 0)
         pairs = np.zeros(len(own), np.int64)
         keys, again = np.unique(key[some], return_inverse=True)
@@ -373,6 +392,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             data, offsets = text_bytes(batch.column(2))
             for i, j, raw, at in blocks(data, offsets):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *map(pa.array, _score_block(model, raw, at))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        _mapped.clear()
 
     return documents.select("doc_id", "held_out", "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
@@ -382,6 +402,9 @@ def lm_scores(spark: SparkSession, documents: DataFrame) -> DataFrame:
     ``score``. Needs ``doc_id`` and ``text``; other columns are ignored."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), MOD) == OUT, F.lit(False)))
-    model = train(spark, docs.where(~F.col("held_out")))
+    scratch = Scratch(spark, "lm")
+    model = train(spark, docs.where(~F.col("held_out")), scratch)
     out = score(docs, model)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out = scratch.keep(out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"), "result", last=True)
+    scratch.close()
+    return out

@@ -26,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI of the file system that Spark takes it for, in the form Arrow reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        return "file://" + uri[5:]
+    return "s3://" + uri.partition("://")[2] if uri.startswith(("s3a://", "s3n://")) else uri
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with as many underscores after it as it takes to clash with no column (case ignored)."""
     taken = {c.lower() for c in columns}
@@ -64,6 +73,11 @@ class Scratch:
         release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def folder(self, name: str) -> str:
+        """A folder for files that tasks write by themselves."""
+        self._made.append(self.path(name))
+        return qualified(self.spark, self._made[-1])
+
     def drop(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)

@@ -31,6 +31,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """The inverse of ``mix64``."""
+    with np.errstate(over="ignore"):
+        x = x.astype(_U, copy=True)
+        for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, None)):
+            x ^= x >> _U(shift) ^ x >> _U(2 * shift)
+            if factor:
+                x *= _U(pow(factor, -1, 1 << 64))
+    return x
+
+
 _STEP = _U(0x9E3779B97F4A7C15)
 with np.errstate(over="ignore"):
     _BYTE_VALUE = mix64((np.arange(256, dtype=_U) + _U(1)) * _STEP)
