@@ -39,7 +39,7 @@ def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", _toxicity), ("quality", _quality), ("near_dedup", _near_dedup), ("decontaminate", _decontaminate), ("pack", _pack)]
 
-#: Trained and iterative stages cannot be said in SQL; tests/llm/test_pipeline.py compares them with brute force.
+#: Trained and iterative stages cannot be said in SQL; tests/llm/test_pipeline.py recomputes them.
 ORACLE_SQL = None
 
 
