@@ -11,13 +11,15 @@
 3. In each list every text is paired with two pivots only. The union sketch of a pair estimates its similarity,
    hopeless pairs go, and the rest are verified on full sets. Components of these links follow.
 4. A list whose texts lie in one component is done. In the others all pairs across components remain: short lists are
-   joined with themselves; texts of long lists are dealt into groups and blocks of bounded size, and each task compares
-   two blocks exactly and returns only links between components. So no link between components is lost and no task
-   holds a whole group.
-
-Null or empty texts and texts without words have empty sets and link with nothing. Rows without a ``doc_id`` take part and are
-always kept; a component has the smallest ``doc_id`` that is not null. Of repeated rows with the same ``doc_id`` one at
-most is kept.
+   joined with themselves; texts of a long list are dealt into blocks of bounded size. Tasks compare the sketches of two
+   blocks of one list and name the texts that take part in any pair which the union sketch leaves possible; only these
+   texts' full sets are fetched, and a second task verifies the same pairs and returns links that join components. So no
+   link between components is lost, no task holds a whole list and not all pairs of a list are ever written.
+
+Joins on a list's value or on a pivot meet one row of that key on the other side, so that adaptive execution may split a
+hot key's rows. Null or empty texts and texts without words have empty sets and link with nothing. Rows without a
+``doc_id`` take part and are not ``kept``, since they have no id that could equal the component's; a component has the
+smallest ``doc_id`` that is not null. Repeated rows with the same ``doc_id`` have the same result.
 """
 
 from __future__ import annotations
@@ -45,6 +47,9 @@ LEAST_IN_UNION = 29
 #: Lists with more texts than this are compared block by block.
 SHORT_LIST = 40
 BLOCK = 192
+#: Texts, and shingles of all of them together, in a block of a long list.
+LIST_BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+_COLUMNS = 8192
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -109,30 +114,56 @@ def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
     return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare_blocks(table: pa.Table) -> pa.Table:
+def _matrix(values: np.ndarray, owner: np.ndarray, column: np.ndarray, rows: int, lo: int) -> np.ndarray:
+    part = (column >= lo) & (column < lo + _COLUMNS)
+    m = np.zeros((rows, _COLUMNS), np.float32)
+    m[owner[part], column[part] - lo] = 1
+    return m
+
+
+def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a table of one or two blocks (``side`` 0 and 1) whose union sketch leaves a link between components
+    possible: pairs across the sides, or within the one block."""
+    side, comp, n = (table.column(c).to_numpy() for c in ("side", "comp", "n"))
+    sketches = [np.frombuffer(x.values.buffers()[1], np.uint64)[x.values.offset : x.values.offset + len(x.values)] for x in table.column("sketch")]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    one = not len(right)
+    right = left if one else right
+    values = np.concatenate(sketches)
+    known, column = np.unique(values, return_inverse=True)
+    owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+    often = np.bincount(column) > 1
+    column = np.where(often, np.cumsum(often) - 1, -1)[column]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(often.sum()), _COLUMNS):  # the incidence matrix, some columns at a time
+        m = _matrix(values, owner, column, len(sketches), lo)
+        shared += m[left] @ m[right].T
+    na, nb = n[left][:, None], n[right][None, :]
+    whole = (na <= SKETCH) & (nb <= SKETCH)
+    ok = (comp[left][:, None] != comp[right][None, :]) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb))
+    ok &= np.where(whole, _similar(shared.astype(np.int64), na, nb), shared >= LEAST_IN_UNION)
+    if one:
+        ok = np.triu(ok, 1)
+    i, j = np.nonzero(ok)
+    sure = whole[i, j]
+    i, j = left[i], right[j]
+    for k in np.flatnonzero(~sure).tolist():
+        x, y = sketches[i[k]], sketches[j[k]]
+        both = np.intersect1d(x, y, assume_unique=True)
+        union = np.union1d(x, y)
+        sure[k] = len(both) >= LEAST_IN_UNION and np.count_nonzero(both <= union[min(SKETCH, len(union)) - 1]) >= LEAST_IN_UNION
+    return i[sure], j[sure]
+
+
+def _hopeful(key: tuple, table: pa.Table) -> pa.Table:
+    """The texts of two blocks that take part in any possible link."""
+    rows = np.unique(np.concatenate(_candidates(table)))
+    return pa.table({"v": pa.array(np.full(len(rows), key[0].as_py()), pa.int64()), "pair": pa.array(np.full(len(rows), key[1].as_py()), pa.int64())} | {c: table.column(c).take(pa.array(rows)).combine_chunks() for c in ("side", "node", "comp", "n", "sketch")})
+
+
+def _verified(table: pa.Table) -> pa.Table:
     """Links between components among the texts of two blocks, each found on full sets; a spanning set of them."""
     node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
-    order = np.unique(node, return_index=True)[1]
-    node, comp = node[order], comp[order]
-    sets = [_as_set(table.column("members")[int(k)]) for k in order]
-    sizes = np.array([len(s) for s in sets])
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    by = np.argsort(values, kind="stable")
-    values, owner = values[by], owner[by]
-    new = np.concatenate(([True], values[1:] != values[:-1]))
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(values)))
-    some = count > 1
-    column = np.repeat(np.cumsum(some) - 1, count)[np.repeat(some, count)]
-    owner = owner[np.repeat(some, count)]
-    shared = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(some.sum()), 8192):  # the incidence matrix, some columns at a time
-        part = (column >= lo) & (column < lo + 8192)
-        m = np.zeros((len(sets), 8192), np.float32)
-        m[owner[part], column[part] - lo] = 1
-        shared += m @ m.T
-    ok = np.triu(_similar(shared.astype(np.int64), sizes[:, None], sizes[None, :]) & (comp[:, None] != comp[None, :]), 1)
     root = {int(c): int(c) for c in comp}
 
     def find(c: int) -> int:
@@ -141,11 +172,13 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
         return c
 
     out = []
-    for i, j in zip(*np.nonzero(ok), strict=True):
+    for i, j in zip(*map(np.ndarray.tolist, _candidates(table)), strict=True):
         x, y = find(int(comp[i])), find(int(comp[j]))
         if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((int(node[i]), int(node[j])))
+            s, t = _as_set(table.column("members")[i]), _as_set(table.column("members")[j])
+            if _similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)):
+                root[max(x, y)] = min(x, y)
+                out.append((int(node[i]), int(node[j])))
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
@@ -229,9 +262,8 @@ class NearDuplicates:
         least = ids.groupBy("comp").agg(F.min("least_id").alias("component_id"))
         named = ids.join(least, "comp").select("h1", "h2", "n", "component_id")
         out = every.select("node", "doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-        first = out.where("doc_id = component_id").groupBy("doc_id").agg(F.min("node").alias("first"))
-        out = out.join(first, "doc_id", "left").withColumn("kept", F.col("doc_id").isNull() | F.coalesce(F.col("node") == F.col("first"), F.lit(False)))
-        return keep(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept", "node"), "result", last=True)
+        kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+        return keep(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "node"), "result", last=True)
 
     def _short(self, rest: DataFrame, comps: DataFrame) -> DataFrame:
         own = rest.where(F.col("size") <= SHORT_LIST)
@@ -240,28 +272,34 @@ class NearDuplicates:
         return self._links(_estimated(pairs, self.reps))
 
     def _long(self, rest: DataFrame) -> DataFrame:
-        """Texts of long lists form groups (through their lists' leads); a component of ``BLOCK`` texts or more of a
-        group has blocks of its own, smaller ones share blocks. Two blocks of one component are not compared."""
+        """Texts of a long list are dealt into blocks, and blocks of one list meet. A component of ``LIST_BLOCK`` texts or
+        more of a list has blocks of its own, smaller ones share blocks; two blocks of one component are not compared."""
         keep = self.scratch.keep
-        own = rest.where(F.col("size") > SHORT_LIST)
+        own = rest.where(F.col("size") > SHORT_LIST).select("v", "node", "comp", "size")
         if own.isEmpty():
             return own.select(F.col("node").alias("a"), F.col("node").alias("b"))
-        groups = connected_components(own.select(F.col("lead").alias("a"), F.col("node").alias("b")), self.scratch)
-        nodes = keep(own.select("node", "comp").distinct().join(groups.withColumnRenamed("comp", "grp"), "node"), "nodes")
-        size = nodes.groupBy("grp", "comp").agg(F.count("*").alias("n"))
-        many = size.groupBy("grp").agg(F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).alias("small"))
-        dealt = nodes.join(size, ["grp", "comp"]).join(many, "grp")
-        dealt = dealt.withColumn("of", F.when(F.col("n") >= BLOCK, F.col("comp")).otherwise(F.lit(-1)))
-        dealt = dealt.withColumn("block", F.pmod(F.when(F.col("of") >= 0, F.xxhash64("node")).otherwise(F.xxhash64("comp")), F.ceil(F.expr("if(of >= 0, n, small)") / BLOCK)).cast("long"))
-        dealt = keep(dealt.select("grp", "node", "comp", "of", "block"), "dealt")
-        blocks_ = dealt.select("grp", "of", "block").distinct()
-        x, y = blocks_.toDF("grp", "of", "block"), blocks_.toDF("grp", "of2", "block2")
-        met = x.join(y, "grp").where("(of < of2 or of = of2 and block <= block2) and (of <> of2 or of = -1)")
-        met = met.withColumn("pair", F.xxhash64("of", "block", "of2", "block2"))
-        sides = met.select("grp", "pair", "of", "block").union(met.select("grp", "pair", "of2", "block2")).distinct()
-        sets = self._sets_of(nodes)
-        rows = dealt.join(sides, ["grp", "of", "block"]).select("grp", "pair", "node", "comp").join(sets, "node")
-        return keep(rows.groupBy("grp", "pair").applyInArrow(_compare_blocks, "a long, b long"), "links")
+        # A list whose texts all are in another one is left out: those texts meet there.
+        x, y = own.select("node", "v", "size"), own.select("node", F.col("v").alias("u"), F.col("size").alias("of"))
+        inner = x.join(y, "node").where("of > size or of = size and u < v").groupBy("v", "u").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size")
+        nodes = own.join(inner.select("v").distinct(), "v", "left_anti").select("v", "node", "comp")
+        nodes = keep(nodes.join(self.reps.select("node", "n", "sketch"), "node"), "nodes")
+        size = nodes.groupBy("v", "comp").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+        small = F.col("texts") < LIST_BLOCK
+        many = size.groupBy("v").agg(*(F.sum(F.when(small, F.col(c))).alias(f"small_{c}") for c in ("texts", "shingles")))
+        dealt = nodes.join(size, ["v", "comp"]).join(many, "v").withColumn("of", F.when(small, F.lit(-1)).otherwise(F.col("comp")))
+        parts = lambda c: F.when(small, F.col(f"small_{c}")).otherwise(F.col(c))
+        blocks_ = F.greatest(F.ceil(parts("texts") / LIST_BLOCK), F.ceil(parts("shingles") / BLOCK_SHINGLES))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), blocks_).cast("long"))
+        dealt = keep(dealt.select("v", "node", "comp", "n", "sketch", "of", "block"), "dealt")
+        x, y = dealt.select("v", "of", "block").distinct().toDF("v", "of", "block"), dealt.select("v", "of", "block").distinct().toDF("v", "of2", "block2")
+        met = x.join(y, "v").where("(of < of2 or of = of2 and block <= block2) and (of <> of2 or of = -1)").withColumn("pair", F.xxhash64("of", "block", "of2", "block2"))
+        one = met.where("of = of2 and block = block2").select("v", "pair", "of", "block", F.lit(0).alias("side"))
+        two = met.where("of <> of2 or block <> block2")
+        sides = one.union(two.select("v", "pair", "of", "block", F.lit(0))).union(two.select("v", "pair", "of2", "block2", F.lit(1)))
+        rows = dealt.join(sides, ["v", "of", "block"]).select("v", "pair", "side", "node", "comp", "n", "sketch")
+        hopeful = keep(rows.groupBy("v", "pair").applyInArrow(_hopeful, "v long, pair long, side int, node long, comp long, n long, sketch array<long>"), "hopeful")
+        sets = self._sets_of(hopeful)
+        return keep(hopeful.join(sets, "node").groupBy("v", "pair").applyInArrow(_verified, "a long, b long"), "links")
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:

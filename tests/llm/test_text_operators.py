@@ -118,6 +118,7 @@ def test_bloom_never_drops(spark):
 def test_near_duplicates_equal_all_pairs(spark, monkeypatch, short_list):
     monkeypatch.setattr(near_dedup, "SHORT_LIST", short_list)
     monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "LIST_BLOCK", 24)
     rows = corpus()
     sets = [shingles(t) for _, t, _ in rows]
     root = list(range(len(rows)))
@@ -139,8 +140,33 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, short_list):
     want = Counter((doc, len(sets[i]), least[find(i)]) for i, (doc, _, _) in enumerate(rows))
     out = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
-    kept = [r for r in out if r.kept and r.doc_id is not None]
-    assert len(kept) == len({r.component_id for r in out}) and all(r.doc_id == r.component_id for r in kept)
+    assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in out)
+    assert {r.doc_id for r in out if r.kept} == {r.component_id for r in out}
+
+
+def test_shared_boilerplate_is_far_from_quadratic(spark, monkeypatch):
+    """2,000 texts of which half of each is one passage: none are linked, and the sketches leave few to verify."""
+    r = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(100))
+    rows = [(k, f"{passage} " + " ".join(f"w{r.randrange(10**7)}" for _ in range(r.randint(75, 110)))) for k in range(2000)]
+    rows += [(5000 + k, rows[k][1] + " tail words") for k in range(20)]
+    fetched, found = [], near_dedup.NearDuplicates._sets_of
+    monkeypatch.setattr(near_dedup.NearDuplicates, "_sets_of", lambda self, nodes: fetched.append(nodes.select("node").distinct().count()) or found(self, nodes))
+    out = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in out} == {k: k if k < 5000 else k - 5000 for k, _ in rows}
+    assert sum(fetched) < 400
+
+
+def test_links_at_the_threshold_are_not_lost(spark):
+    """1,500 pairs of sets of similarity 0.75 exactly, far from all others."""
+    rows = []
+    for k in range(1500):
+        common, own = [f"c{k}x{j}" for j in range(304)], [[f"d{k}s{s}x{j}" for j in range(50)] for s in (0, 1)]
+        rows += [(2 * k + s, " ".join(common + own[s])) for s in (0, 1)]
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 100 * len(a & b) == 75 * len(a | b)
+    out = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.component_id != r.doc_id - r.doc_id % 2 for r in out) == 0
 
 
 def test_near_duplicates_of_nothing(spark):
