@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keyed
+from ..sources.scratch import Written
 from . import fdr, gmm, knockoffs, solvers, stats
 from .terms import Term, dictionary, expanded, linear, terms_table
 
@@ -64,12 +65,12 @@ class Prepared:
         return own, float(intercept - self.mean[: len(coef)] @ own)
 
 
-def prepare(df: DataFrame, features: Sequence[str], y: str, terms: list[Term], fold: str | None, own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None) -> Prepared:
+def prepare(df: DataFrame, features: Sequence[str], y: str, terms: list[Term], fold: str | None, own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, drawn: list[Column] | None = None) -> Prepared:
     """Terms of the features with the numbers ``own`` (all), followed by the same terms of their knockoffs where ``copies``
-    says how to make them. Tasks expand batches of rows as matrices; no expanded row leaves them."""
+    says how to make them, from its random numbers or those already ``drawn``. Tasks expand batches of rows as matrices; no expanded row leaves them."""
     p = len(features)
     at = list(range(p)) if own is None else list(own)
-    noise = copies.noise() if copies else []
+    noise = (drawn or copies.noise()) if copies else []
     inputs = [*(F.col(f) for f in features), *noise]
 
     def build(x: np.ndarray) -> np.ndarray:
@@ -93,7 +94,7 @@ class Copies:
     stream: str = "knock"
 
     def noise(self) -> list[Column]:
-        return [keyed.normal(F.col(self.key), self.seed, f"{self.stream}{j}") for j in range(len(self.own))]
+        return [keyed.hashed_normal(F.col(self.key), self.seed, f"{self.stream}{j}") for j in range(len(self.own))]
 
     def drawn(self, n: int) -> np.ndarray:
         """The same for rows at hand."""
@@ -129,7 +130,7 @@ class MixtureCopies:
     def noise(self) -> list[Column]:
         """Normal numbers, and an even one that draws the component."""
         key = F.col(self.key)
-        return [*(keyed.normal(key, self.seed, f"{self.stream}{j}") for j in range(len(self.own))), keyed.uniform(key, self.seed, f"{self.stream}component")]
+        return [*(keyed.hashed_normal(key, self.seed, f"{self.stream}{j}") for j in range(len(self.own))), keyed.uniform(key, self.seed, f"{self.stream}component")]
 
     def drawn(self, n: int) -> np.ndarray:
         """The same for rows at hand."""
@@ -150,12 +151,21 @@ class MixtureCopies:
 
 class SparkRows:
     """What a fit needs of the rows of a DataFrame: their statistics, never the rows. The response is ``y`` or, with
-    ``residual``, what the terms found so far leave of it."""
+    ``residual``, what the terms found so far leave of it. A fit passes over the rows many times, so key, features, response
+    and fold are computed and written once; ``close`` deletes them."""
 
     def __init__(self, df: DataFrame, features: Sequence[str], y: str, key: str, folds: int, seed: int) -> None:
-        self.df, self.features, self.y = df, list(features), y
-        self.dealt = df.withColumn("__fold", stats.hashed_fold(F.col(key), folds, seed)).withColumn("__residual", F.col(y).cast("double"))
-        self.key = key
+        self.features, self.y, self.key = list(features), y, key
+        self.written = Written(df.sparkSession)
+        narrow = df.select(key, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, y]) if c != key), stats.hashed_fold(F.col(key), folds, seed).alias("__fold"))
+        self.df = self.written.keep(narrow)
+        self.restart()
+
+    def close(self) -> None:
+        self.written.close()
+
+    def restart(self) -> None:
+        self.dealt = self.df.withColumn("__residual", F.col(self.y))
 
     def covariance(self, at: Sequence[int], labelled: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
         return knockoffs.covariance(self.df.where(F.col(self.y).isNotNull()) if labelled else self.df, [self.features[j] for j in at])
@@ -164,7 +174,16 @@ class SparkRows:
         return gmm.fit(self.df, self.features, self.key, k, alpha, max_iter=50, seed=seed)
 
     def prepare(self, terms: list[Term], own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, residual: bool = False) -> Prepared:
-        return prepare(self.dealt, self.features, "__residual" if residual else self.y, terms, "__fold", own, copies)
+        y = "__residual" if residual else self.y
+        if copies is None:
+            return prepare(self.dealt, self.features, y, terms, "__fold", own)
+        drawn = Written(self.df.sparkSession)  # means and products need the same random numbers
+        noise = [c.alias(f"__noise{k}") for k, c in enumerate(copies.noise())]
+        rows = drawn.keep(self.dealt.select(*self.features, y, "__fold", *noise))
+        try:
+            return prepare(rows, self.features, y, terms, "__fold", own, copies, [F.col(f"__noise{k}") for k in range(len(noise))])
+        finally:
+            drawn.close()
 
     def leave(self, terms: list[Term], coef: np.ndarray, constant: float) -> None:
         fitted = linear(terms, coef, constant, [F.col(f).cast("double") for f in self.features])
@@ -184,7 +203,11 @@ class LocalRows:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, folds: int) -> None:
         self.x, self.y, self.features = np.asarray(x, float), np.asarray(y, float), [f"x{j}" for j in range(x.shape[1])]
-        self.residual, self.folds = self.y, folds
+        self.folds = folds
+        self.restart()
+
+    def restart(self) -> None:
+        self.residual = self.y
 
     def covariance(self, at: Sequence[int], labelled: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
         x = self.x[~np.isnan(self.y) if labelled else slice(None)][:, list(at)]
@@ -203,8 +226,8 @@ class LocalRows:
         z = expanded(x if own is None else x[:, list(own)], terms)
         if copies is not None:
             z = np.hstack((z, expanded(copies.make(x, copies.drawn(len(self.x))[held]), terms)))
-        mean, scale = z.mean(axis=0), z.std(axis=0)
-        scale[~(scale > 1e-7 * np.maximum(1, np.abs(mean)))] = 1.0
+        mean = z.mean(axis=0)
+        scale = stats.or_one(z.std(axis=0), mean)
         z = (z - mean) / scale
         of = np.repeat(np.arange(self.folds), [len(y) // self.folds + (f < len(y) % self.folds) for f in range(self.folds)])
         return Prepared(terms, mean, scale, {f: stats.gram_of(z[of == f], y[of == f]) for f in range(self.folds) if (of == f).any()})
@@ -237,7 +260,11 @@ class Estimator:
         return df.withColumn("__fold", stats.hashed_fold(F.col(key), self.folds, self.seed))
 
     def fit(self, df: DataFrame, features: Sequence[str], y: str, key: str) -> Fitted:
-        return self.fit_rows(SparkRows(df, features, y, key, self.folds, self.seed))
+        rows = SparkRows(df, features, y, key, self.folds, self.seed)
+        try:
+            return self.fit_rows(rows)
+        finally:
+            rows.close()
 
     def fit_rows(self, rows: SparkRows | LocalRows) -> Fitted:
         made = rows.prepare(self._terms(len(rows.features)))
@@ -338,6 +365,14 @@ def _refit(rows: SparkRows | LocalRows, terms: list[Term], how: str) -> tuple[np
     return made.raw(b, constant)
 
 
+def _least_squares(made: Prepared, at: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients of some of the columns alone, on the raw axis, from the products at hand."""
+    g, c, _, mean, my, _ = _pieces(made)
+    b = solvers.ols(g[np.ix_(at, at)], c[at])
+    own = b / made.scale[at]
+    return own, float(my - mean[at] @ b - made.mean[at] @ own)
+
+
 class PolyKnockoff(Estimator):
     """One round of knockoffs from the sample covariance, then least squares on the selection."""
 
@@ -351,21 +386,27 @@ class PolyKnockoff(Estimator):
         mean, cov, _ = rows.covariance(range(len(rows.features)))
         return mean, cov + 1e-6 * np.eye(len(cov))
 
+    def penalty(self, made: Prepared) -> float | None:
+        """None: by cross-validation."""
+        return self.alpha
+
     def fit_rows(self, rows: SparkRows | LocalRows) -> Fitted:
         features = rows.features
         sampler = knockoffs.Sampler.gaussian(*self.covariance(rows))
         terms = self._terms(len(features))
         made = rows.prepare(terms, copies=Copies(sampler, list(range(len(features))), rows.key, self.seed))
         m = len(terms)
-        if self.alpha is None:
+        alpha = self.penalty(made)
+        if alpha is None:
             b, _, _ = solvers.lasso_cv(made.folds)
         else:
             g, c, *_ = _pieces(made)
-            b = solvers.lasso(g, c, self.alpha)
+            b = solvers.lasso(g, c, alpha)
         w = fdr.w_statistics(b[:m], b[m:], self.w)
         tau = fdr.threshold(w, self.q, self.offset)
-        chosen = [t for t, v in zip(terms, w, strict=True) if v >= tau]
-        coef, constant = _refit(rows, chosen, "ols")
+        at = np.flatnonzero(w >= tau)
+        chosen = [terms[k] for k in at]
+        coef, constant = _least_squares(made, at) if len(at) else _refit(rows, [], "ols")
         return Fitted(self.method, list(features), chosen, coef, constant, params={"tau": tau, "w": w.tolist()})
 
 
@@ -378,11 +419,11 @@ class PolyClime(PolyKnockoff):
         features = rows.features
         mean, cov, n = rows.covariance(range(len(features)))
         theta = solvers.graphical_lasso(cov, float(np.clip(0.5 * np.sqrt(np.log(max(2, len(features))) / n), 1e-4, 1.0)))
-        if self.alpha is None:
-            m = 2 * len(self._terms(len(features)))
-            self.alpha = float(0.5 * np.sqrt(np.log(m) / n))
         return mean, np.linalg.inv(theta)
 
+    def penalty(self, made: Prepared) -> float:
+        return float(0.5 * np.sqrt(np.log(2 * len(made.terms)) / made.whole.n)) if self.alpha is None else self.alpha
+
 
 class IterativeKnockoffs(Estimator):
     """Rounds of conditional knockoffs under a shrinking budget.
@@ -400,7 +441,11 @@ class IterativeKnockoffs(Estimator):
         self.components, self.alpha, self.max_iter, self.refit, self.first = components, alpha, max_iter, refit, first
 
     def _copies(self, df: DataFrame, features: Sequence[str], known: list[int], mixture: gmm.Mixture | None, key: str, stream: str) -> Copies | MixtureCopies:
-        return self._round_copies(SparkRows(df, features, features[0], key, self.folds, self.seed), known, mixture, stream)
+        rows = SparkRows(df, features, features[0], key, self.folds, self.seed)
+        try:
+            return self._round_copies(rows, known, mixture, stream)
+        finally:
+            rows.close()
 
     def _round_copies(self, rows: SparkRows | LocalRows, known: list[int], mixture: gmm.Mixture | None, stream: str) -> Copies | MixtureCopies:
         """Knockoffs of the features not known, given the known ones."""
@@ -412,6 +457,7 @@ class IterativeKnockoffs(Estimator):
 
     def fit_rows(self, rows: SparkRows | LocalRows) -> Fitted:
         features = rows.features
+        rows.restart()
         mixture = None
         if self.first == "mixture" or self.max_iter > 1:
             mixture = rows.mixture(self.components, self.alpha, self.seed)
@@ -472,19 +518,53 @@ def made(method: str, degree: int = 2, q: float = 0.1, seed: int = 0) -> Estimat
 
 
 def compare(df: DataFrame, features: Sequence[str], y: str, key: str, methods: Sequence[str] = tuple(METHODS), degree: int = 2, q: float = 0.1, seed: int = 0) -> dict[str, Fitted]:
-    """Fits several methods on the same rows. Those that need no knockoffs share one pass over the expanded features."""
+    """Fits several methods on the same rows, which are computed and written once. Those that need no knockoffs share one
+    pass over the expanded features."""
     if unknown := set(methods) - METHODS.keys():
         raise ValueError(f"unknown methods {sorted(unknown)}")
     out: dict[str, Fitted] = {}
     shared: Prepared | None = None
-    for name in METHODS:
-        if name not in methods:
-            continue
-        kind = METHODS[name]
-        own = made(name, degree, q, seed)
-        if kind in (IterativeKnockoffs, PolyKnockoff, PolyClime):
-            out[name] = own.fit(df, features, y, key)
-            continue
-        shared = shared or prepare(own._with_fold(df, key), features, y, own._terms(len(features)), "__fold")
-        out[name] = own.fitted(features, shared, *own.solve(shared))
+    rows = SparkRows(df, features, y, key, Estimator().folds, seed)
+    try:
+        for name in METHODS:
+            if name not in methods:
+                continue
+            own = made(name, degree, q, seed)
+            if isinstance(own, (IterativeKnockoffs, PolyKnockoff)):
+                out[name] = own.fit_rows(rows)
+                continue
+            shared = shared or rows.prepare(own._terms(len(features)))
+            out[name] = own.fitted(rows.features, shared, *own.solve(shared))
+    finally:
+        rows.close()
     return out
+
+
+def scored(fitted: dict[str, Fitted], df: DataFrame, y: str) -> DataFrame:
+    """One row a method: how well it fits these rows (``method``, ``n``, ``sse``, ``sst``, ``r2``, ``adj_r2``, ``loglik``,
+    ``bic``, ``aic``, ``rmse``, ``mae``), all from one pass."""
+    each = [F.struct(F.lit(name).alias("method"), F.lit(len(m.terms)).alias("k"), linear(m.terms, m.coef, m.intercept, [F.col(f).cast("double") for f in m.features]).alias("fitted")) for name, m in fitted.items()]
+    rows = df.select(F.col(y).cast("double").alias("y"), F.explode(F.array(*each)).alias("m")).select("y", "m.*").where("y is not null and fitted is not null")
+    e = F.col("y") - F.col("fitted")
+    s = rows.groupBy("method", "k").agg(F.count("*").cast("double").alias("n"), F.sum(e * e).alias("sse"), (F.var_pop("y") * F.count("*")).alias("sst"), F.avg(F.abs(e)).alias("mae"))
+    return stats.with_fit_stats(s, F.col("k")).withColumn("rmse", F.sqrt(F.try_divide("sse", "n"))).drop("k")
+
+
+def comparison(df: DataFrame, features: Sequence[str], y: str, key: str, methods: Sequence[str] = tuple(METHODS), truth: Sequence[Term] | None = None, test: float = 0.2, degree: int = 2, q: float = 0.1, seed: int = 0) -> DataFrame:
+    """Methods side by side, one row each: fitted on ``1 - test`` of the rows, dealt by the key, and scored on both parts.
+    With ``truth`` also how many of its terms were found: ``tp``, ``fp``, ``fn``, ``fdr``, ``tpr``."""
+    spark = df.sparkSession
+    dealt = df.withColumn("__test", F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("test")), F.lit(1_000_000)) < int(test * 1_000_000))
+    train = dealt.where("not __test").drop("__test")
+    fitted = compare(train, features, y, key, methods, degree, q, seed)
+    out = scored(fitted, train, y).select("method", *(F.col(c).alias(f"train_{c}") for c in ("n", "r2", "adj_r2", "rmse", "bic", "aic")))
+    held = scored(fitted, dealt.where("__test"), y).select("method", *(F.col(c).alias(f"test_{c}") for c in ("n", "r2", "rmse", "mae")))
+    known = None if truth is None else {t.key for t in truth}
+    rows = []
+    for name, m in fitted.items():
+        keys = {t.key for t, c in zip(m.terms, m.coef, strict=True) if c}
+        tp = None if known is None else len(keys & known)
+        rows.append((name, len(keys), "|".join(t.name(m.features) for t, c in zip(m.terms, m.coef, strict=True) if c), tp, None if known is None else len(keys) - tp, None if known is None else len(known) - tp))
+    found = spark.createDataFrame(rows, "method string, n_selected int, selected_names string, tp int, fp int, fn int")
+    found = found.withColumn("fdr", F.when(F.col("tp").isNotNull(), F.coalesce(F.try_divide(F.col("fp"), F.col("n_selected")), F.lit(0.0)))).withColumn("tpr", F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")))
+    return found.join(out, "method", "left").join(held, "method", "left")  # a row for each method

@@ -96,7 +96,8 @@ def _maximise(sums: np.ndarray, alpha: float, reg: float) -> tuple[np.ndarray, n
 
 
 def fit(df: DataFrame, columns: Sequence[str], key: str, k: int = 2, alpha: float | str = "adaptive", max_iter: int = 100, tol: float = 1e-4, reg: float = 1e-6, seed: int = 0, init: str = "principal") -> Mixture:
-    """``alpha`` is a number, "adaptive" (from the numbers of rows and features) or "bic" (the best of ten). Rows with nulls
+    """Stops when the log-likelihood of all rows, or of each thousand of more than that, changes by less than ``tol``.
+    ``alpha`` is a number, "adaptive" (from the numbers of rows and features) or "bic" (the best of ten). Rows with nulls
     are left out. Components start from slices across the direction of largest variance, or with ``init`` = "random" from a
     random partition by the column ``key``."""
     df = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
@@ -142,7 +143,7 @@ def _maximised(sums_of, p: int, k: int, alpha: float | str, max_iter: int, tol:
         now = model
         sums, ll = sums_of(k, now.responsibilities)
         now.loglik, now.n_iter = ll, t
-        if abs(ll - before) < tol:
+        if abs(ll - before) < tol * max(1.0, n / 1000):
             now.converged = True
             return now
         before = ll

@@ -84,23 +84,35 @@ def moments_of(df: DataFrame, inputs: Sequence[Column], y: str, build: Callable[
     """``moments`` of the ``width`` columns that ``build`` makes of the inputs, batch by batch."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            z = build(_matrix(batch))
-            own = np.concatenate(([len(z)], z.sum(axis=0), len(z) * z.var(axis=0) + len(z) * z.mean(axis=0) ** 2)) if len(z) else np.zeros(2 * width + 1)
-            total = own if total is None else total + own
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "v"])
-
-    rows = _inputs(df, inputs, y, None).mapInArrow(add, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
-    if not rows.num_rows:
-        return np.zeros(width), np.ones(width)
-    sums = np.zeros(2 * width + 1)
-    sums[rows.column("k").to_numpy()] = rows.column("v").to_numpy()
-    mean = sums[1 : width + 1] / max(sums[0], 1)
-    scale = np.sqrt(np.maximum(sums[width + 1 :] / max(sums[0], 1) - mean**2, 0))
-    scale[~(scale > 1e-7 * np.maximum(1, np.abs(mean)))] = 1.0
-    return mean, scale
+        own = [(len(z), z.mean(axis=0), z.var(axis=0) * len(z)) for z in (build(_matrix(b)) for b in batches) if len(z)]
+        if own:
+            n, mean, square = merged(*map(np.array, zip(*own, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(np.full(width, n)), pa.array(mean), pa.array(square)], names=["k", "n", "mean", "square"])
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        n, mean, square = merged(table.column("n").to_numpy(), *(table.column(c).to_numpy()[:, None] for c in ("mean", "square")))
+        return pa.table({"k": [key[0].as_py()], "n": [float(n)], "mean": mean, "square": square})
+
+    kind = "k long, n double, mean double, square double"
+    rows = _inputs(df, inputs, y, None).mapInArrow(add, kind).groupBy("k").applyInArrow(merge, kind).toArrow()
+    mean, scale = np.zeros(width), np.ones(width)
+    if rows.num_rows:
+        at = rows.column("k").to_numpy()
+        mean[at] = rows.column("mean").to_numpy()
+        scale[at] = np.sqrt(rows.column("square").to_numpy() / rows.column("n").to_numpy())
+    return mean, or_one(scale, mean)
+
+
+def merged(n: np.ndarray, mean: np.ndarray, square: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Number, mean and sum of squared deviations of parts together (Chan, Golub and LeVeque, 1979), column by column."""
+    total = float(n.sum())
+    whole = (n[:, None] * mean).sum(axis=0) / total
+    return total, whole, square.sum(axis=0) + (n[:, None] * (mean - whole) ** 2).sum(axis=0)
+
+
+def or_one(scale: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Deviations, 1 for columns that rounding alone tells from constants."""
+    return np.where(scale > 1e-12 * np.maximum(1, np.abs(mean)), scale, 1.0)
 
 
 def gram_of_built(df: DataFrame, inputs: Sequence[Column], y: str, fold: str | None, build: Callable[[np.ndarray], np.ndarray], width: int) -> dict[int, Gram]:
@@ -165,6 +177,11 @@ def fit_stats(n: float, k: int, sse: float, sst: float) -> dict[str, float | Non
 def fit_stats_frame(df: DataFrame, y: str, fitted: str, k: int) -> DataFrame:
     """The same as ``fit_stats`` in one aggregation over rows with a response and a fitted value; one row."""
     s = df.where(F.col(y).isNotNull() & F.col(fitted).isNotNull()).agg(F.count("*").cast("double").alias("n"), F.sum(F.pow(F.col(y) - F.col(fitted), F.lit(2.0))).alias("sse"), (F.var_pop(y) * F.count("*")).alias("sst"))
+    return with_fit_stats(s, F.lit(k))
+
+
+def with_fit_stats(s: DataFrame, k: Column) -> DataFrame:
+    """Adds R2, adjusted R2, log-likelihood, BIC and AIC to rows of ``n``, ``sse`` and ``sst``."""
     sigma2 = F.greatest(F.col("sse") / F.col("n"), F.lit(1e-300))
     s = s.withColumn("r2", F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(0.0))
     s = s.withColumn("adj_r2", F.when(F.col("n") - k - 1 > 0, 1 - (1 - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - k - 1)))

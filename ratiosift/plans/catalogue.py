@@ -676,8 +676,6 @@ def comparison_results(spark, sf_dir):
     """Every method's fit on the same planted rows, one row each."""
     df = planted(spark, sf_dir, 3)
     fitted = estimators.compare(df, ["x0", "x1", "x2"], "y", "o_orderkey", ["poly_lasso", "poly_omp", "sparse_poly_stlsq", "improved_stlsq", "poly_knockoff"])
-    out = None
-    for m in fitted.values():
-        own = m.result(df, "y").select("method", "n_selected", "selected_names", r("r2").alias("r2"), r("bic", 2).alias("bic"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    names = {k: "|".join(t.name(m.features) for t, c in zip(m.terms, m.coef, strict=True) if c) for k, m in fitted.items()}
+    found = spark.createDataFrame([(k, len(m.terms), names[k]) for k, m in fitted.items()], "method string, n_selected int, selected_names string")
+    return found.join(estimators.scored(fitted, df, "y"), "method").select("method", "n_selected", "selected_names", r("r2").alias("r2"), r("bic", 2).alias("bic"))
