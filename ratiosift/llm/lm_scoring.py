@@ -328,7 +328,7 @@ def train(spark: SparkSession, texts: DataFrame, scratch: Scratch) -> Model:
     told = lambda df: {r.shard: json.loads(r.info) for r in df.select("shard", "info").collect()}  # noqa: E731  a few numbers for each shard
     by_shard = lambda found, name, sign=1: np.array([found.get(k if sign > 0 else -1 - k, {}).get(name, 0) for k in range(shards)], np.int64)
 
-    found = told(texts.mapInArrow(tidy(_count_words(shards)), _ROWS).groupBy("shard").applyInArrow(_merge_words(root), _ROWS))
+    found = told(texts.mapInArrow(tidy(_count_words(shards)), _ROWS).repartition(shards, "shard").groupBy("shard").applyInArrow(_merge_words(root), _ROWS))
     model = Model(root, shards, by_shard(found, "n"), tokens=sum(x["tokens"] for x in found.values()))
     if not model.tokens:
         return model
@@ -337,8 +337,8 @@ def train(spark: SparkSession, texts: DataFrame, scratch: Scratch) -> Model:
     bounds = model.bounds = np.array([(model.vocabulary + 1) * k // shards for k in range(shards + 1)], np.int64)
     # Every shard of statistics gets a row, so that each has its file.
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"), F.lit("successor").alias("info"))
-    pairs = texts.mapInArrow(tidy(_count_pairs(model)), _ROWS).groupBy("shard").applyInArrow(_merge_pairs(root, bounds), _ROWS)
-    found = told(pairs.union(every).groupBy("shard").applyInArrow(_merge_statistics(root, bounds), _ROWS))
+    pairs = texts.mapInArrow(tidy(_count_pairs(model)), _ROWS).repartition(shards, "shard").groupBy("shard").applyInArrow(_merge_pairs(root, bounds), _ROWS)
+    found = told(pairs.union(every).repartition(shards, "shard").groupBy("shard").applyInArrow(_merge_statistics(root, bounds), _ROWS))
     model.pairs, model.over = by_shard(found, "n", -1), by_shard(found, "over", -1)
     high = np.sum([x["of"] for k, x in found.items() if k < 0], axis=0).tolist()
     low = np.sum([x["of"] for k, x in found.items() if k >= 0], axis=0).tolist()
