@@ -7,7 +7,7 @@ Spark adds those of all tasks. The rows do not change, so lineage does not grow.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from statistics import NormalDist
 
 import numpy as np
@@ -85,6 +85,45 @@ def _sums(df: DataFrame, columns: Sequence[str], k: int, weigh) -> tuple[np.ndar
     return out[:-1].reshape(k, p, p), float(out[-1])
 
 
+def _rowwise(df: DataFrame, columns: Sequence[str], keep: Sequence[str], made: str, compute) -> DataFrame:
+    """``keep`` and what ``compute`` gives for the rows of ``columns`` as matrices, in tasks; rows with a null are left out."""
+    data = df.select(*keep, *(F.col(c).cast("double").alias(f"__x{j}") for j, c in enumerate(columns))).dropna(subset=[f"__x{j}" for j in range(len(columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy() for c in batch.columns[len(keep) :]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *compute(x)], names=[*keep, *names])
+
+    names = [f.split()[0] for f in made.split(", ")]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema.fields[: len(keep)])
+    return data.mapInArrow(run, ", ".join(x for x in (kept, made) if x))
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def with_responsibilities(df: DataFrame, columns: Sequence[str], model: Mixture, keep: Sequence[str]) -> DataFrame:
+    """``keep``, ``responsibilities`` (of each component) and ``loglik`` of each row."""
+
+    def compute(x: np.ndarray) -> list[pa.Array]:
+        share, loglik = model.responsibilities(x)
+        return [_lists(share), pa.array(loglik)]
+
+    return _rowwise(df, columns, keep, "responsibilities array<double>, loglik double", compute)
+
+
+def with_conditional_means(df: DataFrame, columns: Sequence[str], model: Mixture, known: Sequence[int], keep: Sequence[str]) -> DataFrame:
+    """``keep`` and ``means``: of the columns not ``known``, given those that are."""
+    return _rowwise(df, [columns[j] for j in known], keep, "means array<double>", lambda x: [_lists(model.conditional(known, x)[0])])
+
+
+def scored(df: DataFrame, columns: Sequence[str], model: Mixture) -> Mixture:
+    """The mixture with the log-likelihood and number of these rows, as ``bic`` needs them."""
+    sums, loglik = _sums(df.dropna(subset=list(columns)), columns, len(model.weight), lambda x, _: model.responsibilities(x))
+    return replace(model, loglik=loglik, n=float(sums[:, 0, 0].sum()))
+
+
 def _maximise(sums: np.ndarray, alpha: float, reg: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mass = np.maximum(sums[:, 0, 0], 1e-10)
     mean = sums[:, 0, 1:] / mass[:, None]

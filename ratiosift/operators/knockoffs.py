@@ -34,6 +34,11 @@ def s_values(cov: np.ndarray, reg: float = 1e-10) -> np.ndarray:
     return np.clip(np.full(len(cov), min(2 * low, float(np.diag(cov).min()) - reg)), reg, None)
 
 
+def s_values_bound(cov: np.ndarray, reg: float = 1e-10) -> np.ndarray:
+    """As ``s_values``, from Gershgorin's bound instead of the smallest eigenvalue: needs no decomposition."""
+    return np.clip(np.full(len(cov), min(2 * gershgorin(cov), float(np.diag(cov).min()) - reg)), reg, None)
+
+
 def s_values_conditional(cov: np.ndarray) -> np.ndarray:
     low = float(np.linalg.eigvalsh(cov)[0])
     return np.clip(np.minimum(min(2 * low, 1.0), 2 * np.diag(cov) - 1e-10), 1e-10, None)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import warnings
+
 import numpy as np
 
 from .stats import Gram, total
@@ -57,6 +59,11 @@ def lasso(g: np.ndarray, c: np.ndarray, penalty: float, start: np.ndarray | None
             continue
         if settled and b[j] == 0 and outside[j] <= 1e-7 * max(1.0, penalty):
             break
+    else:
+        slope = g @ b - c
+        gap = np.where(b == 0, np.maximum(np.abs(slope) - penalty, 0), np.abs(slope + penalty * np.sign(b)))[usable]
+        if gap.max(initial=0.0) > 1e-4 * max(penalty, float(np.abs(c).max(initial=0.0))):
+            warnings.warn(f"lasso stopped after {rounds} rounds, {gap.max():.3g} from optimal", RuntimeWarning, stacklevel=2)
     return b
 
 

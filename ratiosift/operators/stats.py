@@ -13,17 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Written
 
-def moments(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Means and population standard deviations, those of constant columns as 1, in one pass."""
-    row = df.agg(*(F.avg(c) for c in columns), *(F.stddev_pop(c) for c in columns)).first()
+
+def moments(df: DataFrame, columns: Sequence[str], ddof: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Means and standard deviations (population, or sample with ``ddof`` 1), those of constant columns as 1, in one pass."""
+    deviation = F.stddev_samp if ddof else F.stddev_pop
+    row = df.agg(*(F.avg(c) for c in columns), *(deviation(c) for c in columns)).first()
     value = np.array([np.nan if v is None else v for v in row], float).reshape(2, -1)
-    scale = value[1].copy()
-    scale[~(scale > 1e-12 * np.maximum(1, np.abs(value[0])))] = 1.0
-    return value[0], scale
+    return value[0], or_one(value[1], value[0])
 
 
 def standardised(columns: Sequence[str], mean: np.ndarray, scale: np.ndarray) -> list[Column]:
@@ -153,6 +154,23 @@ def total(grams: dict[int, Gram]) -> Gram:
     return Gram(sum(g.a for g in grams.values()))
 
 
+def in_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str], written: Written) -> DataFrame:
+    """Adds ``before_<c>`` for each column of ``sums``: its sum over all rows before this one in ``order`` (which must tell
+    rows apart). Rows are dealt into ranges and written once, so that both passes see the same ranges; then only the
+    ranges' sums meet, a row for each range."""
+    spark = df.sparkSession
+    columns = [c.alias(f"__order{k}") for k, c in enumerate(order)]
+    names = [f"__order{k}" for k in range(len(order))]
+    dealt = df.select("*", *columns).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *names)
+    dealt = written.keep(dealt.withColumn("__range", F.spark_partition_id()))
+    whole = dealt.groupBy("__range").agg(*(F.sum(c).alias(f"__sum_{c}") for c in sums))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("__range", *(F.coalesce(F.sum(f"__sum_{c}").over(earlier), F.lit(0)).alias(f"__base_{c}") for c in sums))
+    own = Window.partitionBy("__range").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.select("*", *(F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"__own_{c}") for c in sums)).join(F.broadcast(whole), "__range")
+    return out.select(*df.columns, *((F.col(f"__base_{c}") + F.col(f"__own_{c}")).alias(f"before_{c}") for c in sums))
+
+
 def contiguous_fold(order: Column, n: int, folds: int) -> Column:
     """Fold of a row by its place (from 0) among ``n`` rows: consecutive, the first ``n % folds`` folds one row longer."""
     small, longer = n // folds, n % folds

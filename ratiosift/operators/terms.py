@@ -52,8 +52,9 @@ def dictionary(p: int, degree: int = 2, bias: bool = True, interactions: bool =
     return terms + [Term()] * bias
 
 
-def n_terms(p: int, degree: int, bias: bool = True, interactions: bool = True) -> int:
-    return 2 * p * degree + interactions * p * (p - 1) * degree * (degree - 1) + bias
+def n_terms(p: int | Column, degree: int | Column, bias: bool = True, interactions: bool = True) -> int | Column:
+    """Number of terms; of numbers or of columns."""
+    return 2 * p * degree + int(interactions) * p * (p - 1) * degree * (degree - 1) + int(bias)
 
 
 def term_column(term: Term, features: Sequence[Column], clip: float = CLIP) -> Column:

@@ -12,6 +12,8 @@ from ..functions import keyed, scalars
 from ..functions.keyed import sql_normal, sql_uniform
 from ..operators import estimators, evaluate, fdr, gmm, knockoffs, solvers, stats
 from ..operators.terms import Term, dictionary, expand, linear, n_terms, terms_table
+from ..sources import tables
+from ..sources.scratch import Written
 from . import simulate, sweep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,23 +84,23 @@ def poly_interactions_d3(spark, sf_dir):
     return _pair_query(spark, sf_dir, 3)
 
 
-@query("""WITH s AS (SELECT DISTINCT p_size AS p FROM part WHERE p_size BETWEEN 1 AND 12), d AS (SELECT unnest(range(1, 5)) AS d)
+@query("""WITH s AS (SELECT DISTINCT p_size AS p FROM part), d AS (SELECT unnest(range(1, 5)) AS d)
 SELECT p::INT AS p, d::INT AS degree, (2*p*d + p*(p-1)*d*(d-1) + 1)::BIGINT AS n_terms FROM s, d""")
 def n_expanded_formula(spark, sf_dir):
-    sizes = table(spark, sf_dir, "part").where("p_size between 1 and 12").select(F.col("p_size").alias("p")).distinct()
-    p, d = F.col("p").cast("long"), F.col("degree")
-    return sizes.withColumn("degree", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("n_terms", 2 * p * d + p * (p - 1) * d * (d - 1) + 1)
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").alias("p")).distinct()
+    return sizes.withColumn("degree", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("n_terms", n_terms(F.col("p").cast("long"), F.col("degree")))
 
 
 @query("""WITH e AS (SELECT unnest([-2,-1,1,2]) AS e), f AS (SELECT column_name AS name, row_number() OVER (ORDER BY column_name) - 1 AS i FROM (VALUES ('p_retailprice'), ('p_size')) v(column_name)),
-m AS (SELECT i::VARCHAR || '^' || e AS term_key FROM f, e), x AS (SELECT a.i || '^' || ea.e || '*' || b.i || '^' || eb.e AS term_key FROM f a, f b, e ea, e eb WHERE a.i < b.i AND abs(ea.e) + abs(eb.e) <= 2),
-t AS (SELECT term_key FROM m UNION ALL SELECT term_key FROM x UNION ALL SELECT '1')
-SELECT p_brand, term_key, count(*) AS n FROM t, part GROUP BY ALL""")
+o AS (SELECT i, e, name || CASE WHEN e = 1 THEN '' WHEN e > 0 THEN '^' || e ELSE '^(' || e || ')' END AS name FROM f, e),
+m AS (SELECT i::VARCHAR || '^' || e AS term_key, name FROM o), x AS (SELECT a.i || '^' || a.e || '*' || b.i || '^' || b.e AS term_key, a.name || '*' || b.name AS name FROM o a, o b WHERE a.i < b.i AND abs(a.e) + abs(b.e) <= 2),
+t AS (SELECT * FROM m UNION ALL SELECT * FROM x UNION ALL SELECT '1', '1')
+SELECT p_brand, term_key, name, count(*) AS n FROM t, part GROUP BY ALL""")
 def dictionary_terms(spark, sf_dir):
     names = ["p_retailprice", "p_size"]
-    terms = terms_table(spark, dictionary(2, 2), names).select("term_key")
+    terms = terms_table(spark, dictionary(2, 2), names).select("term_key", "name")
     brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    return brands.crossJoin(F.broadcast(terms)).select("p_brand", "term_key", "n")  # a dictionary of two features
+    return brands.crossJoin(F.broadcast(terms)).select("p_brand", "term_key", "name", "n")  # a dictionary of two features
 
 
 # --- Moments ---------------------------------------------------------------------------------------------------------
@@ -118,8 +120,8 @@ def standardize_ddof0(spark, sf_dir):
 @query(_standard_sql("stddev_samp"))
 def standardize_ddof1(spark, sf_dir):
     df = table(spark, sf_dir, "part")
-    s = df.agg(F.avg("p_retailprice").alias("m"), F.stddev_samp("p_retailprice").alias("s"))
-    return df.crossJoin(F.broadcast(s)).select("p_partkey", r((F.col("p_retailprice") - F.col("m")) / F.col("s")).alias("z"))  # one row
+    mean, scale = stats.moments(df, ["p_retailprice"], ddof=1)
+    return df.select("p_partkey", *stats.standardised(["p_retailprice"], mean, scale)).select("p_partkey", r("p_retailprice").alias("z"))
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean_quantity, round(var_pop(l_quantity), 4) AS var_quantity,
@@ -128,8 +130,8 @@ def column_moments(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), r(F.avg("l_quantity")).alias("mean_quantity"), r(F.var_pop("l_quantity"), 4).alias("var_quantity"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), r(F.stddev_samp("l_tax")).alias("sd_tax"))
 
 
-_DIMS = 8
-_EMB = "SELECT " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(_DIMS)) + " FROM embeddings"
+_DIMS = 64
+_COV = f"l AS (SELECT vec_id, unnest(range({_DIMS})) AS i, unnest(embedding[1:{_DIMS}])::DOUBLE AS e FROM embeddings), c AS (SELECT a.i, b.i AS j, covar_samp(a.e, b.e) AS c FROM l a JOIN l b USING (vec_id) GROUP BY ALL)"
 
 
 def _embedded(spark, sf_dir, dims: int = _DIMS) -> DataFrame:
@@ -142,7 +144,7 @@ def _long(spark: SparkSession, matrix: np.ndarray, name: str) -> DataFrame:
     return spark.createDataFrame(rows, f"i int, j int, {name} double")
 
 
-@query(f"WITH e AS ({_EMB}) " + " UNION ALL ".join(f"SELECT {i}::INT AS i, {j}::INT AS j, round(covar_samp(e{i}, e{j}), 8) AS cov FROM e" for i in range(_DIMS) for j in range(_DIMS)))
+@query(f"WITH {_COV} SELECT i::INT AS i, j::INT AS j, round(c, 8) AS cov FROM c")
 def covariance_long(spark, sf_dir):
     _, cov, _ = knockoffs.covariance(_embedded(spark, sf_dir), [f"e{k}" for k in range(_DIMS)])
     return _long(spark, cov, "cov").withColumn("cov", r("cov", 8))
@@ -179,7 +181,7 @@ def xty_screen_topk(spark, sf_dir):
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "name")))
 
 
-_GERSH = f"WITH e AS ({_EMB}), c AS (" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, covar_samp(e{i}, e{j}) AS c FROM e" for i in range(_DIMS) for j in range(_DIMS)) + ")"
+_GERSH = f"WITH {_COV}"
 
 
 @query(_GERSH + " SELECT round(min(d), 8) AS bound FROM (SELECT i, sum(CASE WHEN i = j THEN c ELSE -abs(c) END) AS d FROM c GROUP BY i)")
@@ -192,8 +194,7 @@ def gershgorin_bound(spark, sf_dir):
 SELECT i::INT AS i, round(greatest(1e-10::DOUBLE, least(2 * low, v - 1e-10::DOUBLE)), 8) AS s FROM c, b, m WHERE i = j""")
 def s_values_gershgorin(spark, sf_dir):
     _, cov, _ = knockoffs.covariance(_embedded(spark, sf_dir), [f"e{k}" for k in range(_DIMS)])
-    s = max(1e-10, min(2 * knockoffs.gershgorin(cov), float(np.diag(cov).min()) - 1e-10))
-    return spark.createDataFrame([(k, s) for k in range(_DIMS)], "i int, s double").withColumn("s", r("s", 8))
+    return spark.createDataFrame([(k, float(s)) for k, s in enumerate(knockoffs.s_values_bound(cov))], "i int, s double").withColumn("s", r("s", 8))
 
 
 # --- Planted responses -----------------------------------------------------------------------------------------------
@@ -296,14 +297,14 @@ def stlsq_threshold_mask(spark, sf_dir):
 
 # --- Mixtures --------------------------------------------------------------------------------------------------------
 
-_LOGPDF = " + ".join(f"pow(e{k} - 0.01::DOUBLE * {k}, 2) / 0.04::DOUBLE" for k in range(4))
+_LOGPDF = " + ".join(f"pow(e{k} - 0.01::DOUBLE * {k}, 2) / 0.04::DOUBLE" for k in range(_DIMS))
 
 
-@query(f"SELECT vec_id, round(-0.5::DOUBLE * ({_LOGPDF} + 4 * ln(2 * pi() * 0.04::DOUBLE)), 5) AS logpdf FROM (SELECT vec_id, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(4)) + " FROM embeddings)")
+@query(f"SELECT vec_id, round(-0.5::DOUBLE * ({_LOGPDF} + {_DIMS} * ln(2 * pi() * 0.04::DOUBLE)), 5) AS logpdf FROM (SELECT vec_id, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(_DIMS)) + " FROM embeddings)")
 def gaussian_logpdf_diag(spark, sf_dir):
-    df = _embedded(spark, sf_dir, 4)
-    maha = sum((F.pow(F.col(f"e{k}") - 0.01 * k, F.lit(2.0)) / 0.04 for k in range(4)), F.lit(0.0))
-    return df.select("vec_id", r(-0.5 * (maha + 4 * F.log(2 * F.pi() * 0.04)), 5).alias("logpdf"))
+    normal = gmm.Mixture(np.ones(1), 0.01 * np.arange(_DIMS)[None, :], np.eye(_DIMS)[None] / 0.04)
+    out = gmm.with_responsibilities(_embedded(spark, sf_dir), [f"e{k}" for k in range(_DIMS)], normal, ["vec_id"])
+    return out.select("vec_id", r("loglik", 5).alias("logpdf"))
 
 
 _MIX = gmm.Mixture(np.array([0.4, 0.6]), np.array([[20.0], [60.0]]), np.array([[[1 / 225.0]], [[1 / 400.0]]]))
@@ -313,14 +314,12 @@ _RESP = f"SELECT *, exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b -
 
 def _responsible(spark, sf_dir) -> DataFrame:
     df = table(spark, sf_dir, "events").where("value is not null").select("event_id", F.col("value").cast("double").alias("value"))
-    joint = [F.log(F.lit(float(w))) - 0.5 * (F.log(2 * F.pi() / float(t[0, 0])) + F.pow(F.col("value") - float(m[0]), F.lit(2.0)) * float(t[0, 0])) for w, m, t in zip(_MIX.weight, _MIX.mean, _MIX.precision, strict=True)]
-    df = df.withColumn("a", joint[0]).withColumn("b", joint[1]).withColumn("top", F.greatest("a", "b"))
-    return df.withColumn("ll", F.col("top") + F.log(F.exp(F.col("a") - F.col("top")) + F.exp(F.col("b") - F.col("top")))).withColumn("r0", F.exp(F.col("a") - F.col("ll")))
+    return gmm.with_responsibilities(df, ["value"], _MIX, ["event_id"])
 
 
 @query(f"SELECT event_id, round(r0, 6) AS r0, round(ll, 5) AS loglik FROM ({_RESP})")
 def gmm_responsibilities_k2(spark, sf_dir):
-    return _responsible(spark, sf_dir).select("event_id", r("r0").alias("r0"), r("ll", 5).alias("loglik"))
+    return _responsible(spark, sf_dir).select("event_id", r(F.col("responsibilities")[0]).alias("r0"), r("loglik", 5).alias("loglik"))
 
 
 @query(f"""WITH q AS ({_RESP}), w AS (SELECT 0::INT AS k, r0 AS w, value FROM q UNION ALL SELECT 1, 1 - r0, value FROM q), m AS (SELECT k, sum(w) AS n, sum(w * value) / sum(w) AS m, sum(w * value * value) / sum(w) AS s FROM w GROUP BY k)
@@ -335,14 +334,16 @@ def gmm_mstep_k2(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n, round(avg(ll), 6) AS mean_loglik, round((2 * (1 + 1 + 1.0::DOUBLE) * ln(count(*)) - 2 * sum(ll)) / count(*), 6) AS bic_per_row FROM ({_RESP})")
 def gmm_bic(spark, sf_dir):
-    return _responsible(spark, sf_dir).agg(F.count("*").alias("n"), r(F.avg("ll")).alias("mean_loglik"), r((6.0 * F.log(F.count("*")) - 2 * F.sum("ll")) / F.count("*")).alias("bic_per_row"))
+    m = gmm.scored(table(spark, sf_dir, "events"), ["value"], _MIX)
+    return spark.createDataFrame([(int(round(m.n)), m.loglik / m.n, float(m.bic / m.n))], "n long, mean_loglik double, bic_per_row double").select("n", r("mean_loglik").alias("mean_loglik"), r("bic_per_row").alias("bic_per_row"))
 
 
 @query("WITH s AS (SELECT avg(p_size) AS a, avg(p_retailprice) AS b, covar_samp(p_size, p_retailprice) / var_samp(p_size) AS k FROM part) SELECT p_partkey, round(b + k * (p_size - a), 4) AS mean FROM part, s")
 def conditional_mean_1d(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
     mean, cov, _ = knockoffs.covariance(df, ["a", "b"])
-    return df.select("p_partkey", r(float(mean[1]) + float(cov[0, 1] / cov[0, 0]) * (F.col("a") - float(mean[0])), 4).alias("mean"))
+    normal = gmm.Mixture(np.ones(1), mean[None, :], np.linalg.inv(cov)[None])
+    return gmm.with_conditional_means(df, ["a", "b"], normal, [0], ["p_partkey"]).select("p_partkey", r(F.col("means")[0], 4).alias("mean"))
 
 
 # --- Knockoffs and selection -----------------------------------------------------------------------------------------
@@ -522,9 +523,8 @@ def discovery_edge_cases(spark, sf_dir):
 @query("SELECT (ntile(5) OVER (ORDER BY o_orderkey) - 1)::INT AS fold, o_orderkey FROM orders")
 def kfold_contiguous(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey")
-    parts = df.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("o_orderkey", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k"))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row for each partition
-    return parts.join(F.broadcast(sizes), "part").select(stats.contiguous_fold(F.col("base") + F.col("k"), df.count(), 5).alias("fold"), "o_orderkey")
+    placed = stats.in_order(df.withColumn("one", F.lit(1)), [F.col("o_orderkey")], ["one"], Written(spark))
+    return placed.select(stats.contiguous_fold(F.col("before_one"), df.count(), 5).alias("fold"), "o_orderkey")
 
 
 _TRIALS = f"SELECT o_orderkey AS id, o_orderpriority AS config, 'm' || (o_orderkey % 4) AS method, round({sql_uniform('o_orderkey', 11, 'r2')}, 4) AS r2, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE round({sql_uniform('o_orderkey', 11, 'fdr')}, 4) END AS fdr FROM orders"
@@ -563,6 +563,18 @@ def config_grid(spark, sf_dir):
     return p.crossJoin(k).withColumn("degree", F.explode(F.array(*(F.lit(d) for d in (1, 2, 3))))).where("k < 2 * degree * p")  # a grid of parameters: 50 by 25 by 3 at most
 
 
+@query(f"SELECT method, config AS dataset, CAST(id AS VARCHAR) || '|m' AS selected_names, round(r2 - 0.5::DOUBLE, 4) AS intercept, r2 AS fit_r2, CASE WHEN r2 > 0.9 THEN NULL ELSE 10 * r2 END AS fit_sse, fdr AS discovery_fdr, id % 5 AS discovery_n_tp FROM ({_TRIALS})")
+def result_json_roundtrip(spark, sf_dir):
+    """Results written as JSON and read again; NaN comes back as null."""
+    t, null = _trials(spark, sf_dir), lambda kind: F.lit(None).cast(kind)
+    fit = F.struct(null("double").alias("n"), null("int").alias("k"), F.when(F.col("r2") > 0.9, float("nan")).otherwise(10 * F.col("r2")).alias("sse"), "r2", null("double").alias("adj_r2"), null("double").alias("bic"), null("double").alias("aic"))
+    found = F.struct((F.col("id") % 5).cast("long").alias("n_tp"), null("long").alias("n_fp"), null("long").alias("n_fn"), "fdr", null("double").alias("tpr"))
+    made = t.select("method", F.col("config").alias("dataset"), F.array(F.col("id").cast("string"), F.lit("m")).alias("selected_names"), F.array().cast("array<double>").alias("coef"), r(F.col("r2") - 0.5, 4).alias("intercept"), fit.alias("fit"), found.alias("discovery"), F.struct(null("double").alias("elapsed_seconds")).alias("compute"), F.lit(None).cast("map<string, string>").alias("params"))
+    path = Written(spark).path()
+    tables.write_json(made, path)
+    return tables.flat(tables.read_json(spark, path)).select("method", "dataset", "selected_names", "intercept", "fit_r2", "fit_sse", "discovery_fdr", "discovery_n_tp")
+
+
 # --- Generators ------------------------------------------------------------------------------------------------------
 
 
@@ -584,18 +596,17 @@ def hetero_noise(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r(simulate.heteroscedastic("p_partkey", 14, "p_size", 0.5), 5).alias("noise"))
 
 
-@query("WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings) SELECT vec_id, round(x + greatest(0, 0.5::DOUBLE - (SELECT min(x) FROM e) + 1e-9::DOUBLE), 6) AS x FROM e")
+@query("SELECT vec_id, " + ", ".join(f"round(embedding[{k + 1}]::DOUBLE + greatest(0, 0.5::DOUBLE - (SELECT min(embedding[{k + 1}]::DOUBLE) FROM embeddings) + 1e-9::DOUBLE), 6) AS e{k}" for k in range(_DIMS)) + " FROM embeddings")
 def positive_shift(spark, sf_dir):
-    return simulate.shifted(_embedded(spark, sf_dir, 1), ["e0"], 0.5).select("vec_id", r("e0").alias("x"))
+    names = [f"e{k}" for k in range(_DIMS)]
+    return simulate.shifted(_embedded(spark, sf_dir), names, 0.5).select("vec_id", *(r(c).alias(c) for c in names))
 
 
 @query("SELECT split, count(*) AS n, round(avg(p_retailprice), 4) AS mean, count(y) AS n_labeled FROM (SELECT p_retailprice, 'labeled' AS split, p_size AS y FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_retailprice, 'unlabeled', NULL FROM part WHERE p_partkey % 3 = 0) GROUP BY split")
 def union_unlabeled(spark, sf_dir):
-    from ..sources import tables as src
-
     part = table(spark, sf_dir, "part")
-    own = src.from_frame(part.where("p_partkey % 3 <> 0"), ["p_retailprice"], "p_size", key="p_partkey")
-    both = src.union_unlabeled(own, part.where("p_partkey % 3 = 0")).data
+    own = tables.from_frame(part.where("p_partkey % 3 <> 0"), ["p_retailprice"], "p_size", key="p_partkey")
+    both = tables.union_unlabeled(own, part.where("p_partkey % 3 = 0")).data
     return both.groupBy("split").agg(F.count("*").alias("n"), r(F.avg("p_retailprice"), 4).alias("mean"), F.count("y").alias("n_labeled"))
 
 
@@ -656,7 +667,7 @@ def improved_stlsq_fit(spark, sf_dir):
 
 @query()
 def gmm_fit(spark, sf_dir):
-    m = gmm.fit(_embedded(spark, sf_dir, 6), [f"e{k}" for k in range(6)], "vec_id", k=2, max_iter=20)
+    m = gmm.fit(_embedded(spark, sf_dir), [f"e{k}" for k in range(_DIMS)], "vec_id", k=2, max_iter=20)
     rows = [(k, float(m.weight[k]), m.mean[k].tolist(), m.precision[k].tolist()) for k in range(2)]
     return spark.createDataFrame(rows, "k int, weight double, mean array<double>, precision array<array<double>>")
 

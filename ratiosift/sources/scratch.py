@@ -29,9 +29,12 @@ class Written:
         self.spark = spark
         self.paths: list[str] = []
 
+    def path(self) -> str:
+        self.paths.append(f"{_root(self.spark)}/fit-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{_root(self.spark)}/fit-{uuid.uuid4().hex}"
-        self.paths.append(path)
+        path = self.path()
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

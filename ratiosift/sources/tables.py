@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,9 +151,44 @@ RESULT = _STRUCT(
 )
 
 
+def finite(df: DataFrame) -> DataFrame:
+    """NaN and infinities become null, in structs too."""
+
+    def clean(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*(clean(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: clean(x, kind.elementType))
+        return c
+
+    return df.select(*(clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
+
+
+def rounded(df: DataFrame, digits: int = 10) -> DataFrame:
+    """Numbers with a fraction to ``digits`` decimals, as reports show them."""
+    return df.select(*(F.round(f"`{f.name}`", digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields))
+
+
+def stamped(df: DataFrame, column: str = "run_at") -> DataFrame:
+    """Adds the time of the run, one for all rows."""
+    return df.withColumn(column, F.current_timestamp())
+
+
+def write_table(df: DataFrame, path: str, append: bool = False) -> None:
+    """A table as Parquet. ``append`` adds to what an earlier run wrote: with ``done_before`` a stopped sweep goes on."""
+    df.write.mode("append" if append else "error").parquet(path)
+
+
+def write_report(df: DataFrame, path: str, digits: int = 8) -> None:
+    """A summary or pivot table as CSV: decimals cut to ``digits``, NaN empty."""
+    rounded(finite(df), digits).coalesce(1).write.csv(path, header=True)  # a row for each configuration
+
+
 def write_json(results: DataFrame, path: str) -> None:
     """Nulls stand for NaN and infinities."""
-    results.write.json(path, ignoreNullFields=False)
+    finite(results).write.json(path, ignoreNullFields=False)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
