@@ -4,11 +4,12 @@ Words (letters, digits and characters beyond ASCII, with A-Z lower-cased) are sp
 class has its own interpolated Kneser-Ney model for orders ``ORDER`` to ``SHARED + 1`` over the bytes; below that, both
 back off to the same counts of the whole sample, so that spellings a class has not seen are judged by what both share,
 and inflections of a known stem by the stem. A text's evidence is the difference of the two log-likelihoods divided by
-its number of words, over the whole text and over its most toxic run of ``RUN`` words; a logistic curve, fitted on
-labelled rows the models have not seen, turns it into a probability.
+the number of words: over the whole text, and over its ``MOST`` most toxic words (the logarithm of one and that mean, so
+that one very clear word and several likely ones both tell). A logistic curve turns it into a probability.
 
-At most about ``ROWS`` labelled rows a class are used, picked by a hash of the id: two of three for the models, the rest
-for the curve. Their n-grams are counted in Spark. Every text is scored whole. Null and empty texts get the curve's value
+At most about ``ROWS`` labelled rows a class are used, picked by a hash of the id. Models of two thirds of them give the
+evidence of the last third, on which the curve is fitted; texts are scored by models of all of them. Words are judged one
+by one: expressions of several ordinary words are not modelled. N-grams are counted in Spark. Every text is scored whole. Null and empty texts get the curve's value
 for no evidence. Without labels of both classes every score is the share of label 1 (0.5 without labels).
 """
 
@@ -27,7 +28,7 @@ from .textkernel import ALNUM, Words, blocks, distinct, lowered, padded, release
 
 ORDER, SHARED = 6, 2
 ROWS = 6_000
-RUN = 64
+MOST = (1, 2, 4, 8, 16)
 THRESHOLD = 0.3
 MOD, OUT = 4, 2
 _DISCOUNT = 0.75
@@ -47,19 +48,19 @@ def _grams(w: Words, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        label = batch.column(1).to_numpy()
+        label = batch.column(1).to_numpy() + 2 * batch.column(2).to_numpy()
         data, offsets = text_bytes(batch.column(0))
         for i, j, own, at in blocks(data, offsets):
             w = Words(own, at, ALNUM)
             of = np.repeat(label[i:j], w.counts)
-            for k in (0, 1):
+            for k in range(4):
                 mine = np.flatnonzero(of == k)
                 if len(mine):
                     _, where, n = np.unique(w.hash[mine], return_index=True, return_counts=True)
                     grams, begin = _grams(w, mine[where])
                     times = np.repeat(n, np.diff(np.append(begin, len(grams))))
                     keys, back = np.unique(grams, return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys), pa.array(np.bincount(back, times).astype(np.int64))], names=["label", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k % 2), pa.int32()), pa.array(np.full(len(keys), k // 2), pa.int32()), pa.array(keys), pa.array(np.bincount(back, times).astype(np.int64))], names=["label", "third", "gram", "n"])
 
 
 class KneserNey:
@@ -115,21 +116,18 @@ class KneserNey:
         return out
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each text of a block: mean gain a word, the highest mean over a run of words, log of the word count."""
+        """For each text of a block: mean gain a word, and 1 + the mean of the most toxic words' gains on a log scale."""
         w = Words(data, offsets, ALNUM)
         where, inverse = distinct(w)
         if not len(where):
-            return np.zeros((len(offsets) - 1, 3))
+            return np.zeros((len(offsets) - 1, 1 + len(MOST)))
         grams, begin = _grams(w, where)
         gain = np.add.reduceat(self.gains(grams), begin)[inverse].astype(float)
         n = np.maximum(w.counts, 1)
-        total = np.concatenate(([0.0], np.cumsum(gain)))
-        ends = np.repeat(w.first[1:], w.counts)
-        run = total[np.minimum(np.arange(len(gain)) + RUN, ends)] - total[:-1]
-        best = np.zeros(len(n))
-        some = w.counts > 0
-        best[some] = np.maximum.reduceat(run, w.first[:-1][some])
-        return np.column_stack((text_sums(w, gain) / n, np.maximum(best, 0) / np.minimum(n, RUN), np.log1p(w.counts)))
+        toxic = gain[np.lexsort((-gain, w.texts()))]  # within each text the most toxic word first
+        total = np.concatenate(([0.0], np.cumsum(toxic)))
+        top = [(total[np.minimum(w.first[:-1] + k, w.first[1:])] - total[w.first[:-1]]) / k for k in MOST]
+        return np.column_stack((text_sums(w, gain) / n, *(np.log1p(np.maximum(x, 0)) for x in top)))
 
 
 class Toxicity:
@@ -148,28 +146,33 @@ class Toxicity:
 def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, rows: int = ROWS) -> Toxicity:
     scratch = Scratch(spark, "toxicity")
     sample = scratch.keep(labelled_sample(documents, labels, "toxic", MOD, OUT, rows), "sample")
-    third = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
-    counted = sample.where(~third).select("text", "label").mapInArrow(tidy(_count), "label int, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
+    third = (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).cast("int")
+    counted = sample.select("text", "label", third).mapInArrow(tidy(_count), "label int, third int, gram long, n long").groupBy("label", "gram")
+    counted = counted.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("third") == 0, F.col("n")).otherwise(0)).alias("seen")).toArrow()
     shares = {r.label: r.n for r in sample.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
-    label = counted.column("label").to_numpy()
-    if len(shares) < 2 or len(np.unique(label)) < 2:
+    label, gram, n, seen = (counted.column(c).to_numpy() for c in ("label", "gram", "n", "seen"))
+    some = seen > 0
+    if len(shares) < 2 or len(np.unique(label[some])) < 2:
         scratch.close()
         return Toxicity(None, None, 0.5 if not shares else float(shares.get(1, 0) / sum(shares.values())))
-    model = KneserNey(label, counted.column("gram").to_numpy(), counted.column("n").to_numpy())
-    del counted, label
-    release()
-    given = spark.sparkContext.broadcast(model)
+    given = spark.sparkContext.broadcast(KneserNey(label[some], gram[some], seen[some]))
+
+    names = [f"e{k}" for k in range(1 + len(MOST))]
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for i, j, own, at in blocks(data, offsets):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, given.value.evidence(own, at).T), batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i)], names=["a", "b", "c", "label", "weight"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, given.value.evidence(own, at).T), batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i)], names=[*names, "label", "weight"])
 
-    held = sample.where(third).select("text", "label", "weight").mapInArrow(tidy(evidence), "a double, b double, c double, label int, weight double").toArrow()
-    x = np.column_stack([held.column(c).to_numpy() for c in "abc"])
+    held = sample.where(third == 1).select("text", "label", "weight").mapInArrow(tidy(evidence), ", ".join(f"{c} double" for c in names) + ", label int, weight double").toArrow()
+    x = np.column_stack([held.column(c).to_numpy() for c in names])
+    given.unpersist()
     curve = fit_logistic(x, held.column("label").to_numpy().astype(float), held.column("weight").to_numpy())
+    model = KneserNey(label, gram, n)
+    del counted, label, gram, n, seen, given
     scratch.close()
+    release()
     return Toxicity(model, curve, 0.5)
 
 
