@@ -1,7 +1,7 @@
 """Document quality by supervised subword embeddings (operator 8).
 
-A text is the average of learned vectors of its words (runs of anything but white space, case kept) and of their byte
-n-grams between spaces, all hashed to ``BUCKETS`` rows; a softmax layer on the average gives the class. Vectors and layer
+A text is the average of learned vectors of its words (runs of anything but white space, case kept) and of their
+character n-grams between spaces, all hashed to ``BUCKETS`` rows; a softmax layer on the average gives the class. Vectors and layer
 are trained together by stochastic gradient descent in numpy on at most about ``ROWS`` labelled rows a class, two of three
 of them; a logistic curve fitted on the rest calibrates the result. Training rows are hashed in Spark, and only their
 bucket counts reach the driver. Since the layer is linear, each bucket then counts as one number, and tasks score whole
@@ -27,6 +27,7 @@ from .textkernel import NOT_SPACE, Words, blocks, distinct, mix64, padded, relea
 BUCKETS, DIM, SIZES = 1 << 16, 16, (3, 4, 5)
 ROWS, EPOCHS, BATCH, RATE = 1_500, 6, 32, 0.5
 THRESHOLD = 0.3
+_FACTOR = np.uint64(0x9FB21C651E98DF25)
 MOD, OUT = 5, 0
 
 
@@ -34,15 +35,23 @@ def _buckets(w: Words, where: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarr
     """Pairs of (bucket, number of the word) for these words and their n-grams."""
     yield (w.hash[where] >> np.uint64(48)).astype(np.int64), np.arange(len(where))
     flat, first = padded(w.data, w.start[where], w.end[where], 1, 1)
-    word = np.repeat(np.arange(len(where)), np.diff(first))
-    packed = np.zeros(len(flat), np.uint64)
-    for n in range(1, max(SIZES) + 1):
-        if n <= len(flat):
-            packed[n - 1 :] |= flat[: len(flat) - n + 1].astype(np.uint64) << np.uint64(8 * (n - 1))
-        if n in SIZES:
-            at = np.flatnonzero(word[n - 1 :] == word[: len(word) - n + 1]) + n - 1
-            own = packed[at] & np.uint64((1 << 8 * n) - 1) | np.uint64(n << 56)
-            yield (mix64(own) >> np.uint64(48)).astype(np.int64), word[at]
+    start = np.flatnonzero((flat & 0xC0) != 0x80)  # where characters begin
+    size = np.diff(np.append(start, len(flat)))
+    char = flat[start].astype(np.uint64)
+    for j in range(1, 4):
+        more = np.flatnonzero(size > j)
+        char[more] |= flat[start[more] + j].astype(np.uint64) << np.uint64(8 * j)
+    word = np.repeat(np.arange(len(where)), np.diff(first))[start]
+    for n in SIZES:
+        m = len(char) - n + 1
+        if m > 0:
+            value = np.full(m, n, np.uint64)
+            with np.errstate(over="ignore"):
+                for j in range(n):
+                    value *= _FACTOR
+                    value += char[j : j + m]
+            inside = np.flatnonzero(word[n - 1 :] == word[:m])
+            yield (mix64(value[inside]) >> np.uint64(48)).astype(np.int64), word[inside]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
