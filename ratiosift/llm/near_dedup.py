@@ -49,7 +49,8 @@ SHORT_LIST = 40
 BLOCK = 192
 #: Texts, and shingles of all of them together, in a block of a long list.
 LIST_BLOCK, BLOCK_SHINGLES = 512, 2_000_000
-_COLUMNS = 8192
+_COLUMNS, _PAIRS = 8192, 4096
+_PAD, _NONE = np.uint64((1 << 64) - 1), np.int64((1 << 63) - 1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -114,29 +115,32 @@ def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
     return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _matrix(values: np.ndarray, owner: np.ndarray, column: np.ndarray, rows: int, lo: int) -> np.ndarray:
+def _matrix(owner: np.ndarray, column: np.ndarray, rows: int, lo: int) -> np.ndarray:
     part = (column >= lo) & (column < lo + _COLUMNS)
     m = np.zeros((rows, _COLUMNS), np.float32)
     m[owner[part], column[part] - lo] = 1
     return m
 
 
-def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a table of one or two blocks (``side`` 0 and 1) whose union sketch leaves a link between components
-    possible: pairs across the sides, or within the one block."""
+def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a table of one or two blocks (``side`` 0 and 1), pairs across the sides or within the one block, that are of
+    two components and share enough of their sketches; which of them need no estimate; and all sketches as a matrix."""
     side, comp, n = (table.column(c).to_numpy() for c in ("side", "comp", "n"))
     sketches = [np.frombuffer(x.values.buffers()[1], np.uint64)[x.values.offset : x.values.offset + len(x.values)] for x in table.column("sketch")]
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     one = not len(right)
     right = left if one else right
     values = np.concatenate(sketches)
-    known, column = np.unique(values, return_inverse=True)
-    owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+    _, column = np.unique(values, return_inverse=True)
+    sizes = np.array([len(s) for s in sketches])
+    owner = np.repeat(np.arange(len(sketches)), sizes)
+    padded = np.full((len(sketches), SKETCH), _PAD)
+    padded[owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
     often = np.bincount(column) > 1
     column = np.where(often, np.cumsum(often) - 1, -1)[column]
     shared = np.zeros((len(left), len(right)), np.float32)
     for lo in range(0, int(often.sum()), _COLUMNS):  # the incidence matrix, some columns at a time
-        m = _matrix(values, owner, column, len(sketches), lo)
+        m = _matrix(owner, column, len(sketches), lo)
         shared += m[left] @ m[right].T
     na, nb = n[left][:, None], n[right][None, :]
     whole = (na <= SKETCH) & (nb <= SKETCH)
@@ -145,40 +149,69 @@ def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     if one:
         ok = np.triu(ok, 1)
     i, j = np.nonzero(ok)
-    sure = whole[i, j]
-    i, j = left[i], right[j]
-    for k in np.flatnonzero(~sure).tolist():
-        x, y = sketches[i[k]], sketches[j[k]]
-        both = np.intersect1d(x, y, assume_unique=True)
-        union = np.union1d(x, y)
-        sure[k] = len(both) >= LEAST_IN_UNION and np.count_nonzero(both <= union[min(SKETCH, len(union)) - 1]) >= LEAST_IN_UNION
-    return i[sure], j[sure]
+    here = _first_common(table, left[i], right[j])
+    i, j = i[here], j[here]
+    return left[i], right[j], whole[i, j], padded
+
+
+def _first_common(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs have no long list in common before this one: a pair is looked at in one list only."""
+    lists = [x.values.to_numpy() for x in table.column("lists")]
+    sizes = np.array([len(x) for x in lists])
+    before = np.full((len(lists), int(sizes.max())), _NONE)
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    before[owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.concatenate(lists)
+    v, out = table.column("v")[0].as_py(), np.zeros(len(i), bool)
+    before[before >= v] = _NONE
+    for k in range(0, len(i), _PAIRS):
+        both = np.sort(np.concatenate((before[i[k : k + _PAIRS]], before[j[k : k + _PAIRS]]), axis=1), axis=1)
+        out[k : k + _PAIRS] = ~((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)).any(axis=1)
+    return out
+
+
+def _hopes(padded: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the union sketch of each pair leaves a link possible."""
+    both = np.sort(np.concatenate((padded[i], padded[j]), axis=1), axis=1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _PAD)
+    place = np.cumsum(~again, axis=1)  # of each value in the union, from 1
+    return (again & (place <= SKETCH)).sum(axis=1) >= LEAST_IN_UNION
 
 
 def _hopeful(key: tuple, table: pa.Table) -> pa.Table:
-    """The texts of two blocks that take part in any possible link."""
-    rows = np.unique(np.concatenate(_candidates(table)))
-    return pa.table({"v": pa.array(np.full(len(rows), key[0].as_py()), pa.int64()), "pair": pa.array(np.full(len(rows), key[1].as_py()), pa.int64())} | {c: table.column(c).take(pa.array(rows)).combine_chunks() for c in ("side", "node", "comp", "n", "sketch")})
+    """The texts of two blocks that take part in any possible link; a pair of texts that both do already is passed over."""
+    i, j, sure, padded = _candidates(table)
+    hopeful = np.zeros(table.num_rows, bool)
+    hopeful[i[sure]] = hopeful[j[sure]] = True
+    i, j = i[~sure], j[~sure]
+    mixed = np.random.default_rng(0).permutation(len(i))
+    i, j = i[mixed], j[mixed]
+    while len(i):
+        new = ~(hopeful[i] & hopeful[j])
+        i, j = i[new], j[new]
+        ok = _hopes(padded, i[:_PAIRS], j[:_PAIRS])
+        hopeful[i[:_PAIRS][ok]] = hopeful[j[:_PAIRS][ok]] = True
+        i, j = i[_PAIRS:], j[_PAIRS:]
+    rows = np.flatnonzero(hopeful)
+    return pa.table({"v": pa.array(np.full(len(rows), key[0].as_py()), pa.int64()), "pair": pa.array(np.full(len(rows), key[1].as_py()), pa.int64())} | {c: table.column(c).take(pa.array(rows)).combine_chunks() for c in ("side", "node", "comp", "n", "sketch", "lists")})
 
 
 def _verified(table: pa.Table) -> pa.Table:
     """Links between components among the texts of two blocks, each found on full sets; a spanning set of them."""
-    node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
-    root = {int(c): int(c) for c in comp}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            c = root[c] = root[root[c]]
-        return c
-
+    node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy().copy()
+    i, j, sure, padded = _candidates(table)
     out = []
-    for i, j in zip(*map(np.ndarray.tolist, _candidates(table)), strict=True):
-        x, y = find(int(comp[i])), find(int(comp[j]))
-        if x != y:
-            s, t = _as_set(table.column("members")[i]), _as_set(table.column("members")[j])
-            if _similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)):
-                root[max(x, y)] = min(x, y)
-                out.append((int(node[i]), int(node[j])))
+    while len(i):
+        new = comp[i] != comp[j]
+        i, j, sure = i[new], j[new], sure[new]
+        ok = sure[:_PAIRS] | _hopes(padded, i[:_PAIRS], j[:_PAIRS])
+        for x, y in zip(i[:_PAIRS][ok].tolist(), j[:_PAIRS][ok].tolist(), strict=True):
+            if comp[x] != comp[y]:
+                s, t = _as_set(table.column("members")[x]), _as_set(table.column("members")[y])
+                if _similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)):
+                    comp[comp == comp[y]] = comp[x]
+                    out.append((int(node[x]), int(node[y])))
+        i, j, sure = i[_PAIRS:], j[_PAIRS:], sure[_PAIRS:]
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
@@ -278,11 +311,13 @@ class NearDuplicates:
         own = rest.where(F.col("size") > SHORT_LIST).select("v", "node", "comp", "size")
         if own.isEmpty():
             return own.select(F.col("node").alias("a"), F.col("node").alias("b"))
-        # A list whose texts all are in another one is left out: those texts meet there.
-        x, y = own.select("node", "v", "size"), own.select("node", F.col("v").alias("u"), F.col("size").alias("of"))
-        inner = x.join(y, "node").where("of > size or of = size and u < v").groupBy("v", "u").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size")
-        nodes = own.join(inner.select("v").distinct(), "v", "left_anti").select("v", "node", "comp")
-        nodes = keep(nodes.join(self.reps.select("node", "n", "sketch"), "node"), "nodes")
+        # A list whose texts all have one other list as their largest is left out: they meet there.
+        largest = own.groupBy("node").agg(F.min(F.struct((-F.col("size")).alias("size"), "v")).alias("u")).select("node", "u.v").toDF("node", "u")
+        inner = own.join(largest, "node").groupBy("v").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo = hi and lo <> v")
+        nodes = own.join(inner.select("v"), "v", "left_anti").select("v", "node", "comp")
+        nodes = keep(nodes, "lists")
+        each = nodes.groupBy("node").agg(F.array_sort(F.collect_list("v")).alias("lists"))  # of one text, PROBE at most
+        nodes = keep(nodes.join(each, "node").join(self.reps.select("node", "n", "sketch"), "node"), "nodes")
         size = nodes.groupBy("v", "comp").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
         small = F.col("texts") < LIST_BLOCK
         many = size.groupBy("v").agg(*(F.sum(F.when(small, F.col(c))).alias(f"small_{c}") for c in ("texts", "shingles")))
@@ -290,14 +325,14 @@ class NearDuplicates:
         parts = lambda c: F.when(small, F.col(f"small_{c}")).otherwise(F.col(c))
         blocks_ = F.greatest(F.ceil(parts("texts") / LIST_BLOCK), F.ceil(parts("shingles") / BLOCK_SHINGLES))
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), blocks_).cast("long"))
-        dealt = keep(dealt.select("v", "node", "comp", "n", "sketch", "of", "block"), "dealt")
+        dealt = keep(dealt.select("v", "node", "comp", "n", "sketch", "lists", "of", "block"), "dealt")
         x, y = dealt.select("v", "of", "block").distinct().toDF("v", "of", "block"), dealt.select("v", "of", "block").distinct().toDF("v", "of2", "block2")
         met = x.join(y, "v").where("(of < of2 or of = of2 and block <= block2) and (of <> of2 or of = -1)").withColumn("pair", F.xxhash64("of", "block", "of2", "block2"))
         one = met.where("of = of2 and block = block2").select("v", "pair", "of", "block", F.lit(0).alias("side"))
         two = met.where("of <> of2 or block <> block2")
         sides = one.union(two.select("v", "pair", "of", "block", F.lit(0))).union(two.select("v", "pair", "of2", "block2", F.lit(1)))
-        rows = dealt.join(sides, ["v", "of", "block"]).select("v", "pair", "side", "node", "comp", "n", "sketch")
-        hopeful = keep(rows.groupBy("v", "pair").applyInArrow(_hopeful, "v long, pair long, side int, node long, comp long, n long, sketch array<long>"), "hopeful")
+        rows = dealt.join(sides, ["v", "of", "block"]).select("v", "pair", "side", "node", "comp", "n", "sketch", "lists")
+        hopeful = keep(rows.groupBy("v", "pair").applyInArrow(_hopeful, "v long, pair long, side int, node long, comp long, n long, sketch array<long>, lists array<long>"), "hopeful")
         sets = self._sets_of(hopeful)
         return keep(hopeful.join(sets, "node").groupBy("v", "pair").applyInArrow(_verified, "a long, b long"), "links")
 
