@@ -1,11 +1,11 @@
 """Document quality by supervised subword embeddings (operator 8).
 
 A text is the average of learned vectors of its words (runs of anything but white space, case kept) and of their
-character n-grams between spaces, all hashed to ``BUCKETS`` rows; a softmax layer on the average gives the class. Vectors and layer
-are trained together by stochastic gradient descent in numpy on at most about ``ROWS`` labelled rows a class, two of three
-of them; a logistic curve fitted on the rest calibrates the result. Training rows are hashed in Spark, and only their
-bucket counts reach the driver. Since the layer is linear, each bucket then counts as one number, and tasks score whole
-texts word by distinct word.
+character n-grams between spaces, all hashed to ``BUCKETS`` rows; a softmax layer on the average gives the class. Vectors
+and layer are trained together by stochastic gradient descent in numpy on at most about ``ROWS`` labelled rows a class, two
+of three of them; a logistic curve fitted on the rest calibrates the result. Training rows are hashed in Spark, and only
+their bucket counts reach the driver. Since the layer is linear, each bucket then counts as one number, and tasks score
+whole texts word by distinct word.
 
 Null and empty texts get the curve's value for no evidence. Without labels of both classes every score is the share of
 label 1 (0.5 without labels).
