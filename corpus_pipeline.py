@@ -44,9 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies ``STAGES`` to the documents; each stage's rows are written as Parquet and read by the next."""
+    """Applies ``STAGES`` to the documents; each stage's rows are written as Parquet and read by the next. The last stage's
+    table stays, the others are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name, last=True)
+        docs = scratch.keep(stage(spark, docs, sf_dir), name, last=name == STAGES[-1][0])
+    scratch.close()
     return docs
