@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .components import connected_components
 from .shared import Scratch
-from .textkernel import NOT_SPACE, Words, blocks, mix64, ngram_hashes, text_bytes, tidy
+from .textkernel import NOT_SPACE, Words, blocks, mix64, ngram_hashes, release, text_bytes, tidy
 
 SHINGLE = 5
 #: Similarity of 75 in 100, as whole numbers, so that the comparison is exact.
@@ -49,7 +49,7 @@ SHORT_LIST = 40
 BLOCK = 192
 #: Texts, and shingles of all of them together, in a block of a long list.
 LIST_BLOCK, BLOCK_SHINGLES = 512, 2_000_000
-_COLUMNS, _PAIRS = 8192, 4096
+_COLUMNS, _PAIRS = 4096, 4096
 _PAD, _NONE = np.uint64((1 << 64) - 1), np.int64((1 << 63) - 1)
 
 
@@ -193,6 +193,7 @@ def _hopeful(key: tuple, table: pa.Table) -> pa.Table:
         hopeful[i[:_PAIRS][ok]] = hopeful[j[:_PAIRS][ok]] = True
         i, j = i[_PAIRS:], j[_PAIRS:]
     rows = np.flatnonzero(hopeful)
+    release()
     return pa.table({"v": pa.array(np.full(len(rows), key[0].as_py()), pa.int64()), "pair": pa.array(np.full(len(rows), key[1].as_py()), pa.int64())} | {c: table.column(c).take(pa.array(rows)).combine_chunks() for c in ("side", "node", "comp", "n", "sketch", "lists")})
 
 
@@ -212,6 +213,7 @@ def _verified(table: pa.Table) -> pa.Table:
                     comp[comp == comp[y]] = comp[x]
                     out.append((int(node[x]), int(node[y])))
         i, j, sure = i[_PAIRS:], j[_PAIRS:], sure[_PAIRS:]
+    release()
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
