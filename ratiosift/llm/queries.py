@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licences
+from .alignment import align
 from .decontaminate import decontaminate
+from .embedding_dedup import near_vectors
 from .html_text import extract
 from .licences import scan
 from .lm_scoring import lm_scores
+from .merkle import fold, manifest, proof_digest
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
@@ -24,10 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +76,22 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(spark, _table(spark, sf_dir, "conversations"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, checked against a table in which a seventh of the rows has one more in ``n_chars``."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars").cast("decimal(20,0)") + 1)
+    made = manifest(spark, _table(spark, sf_dir, "documents"), changed=tampered)
+    made = made.withColumn("folded_root", fold(F.coalesce("other_leaf", "leaf"), F.col("proof")))
+    return made.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(spark, _table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_quotation_linking": op9_quotation_linking,
     "op10_html_text": op10_html_text,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 _OP7_SQL = r"""
@@ -163,9 +185,45 @@ r AS (SELECT conv_id, turn, turn AS thread FROM t WHERE reply_to IS NULL UNION A
 SELECT conv_id, turn, role, n_quotes::BIGINT AS n_quotes, n_linked::BIGINT AS n_linked, reply_to, thread, row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn, role, text, id) - 1 AS position, text FROM a JOIN r USING (conv_id, turn)
 """
 
+_OP11_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(list_prepend(i, range(1, 9)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)),
+d AS (SELECT row_number() OVER () AS id, doc_id, source, lang, n_chars, text,
+ CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, tab[xor(c % 256, b) + 1])), 4294967295::BIGINT) % 7 = 0 THEN n_chars::HUGEINT + 1 ELSE n_chars END AS changed FROM documents, tab),
+v AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail FROM d),
+h AS (SELECT id, doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf, sha256(head || coalesce(strlen(changed::VARCHAR) || ':' || changed, '-') || tail) AS other FROM v),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS members FROM h),
+r AS (SELECT 0 AS level, lang, place, members, leaf AS digest FROM p UNION ALL
+ SELECT * FROM (SELECT level + 1 AS level, lang, place // 2 AS place, (members + 1) // 2 AS members, sha256(digest || coalesce(lead(digest) OVER (PARTITION BY lang ORDER BY place), '')) AS digest FROM r WHERE members > 1 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY place) % 2 = 1)),
+s AS (SELECT lang, digest AS subroot, level AS levels, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS members FROM r WHERE members = 1),
+t AS (SELECT 0 AS level, place, members, subroot AS digest FROM s UNION ALL
+ SELECT * FROM (SELECT level + 1 AS level, place // 2 AS place, (members + 1) // 2 AS members, sha256(digest || coalesce(lead(digest) OVER (ORDER BY place), '')) AS digest FROM t WHERE members > 1 QUALIFY row_number() OVER (ORDER BY place) % 2 = 1)),
+k AS (SELECT p.id, level, (p.place >> level) % 2 AS slot, (SELECT digest FROM r q WHERE q.level = r.level AND q.lang IS NOT DISTINCT FROM p.lang AND q.place = xor(p.place >> r.level, 1)) AS beside
+ FROM p JOIN (SELECT DISTINCT lang, level FROM r WHERE members > 1) r ON r.lang IS NOT DISTINCT FROM p.lang UNION ALL
+ SELECT p.id, levels + level, (s.place >> level) % 2, (SELECT digest FROM t q WHERE q.level = t.level AND q.place = xor(s.place >> t.level, 1))
+ FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang, (SELECT DISTINCT level FROM t WHERE members > 1) t),
+f AS (SELECT id, 0 AS level, other AS digest FROM p UNION ALL
+ SELECT f.id, f.level + 1, sha256(CASE WHEN slot = 1 THEN beside || digest ELSE digest || coalesce(beside, '') END) FROM f JOIN k USING (id, level)),
+e AS (SELECT id, arg_max(digest, level) AS folded_root FROM f GROUP BY id),
+o AS (SELECT id, sha256(string_agg(coalesce(beside, ''), '' ORDER BY level)) AS proof_sha256 FROM k GROUP BY id)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM t WHERE members = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = (SELECT digest FROM t WHERE members = 1) AS verified
+FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang JOIN e USING (id) LEFT JOIN o USING (id)
+"""
+
+_OP12_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS id, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.label = b.label AND a.id <> b.id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.id = l.a),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN m USING (id) LEFT JOIN n USING (id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_near_dedup": _OP3_SQL,
     "op9_quotation_linking": _OP9_SQL,
     "op6_licence_scan": _OP6_SQL,
     "op7_decontaminate": _OP7_SQL,
+    "op11_merkle_manifest": _OP11_SQL,
+    "op12_embedding_near_dedup": _OP12_SQL,
 }

@@ -61,9 +61,11 @@ class Scratch:
             spark.conf.set(_BATCH, str(MOST_ROWS))
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._made: list[str] = []
+        self._count = 0
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}-{len(self._made)}"
+        self._count += 1
+        return f"{self.root}/{name}-{self._count}"
 
     def keep(self, df: DataFrame, name: str, last: bool = False) -> DataFrame:
         path = self.path(name)
