@@ -25,20 +25,21 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain, repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import Encoder
 from .shared import Scratch
 from .textkernel import tidy
 
 #: Irregular pairs whose counts every task holds.
 KNOWN = 1 << 18
 #: Pieces a task remembers, and the longest of them in characters.
-MOST_PIECES, LONGEST = 200_000, 100
+MOST_PIECES, LONGEST = 300_000, 100
 _BLOCK = 1 << 21
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s|^\s|\s$")
@@ -83,6 +84,7 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        self.core = Encoder.of(path_a).core  # the same for short pieces, where the file allows it
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -90,6 +92,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.pieces_end_at_spaces = not any(re.search("[^▁]▁", p) for p in pieces)
         self.same = identity_map(self.bytes_a, self.bytes_b)
+        self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
+        self.text = [f"{k}{sign}" for n, signs in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for sign in signs for k in range(n)]
         self.forget()
 
     @classmethod
@@ -100,9 +104,9 @@ class Aligner:
 
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.facts: list[tuple[int, int, int, int]] = []  # tokens of A, of B, groups (-1: bytes differ), end in codes
-        self.codes: list[int] = []
+        self.groups: list[str] = []  # each group ends with a semicolon
+        self.facts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups (-1: bytes differ), end in codes
+        self.codes = np.zeros(0, np.int64)
 
     def cut(self, text: str) -> list[str]:
         """Pieces of a text, each without the space before it."""
@@ -110,24 +114,40 @@ class Aligner:
             return [text]
         return text.split(" ") if not _ODD.search(text) else _SINGLE.split(text)
 
+    def _ids_a(self, pieces: list[str]) -> list[list[int]]:
+        if self.core is not None and max(map(len, pieces), default=0) <= LONGEST:
+            return [self.core(" " + p) for p in pieces]
+        return [x.ids for x in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+
     def _learn(self, pieces: list[str]) -> None:
-        for piece, a, b in zip(pieces, self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False), self.b.encode(pieces, num_threads=1), strict=True):
-            a, whole = a.ids, (" " + piece).encode()
-            in_a, in_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
-            if b"".join(in_a) != whole or b"".join(in_b) != whole:
-                self.groups.append("")
-                self.facts.append((0, 0, -1, len(self.codes)))
-                continue
-            ends_b = {e: k for k, e in enumerate(accumulate(map(len, in_b)), 1)}
-            said, i, j = [], 0, 0
-            for k, end in enumerate(accumulate(map(len, in_a)), 1):
-                if (m := ends_b.get(end)) is not None:
-                    said.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-                    x, y = a[k - 1], b[m - 1]
-                    self.codes.append(x if self.same[x] == y else len(self.bytes_a) + x * len(self.bytes_b) + y)
-                    i, j = k, m
-            self.groups.append(";".join(said))
-            self.facts.append((len(a), len(b), len(said), len(self.codes)))
+        """Aligns distinct pieces. Those whose bytes both tokenizers keep are laid end to end; common ends cut them."""
+        if not pieces:
+            return
+        ids_a, ids_b = self._ids_a(pieces), self.b.encode(pieces, num_threads=1)
+        good = np.ones(len(pieces), bool)
+        if any(b"".join(chain.from_iterable(map(map, repeat(v.__getitem__), ids))) != (" " + " ".join(pieces)).encode() for v, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
+            for k, (x, y, piece) in enumerate(zip(ids_a, ids_b, pieces, strict=True)):
+                whole = (" " + piece).encode()
+                if b"".join(map(self.bytes_a.__getitem__, x)) != whole or b"".join(map(self.bytes_b.__getitem__, y)) != whole:
+                    ids_a[k], ids_b[k], good[k] = [], [], False
+        n = np.array([(len(x), len(y)) for x, y in zip(ids_a, ids_b, strict=True)], np.int64)
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(m)) for ids, m in zip((ids_a, ids_b), n.sum(axis=0), strict=True))
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        _, cut_a, cut_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[cut_a], last_b[cut_b] = True, True
+        x, y = a[cut_a], b[cut_b]
+        codes = np.where(self.same[x] == y, x, len(self.bytes_a) + x * len(self.bytes_b) + y)
+        groups = np.concatenate(([0], np.cumsum(last_a)))[np.cumsum(n[:, 0])]
+
+        in_a, in_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b  # number of each token's group
+        order = np.argsort(np.concatenate((2 * in_a, 2 * in_b + 1)), kind="stable")
+        said = np.concatenate((a + last_a * len(self.bytes_a), 2 * len(self.bytes_a) + b + last_b * len(self.bytes_b)))[order].tolist()
+        to = np.cumsum(n.sum(axis=1)).tolist()
+        text = self.text.__getitem__
+        self.groups += ["".join(map(text, said[f:t])) for f, t in zip([0, *to], to, strict=False)]
+        facts = np.column_stack((n, np.where(good, np.diff(groups, prepend=0), -1), groups + len(self.codes)))
+        self.facts, self.codes = np.concatenate((self.facts, facts)), np.concatenate((self.codes, codes))
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """Of each text: tokens of A, of B, groups, the groups written out, codes of its links."""
@@ -142,18 +162,18 @@ class Aligner:
         long, mark = [p for p in fresh if len(p) > LONGEST], (len(self.facts), len(self.codes))
         self._learn(long)
         at = self.slot | dict(zip(long, range(mark[0], len(self.facts)), strict=True)) if long else self.slot
-        facts = np.array(self.facts, np.int64).reshape(-1, 4)
-        codes, begin = np.array(self.codes, np.int64), np.concatenate(([0], facts[:-1, 3]))
+        begin = np.concatenate(([0], self.facts[:-1, 3]))
         for pieces in cut:
             own = np.fromiter(map(at.__getitem__, pieces), np.int64, len(pieces))
-            n = facts[own]
+            n = self.facts[own]
             if not pieces or (n[:, 2] < 0).any():
-                yield 0, 0, 0, "", codes[:0]
+                yield 0, 0, 0, "", self.codes[:0]
                 continue
             ends = np.cumsum(n[:, 2])
             places = np.repeat(begin[own] - (ends - n[:, 2]), n[:, 2]) + np.arange(ends[-1])
-            yield int(n[:, 0].sum()), int(n[:, 1].sum()), int(ends[-1]), ";".join(map(self.groups.__getitem__, own.tolist())), codes[places]
-        del self.facts[mark[0] :], self.groups[mark[0] :], self.codes[mark[1] :]
+            yield int(n[:, 0].sum()), int(n[:, 1].sum()), int(ends[-1]), "".join(map(self.groups.__getitem__, own.tolist()))[:-1], self.codes[places]
+        del self.groups[mark[0] :]
+        self.facts, self.codes = self.facts[: mark[0]], self.codes[: mark[1]]
 
 
 def _batched(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
