@@ -1,12 +1,14 @@
 """Penalised Gaussian mixtures by expectation-maximisation over Spark.
 
 Each iteration is one job: tasks get the small model, turn rows into responsibilities and add up the weighted sums, and
-Spark adds those of all tasks. The rows do not change, so lineage does not grow.
+Spark adds those of all tasks (``blocks``). The rows do not change, so lineage does not grow. Fits that differ in their
+penalty or in the rows they leave out go side by side: each is a generator that asks for sums, and one job a round answers
+all that are not finished.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass, replace
 from statistics import NormalDist
 
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .solvers import graphical_lasso
 
 
@@ -39,7 +42,7 @@ class Mixture:
         for k, (w, m, theta) in enumerate(zip(self.weight, self.mean, self.precision, strict=True)):
             sign, logdet = np.linalg.slogdet(theta)
             d = x - m
-            out[:, k] = np.log(max(w, 1e-300)) + 0.5 * ((logdet if sign > 0 else 0.0) - x.shape[1] * np.log(2 * np.pi) - np.einsum("ij,jk,ik->i", d, theta, d))
+            out[:, k] = np.log(max(w, 1e-300)) + 0.5 * ((logdet if sign > 0 else 0.0) - x.shape[1] * np.log(2 * np.pi) - ((d @ theta) * d).sum(axis=1))
         return out
 
     def responsibilities(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,26 +66,59 @@ class Mixture:
         return mean, np.einsum("k,kij->ij", r.mean(axis=0), self.precision[:, b][:, :, b])
 
 
-def _sums(df: DataFrame, columns: Sequence[str], k: int, weigh) -> tuple[np.ndarray, float]:
-    """Weighted (1, x)(1, x)' for each component, and the sum of log-likelihoods."""
-    p = len(columns) + 1
-    data = df.select(*(F.col(c).cast("double") for c in columns), *(["__start"] if "__start" in df.columns else []))
+#: Weighs rows: from a matrix and the rows' numbers in the column ``__of`` (None where there is none) to responsibilities,
+#: log-likelihoods and how far responsibilities have moved in all since the last time.
+Weigh = Callable[[np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray, float]]
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, ll, some = np.zeros((k, p, p)), 0.0, False
+
+class _Total:
+    """Weighted (1, x)(1, x)' for each component, the sum of log-likelihoods and of what responsibilities moved."""
+
+    def __init__(self, k: int, p: int) -> None:
+        self.parts, self.rest = [blocks.Products(p + 1) for _ in range(k)], np.zeros(2)
+
+    def add(self, x: np.ndarray, share: np.ndarray, loglik: np.ndarray, moved: float) -> None:
+        m = np.column_stack((np.ones(len(x)), x))
+        for c, part in enumerate(self.parts):
+            part.add(m, m * share[:, [c]])
+        self.rest += float(loglik.sum()), moved
+
+    def numbers(self) -> np.ndarray:
+        return np.concatenate([*(part.numbers() for part in self.parts), self.rest])
+
+
+def _read(numbers: np.ndarray, k: int, p: int) -> tuple[np.ndarray, float, float]:
+    """Sums for each component, log-likelihood, movement."""
+    each = blocks.Products.count(p + 1)
+    return np.array([blocks.Products.square(numbers[c * each : (c + 1) * each], p + 1) for c in range(k)]), float(numbers[-2]), float(numbers[-1])
+
+
+def _sums(df: DataFrame, columns: Sequence[str], asked: Sequence[tuple[int, Weigh, int | None]]) -> list[tuple[np.ndarray, float, float]]:
+    """What ``_read`` gives for each of the questions, all in one pass. A question is a number of components, how to weigh
+    the rows, and the value of the column ``__of`` whose rows it leaves out (None: none)."""
+    p = len(columns)
+    marked = "__of" in df.columns
+    data = df.select(*(F.col(c).cast("double") for c in columns), *(["__of"] if marked else []))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> blocks.Arrays:
+        totals: list[_Total | None] = [None] * len(asked)
         for batch in batches:
-            x = np.column_stack([c.to_numpy() for c in batch.columns[: p - 1]])
-            r, l = weigh(x, batch)
-            m = np.column_stack((np.ones(len(x)), x))
-            total += np.einsum("ik,ij,il->kjl", r, m, m, optimize=True)
-            ll, some = ll + float(l.sum()), True
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * p * p + 1)), pa.array(np.append(total.ravel(), ll))], names=["at", "v"])
+            rows = np.column_stack([c.to_numpy() for c in batch.columns[:p]])
+            marks = batch.column(p).to_numpy() if marked else np.zeros(len(rows), int)
+            for x, of in zip(blocks.pieces(rows, p), blocks.pieces(marks, p), strict=True):
+                for q, (k, weigh, held) in enumerate(asked):
+                    own = slice(None) if held is None else of != held
+                    totals[q] = totals[q] or _Total(k, p)
+                    totals[q].add(x[own], *weigh(x[own], of[own] if marked else None))
+        yield from ((q, t.numbers()) for q, t in enumerate(totals) if t is not None)
+
+    found = blocks.summed(data, add, sum(k for k, *_ in asked) * blocks.Products.count(p + 1))
+    return [_read(found.get(q, np.zeros(k * blocks.Products.count(p + 1) + 2)), k, p) for q, (k, *_) in enumerate(asked)]
 
-    rows = data.mapInArrow(add, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(k * p * p + 1)
-    out[rows.column("at").to_numpy()] = rows.column("v").to_numpy()
-    return out[:-1].reshape(k, p, p), float(out[-1])
+
+def weighted_sums(df: DataFrame, columns: Sequence[str], model: Mixture) -> tuple[np.ndarray, float]:
+    """Sums of (1, x)(1, x)' weighted by the responsibilities of each component, and the log-likelihood of the rows."""
+    return _sums(df, columns, [(len(model.weight), lambda x, _: (*model.responsibilities(x), 0.0), None)])[0][:2]
 
 
 def _rowwise(df: DataFrame, columns: Sequence[str], keep: Sequence[str], made: str, compute) -> DataFrame:
@@ -120,7 +156,7 @@ def with_conditional_means(df: DataFrame, columns: Sequence[str], model: Mixture
 
 def scored(df: DataFrame, columns: Sequence[str], model: Mixture) -> Mixture:
     """The mixture with the log-likelihood and number of these rows, as ``bic`` needs them."""
-    sums, loglik = _sums(df.dropna(subset=list(columns)), columns, len(model.weight), lambda x, _: model.responsibilities(x))
+    sums, loglik = weighted_sums(df.dropna(subset=list(columns)), columns, model)
     return replace(model, loglik=loglik, n=float(sums[:, 0, 0].sum()))
 
 
@@ -134,42 +170,113 @@ def _maximise(sums: np.ndarray, alpha: float, reg: float) -> tuple[np.ndarray, n
     return mass / mass.sum(), mean, np.array(precision)
 
 
-def fit(df: DataFrame, columns: Sequence[str], key: str, k: int = 2, alpha: float | str = "adaptive", max_iter: int = 100, tol: float = 1e-4, reg: float = 1e-6, seed: int = 0, init: str = "principal") -> Mixture:
-    """Stops when the log-likelihood of all rows, or of each thousand of more than that, changes by less than ``tol``.
-    ``alpha`` is a number, "adaptive" (from the numbers of rows and features) or "bic" (the best of ten). Rows with nulls
-    are left out. Components start from slices across the direction of largest variance, or with ``init`` = "random" from a
-    random partition by the column ``key``."""
+#: The penalties that ``alpha`` = "bic" chooses from.
+PENALTIES = tuple(float(a) for a in np.geomspace(1e-3, 1, 10))
+
+
+def fit(df: DataFrame, columns: Sequence[str], key: str, k: int = 2, alpha: float | str = "adaptive", max_iter: int = 100, tol: float | None = None, reg: float = 1e-6, seed: int = 0, init: str = "principal", stop: str = "loglik") -> Mixture:
+    """Stops when the log-likelihood of all rows, or of each thousand of more than that, changes by less than ``tol``
+    (0.0001), or with ``stop`` = "responsibility" when responsibilities change by less than ``tol`` (0.001) on average. One
+    component is done after one pass. ``alpha`` is a number, "adaptive" (from the numbers of rows and features) or "bic" (the
+    best of ten, which are fitted side by side, one job a round for all). Rows with nulls are left out. Components start from
+    slices across the direction of largest variance, or with ``init`` = "random" from a random partition by the column ``key``."""
     df = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
-    if alpha == "bic":
-        return min((fit(df, columns, key, k, float(a), max_iter, tol, reg, seed, init) for a in np.geomspace(1e-3, 1, 10)), key=lambda m: m.bic)
+    ask = lambda asked: _sums(df, columns, asked)
     start = None
-    if init == "random":
-        dealt = df.withColumn("__start", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
-        start, _ = _sums(dealt, columns, k, lambda x, batch: (np.eye(k)[batch.column(x.shape[1]).to_numpy()], np.zeros(1)))
-    return _maximised(lambda parts, weigh: _sums(df, columns, parts, lambda x, _: weigh(x)), len(columns), k, alpha, max_iter, tol, reg, start)
+    if init == "random" and k > 1:
+        dealt = df.withColumn("__of", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
+        start = _sums(dealt, columns, [(k, lambda x, of: (np.eye(k)[of], np.zeros(1), 0.0), None)])[0][0]
+    return _best(ask, len(columns), k, alpha, max_iter, tol, reg, stop, start)
+
+
+def fit_leaving_out(df: DataFrame, columns: Sequence[str], fold: str, held: Sequence[int | None], k: int = 2, alpha: float | str = "adaptive", max_iter: int = 100, tol: float | None = None, reg: float = 1e-6, stop: str = "loglik") -> list[Mixture]:
+    """A mixture for each value of ``held``, of the rows whose integer column ``fold`` is another (None: of all rows), side by
+    side: one job a round for all of them. With "bic" for ``alpha`` ten runs each."""
+    df = df.select(F.col(fold).alias("__of"), *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    penalties = PENALTIES if alpha == "bic" else (alpha,)
+    runs = [(f, _course(len(columns), k, a, max_iter, tol, reg, stop)) for f in held for a in penalties]
+    made = _together(lambda asked: _sums(df, columns, asked), runs)
+    each = [made[at : at + len(penalties)] for at in range(0, len(made), len(penalties))]
+    return [_least(own) for own in each]
 
 
-def fit_rows(x: np.ndarray, k: int = 2, alpha: float | str = "adaptive", max_iter: int = 100, tol: float = 1e-4, reg: float = 1e-6) -> Mixture:
+def fit_rows(x: np.ndarray, k: int = 2, alpha: float | str = "adaptive", max_iter: int = 100, tol: float | None = None, reg: float = 1e-6, stop: str = "loglik") -> Mixture:
     """The same for rows at hand, from slices across the direction of largest variance."""
-    if alpha == "bic":
-        return min((fit_rows(x, k, float(a), max_iter, tol, reg) for a in np.geomspace(1e-3, 1, 10)), key=lambda m: m.bic)
-    m = np.column_stack((np.ones(len(x)), x))
 
-    def sums(parts: int, weigh) -> tuple[np.ndarray, float]:
-        r, l = weigh(x)
-        return np.einsum("ik,ij,il->kjl", r, m, m, optimize=True), float(l.sum())
+    def ask(asked: Sequence[tuple[int, Weigh, int | None]]) -> list[tuple[np.ndarray, float, float]]:
+        out = []
+        for parts, weigh, _ in asked:
+            total = _Total(parts, x.shape[1])
+            total.add(x, *weigh(x, None))
+            out.append(_read(total.numbers(), parts, x.shape[1]))
+        return out
+
+    return _best(ask, x.shape[1], k, alpha, max_iter, tol, reg, stop, None)
+
+
+def _best(ask, p: int, k: int, alpha: float | str, max_iter: int, tol: float | None, reg: float, stop: str, start: np.ndarray | None) -> Mixture:
+    if start is None:
+        start = _together(ask, [(None, _sliced(p, k))])[0]
+    penalties = PENALTIES if alpha == "bic" else (alpha,)
+    return _least(_together(ask, [(None, _course(p, k, a, max_iter, tol, reg, stop, start)) for a in penalties]))
+
+
+def _least(models: Sequence[Mixture | None]) -> Mixture:
+    """The one of least BIC; runs that broke down count for nothing."""
+    good = [m for m in models if m is not None]
+    if not good:
+        raise ValueError("no penalty gives a mixture of these rows")
+    return good[0] if len(good) == 1 else min(good, key=lambda m: m.bic)
+
+
+def _together(ask, runs: Sequence[tuple[int | None, Generator]]) -> list:
+    """What the runs return. In each round those that are not finished ask for sums, which one call answers."""
+    out, waiting = [None] * len(runs), {}
+
+    def go(n: int, answer) -> None:
+        try:
+            waiting[n] = runs[n][1].send(answer)
+        except StopIteration as end:
+            out[n] = end.value
+            waiting.pop(n, None)
+
+    for n in range(len(runs)):
+        go(n, None)
+    while waiting:
+        now = list(waiting)
+        for n, answer in zip(now, ask([(*waiting[n], runs[n][0]) for n in now]), strict=True):
+            go(n, answer)
+    return out
+
+
+def _sliced(p: int, k: int) -> Generator:
+    """Sums of slices across the direction of largest variance."""
+    one, _, _ = yield 1, lambda x, _: (np.ones((len(x), 1)), np.zeros(1), 0.0)
+    if k == 1:
+        return one
+    n = max(one[0, 0, 0], 1)
+    centre = one[0, 0, 1:] / n
+    value, vector = np.linalg.eigh(one[0, 1:, 1:] / n - np.outer(centre, centre))
+    bounds = [NormalDist().inv_cdf(c / k) * float(np.sqrt(max(value[-1], 1e-300))) for c in range(1, k)]
+    sums, _, _ = yield k, lambda x, _: (np.eye(k)[np.searchsorted(bounds, (x - centre) @ vector[:, -1])], np.zeros(1), 0.0)
+    return sums
+
+
+def _weigh(model: Mixture, before: Mixture | None) -> Weigh:
+    def weigh(x: np.ndarray, _) -> tuple[np.ndarray, np.ndarray, float]:
+        share, loglik = model.responsibilities(x)
+        return share, loglik, float(np.abs(share - before.responsibilities(x)[0]).sum()) if before is not None else 0.0
 
-    return _maximised(sums, x.shape[1], k, alpha, max_iter, tol, reg)
+    return weigh
 
 
-def _maximised(sums_of, p: int, k: int, alpha: float | str, max_iter: int, tol: float, reg: float, sums: np.ndarray | None = None) -> Mixture:
-    """Expectation-maximisation; ``sums_of`` gives the sums of so many components for a weighing of rows, ``sums`` starts."""
+def _course(p: int, k: int, alpha: float | str, max_iter: int, tol: float | None, reg: float, stop: str, sums: np.ndarray | None = None) -> Generator:
+    """Expectation-maximisation as a run of questions for sums; None if it breaks down on a singular matrix."""
+    if stop not in ("loglik", "responsibility"):
+        raise ValueError("stop is loglik or responsibility")
     if sums is None:
-        one, _ = sums_of(1, lambda x: (np.ones((len(x), 1)), np.zeros(1)))
-        centre = one[0, 0, 1:] / max(one[0, 0, 0], 1)
-        value, vector = np.linalg.eigh(one[0, 1:, 1:] / max(one[0, 0, 0], 1) - np.outer(centre, centre))
-        bounds = [NormalDist().inv_cdf(c / k) * float(np.sqrt(max(value[-1], 1e-300))) for c in range(1, k)]
-        sums, _ = sums_of(k, lambda x: (np.eye(k)[np.searchsorted(bounds, (x - centre) @ vector[:, -1])], np.zeros(1)))
+        sums = yield from _sliced(p, k)
+    sums = sums.copy()
     n = float(sums[:, 0, 0].sum())
     if not n:
         raise ValueError("no rows without nulls")
@@ -177,14 +284,26 @@ def _maximised(sums_of, p: int, k: int, alpha: float | str, max_iter: int, tol:
         if sums[c, 0, 0] < 2:
             sums[c] = sums.sum(axis=0)
     penalty = float(np.clip((0.5 if p <= n else 1.0) * np.sqrt(np.log(max(p, 1)) / n), 0.01, 1.0)) if alpha == "adaptive" else float(alpha)
-    model, before = Mixture(*_maximise(sums, penalty, reg), n=n), -np.inf
-    for t in range(1, max_iter + 1):
-        now = model
-        sums, ll = sums_of(k, now.responsibilities)
-        now.loglik, now.n_iter = ll, t
-        if abs(ll - before) < tol * max(1.0, n / 1000):
-            now.converged = True
-            return now
-        before = ll
-        model = Mixture(*_maximise(sums, penalty, reg), loglik=ll, n=n, n_iter=t)
+    try:
+        model, last, before = Mixture(*_maximise(sums, penalty, reg), n=n), None, -np.inf
+        if k == 1:  # responsibilities can't change
+            centred = sums[0, 1:, 1:] - n * np.outer(model.mean[0], model.mean[0])
+            model.loglik = 0.5 * (n * (np.linalg.slogdet(model.precision[0])[1] - p * np.log(2 * np.pi)) - float((centred * model.precision[0]).sum()))
+            model.n_iter, model.converged = 1, True
+            return model
+        for t in range(1, max_iter + 1):
+            now = model
+            sums, loglik, moved = yield k, _weigh(now, last if stop == "responsibility" else None)
+            now.loglik, now.n_iter = loglik, t
+            if stop == "loglik":
+                still = abs(loglik - before) < (1e-4 if tol is None else tol) * max(1.0, n / 1000)
+            else:
+                still = last is not None and moved / (n * k) < (1e-3 if tol is None else tol)
+            if still:
+                now.converged = True
+                return now
+            before, last = loglik, now
+            model = Mixture(*_maximise(sums, penalty, reg), loglik=loglik, n=n, n_iter=t)
+    except np.linalg.LinAlgError:
+        return None
     return model

@@ -2,7 +2,7 @@
 
 All solvers need only, for each fold: the number of rows, sums, and sums of products of the columns. ``gram`` makes them in
 one distributed pass: each partition adds up its own block with one matrix product per batch, Spark adds the blocks, and the
-driver gets one number per fold and pair of columns whatever the number of rows. Columns are standardised first, in a pass
+driver gets one number per fold and pair of columns whatever the number of rows (``blocks``). Columns are standardised first, in a pass
 of their own, since raw negative powers would cancel.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Written
+from . import blocks
 
 
 def moments(df: DataFrame, columns: Sequence[str], ddof: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -82,33 +83,36 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def moments_of(df: DataFrame, inputs: Sequence[Column], y: str, build: Callable[[np.ndarray], np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """``moments`` of the ``width`` columns that ``build`` makes of the inputs, batch by batch."""
+    """``moments`` of the ``width`` columns that ``build`` makes of the inputs, some rows at a time."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [(len(z), z.mean(axis=0), z.var(axis=0) * len(z)) for z in (build(_matrix(b)) for b in batches) if len(z)]
-        if own:
-            n, mean, square = merged(*map(np.array, zip(*own, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(np.full(width, n)), pa.array(mean), pa.array(square)], names=["k", "n", "mean", "square"])
+    def add(batches: Iterator[pa.RecordBatch]) -> blocks.Arrays:
+        own = None
+        for x in (x for b in batches for x in blocks.pieces(_matrix(b), width)):
+            part = triples(build(x))
+            own = part if own is None else merged(own, part)
+        if own is not None:
+            yield 0, own
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        n, mean, square = merged(table.column("n").to_numpy(), *(table.column(c).to_numpy()[:, None] for c in ("mean", "square")))
-        return pa.table({"k": [key[0].as_py()], "n": [float(n)], "mean": mean, "square": square})
+    found = blocks.summed(_inputs(df, inputs, y, None), add, 3 * width, merged)
+    return from_triples(found[0]) if found else (np.zeros(width), np.ones(width))
 
-    kind = "k long, n double, mean double, square double"
-    rows = _inputs(df, inputs, y, None).mapInArrow(add, kind).groupBy("k").applyInArrow(merge, kind).toArrow()
-    mean, scale = np.zeros(width), np.ones(width)
-    if rows.num_rows:
-        at = rows.column("k").to_numpy()
-        mean[at] = rows.column("mean").to_numpy()
-        scale[at] = np.sqrt(rows.column("square").to_numpy() / rows.column("n").to_numpy())
-    return mean, or_one(scale, mean)
 
+def triples(z: np.ndarray) -> np.ndarray:
+    """Number, mean and sum of squared deviations of each column, one after another."""
+    return np.column_stack((np.full(z.shape[1], float(len(z))), z.mean(axis=0), z.var(axis=0) * len(z))).ravel()
 
-def merged(n: np.ndarray, mean: np.ndarray, square: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Number, mean and sum of squared deviations of parts together (Chan, Golub and LeVeque, 1979), column by column."""
-    total = float(n.sum())
-    whole = (n[:, None] * mean).sum(axis=0) / total
-    return total, whole, square.sum(axis=0) + (n[:, None] * (mean - whole) ** 2).sum(axis=0)
+
+def from_triples(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and population deviations."""
+    n, mean, square = found.reshape(-1, 3).T
+    return mean, or_one(np.sqrt(square / n), mean)
+
+
+def merged(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """``triples`` of two parts together (Chan, Golub and LeVeque, 1979), column by column."""
+    (n, mean, square), (m, mean2, square2) = one.reshape(-1, 3).T, other.reshape(-1, 3).T
+    total = n + m
+    return np.column_stack((total, (n * mean + m * mean2) / total, square + square2 + (mean - mean2) ** 2 * n * m / total)).ravel()
 
 
 def or_one(scale: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -118,31 +122,25 @@ def or_one(scale: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 def gram_of_built(df: DataFrame, inputs: Sequence[Column], y: str, fold: str | None, build: Callable[[np.ndarray], np.ndarray], width: int) -> dict[int, Gram]:
     """A ``Gram`` for each value of the integer column ``fold`` (0 where there is none) of the columns that ``build`` makes
-    of the inputs in the tasks. Rows with a null are left out."""
+    of the inputs in the tasks. Rows with a null are left out. A task holds half a Gram for each fold and 32 MB of rows."""
     size = width + 2
-    upper = np.triu_indices(size)
-    key = (upper[0] * size + upper[1]).astype(np.int64)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+    def add(batches: Iterator[pa.RecordBatch]) -> blocks.Arrays:
+        total: dict[int, blocks.Products] = {}
         for batch in batches:
-            folds = batch.column(0).to_numpy()
-            m = np.column_stack((np.ones(len(folds)), build(_matrix(batch)), batch.column(1).to_numpy()))
-            for f in np.unique(folds):
-                own = m[folds == f]
-                total[int(f)] = total.get(int(f), 0) + own.T @ own
-        for f, a in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), f, np.int32)), pa.array(key), pa.array(a[upper])], names=["fold", "k", "v"])
-
-    summed = _inputs(df, inputs, y, fold).mapInArrow(add, "fold int, k long, v double").groupBy("fold", "k").agg(F.sum("v").alias("v")).toArrow()
-    out: dict[int, Gram] = {}
-    folds, keys, values = (summed.column(c).to_numpy() for c in ("fold", "k", "v"))
-    for f in sorted(set(folds.tolist())):
-        own = folds == f
-        a = np.zeros((size, size))
-        a[keys[own] // size, keys[own] % size] = values[own]
-        out[int(f)] = Gram(a + np.triu(a, 1).T)
-    return out
+            folds, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = _matrix(batch)
+            for f in np.unique(folds).tolist():
+                own = folds == f
+                to = total.setdefault(f, blocks.Products(size))
+                for part, response in zip(blocks.pieces(x[own], width), blocks.pieces(y[own], width), strict=True):
+                    to.add(np.column_stack((np.ones(len(part)), build(part), response)))
+        while total:
+            f, products = total.popitem()
+            yield f, products.numbers()
+
+    found = blocks.summed(_inputs(df, inputs, y, fold), add, blocks.Products.count(size))
+    return {f: Gram(blocks.Products.square(found[f], size)) for f in sorted(found)}
 
 
 def gram(df: DataFrame, columns: Sequence[str], y: str, fold: str | None = None) -> dict[int, Gram]:

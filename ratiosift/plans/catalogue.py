@@ -326,7 +326,7 @@ def gmm_responsibilities_k2(spark, sf_dir):
 SELECT k, round(n / (SELECT sum(n) FROM m), 6) AS weight, round(m, 4) AS mean, round(s - m * m, 3) AS variance FROM m""")
 def gmm_mstep_k2(spark, sf_dir):
     df = table(spark, sf_dir, "events").where("value is not null").select(F.col("value").cast("double").alias("value"))
-    sums, _ = gmm._sums(df, ["value"], 2, lambda x, _: _MIX.responsibilities(x))
+    sums, _ = gmm.weighted_sums(df, ["value"], _MIX)
     weight, mean, precision = gmm._maximise(sums, 0.0, 0.0)
     rows = [(k, float(weight[k]), float(mean[k, 0]), float(1 / precision[k, 0, 0])) for k in range(2)]
     return spark.createDataFrame(rows, "k int, weight double, mean double, variance double").select("k", r("weight").alias("weight"), r("mean", 4).alias("mean"), r("variance", 3).alias("variance"))
@@ -672,6 +672,15 @@ def gmm_fit(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, weight double, mean array<double>, precision array<array<double>>")
 
 
+@query()
+def gmm_bic_fit(spark, sf_dir):
+    """The mixture of two components, of ten penalties, with the least BIC; its components."""
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"), (100 * F.col("l_discount")).alias("c"), F.concat_ws("|", "l_orderkey", "l_linenumber").alias("key"))
+    m = gmm.fit(df, ["a", "b", "c"], "key", k=2, alpha="bic", max_iter=20, stop="responsibility")
+    rows = [(k, float(m.weight[k]), m.mean[k].tolist(), m.precision[k].tolist(), float(m.bic), m.n_iter) for k in range(2)]
+    return spark.createDataFrame(rows, "k int, weight double, mean array<double>, precision array<array<double>>, bic double, n_iter int")
+
+
 @query()
 def sweep_small(spark, sf_dir):
     """Trials are groups of about 150 orders each."""

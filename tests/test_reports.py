@@ -1,6 +1,7 @@
 """Comparisons, running sums in order, exact cuts and result files."""
 
 import math
+import functools
 import random
 
 import numpy as np
@@ -44,8 +45,9 @@ def test_fits_leave_nothing_behind_and_keep_no_state(spark, sf_dir, monkeypatch)
 def test_variances_of_parts_merge():
     x = np.random.default_rng(0).normal(1e9, 1, size=(1000, 3))
     parts = [x[:1], x[1:400], x[400:]]
-    n, mean, square = stats.merged(np.array([len(p) for p in parts], float), np.array([p.mean(axis=0) for p in parts]), np.array([p.var(axis=0) * len(p) for p in parts]))
-    assert n == 1000 and np.allclose(mean, x.mean(axis=0)) and np.allclose(np.sqrt(square / n), x.std(axis=0), rtol=1e-6)
+    whole = functools.reduce(stats.merged, map(stats.triples, parts))
+    mean, scale = stats.from_triples(whole)
+    assert whole[0] == 1000 and np.allclose(mean, x.mean(axis=0)) and np.allclose(scale, x.std(axis=0), rtol=1e-6)
     assert stats.or_one(np.array([0.0, 1e-9, 2.0]), np.array([5.0, 1e9, 0.0])).tolist() == [1.0, 1.0, 2.0]
 
 
