@@ -14,7 +14,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -94,11 +94,9 @@ def _read(numbers: np.ndarray, k: int, p: int) -> tuple[np.ndarray, float, float
 
 
 def _sums(df: DataFrame, columns: Sequence[str], asked: Sequence[tuple[int, Weigh, int | None]]) -> list[tuple[np.ndarray, float, float]]:
-    """What ``_read`` gives for each of the questions, all in one pass. A question is a number of components, how to weigh
-    the rows, and the value of the column ``__of`` whose rows it leaves out (None: none)."""
-    p = len(columns)
-    marked = "__of" in df.columns
-    data = df.select(*(F.col(c).cast("double") for c in columns), *(["__of"] if marked else []))
+    """What ``_read`` gives for each of the questions, all in one pass over rows as ``_narrow`` makes them. A question is a
+    number of components, how to weigh the rows, and the value of the column ``__of`` whose rows it leaves out (None: none)."""
+    p, marked = len(columns), len(df.columns) > len(columns)
 
     def add(batches: Iterator[pa.RecordBatch]) -> blocks.Arrays:
         totals: list[_Total | None] = [None] * len(asked)
@@ -112,13 +110,18 @@ def _sums(df: DataFrame, columns: Sequence[str], asked: Sequence[tuple[int, Weig
                     totals[q].add(x[own], *weigh(x[own], of[own] if marked else None))
         yield from ((q, t.numbers()) for q, t in enumerate(totals) if t is not None)
 
-    found = blocks.summed(data, add, sum(k for k, *_ in asked) * blocks.Products.count(p + 1))
+    found = blocks.summed(df, add, sum(k for k, *_ in asked) * blocks.Products.count(p + 1))
     return [_read(found.get(q, np.zeros(k * blocks.Products.count(p + 1) + 2)), k, p) for q, (k, *_) in enumerate(asked)]
 
 
+def _narrow(df: DataFrame, columns: Sequence[str], of: Column | None = None) -> DataFrame:
+    """The columns as numbers, then ``of`` where it is given, of rows without nulls."""
+    return df.select(*(F.col(c).cast("double").alias(c) for c in columns), *([] if of is None else [of.cast("int").alias("__of")])).dropna()
+
+
 def weighted_sums(df: DataFrame, columns: Sequence[str], model: Mixture) -> tuple[np.ndarray, float]:
     """Sums of (1, x)(1, x)' weighted by the responsibilities of each component, and the log-likelihood of the rows."""
-    return _sums(df, columns, [(len(model.weight), lambda x, _: (*model.responsibilities(x), 0.0), None)])[0][:2]
+    return _sums(_narrow(df, columns), columns, [(len(model.weight), lambda x, _: (*model.responsibilities(x), 0.0), None)])[0][:2]
 
 
 def _rowwise(df: DataFrame, columns: Sequence[str], keep: Sequence[str], made: str, compute) -> DataFrame:
@@ -156,7 +159,7 @@ def with_conditional_means(df: DataFrame, columns: Sequence[str], model: Mixture
 
 def scored(df: DataFrame, columns: Sequence[str], model: Mixture) -> Mixture:
     """The mixture with the log-likelihood and number of these rows, as ``bic`` needs them."""
-    sums, loglik = weighted_sums(df.dropna(subset=list(columns)), columns, model)
+    sums, loglik = weighted_sums(df, columns, model)
     return replace(model, loglik=loglik, n=float(sums[:, 0, 0].sum()))
 
 
@@ -180,22 +183,22 @@ def fit(df: DataFrame, columns: Sequence[str], key: str, k: int = 2, alpha: floa
     component is done after one pass. ``alpha`` is a number, "adaptive" (from the numbers of rows and features) or "bic" (the
     best of ten, which are fitted side by side, one job a round for all). Rows with nulls are left out. Components start from
     slices across the direction of largest variance, or with ``init`` = "random" from a random partition by the column ``key``."""
-    df = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
-    ask = lambda asked: _sums(df, columns, asked)
+    rows = _narrow(df, columns)
+    ask = lambda asked: _sums(rows, columns, asked)
     start = None
     if init == "random" and k > 1:
-        dealt = df.withColumn("__of", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
-        start = _sums(dealt, columns, [(k, lambda x, of: (np.eye(k)[of], np.zeros(1), 0.0), None)])[0][0]
+        dealt = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k))
+        start = _sums(_narrow(df, columns, dealt), columns, [(k, lambda x, of: (np.eye(k)[of], np.zeros(1), 0.0), None)])[0][0]
     return _best(ask, len(columns), k, alpha, max_iter, tol, reg, stop, start)
 
 
 def fit_leaving_out(df: DataFrame, columns: Sequence[str], fold: str, held: Sequence[int | None], k: int = 2, alpha: float | str = "adaptive", max_iter: int = 100, tol: float | None = None, reg: float = 1e-6, stop: str = "loglik") -> list[Mixture]:
     """A mixture for each value of ``held``, of the rows whose integer column ``fold`` is another (None: of all rows), side by
     side: one job a round for all of them. With "bic" for ``alpha`` ten runs each."""
-    df = df.select(F.col(fold).alias("__of"), *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    rows = _narrow(df, columns, F.col(fold))
     penalties = PENALTIES if alpha == "bic" else (alpha,)
     runs = [(f, _course(len(columns), k, a, max_iter, tol, reg, stop)) for f in held for a in penalties]
-    made = _together(lambda asked: _sums(df, columns, asked), runs)
+    made = _together(lambda asked: _sums(rows, columns, asked), runs)
     each = [made[at : at + len(penalties)] for at in range(0, len(made), len(penalties))]
     return [_least(own) for own in each]
 
