@@ -6,18 +6,16 @@ sufficient statistics (one more pass). Lasso, matching pursuit and thresholded l
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Generator, Sequence
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import keyed
-from ..sources.scratch import Written
 from . import fdr, gmm, knockoffs, solvers, stats
-from .terms import Term, dictionary, expanded, linear, terms_table
+from .rows import Copies, Covariance, FoldedRows, LocalRows, Mean, MixtureCopies, MixtureOf, Model, Norm, Prepare, Prepared, SparkRows
+from .terms import Term, dictionary, linear, terms_table
 
 
 @dataclass
@@ -46,205 +44,6 @@ class Fitted:
         return out.select(F.lit(self.method).alias("method"), F.lit(k).alias("n_selected"), F.lit("|".join(names)).alias("selected_names"), *out.columns)
 
 
-@dataclass
-class Prepared:
-    """Standardised statistics of the expanded features."""
-
-    terms: list[Term]
-    mean: np.ndarray
-    scale: np.ndarray
-    folds: dict[int, stats.Gram]
-
-    @property
-    def whole(self) -> stats.Gram:
-        return stats.total(self.folds)
-
-    def raw(self, coef: np.ndarray, intercept: float) -> tuple[np.ndarray, float]:
-        """From the standardised axis back."""
-        own = coef / self.scale[: len(coef)]
-        return own, float(intercept - self.mean[: len(coef)] @ own)
-
-
-def prepare(df: DataFrame, features: Sequence[str], y: str, terms: list[Term], fold: str | None, own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, drawn: list[Column] | None = None) -> Prepared:
-    """Terms of the features with the numbers ``own`` (all), followed by the same terms of their knockoffs where ``copies``
-    says how to make them, from its random numbers or those already ``drawn``. Tasks expand batches of rows as matrices; no expanded row leaves them."""
-    p = len(features)
-    at = list(range(p)) if own is None else list(own)
-    noise = (drawn or copies.noise()) if copies else []
-    inputs = [*(F.col(f) for f in features), *noise]
-
-    def build(x: np.ndarray) -> np.ndarray:
-        z = expanded(x[:, at], terms)
-        return z if copies is None else np.hstack((z, expanded(copies.make(x[:, :p], x[:, p:]), terms)))
-
-    width = len(terms) * (2 if copies else 1)
-    mean, scale = stats.moments_of(df, inputs, y, build, width)
-    folds = stats.gram_of_built(df, inputs, y, fold, lambda x: (build(x) - mean) / scale, width)
-    return Prepared(terms, mean, scale, folds)
-
-
-@dataclass
-class Copies:
-    """How tasks make knockoffs of the features ``own`` from one Gaussian: a sampler and the normal numbers' key."""
-
-    sampler: knockoffs.Sampler
-    own: list[int]
-    key: str
-    seed: int
-    stream: str = "knock"
-
-    def noise(self) -> list[Column]:
-        return [keyed.hashed_normal(F.col(self.key), self.seed, f"{self.stream}{j}") for j in range(len(self.own))]
-
-    def drawn(self, n: int) -> np.ndarray:
-        """The same for rows at hand."""
-        return np.random.default_rng([self.seed, crc32(self.stream.encode())]).normal(size=(n, len(self.own)))
-
-    def make(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-        mean = self.sampler.mean
-        return mean + (x[:, self.own] - mean) @ self.sampler.a.T + z @ self.sampler.l.T
-
-
-@dataclass
-class MixtureCopies:
-    """Knockoffs under a mixture, given the features ``known``. Each row draws a component by its responsibilities for the
-    whole row, and its copy comes from that component's distribution given the known features; under the mixture originals
-    and copies can then be swapped. Averaged means and one covariance could not be, wherever components differ."""
-
-    mixture: gmm.Mixture
-    own: list[int]
-    known: list[int]
-    key: str
-    seed: int
-    stream: str = "knock"
-
-    def __post_init__(self) -> None:
-        m = self.mixture
-        self.parts = [gmm.Mixture(np.ones(1), m.mean[[k]], m.precision[[k]]) for k in range(len(m.weight))]
-        self.samplers = []
-        for part in self.parts:
-            mean, precision = part.conditional(self.known, part.mean[:, self.known])
-            cov = np.linalg.inv(precision) + 1e-6 * np.eye(len(self.own))
-            self.samplers.append(knockoffs.Sampler.gaussian(mean[0], cov, knockoffs.s_values_conditional(cov)))
-
-    def noise(self) -> list[Column]:
-        """Normal numbers, and an even one that draws the component."""
-        key = F.col(self.key)
-        return [*(keyed.hashed_normal(key, self.seed, f"{self.stream}{j}") for j in range(len(self.own))), keyed.uniform(key, self.seed, f"{self.stream}component")]
-
-    def drawn(self, n: int) -> np.ndarray:
-        """The same for rows at hand."""
-        rng = np.random.default_rng([self.seed, crc32(self.stream.encode())])
-        return np.column_stack((rng.normal(size=(n, len(self.own))), rng.uniform(size=n)))
-
-    def make(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-        out = np.empty((len(x), len(self.own)))
-        upto = np.cumsum(self.mixture.responsibilities(x)[0], axis=1)
-        of = np.minimum((upto <= z[:, [-1]]).sum(axis=1), len(self.parts) - 1)
-        for k, (part, sampler) in enumerate(zip(self.parts, self.samplers, strict=True)):
-            at = np.flatnonzero(of == k)
-            if len(at):
-                mean, _ = part.conditional(self.known, x[np.ix_(at, self.known)])
-                out[at] = mean + (x[np.ix_(at, self.own)] - mean) @ sampler.a.T + z[at, :-1] @ sampler.l.T
-        return out
-
-
-class SparkRows:
-    """What a fit needs of the rows of a DataFrame: their statistics, never the rows. The response is ``y`` or, with
-    ``residual``, what the terms found so far leave of it. A fit passes over the rows many times, so key, features, response
-    and fold are computed and written once; ``close`` deletes them."""
-
-    def __init__(self, df: DataFrame, features: Sequence[str], y: str, key: str, folds: int, seed: int) -> None:
-        self.features, self.y, self.key = list(features), y, key
-        self.written = Written(df.sparkSession)
-        narrow = df.select(key, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, y]) if c != key), stats.hashed_fold(F.col(key), folds, seed).alias("__fold"))
-        self.df = self.written.keep(narrow)
-        self.restart()
-
-    def close(self) -> None:
-        self.written.close()
-
-    def restart(self) -> None:
-        self.dealt = self.df.withColumn("__residual", F.col(self.y))
-
-    def covariance(self, at: Sequence[int], labelled: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
-        return knockoffs.covariance(self.df.where(F.col(self.y).isNotNull()) if labelled else self.df, [self.features[j] for j in at])
-
-    def mixture(self, k: int, alpha: float | str, seed: int) -> gmm.Mixture:
-        return gmm.fit(self.df, self.features, self.key, k, alpha, max_iter=50, seed=seed)
-
-    def prepare(self, terms: list[Term], own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, residual: bool = False) -> Prepared:
-        y = "__residual" if residual else self.y
-        if copies is None:
-            return prepare(self.dealt, self.features, y, terms, "__fold", own)
-        drawn = Written(self.df.sparkSession)  # means and products need the same random numbers
-        noise = [c.alias(f"__noise{k}") for k, c in enumerate(copies.noise())]
-        rows = drawn.keep(self.dealt.select(*self.features, y, "__fold", *noise))
-        try:
-            return prepare(rows, self.features, y, terms, "__fold", own, copies, [F.col(f"__noise{k}") for k in range(len(noise))])
-        finally:
-            drawn.close()
-
-    def leave(self, terms: list[Term], coef: np.ndarray, constant: float) -> None:
-        fitted = linear(terms, coef, constant, [F.col(f).cast("double") for f in self.features])
-        self.dealt = self.dealt.withColumn("__residual", F.col(self.y) - fitted)
-
-    def norm(self) -> float:
-        return self.dealt.agg(F.sqrt(F.sum(F.col("__residual") * F.col("__residual")))).first()[0]
-
-    def mean(self) -> float:
-        return float(self.df.agg(F.avg(self.y)).first()[0] or 0.0)
-
-
-class LocalRows:
-    """The same of rows at hand, as in a task that fits one small trial; folds are consecutive rows. NaN is null."""
-
-    key = ""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, folds: int) -> None:
-        self.x, self.y, self.features = np.asarray(x, float), np.asarray(y, float), [f"x{j}" for j in range(x.shape[1])]
-        self.folds = folds
-        self.restart()
-
-    def restart(self) -> None:
-        self.residual = self.y
-
-    def covariance(self, at: Sequence[int], labelled: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
-        x = self.x[~np.isnan(self.y) if labelled else slice(None)][:, list(at)]
-        x = x[~np.isnan(x).any(axis=1)]
-        if not len(x):
-            raise ValueError("no rows without nulls")
-        return x.mean(axis=0), np.atleast_2d(np.cov(x, rowvar=False, ddof=min(1, len(x) - 1))), float(len(x))
-
-    def mixture(self, k: int, alpha: float | str, seed: int) -> gmm.Mixture:
-        return gmm.fit_rows(self.x[~np.isnan(self.x).any(axis=1)], k, alpha, max_iter=50)
-
-    def prepare(self, terms: list[Term], own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, residual: bool = False) -> Prepared:
-        y = self.residual if residual else self.y
-        held = ~np.isnan(np.column_stack((self.x, y))).any(axis=1)
-        x, y = self.x[held], y[held]
-        z = expanded(x if own is None else x[:, list(own)], terms)
-        if copies is not None:
-            z = np.hstack((z, expanded(copies.make(x, copies.drawn(len(self.x))[held]), terms)))
-        mean = z.mean(axis=0)
-        scale = stats.or_one(z.std(axis=0), mean)
-        z = (z - mean) / scale
-        of = np.repeat(np.arange(self.folds), [len(y) // self.folds + (f < len(y) % self.folds) for f in range(self.folds)])
-        return Prepared(terms, mean, scale, {f: stats.gram_of(z[of == f], y[of == f]) for f in range(self.folds) if (of == f).any()})
-
-    def predict(self, terms: list[Term], coef: np.ndarray, constant: float) -> np.ndarray:
-        return expanded(self.x, terms) @ coef + constant if terms else np.full(len(self.x), constant)
-
-    def leave(self, terms: list[Term], coef: np.ndarray, constant: float) -> None:
-        self.residual = self.y - self.predict(terms, coef, constant)
-
-    def norm(self) -> float:
-        return float(np.sqrt(np.nansum(self.residual**2)))
-
-    def mean(self) -> float:
-        return float(np.nanmean(self.y))
-
-
 class Estimator:
     """Shared settings: degree of the dictionary, pair products, and the column of the row key that deals folds."""
 
@@ -352,11 +151,11 @@ class ImprovedSTLSQ(Estimator):
         return b, y - mean @ b, {"ridge": self.alpha}
 
 
-def _refit(rows: SparkRows | LocalRows, terms: list[Term], how: str) -> tuple[np.ndarray, float]:
+def _refit(terms: list[Term], how: str) -> Generator:
     """Coefficients of these terms on the raw axis."""
     if not terms:
-        return np.zeros(0), rows.mean()
-    made = rows.prepare(terms)
+        return np.zeros(0), (yield Mean())
+    made = yield Prepare(terms)
     if how == "ols":
         g, c, _, mean, my, _ = _pieces(made)
         b = solvers.ols(g, c)
@@ -406,7 +205,7 @@ class PolyKnockoff(Estimator):
         tau = fdr.threshold(w, self.q, self.offset)
         at = np.flatnonzero(w >= tau)
         chosen = [terms[k] for k in at]
-        coef, constant = _least_squares(made, at) if len(at) else _refit(rows, [], "ols")
+        coef, constant = _least_squares(made, at) if len(at) else (np.zeros(0), rows.mean())
         return Fitted(self.method, list(features), chosen, coef, constant, params={"tau": tau, "w": w.tolist()})
 
 
@@ -443,69 +242,96 @@ class IterativeKnockoffs(Estimator):
     def _copies(self, df: DataFrame, features: Sequence[str], known: list[int], mixture: gmm.Mixture | None, key: str, stream: str) -> Copies | MixtureCopies:
         rows = SparkRows(df, features, features[0], key, self.folds, self.seed)
         try:
-            return self._round_copies(rows, known, mixture, stream)
+            return _answered(self._round_copies(len(features), key, known, mixture, stream), rows)
         finally:
             rows.close()
 
-    def _round_copies(self, rows: SparkRows | LocalRows, known: list[int], mixture: gmm.Mixture | None, stream: str) -> Copies | MixtureCopies:
+    def _round_copies(self, p: int, key: str, known: list[int], mixture: gmm.Mixture | None, stream: str) -> Generator:
         """Knockoffs of the features not known, given the known ones."""
-        rest = [j for j in range(len(rows.features)) if j not in known]
+        rest = [j for j in range(p) if j not in known]
         if mixture is None or not known and self.first == "sample":
-            mean, cov, _ = rows.covariance(rest, labelled=True)
-            return Copies(knockoffs.Sampler.gaussian(mean, cov + 1e-6 * np.eye(len(cov))), rest, rows.key, self.seed, stream)
-        return MixtureCopies(mixture, rest, known, rows.key, self.seed, stream)
+            mean, cov, _ = yield Covariance(rest)
+            return Copies(knockoffs.Sampler.gaussian(mean, cov + 1e-6 * np.eye(len(cov))), rest, key, self.seed, stream)
+        return MixtureCopies(mixture, rest, known, key, self.seed, stream)
 
     def fit_rows(self, rows: SparkRows | LocalRows) -> Fitted:
-        features = rows.features
         rows.restart()
+        return _answered(self._course(rows.features, rows.key, self.q), rows)
+
+    def _course(self, features: list[str], key: str, q: float) -> Generator:
+        """A fit as a run of questions about the rows."""
         mixture = None
         if self.first == "mixture" or self.max_iter > 1:
-            mixture = rows.mixture(self.components, self.alpha, self.seed)
+            mixture = yield MixtureOf(self.components, self.alpha, self.seed)
         active: list[Term] = []
         history: list[dict] = []
-        coef, constant = np.zeros(0), 0.0
+        left: Model = ([], np.zeros(0), 0.0)
         for t in range(1, self.max_iter + 1):
             known = sorted({i for term in active for i in term.idx})
             rest = [j for j in range(len(features)) if j not in known]
             if not rest:
                 break
             terms = self._terms(len(rest))
-            ready = rows.prepare(terms, rest, self._round_copies(rows, known, mixture, f"round{t}-"), residual=True)
+            copies = yield from self._round_copies(len(features), key, known, mixture, f"round{t}-")
+            ready = yield Prepare(terms, rest, copies, left if active else None)
             b, _, _ = solvers.lasso_cv(ready.folds)
             m = len(terms)
             w = fdr.w_statistics(b[:m], b[m:], self.w)
-            share = fdr.budget(t, self.q, self.rule, self.gamma)
+            share = fdr.budget(t, q, self.rule, self.gamma)
             tau = fdr.threshold(w, share, self.offset)
             new = [Term(tuple(rest[i] for i in term.idx), term.exp) for term, v in zip(terms, w, strict=True) if v >= tau]
             if new:
                 active += new
-                coef, constant = _refit(rows, active, self.refit)
-                rows.leave(active, coef, constant)
-            norm = rows.norm()
+                left = (active[:], *(yield from _refit(active[:], self.refit)))
+            norm = yield Norm(left)
             history.append({"iteration": t, "q_t": share, "tau_t": None if np.isinf(tau) else tau, "n_candidates": len(rest), "n_new_selected": len(new), "residual_norm": norm})
             if not new:
                 break
         if not active:
-            coef, constant = _refit(rows, [], "ols")
-        return Fitted(self.method, features, active, coef, constant, history)
+            left = ([], *(yield from _refit([], "ols")))
+        return Fitted(self.method, features, active, left[1], left[2], history)
 
     def fit_with_cv(self, df: DataFrame, features: Sequence[str], y: str, key: str, candidates: Sequence[float] = (0.05, 0.1, 0.15, 0.2), folds: int = 3) -> Fitted:
-        """The budget with the highest mean held-out R2 (first of equals), then a fit on all rows."""
-        dealt = df.withColumn("__cv", stats.hashed_fold(F.col(key), folds, self.seed + 1))
-        best, was = (-np.inf, candidates[0]), self.q
-        for q in candidates:
-            self.q = q
-            score = []
-            for f in range(folds):
-                model = self.fit(dealt.where((F.col("__cv") != f) | F.col(y).isNull()), features, y, key)
-                score.append(stats.test_metrics(model.transform(dealt.where(F.col("__cv") == f)), y, "prediction").first().r2)
-            if np.mean(score) > best[0]:
-                best = (float(np.mean(score)), q)
-        self.q = best[1]
+        """The fit of all rows with the budget of the highest mean held-out R2 (first of equals), which ``params`` tells with
+        all budgets' scores. All budgets and folds, and the fits of all rows, go side by side over rows written once: each
+        round of questions takes one pass (two for Grams) whatever the number of candidates."""
+        rows = FoldedRows(df, features, y, key, self.folds, self.seed, folds)
         try:
-            return self.fit(df, features, y, key)
+            runs = [(held, q) for q in candidates for held in (*range(folds), None)]
+            made = dict(zip(runs, _together(rows, [(held, self._course(rows.features, key, q)) for held, q in runs]), strict=True))
+            tried = [(held, q) for held, q in runs if held is not None]
+            scores = dict(zip(tried, rows.scores([(held, (made[held, q].terms, made[held, q].coef, made[held, q].intercept)) for held, q in tried]), strict=True))
         finally:
-            self.q = was
+            rows.close()
+        mean = [float(np.mean([scores[held, q] for held in range(folds)])) for q in candidates]
+        best = int(np.argmax(mean))
+        chosen = made[None, candidates[best]]
+        chosen.params |= {"q": candidates[best], "cv_r2": dict(zip(candidates, mean, strict=True))}
+        return chosen
+
+
+def _answered(run: Generator, rows: SparkRows | LocalRows):
+    """What a run of questions returns when these rows answer."""
+    answer = None
+    while True:
+        try:
+            answer = rows.answer(run.send(answer))
+        except StopIteration as end:
+            return end.value
+
+
+def _together(rows: FoldedRows, runs: Sequence[tuple[int | None, Generator]]) -> list:
+    """What several runs return; each round all unfinished ones ask once."""
+    out, asked, answers = [None] * len(runs), {}, dict.fromkeys(range(len(runs)))
+    while answers:
+        asked = {}
+        for n, answer in answers.items():
+            try:
+                asked[n] = runs[n][1].send(answer)
+            except StopIteration as end:
+                out[n] = end.value
+        answers = dict(zip(asked, rows.answers([(runs[n][0], q) for n, q in asked.items()]), strict=True)) if asked else {}
+    return out
 
 
 METHODS = {e.method: e for e in (IterativeKnockoffs, PolyLasso, PolyOMP, PolyClime, PolyKnockoff, PolySTLSQ, ImprovedSTLSQ)}

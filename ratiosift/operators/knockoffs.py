@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keyed
-from .stats import gram
+from .stats import Gram, gram
 
 
 def covariance(df: DataFrame, columns: Sequence[str], ddof: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
@@ -23,7 +23,10 @@ def covariance(df: DataFrame, columns: Sequence[str], ddof: int = 1) -> tuple[np
     g = gram(df, columns, columns[0])
     if not g:
         raise ValueError("no rows without nulls")
-    own = g[0]
+    return covariance_of(g[0], ddof)
+
+
+def covariance_of(own: Gram, ddof: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
     cov, _, _, mean, _ = own.centred()
     return mean, cov * own.n / max(own.n - ddof, 1), own.n
 

@@ -691,11 +691,19 @@ def sweep_small(spark, sf_dir):
     return out.drop("elapsed_seconds")
 
 
+@query()
+def ic_cv_select(spark, sf_dir):
+    """The budget of the iterative estimator by cross-validation, all budgets and folds side by side; its selection."""
+    e = estimators.IterativeKnockoffs(max_iter=2, interactions=False)
+    m = e.fit_with_cv(planted(spark, sf_dir, 4), _FEATURES, "y", "o_orderkey", (0.05, 0.1, 0.2))
+    return _selection(spark, m).withColumn("q", F.lit(m.params["q"])).withColumn("cv_r2", r(F.lit(m.params["cv_r2"][m.params["q"]]), 4))
+
+
 @query()
 def comparison_results(spark, sf_dir):
-    """Every method's fit on the same planted rows, one row each."""
-    df = planted(spark, sf_dir, 3)
-    fitted = estimators.compare(df, ["x0", "x1", "x2"], "y", "o_orderkey", ["poly_lasso", "poly_omp", "sparse_poly_stlsq", "improved_stlsq", "poly_knockoff"])
-    names = {k: "|".join(t.name(m.features) for t, c in zip(m.terms, m.coef, strict=True) if c) for k, m in fitted.items()}
-    found = spark.createDataFrame([(k, len(m.terms), names[k]) for k, m in fitted.items()], "method string, n_selected int, selected_names string")
-    return found.join(estimators.scored(fitted, df, "y"), "method").select("method", "n_selected", "selected_names", r("r2").alias("r2"), r("bic", 2).alias("bic"))
+    """Methods side by side on planted rows: what they select and find of the truth, and how they fit the rows they were
+    fitted on and those held out."""
+    methods = ["poly_lasso", "poly_omp", "sparse_poly_stlsq", "improved_stlsq", "poly_knockoff"]
+    out = estimators.comparison(planted(spark, sf_dir, 3), ["x0", "x1", "x2"], "y", "o_orderkey", methods, TRUTH)
+    scores = [r(c, 4 if "r2" in c or "rmse" in c or "mae" in c else 2).alias(c) for c in out.columns if c.startswith(("train_", "test_"))]
+    return out.select("method", "n_selected", "selected_names", "tp", "fp", "fn", r("fdr").alias("fdr"), r("tpr").alias("tpr"), *scores)

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratiosift.functions import keyed
-from ratiosift.operators import blocks, gmm, stats
+from ratiosift.operators import blocks, estimators, gmm, rows, stats
+from ratiosift.operators.terms import Term
+from ratiosift.plans import simulate
 
 
 def _rows(spark, n=600, parts=5):
@@ -159,3 +161,50 @@ def test_one_component_takes_one_pass(spark, monkeypatch):
     assert len(jobs) == 1 and one.converged
     x = df.toPandas()[names].to_numpy()
     assert one.loglik == pytest.approx(one.responsibilities(x)[1].sum(), rel=1e-9)
+
+
+def _refits(e, df, features, y, key, candidates, folds):
+    """Every budget and fold by a fit of its own."""
+    dealt = df.withColumn("__cv", stats.hashed_fold(F.col(key), folds, e.seed + 1))
+    score = {}
+    for q in candidates:
+        own = estimators.IterativeKnockoffs(q=q, max_iter=e.max_iter, interactions=False, first=e.first, offset=e.offset, components=e.components)
+        r2 = []
+        for f in range(folds):
+            model = own.fit(dealt.where((F.col("__cv") != f) | F.col(y).isNull()), features, y, key)
+            r2.append(stats.test_metrics(model.transform(dealt.where(F.col("__cv") == f)), y, "prediction").first().r2)
+        score[q] = float(np.mean(r2))
+    best = max(candidates, key=lambda q: (score[q], -candidates.index(q)))
+    return score, best, estimators.IterativeKnockoffs(q=best, max_iter=e.max_iter, interactions=False, first=e.first, offset=e.offset, components=e.components).fit(df, features, y, key)
+
+
+@pytest.mark.parametrize("first", ["sample", "mixture"])
+def test_budgets_and_folds_side_by_side_are_refits(spark, monkeypatch, first):
+    df = simulate.uniform_features(spark.range(0, 800, 1, 2).withColumnRenamed("id", "key"), "key", 3, 1)
+    df = simulate.planted(df, "key", 3, [Term((0,), (1,)), Term((1,), (-1,))], [1.0, 0.15], 0.4, 1)
+    df = df.withColumn("y", F.when(F.col("key") % 9 != 0, F.col("y"))).cache()  # some rows have no response
+    features, candidates = ["x0", "x1", "x2"], [0.01, 0.4]
+    e = estimators.IterativeKnockoffs(max_iter=2, interactions=False, first=first, components=1)
+    score, best, want = _refits(e, df, features, "y", "key", candidates, 2)
+    jobs, summed = [], blocks.summed
+    monkeypatch.setattr(blocks, "summed", lambda *a: jobs.append(1) or summed(*a))
+    made = e.fit_with_cv(df, features, "y", "key", candidates, 2)
+    passes = len(jobs)
+    assert made.params["q"] == best and made.params["cv_r2"] == pytest.approx(score, rel=1e-6, abs=1e-9)
+    assert [t.key for t in made.terms] == [t.key for t in want.terms]
+    np.testing.assert_allclose(made.coef, want.coef, rtol=1e-6)
+    assert made.intercept == pytest.approx(want.intercept, rel=1e-6)
+    for a, b in zip(made.history, want.history, strict=True):
+        assert {k: v or 0 for k, v in a.items()} == pytest.approx({k: v or 0 for k, v in b.items()}, rel=1e-6)
+    e.fit_with_cv(df, features, "y", "key", [*candidates, 0.05, 0.2], 2)
+    assert len(jobs) - passes <= passes + 2  # as many passes for twice the budgets
+
+
+def test_questions_that_do_not_fit_a_pass_take_more(spark, monkeypatch):
+    df = simulate.uniform_features(spark.range(400).withColumnRenamed("id", "key"), "key", 2, 1)
+    df = simulate.planted(df, "key", 2, [Term((0,), (1,))], [1.0], 0.1, 1).cache()
+    e = estimators.IterativeKnockoffs(max_iter=1, interactions=False)
+    one = e.fit_with_cv(df, ["x0", "x1"], "y", "key", [0.2], 2)
+    monkeypatch.setattr(rows.FoldedRows, "MOST", 1)
+    two = e.fit_with_cv(df, ["x0", "x1"], "y", "key", [0.2], 2)
+    assert one.params == two.params and one.coef.tolist() == pytest.approx(two.coef.tolist())
