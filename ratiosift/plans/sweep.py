@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import estimators, evaluate
 from ..operators.terms import Term
+from ..sources import tables
 
 TRIAL = "config_id int, method string, trial int, n int, n_selected int, n_tp int, n_fp int, n_fn int, fdr double, tpr double, r_squared double, elapsed_seconds double, status string"
 
@@ -59,6 +60,19 @@ def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, tru
     return each.groupBy(*by, "method").applyInPandas(fit, TRIAL)
 
 
+def run_into(path: str, rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], batches: int = 8, **settings) -> DataFrame:
+    """``run`` that can be stopped and run again. Configurations are fitted in ``batches`` jobs; each commits its records
+    into folders of their ``config_id``, whole configurations at once. Those that have a folder are not fitted again, and
+    one that is written twice replaces itself. Returns all records; a filter on ``config_id`` reads only its folders."""
+    spark = rows.sparkSession
+    for batch in range(batches):
+        own = rows.where(F.pmod("config_id", F.lit(batches)) == batch)
+        left = tables.done_before(spark, path, own.select("config_id").distinct(), ["config_id"])
+        if not left.isEmpty():
+            tables.write_records(run(own.join(F.broadcast(left), "config_id"), by, features, y, truth, methods, **settings), path)  # a number for each configuration of the batch
+    return spark.read.schema(TRIAL).parquet(path)
+
+
 def trial_aggregate(trials: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("config_id", "method")) -> DataFrame:
     """Mean and population deviation (null for one trial) of each metric, NaN and null left out, and numbers of trials."""
     ok = lambda m: F.when(~F.isnan(F.col(m)), F.col(m))

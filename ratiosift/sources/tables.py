@@ -6,16 +6,16 @@ Observations become ``row_id``, ``split`` ("labeled" or "unlabeled"), the featur
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import numpy_files
+from .scratch import qualified
+
 
 @dataclass
 class Observations:
@@ -95,23 +95,11 @@ def read_csv_sniffed(spark: SparkSession, path: str, sep: str = ",") -> Observat
     return from_frame(df, df.columns[:-1], df.columns[-1], path)
 
 
-def _arrays(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """Rows of the arrays in NumPy files, read by tasks: (part, at, row)."""
-    schema = "part string, at long, row array<double>"
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                loaded = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
-                parts = {n: loaded[n] for n in names if n in loaded} if isinstance(loaded, np.lib.npyio.NpzFile) else {names[0]: loaded}
-                for name, a in parts.items():
-                    a = np.asarray(a, float).reshape(len(a), -1)
-                    for lo in range(0, len(a), 10_000):
-                        own = a[lo : lo + 10_000]
-                        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * own.shape[1], pa.int32()), pa.array(own.ravel()))
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(np.arange(lo, lo + len(own))), flat], names=["part", "at", "row"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, schema)
+def _arrays(spark: SparkSession, path: str, name: str = "") -> DataFrame:
+    """Rows (part, at, row) of a NumPy file, or of one member of an archive, dealt to tasks by byte ranges."""
+    numpy_files.register(spark)
+    source = spark.read.format("numpy")
+    return (source.option("names", name) if name else source).load(qualified(spark, path))
 
 
 def _assembled(x: DataFrame, y: DataFrame, extra: DataFrame | None, source: str) -> Observations:
@@ -125,14 +113,11 @@ def _assembled(x: DataFrame, y: DataFrame, extra: DataFrame | None, source: str)
 
 def read_npz(spark: SparkSession, path: str) -> Observations:
     """An archive with X, y and perhaps X_unlabeled."""
-    rows = _arrays(spark, path, ["X", "y", "X_unlabeled"])
-    of = lambda n: rows.where(F.col("part") == n)
-    return _assembled(of("X"), of("y"), of("X_unlabeled"), path)
+    return _assembled(*(_arrays(spark, path, n) for n in ("X", "y", "X_unlabeled")), path)
 
 
 def read_npy(spark: SparkSession, x_path: str, y_path: str, unlabeled_path: str | None = None) -> Observations:
-    one = lambda p: _arrays(spark, p, ["a"])
-    return _assembled(one(x_path), one(y_path), one(unlabeled_path) if unlabeled_path else None, x_path)
+    return _assembled(_arrays(spark, x_path), _arrays(spark, y_path), _arrays(spark, unlabeled_path) if unlabeled_path else None, x_path)
 
 
 #: Nested results, one row per method and data set.
@@ -177,10 +162,16 @@ def stamped(df: DataFrame, column: str = "run_at") -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, append: bool = False) -> None:
-    """A table as Parquet. ``append`` adds to what an earlier run wrote: with ``done_before`` a stopped sweep goes on."""
+    """A table as Parquet. ``append`` adds to what an earlier run wrote; a write that may be repeated is ``write_records``."""
     df.write.mode("append" if append else "error").parquet(path)
 
 
+def write_records(df: DataFrame, path: str, by: str = "config_id") -> None:
+    """Records as Parquet in a folder for each value of ``by``. Folders of values in ``df`` are replaced as a whole when the
+    job commits, the others stay, so a write that is repeated, or resumed after a stop, never doubles a record."""
+    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def write_report(df: DataFrame, path: str, digits: int = 8) -> None:
     """A summary or pivot table as CSV: decimals cut to ``digits``, NaN empty."""
     rounded(finite(df), digits).coalesce(1).write.csv(path, header=True)  # a row for each configuration
@@ -213,5 +204,10 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def done_before(spark: SparkSession, path: str, configs: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The configurations without a record in an earlier run's table: a sweep that was stopped goes on with these."""
-    return configs.join(spark.read.parquet(path).select(*on).distinct(), list(on), "left_anti")
+    """The configurations without a record in an earlier run's table: a sweep that was stopped goes on with these. All of
+    them if there is no such table yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return configs
+    found = spark.read.option("recursiveFileLookup", "false").schema(", ".join(f"`{c}` {configs.schema[c].dataType.simpleString()}" for c in on)).parquet(path)
+    return configs.join(found.select(*on).distinct(), list(on), "left_anti")
