@@ -9,7 +9,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Written
@@ -56,7 +56,8 @@ def threshold(w: Sequence[float], q: float, offset: int = 0) -> float:
 
 def threshold_frame(df: DataFrame, w: str, q: float, offset: int = 0, by: Sequence[str] = (), largest: bool = False) -> DataFrame:
     """The same for each group of ``by``, as ``by`` and ``tau`` (null for infinity). ``largest`` takes the largest step that
-    passes instead of the smallest. Rows are first collapsed to distinct sizes with their counts; running counts follow."""
+    passes instead of the smallest. Rows are first collapsed to distinct sizes with their counts; running counts over ranges
+    follow, so one group may hold most rows."""
     steps = df.where(F.col(w).isNotNull() & (F.col(w) != 0)).groupBy(*by, F.abs(w).alias("size")).agg(F.count_if(F.col(w) > 0).alias("pos"), F.count_if(F.col(w) < 0).alias("neg"))
     pick = F.max if largest else F.min
     if not by:  # no group that could deal the sizes to tasks
@@ -67,9 +68,13 @@ def threshold_frame(df: DataFrame, w: str, q: float, offset: int = 0, by: Sequen
         row = tau.collect()  # one number
         written.close()
         return df.sparkSession.createDataFrame(row, tau.schema)
-    beyond = Window.partitionBy(*by).orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = steps.withColumn("ratio", (offset + F.sum("neg").over(beyond)) / F.greatest(F.lit(1), F.sum("pos").over(beyond)))
-    return df.select(*by).distinct().join(steps.groupBy(*by).agg(pick(F.when(F.col("ratio") <= q, F.col("size"))).alias("tau")), list(by), "left")
+    written, kept = Written(df.sparkSession), Written(df.sparkSession)
+    run = stats.in_order(steps, [-F.col("size")], ["pos", "neg"], written, by)
+    ratio = (offset + F.col("before_neg") + F.col("neg")) / F.greatest(F.lit(1), F.col("before_pos") + F.col("pos"))
+    tau = kept.keep(run.groupBy(*by).agg(pick(F.when(ratio <= q, F.col("size"))).alias("tau")))
+    written.close()
+    return df.select(*by).distinct().join(tau, list(by), "left")
+
 
 
 def select(df: DataFrame, w: str, tau: DataFrame, by: Sequence[str] = ()) -> DataFrame:

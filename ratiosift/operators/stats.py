@@ -152,23 +152,42 @@ def total(grams: dict[int, Gram]) -> Gram:
     return Gram(sum(g.a for g in grams.values()))
 
 
-def in_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str], written: Written) -> DataFrame:
+def in_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str], written: Written, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``before_<c>`` for each column of ``sums``: its sum over all rows before this one in ``order`` (which must tell
-    rows apart). Rows are dealt into ranges and written once, so that both passes see the same ranges; then only the
-    ranges' sums meet, a row for each range."""
-    spark = df.sparkSession
-    columns = [c.alias(f"__order{k}") for k, c in enumerate(order)]
-    names = [f"__order{k}" for k in range(len(order))]
-    dealt = df.select("*", *columns).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *names)
+    rows apart), within the group of ``by`` if that is given (null is a group). Rows are dealt into ranges of group and order,
+    so a group may hold most rows, and written once, so that both passes see the same ranges; then only sums meet, a row for
+    each range and group in it."""
+    columns = [F.struct(*by).alias("__order0")] * bool(by) + [c.alias(f"__order{k}") for k, c in enumerate(order, bool(by))]
+    names = [f"__order{k}" for k in range(len(columns))]
+    group = names[: bool(by)]
+    dealt = df.select("*", *columns).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
     dealt = written.keep(dealt.withColumn("__range", F.spark_partition_id()))
-    whole = dealt.groupBy("__range").agg(*(F.sum(c).alias(f"__sum_{c}") for c in sums))
-    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.select("__range", *(F.coalesce(F.sum(f"__sum_{c}").over(earlier), F.lit(0)).alias(f"__base_{c}") for c in sums))
-    own = Window.partitionBy("__range").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.select("*", *(F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"__own_{c}") for c in sums)).join(F.broadcast(whole), "__range")
+    whole = dealt.groupBy("__range", *group).agg(*(F.sum(c).alias(f"__sum_{c}") for c in sums))
+    earlier = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("__range", *group, *(F.coalesce(F.sum(f"__sum_{c}").over(earlier), F.lit(0)).alias(f"__base_{c}") for c in sums))
+    own = Window.partitionBy("__range", *group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.select("*", *(F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"__own_{c}") for c in sums))
+    out = out.join(whole if by else F.broadcast(whole), ["__range", *group])  # without groups a row for each range
     return out.select(*df.columns, *((F.col(f"__base_{c}") + F.col(f"__own_{c}")).alias(f"before_{c}") for c in sums))
 
 
+def medians(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``by`` and the exact median of each column in its group, nulls left out. Equal values are counted first, then running
+    counts over ranges find the middle, so no task gathers a group."""
+    written, kept = Written(df.sparkSession), Written(df.sparkSession)
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns)))
+    counted = df.select(*by, pairs.alias("__pair")).select(*by, "__pair.*").where("value is not null").groupBy(*by, "name", "value").agg(F.count("*").alias("__n"))
+    group = F.struct(*by, "name")
+    run = in_order(counted, [F.col("value")], ["__n"], written, [*by, "name"]).withColumn("__group", group)
+    size = run.groupBy("__group").agg(F.sum("__n").alias("__size"))
+    inside = lambda rank: F.when((F.col("before___n") <= rank) & (rank < F.col("before___n") + F.col("__n")), 0.5).otherwise(0.0)
+    share = inside(F.floor((F.col("__size") - 1) / 2)) + inside(F.floor(F.col("__size") / 2))
+    middle = run.join(size, "__group").withColumn("__share", share).where("__share > 0")
+    found = kept.keep(middle.groupBy(*by).agg(*(F.sum(F.when(F.col("name") == c, F.col("value") * F.col("__share"))).alias(c) for c in columns)))
+    written.close()
+    return found
+
+
 def contiguous_fold(order: Column, n: int, folds: int) -> Column:
     """Fold of a row by its place (from 0) among ``n`` rows: consecutive, the first ``n % folds`` folds one row longer."""
     small, longer = n // folds, n % folds

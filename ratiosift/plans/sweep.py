@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Sequence
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import estimators, evaluate
+from ..operators import estimators, evaluate, stats
 from ..operators.terms import Term
 from ..sources import tables
 
@@ -81,13 +82,27 @@ def trial_aggregate(trials: DataFrame, metrics: Sequence[str], by: Sequence[str]
 
 def group_stats(trials: DataFrame, by: Sequence[str], metrics: Sequence[str], digits: int = 3) -> DataFrame:
     """Mean, sample deviation and median of each metric."""
-    return trials.groupBy(*by).agg(*(F.round(f(m), digits).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("median", F.median))))
+    own = trials.groupBy(*by).agg(*(F.round(f(m), digits).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
+    out = _beside(own, stats.medians(trials, by, metrics), by)
+    return out.select(*by, *(c for m in metrics for c in (f"{m}_mean", f"{m}_std", F.round(m, digits).alias(f"{m}_median"))))
 
 
 def pivoted(trials: DataFrame, index: Sequence[str], methods: Sequence[str], metrics: dict[str, str], digits: int = 3) -> DataFrame:
     """A column for each method and metric; ``metrics`` names each one's aggregate ("mean" or "median")."""
-    how = {"mean": F.avg, "median": F.median}
-    return trials.groupBy(*index).pivot("method", list(methods)).agg(*(F.round(how[a](m), digits).alias(m) for m, a in metrics.items()))
+    if unknown := set(metrics.values()) - {"mean", "median"}:
+        raise ValueError(f"unknown aggregates {sorted(unknown)}")
+    by, middle = [*index, "method"], [m for m, a in metrics.items() if a == "median"]
+    own = trials.groupBy(*by).agg(F.count("*").alias("__rows"), *(F.avg(m).alias(m) for m, a in metrics.items() if a == "mean"))
+    if middle:
+        own = _beside(own, stats.medians(trials, by, middle), by)
+    return own.groupBy(*index).pivot("method", list(methods)).agg(*(F.round(F.first(m), digits).alias(m) for m in metrics))
+
+
+def _beside(one: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of ``one`` with the other columns of ``other`` for the same ``by``, null being equal to null."""
+    a, b = one.alias("a"), other.alias("b")
+    same = functools.reduce(lambda x, y: x & y, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by))
+    return a.join(b, same, "left").select("a.*", *(f"b.{c}" for c in other.columns if c not in by))
 
 
 def best_by(scores: DataFrame, by: Sequence[str], score: str, order: str, value: str) -> DataFrame:

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratiosift.functions import keyed
-from ratiosift.operators import blocks, estimators, gmm, rows, stats
+from ratiosift.operators import blocks, estimators, fdr, gmm, rows, stats
 from ratiosift.operators.terms import Term
-from ratiosift.plans import simulate
+from ratiosift.plans import simulate, sweep
 
 
 def _rows(spark, n=600, parts=5):
@@ -208,3 +208,26 @@ def test_questions_that_do_not_fit_a_pass_take_more(spark, monkeypatch):
     monkeypatch.setattr(rows.FoldedRows, "MOST", 1)
     two = e.fit_with_cv(df, ["x0", "x1"], "y", "key", [0.2], 2)
     assert one.params == two.params and one.coef.tolist() == pytest.approx(two.coef.tolist())
+
+
+def test_medians_and_thresholds_of_a_group_that_holds_most_rows(spark):
+    rng = np.random.default_rng(2)
+    data = [("hot" if k % 10 else [None, "a", "b"][k // 10 % 3], float(v) if k % 17 else None, float(w)) for k, (v, w) in enumerate(zip(rng.integers(0, 40, 900), rng.normal(0.3, 1, 900), strict=True))]
+    df = spark.createDataFrame(data, "g string, v double, w double").repartition(5)
+    want = {r.g: (r.v, r.w) for r in df.groupBy("g").agg(F.median("v").alias("v"), F.median("w").alias("w")).collect()}
+    got = {r.g: (r.v, r.w) for r in stats.medians(df, ["g"], ["v", "w"]).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    assert stats.medians(df.where("false"), ["g"], ["v"]).count() == 0
+    tau = fdr.threshold_frame(df.where("g is not null"), "w", 0.3, 1, ["g"])
+    plan = tau._jdf.queryExecution().toString()
+    for r in tau.collect():
+        own = fdr.threshold([w for g, _, w in data if g == r.g], 0.3, 1)
+        assert r.tau == pytest.approx(own) if np.isfinite(own) else r.tau is None
+    assert "windowspecdefinition(g" not in plan
+
+
+def test_pivot_without_percentile(spark):
+    rows = [(c, m, float(v)) for c in (1, 2, None) for m in ("a", "b") for v in range(c or 3)]
+    out = sweep.pivoted(spark.createDataFrame(rows, "config_id int, method string, x double").withColumn("y", F.col("x") * 3), ["config_id"], ["a", "b"], {"x": "median", "y": "mean"})
+    assert {r.config_id: (r.a_x, r.b_y) for r in out.collect()} == {1: (0.0, 0.0), 2: (0.5, 1.5), None: (1.0, 3.0)}
+    assert "percentile" not in out._jdf.queryExecution().toString() and "median" not in out._jdf.queryExecution().toString()
