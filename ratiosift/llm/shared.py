@@ -1,39 +1,19 @@
 """Tables that are written to the folder all executors share, and read again.
 
-Cutting a plan this way bounds lineage and survives lost executors. The folder is ``spark.checkpoint.dir``; only where
-a session names none (tests, a laptop) a temporary folder is made, one for each application.
+Cutting a plan this way bounds lineage and survives lost executors. The folder is ``spark.checkpoint.dir``, as in
+``ratiosift.sources.scratch``.
 """
 
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import qualified, shared_dir
 from .textkernel import release
 
-_KEY = "spark.checkpoint.dir"
-_own: dict[str, str] = {}  # by application
-
-
-def shared_dir(spark: SparkSession) -> str:
-    where = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if not where:
-        app = spark.sparkContext.applicationId
-        where = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return where.rstrip("/")
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path as a URI of the file system that Spark takes it for, in the form Arrow reads."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        return "file://" + uri[5:]
-    return "s3://" + uri.partition("://")[2] if uri.startswith(("s3a://", "s3n://")) else uri
-
 
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with as many underscores after it as it takes to clash with no column (case ignored)."""

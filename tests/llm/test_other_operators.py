@@ -1,4 +1,7 @@
+import random
 
+import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -29,6 +32,36 @@ def test_quotations(spark):
     assert link(spark, df.limit(0)).count() == 0
 
 
+def test_quotations_by_the_sql(spark):
+    """Planted quotations of several levels, long messages, ties and repeated rows, against the registered SQL."""
+    r = random.Random(5)
+    word = lambda: r.choice(["alpha", "beta", "gamma", "delta", "Omega!", "x1", "é"])
+    rows = []
+    for conv in range(30):
+        said = []
+        for turn in range(r.randint(1, 9)):
+            lines = []
+            for _ in range(r.randint(0, 3)):
+                if said and r.random() < 0.7:
+                    quoted = r.choice(said).splitlines() or [""]
+                    lines += [">" * r.randint(1, 3) + r.choice([" ", ""]) + x for x in quoted[: r.randint(1, 4)]]
+                lines += [" ".join(word() for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 3))] + [""] * r.randint(0, 1)
+            text = "\n".join(lines).strip()
+            said.append(text)
+            rows += [(conv, turn, r.choice(["u", "a", None]), r.choice([text, text, text, None]))] * r.choice([1, 1, 1, 2])
+    rows.append((99, 0, "u", "\n".join(f"line {k} of a long message" for k in range(3000))))
+    rows.append((99, 1, "a", "\n".join(f"> line {k} of a long message" for k in range(3000)) + "\nyes"))
+    got = link(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).toPandas()
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    con.sql("CREATE TABLE conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM given")
+    want = con.sql(queries.ORACLE_SQL["op9_quotation_linking"]).df()
+    columns = sorted(c for c in want.columns if c != "position")  # repeated rows take places at will
+    plain = lambda df: sorted((tuple(None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in row) for row in df[columns].itertuples(index=False)), key=str)
+    assert [tuple(map(str, x)) for x in plain(got)] == [tuple(map(str, x)) for x in plain(want)]
+    assert (got.n_linked > 0).sum() > 30 and got.n_linked[got.conv_id == 99].max() == 1
+
+
 @pytest.fixture(scope="module")
 def trees():
     return html_text.train(400)

@@ -84,7 +84,7 @@ def test_word_kernel_on_very_long_texts(monkeypatch):
 
 
 def test_scratch_folder_where_none_is_named(spark, monkeypatch):
-    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), applicationId="none named"))
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="local[2]", getConf=lambda: SimpleNamespace(get=lambda k: None), applicationId="none named"))
     assert shared.shared_dir(unset) == shared.shared_dir(unset) and shared.shared_dir(unset).startswith("file:///")
     assert shared.free_name(["bad", "BAD_"], "bad") == "bad__"
 
