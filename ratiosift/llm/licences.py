@@ -16,7 +16,8 @@
 
 The long licences (GNU, Apache, Mozilla, Creative Commons) are known by heading and notice, the short ones by their text
 too; ``templates`` takes further full texts. Texts are read whole and once:
-what later steps need of them is written.
+what later steps need of them is written. Windows are made block by block of the text, each different window is weighed
+once however many files hold it, and no row holds more than one text's words: a text made of triggers only takes time.
 
 Null or empty texts have no licence of their own; a null path lies in no directory and inherits nothing. Repeated rows are
 scanned separately. An empty table gives no rows. Other columns are ignored.
@@ -61,12 +62,23 @@ NOTICES = [
     ("CC-BY-SA-4.0", "licensed under a creative commons attribution-sharealike 4.0 international license"),
     ("CC-BY-NC-4.0", "licensed under cc by-nc 4.0"),
     ("CC-BY-NC-4.0", "licensed under a creative commons attribution-noncommercial 4.0 international license"),
+    ("CC-BY-ND-4.0", "licensed under cc by-nd 4.0"),
+    ("CC-BY-ND-4.0", "licensed under a creative commons attribution-noderivatives 4.0 international license"),
+    ("CC-BY-NC-SA-4.0", "licensed under cc by-nc-sa 4.0"),
+    ("CC-BY-NC-SA-4.0", "licensed under a creative commons attribution-noncommercial-sharealike 4.0 international license"),
+    ("CC-BY-NC-ND-4.0", "licensed under cc by-nc-nd 4.0"),
+    ("CC-BY-NC-ND-4.0", "licensed under a creative commons attribution-noncommercial-noderivatives 4.0 international license"),
+    ("BSL-1.0", "boost software license version 1.0, august 17th, 2003"),
+    ("BSL-1.0", "distributed under the boost software license, version 1.0"),
+    ("EPL-2.0", "eclipse public license v 2.0"),
+    ("EPL-2.0", "made available under the terms of the eclipse public license, version 2.0"),
     ("CC0-1.0", "dedicated to the public domain under cc0 1.0 universal"),
     ("CC0-1.0", "creative commons legal code cc0 1.0 universal"),
     ("Unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 #: Names, titles, versions and dates of the GNU licences.
 GNU = [
+    ("GPL-1.0", "gnu general public license", "1", "february 1989"),
     ("GPL-2.0", "gnu general public license", "2", "june 1991"),
     ("GPL-3.0", "gnu general public license", "3", "29 june 2007"),
     ("LGPL-2.1", "gnu lesser general public license", "2.1", "february 1999"),
@@ -90,6 +102,8 @@ FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 WORD = "[a-z0-9]++(?:[.-]++[a-z0-9]++)*+"
 BEFORE, AFTER, REACH = (0, 2, 4, 8), (1, 5, 8, 16), (110, 170, 220)
 LEAST, WHOLE = 0.65, 0.8
+#: Words of a block, and parts that equal windows are dealt to, since every file of a corpus may bring the same notice.
+BLOCK, SALTS = 256, 16
 
 
 def words_of(text: Column) -> Column:
@@ -102,20 +116,32 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _pieces(words: Column) -> Column:
-    """(at, before, after, words) of a file's pieces; the whole file is at 0."""
-    each = F.sequence(F.lit(1), F.size(words))
-    spot = lambda names: F.filter(each, lambda i: F.element_at(words, i).isin(names))
+def _blocks(words: Column) -> Column:
+    """(start, first, words): the words in blocks of ``BLOCK``, each with those before and after that its windows reach, so
+    that no row grows with the text's number of triggers. ``first`` is the place of the block's first word in ``words``."""
+    starts = F.sequence(F.lit(1), F.size(words), F.lit(BLOCK))
+
+    def block(s: Column) -> Column:
+        low = F.greatest(F.lit(1), s - max(BEFORE))
+        return F.struct(s.alias("start"), (s - low + 1).alias("first"), F.slice(words, low, s - low + BLOCK + max(*AFTER, *REACH)).alias("words"))
+
+    return F.transform(starts, block)
+
+
+def _windows(block: Column) -> Column:
+    """(at, text) of the windows around a block's own triggers and from its openers on; ``at`` is the place in the file."""
+    words, first = block["words"], block["first"]
+    own = F.sequence(first, F.least(F.size(words), first + BLOCK - 1))
+    spot = lambda names: F.filter(own, lambda i: F.element_at(words, i).isin(names))
 
     def window(i: Column, before: Column, after: Column) -> Column:
-        first = F.greatest(F.lit(1), i - before)
-        return F.struct(i.alias("at"), before.alias("before"), after.alias("after"), F.slice(words, first, i + after - first + 1).alias("words"))
+        low = F.greatest(F.lit(1), i - before)
+        return F.struct((block["start"] + i - first).alias("at"), F.array_join(F.slice(words, low, i + after - low + 1), " ").alias("text"))
 
     near = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b in BEFORE for a in AFTER))
     around = F.flatten(F.transform(spot(TRIGGERS), lambda i: F.transform(near, lambda s: window(i, s["b"], s["a"]))))
     onward = F.flatten(F.transform(spot(OPENERS), lambda i: F.transform(F.array(*map(F.lit, REACH)), lambda a: window(i, F.lit(0), a))))
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("before"), F.lit(0).alias("after"), words.alias("words")))
-    return F.concat(whole, around, onward)
+    return F.concat(around, onward)
 
 
 def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
@@ -134,9 +160,9 @@ def scan(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]]
     vocabulary = [r.term for r in known.select("term").distinct().collect()]  # as many as the templates have
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     says = F.array(*map(F.lit, TRIGGERS + OPENERS))
-    held = _let(words_of(text), lambda w: F.struct(F.array_intersect(w, F.lit(vocabulary)).alias("terms"), F.when(F.arrays_overlap(w, says), _pieces(w)).alias("pieces")))
+    held = _let(words_of(text), lambda w: F.struct(F.array_intersect(w, F.lit(vocabulary)).alias("terms"), F.when(F.arrays_overlap(w, says), w).alias("words")))
     rows = files.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("path").cast("string").alias("path"), held.alias("held"))
-    rows = scratch.keep(rows.select("row", "doc_id", "path", "held.terms", "held.pieces"), "held")
+    rows = scratch.keep(rows.select("row", "doc_id", "path", "held.terms", "held.words"), "held")
 
     n = F.lit(float(rows.count()))
     idf = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -146,18 +172,26 @@ def scan(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]]
     wide = unit.groupBy("term", "idf").agg(*(F.expr(f"sum(if(template = {k}, w, 0D)) as t{k}") for k in range(len(names))))
     wide = scratch.keep(wide.coalesce(1), "templates")
 
-    key = ["row", "at", "before", "after"]
-    terms = rows.select("row", F.explode("pieces").alias("p")).select("row", "p.at", "p.before", "p.after", F.explode("p.words").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    terms = terms.join(F.broadcast(wide), "term", "left")  # as large as the templates' vocabulary
-    terms = terms.withColumn("w", F.col("tf") * F.coalesce(F.col("idf"), F.log(1.0 + n) + 1.0))
-    dots = [F.expr(f"sum(coalesce(t{k}, 0D) * w) as d{k}") for k in range(len(names))]
-    by_piece = terms.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
     order = {name: k for k, name in enumerate(sorted(set(names)))}
     best = [F.expr(f"struct(round(try_divide(d{k}, norm), 6) as similarity, {-order[name]} as order, {k} as k)") for k, name in enumerate(names)]
-    by_piece = by_piece.select("row", "at", (F.greatest(*best) if len(best) > 1 else best[0]).alias("best"))
-    hit = F.col("best.similarity") >= F.when(F.col("at") == 0, whole).otherwise(least)
+    dots = [F.expr(f"sum(coalesce(t{k}, 0D) * w) as d{k}") for k in range(len(names))]
+
+    def alike(terms: DataFrame, key: list[str], from_: float) -> DataFrame:
+        """The best template of each piece, a piece being the (key, term) rows of one key."""
+        terms = terms.groupBy(*key, "term").agg(F.count("*").alias("tf")).join(F.broadcast(wide), "term", "left")  # as large as the templates' vocabulary
+        terms = terms.withColumn("w", F.col("tf") * F.coalesce(F.col("idf"), F.log(1.0 + n) + 1.0))
+        pieces = terms.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+        return pieces.select(*key, (F.greatest(*best) if len(best) > 1 else best[0]).alias("best")).where(F.col("best.similarity") >= from_)
+
+    speaking = rows.where("words is not null")
+    whole_file = alike(speaking.select("row", F.explode("words").alias("term")), ["row"], whole).select("row", F.lit(0).alias("at"), "best")
+    blocks = speaking.select("row", F.explode(_blocks(F.col("words"))).alias("b")).where(F.arrays_overlap("b.words", says))
+    windows = blocks.select("row", F.explode(_windows(F.col("b"))).alias("w")).select("row", "w.at", "w.text", F.md5("w.text").alias("key"), F.pmod("row", F.lit(SALTS)).alias("salt"))
+    each = windows.groupBy("key", "salt").agg(F.first("text").alias("text"))  # equal windows are weighed once
+    good = alike(each.select("key", "salt", F.explode(F.split("text", " ")).alias("term")), ["key", "salt"], least)
+    placed = windows.select("row", "at", "key", "salt").join(good, ["key", "salt"]).select("row", "at", "best")
     tier = F.least(F.lit(9), F.floor(10 * F.col("best.similarity")))
-    found = by_piece.where(hit).groupBy("row").agg(F.max(F.struct((F.col("at") == 0).alias("whole"), tier.alias("tier"), (-F.col("at")).alias("place"), "best.similarity", "best.order", "best.k")).alias("best"), F.count_distinct(F.when(F.col("at") > 0, F.col("at"))).alias("n_statements"))
+    found = whole_file.union(placed).groupBy("row").agg(F.max(F.struct((F.col("at") == 0).alias("whole"), tier.alias("tier"), (-F.col("at")).alias("place"), "best.similarity", "best.order", "best.k")).alias("best"), F.count_distinct(F.when(F.col("at") > 0, F.col("at"))).alias("n_statements"))
     directory = F.when(F.col("path").isNotNull(), F.regexp_replace(F.regexp_extract("path", "^(.*)/[^/]*$", 1), "/+$", ""))
     own = rows.select("row", "doc_id", "path", directory.alias("dir")).join(found, "row", "left")
     own = own.select("doc_id", "path", F.coalesce("n_statements", F.lit(0)).cast("long").alias("n_statements"), F.when(F.col("best").isNotNull(), F.element_at(F.lit(names), F.col("best.k") + 1)).alias("own_license"), F.col("best.similarity").alias("similarity"), "dir", (F.col("path").rlike(FILE_NAME) | F.coalesce("best.whole", F.lit(False))).alias("is_file"))

@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ratiosift.llm import licences, queries
 from ratiosift.llm.licences import scan
@@ -93,3 +94,35 @@ def test_sql_form_on_planted_tree(spark, tmp_path):
         x.sort_values("doc_id", inplace=True, ignore_index=True)
     pd.testing.assert_frame_equal(got[KEY].astype(object).where(got.notna(), None), want[KEY].astype(object).where(want.notna(), None), check_dtype=False)
     assert got.inherited_from.notna().sum() >= 3
+
+
+def test_further_names_and_texts_of_triggers(spark):
+    """Names that are parts of others, and a long text whose windows would not fit in one row."""
+    named = [
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 1, February 1989\n", "GPL-1.0"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n", "GPL-2.0"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+        ("made available under the terms of the Eclipse Public License 2.0", "EPL-2.0"),
+    ]
+    prose = [(f"prose number {k} of the ordinary kind and nothing else in it", None) for k in range(60)]
+    long = " ".join(f"permission license w{k % 7}" for k in range(4000)) + " Distributed under the Boost Software License, Version 1.0."
+    rows = [(k, f"d{k}/f", t, n) for k, (t, n) in enumerate([*named, *prose, (long, "BSL-1.0")])]
+    got = {r.doc_id: (r.own_license, r.n_statements) for r in scan(spark, spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: n for k, _, _, n in rows}
+
+
+def test_blocks_give_the_windows_of_the_whole_text(spark):
+    """Every window that a plain loop over the whole text makes, with its place, none twice."""
+    words = [["w", "license", "permission", "x1", "as-is"][(k * k + k // 3) % 5] for k in range(3 * licences.BLOCK + 17)]
+    df = spark.createDataFrame([(words,)], "words array<string>").select(F.explode(licences._blocks(F.col("words"))).alias("b")).select(F.explode(licences._windows(F.col("b"))).alias("w"))
+    want = []
+    for i, w in enumerate(words, 1):
+        if w in licences.TRIGGERS:
+            want += [(i, " ".join(words[max(1, i - b) - 1 : i + a])) for b in licences.BEFORE for a in licences.AFTER]
+        if w in licences.OPENERS:
+            want += [(i, " ".join(words[i - 1 : i + a])) for a in licences.REACH]
+    assert sorted((r.at, r.text) for r in df.select("w.at", "w.text").collect()) == sorted(want)
