@@ -61,9 +61,11 @@ class Estimator:
     def fit(self, df: DataFrame, features: Sequence[str], y: str, key: str) -> Fitted:
         rows = SparkRows(df, features, y, key, self.folds, self.seed)
         try:
-            return self.fit_rows(rows)
+            made = self.fit_rows(rows)
         finally:
             rows.close()
+        made.params |= {"resources": rows.passes.totals(), "passes": rows.passes.used}
+        return made
 
     def fit_rows(self, rows: SparkRows | LocalRows) -> Fitted:
         made = rows.prepare(self._terms(len(rows.features)))

@@ -6,13 +6,14 @@ leaves out one part of a DataFrame's rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import keyed
@@ -43,7 +44,26 @@ class Prepared:
         return own, float(intercept - self.mean[: len(coef)] @ own)
 
 
-def prepare(df: DataFrame, features: Sequence[str], y: str, terms: list[Term], fold: str | None, own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, drawn: list[Column] | None = None) -> Prepared:
+class Passes:
+    """What the passes of a fit over its rows take: ``used`` has the kind, rows, bytes of numbers handed to the tasks and
+    seconds of each. Rows are counted by the pass itself, no job is added; a task that is run again counts again."""
+
+    def __init__(self) -> None:
+        self.used: list[dict] = []
+
+    def take(self, kind: str, df: DataFrame, numbers: int, run: Callable[[DataFrame], object]) -> object:
+        """``run`` of the observed rows, which must be one job over them."""
+        seen, began = Observation(), time.perf_counter()
+        out = run(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        rows = seen.get["rows"]
+        self.used.append({"pass": kind, "rows": rows, "bytes": 8 * rows * numbers, "seconds": time.perf_counter() - began})
+        return out
+
+    def totals(self) -> dict[str, float]:
+        return {"passes": len(self.used), **{k: sum(u[k] for u in self.used) for k in ("rows", "bytes", "seconds")}}
+
+
+def prepare(df: DataFrame, features: Sequence[str], y: str, terms: list[Term], fold: str | None, own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, drawn: list[Column] | None = None, passes: Passes | None = None) -> Prepared:
     """Terms of the features with the numbers ``own`` (all), followed by the same terms of their knockoffs where ``copies``
     says how to make them, from its random numbers or those already ``drawn``. Tasks expand batches of rows as matrices; no expanded row leaves them."""
     p = len(features)
@@ -56,8 +76,9 @@ def prepare(df: DataFrame, features: Sequence[str], y: str, terms: list[Term], f
         return z if copies is None else np.hstack((z, expanded(copies.make(x[:, :p], x[:, p:]), terms)))
 
     width = len(terms) * (2 if copies else 1)
-    mean, scale = stats.moments_of(df, inputs, y, build, width)
-    folds = stats.gram_of_built(df, inputs, y, fold, lambda x: (build(x) - mean) / scale, width)
+    passes = passes or Passes()
+    mean, scale = passes.take("moments", df, len(inputs) + 1, lambda seen: stats.moments_of(seen, inputs, y, build, width))
+    folds = passes.take("products", df, len(inputs) + 1, lambda seen: stats.gram_of_built(seen, inputs, y, fold, lambda x: (build(x) - mean) / scale, width))
     return Prepared(terms, mean, scale, folds)
 
 
@@ -143,7 +164,8 @@ class SparkRows:
         self.features, self.y, self.key, self._folds = list(features), y, key, folds
         self.written = Written(df.sparkSession)
         narrow = df.select(key, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, y]) if c != key), stats.hashed_fold(F.col(key), folds, seed).alias("__fold"))
-        self.df = self.written.keep(narrow)
+        self.passes = Passes()
+        self.df = self.passes.take("rows", narrow, len(narrow.columns), self.written.keep)
         self.restart()
 
     def close(self) -> None:
@@ -161,12 +183,12 @@ class SparkRows:
     def prepare(self, terms: list[Term], own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, residual: bool = False) -> Prepared:
         y = "__residual" if residual else self.y
         if copies is None:
-            return prepare(self.dealt, self.features, y, terms, "__fold", own)
+            return prepare(self.dealt, self.features, y, terms, "__fold", own, passes=self.passes)
         drawn = Written(self.df.sparkSession)  # means and products need the same random numbers
         noise = [c.alias(f"__noise{k}") for k, c in enumerate(copies.noise())]
-        rows = drawn.keep(self.dealt.select(*self.features, y, "__fold", *noise))
+        rows = self.passes.take("knockoffs", self.dealt.select(*self.features, y, "__fold", *noise), len(self.features) + 2 + len(noise), drawn.keep)
         try:
-            return prepare(rows, self.features, y, terms, "__fold", own, copies, [F.col(f"__noise{k}") for k in range(len(noise))])
+            return prepare(rows, self.features, y, terms, "__fold", own, copies, [F.col(f"__noise{k}") for k in range(len(noise))], self.passes)
         finally:
             drawn.close()
 

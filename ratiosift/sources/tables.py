@@ -120,7 +120,7 @@ def read_npy(spark: SparkSession, x_path: str, y_path: str, unlabeled_path: str
     return _assembled(_arrays(spark, x_path), _arrays(spark, y_path), _arrays(spark, unlabeled_path) if unlabeled_path else None, x_path)
 
 
-#: Nested results, one row per method and data set.
+#: Nested results, one row per method and data set. ``params`` and ``extra`` are open: any numbers, texts, lists and maps.
 _LONG, _DOUBLE, _TEXT = T.LongType(), T.DoubleType(), T.StringType()
 _STRUCT = lambda **fields: T.StructType([T.StructField(n, t) for n, t in fields.items()])
 RESULT = _STRUCT(
@@ -132,7 +132,8 @@ RESULT = _STRUCT(
     fit=_STRUCT(n=_DOUBLE, k=T.IntegerType(), sse=_DOUBLE, r2=_DOUBLE, adj_r2=_DOUBLE, bic=_DOUBLE, aic=_DOUBLE),
     discovery=_STRUCT(n_tp=_LONG, n_fp=_LONG, n_fn=_LONG, fdr=_DOUBLE, tpr=_DOUBLE),
     compute=_STRUCT(elapsed_seconds=_DOUBLE),
-    params=T.MapType(_TEXT, _TEXT),
+    params=T.VariantType(),
+    extra=T.VariantType(),
 )
 
 
@@ -146,11 +147,28 @@ def finite(df: DataFrame) -> DataFrame:
             return F.when(c.isNotNull(), F.struct(*(clean(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
         if isinstance(kind, T.ArrayType):
             return F.transform(c, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda _, x: clean(x, kind.valueType))
         return c
 
     return df.select(*(clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
 
 
+def with_open(df: DataFrame, **columns: Sequence[str]) -> DataFrame:
+    """Gathers columns in open maps, ``params=["alpha", "folds"]`` in ``params``: each row has the entries of its columns with a
+    value (null where there is none), and lists, structs and maps stay as they are. NaN and infinities become null."""
+    df = finite(df)
+    if clash := [n for n in columns if n in df.columns and n not in {c for own in columns.values() for c in own}]:
+        raise ValueError(f"there are columns {clash} already")
+
+    def gathered(own: Sequence[str]) -> Column:
+        text = F.to_json(F.struct(*(F.col(f"`{c}`") for c in own)), {"ignoreNullFields": "true"})
+        return F.when(text != "{}", F.parse_json(text))
+
+    gone = {c for own in columns.values() for c in own}
+    return df.select(*(f"`{c}`" for c in df.columns if c not in gone), *(gathered(own).alias(n) for n, own in columns.items()))
+
+
 def rounded(df: DataFrame, digits: int = 10) -> DataFrame:
     """Numbers with a fraction to ``digits`` decimals, as reports show them."""
     return df.select(*(F.round(f"`{f.name}`", digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields))
@@ -183,7 +201,10 @@ def write_json(results: DataFrame, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULT).json(path)
+    """Results as written; an open map that was null is null again."""
+    back = spark.read.schema(RESULT).json(path)
+    opened = {n: F.when(~F.is_variant_null(n), F.col(n)) for n in ("params", "extra")}
+    return back.withColumns(opened)
 
 
 def flat(results: DataFrame) -> DataFrame:

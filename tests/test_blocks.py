@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ratiosift.functions import keyed
 from ratiosift.operators import blocks, estimators, fdr, gmm, rows, stats
+from ratiosift.operators.rows import Passes
 from ratiosift.operators.terms import Term
 from ratiosift.plans import simulate, sweep
 
@@ -231,3 +232,33 @@ def test_pivot_without_percentile(spark):
     out = sweep.pivoted(spark.createDataFrame(rows, "config_id int, method string, x double").withColumn("y", F.col("x") * 3), ["config_id"], ["a", "b"], {"x": "median", "y": "mean"})
     assert {r.config_id: (r.a_x, r.b_y) for r in out.collect()} == {1: (0.0, 0.0), 2: (0.5, 1.5), None: (1.0, 3.0)}
     assert "percentile" not in out._jdf.queryExecution().toString() and "median" not in out._jdf.queryExecution().toString()
+
+
+def test_a_fit_tells_what_it_took(spark):
+    """Rows, bytes and seconds of every pass, counted by the passes themselves."""
+    n = 700
+    rows = simulate.uniform_features(spark.range(n).withColumnRenamed("id", "row_id"), "row_id", 3, 1)
+    rows = simulate.planted(rows, "row_id", 3, [Term((0,), (1,))], [1.0], 0.1, 1)
+
+    def jobs(name, run):
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    features = ["x0", "x1", "x2"]
+    made, many = jobs("watched", lambda: estimators.PolyKnockoff(q=0.2, degree=1).fit(rows, features, "y", "row_id"))
+    used = made.params["passes"]
+    assert [u["pass"] for u in used] == ["rows", "knockoffs", "moments", "products"]
+    assert all(u["rows"] == n and u["bytes"] >= 8 * n * 4 and u["seconds"] > 0 for u in used)
+    total = made.params["resources"]
+    assert total["passes"] == 4 and total["rows"] == 4 * n and total["seconds"] == sum(u["seconds"] for u in used)
+
+    plain = pytest.MonkeyPatch()
+    plain.setattr(Passes, "take", lambda self, kind, df, numbers, run: run(df))
+    try:
+        other, few = jobs("plain", lambda: estimators.PolyKnockoff(q=0.2, degree=1).fit(rows, features, "y", "row_id"))
+    finally:
+        plain.undo()
+    assert many == few and other.params["w"] == pytest.approx(made.params["w"])

@@ -1,5 +1,8 @@
 """NumPy files by byte ranges, and sweeps that are stopped and run again."""
 
+import json
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +111,33 @@ def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_dir(Cluster)
+
+
+def test_results_with_open_maps(spark, tmp_path):
+    """Nested numbers, lists, nulls and texts come back as they were; rows may differ in what they have."""
+    empty = {f.name: None for f in tables.RESULT.fields}
+    given = [
+        {"a": 1, "b": [1, None, {"c": 2.5}], "t": 'say "x" \\ \u00fc\n', "deep": {"m": {"k": [[], {}]}}},
+        {"a": None, "big": 12345678901234567890123, "small": 1e-300, "yes": True},
+        None,
+        {},
+        {"a": "text where others have a number"},
+    ]
+    texts = [(str(k), None if g is None else json.dumps(g)) for k, g in enumerate(given)]
+    plain = [f for f in tables.RESULT.fields if f.name not in ("method", "params", "extra")]
+    df = spark.createDataFrame(texts, "method string, j string").select("method", *(F.lit(empty[f.name]).cast(f.dataType).alias(f.name) for f in plain), F.parse_json("j").alias("params"), F.lit(None).cast("variant").alias("extra"))
+    tables.write_json(df, str(tmp_path / "r"))
+    back = tables.read_json(spark, str(tmp_path / "r"))
+    assert back.schema["extra"].dataType == df.schema["extra"].dataType
+    got = back.orderBy("method").select(F.to_json("params").alias("p"), "extra").collect()
+    assert [None if r.p is None else json.loads(r.p) for r in got] == given and all(r.extra is None for r in got)
+
+
+def test_columns_become_entries(spark):
+    df = spark.createDataFrame([(1, 0.5, [1, None], None), (2, math.nan, None, "z"), (3, None, None, None)], "id int, alpha double, l array<int>, note string")
+    out = tables.with_open(df, params=["alpha", "l"], extra=["note"])
+    got = out.orderBy("id").select("id", F.to_json("params").alias("p"), F.to_json("extra").alias("e")).collect()
+    assert [tuple(r) for r in got] == [(1, '{"alpha":0.5,"l":[1,null]}', None), (2, None, '{"note":"z"}'), (3, None, None)]
+    assert tables.with_open(df.limit(0), params=["alpha"]).count() == 0
+    with pytest.raises(ValueError, match="note"):
+        tables.with_open(df, note=["alpha"])
