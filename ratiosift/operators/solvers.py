@@ -38,9 +38,12 @@ def lasso(g: np.ndarray, c: np.ndarray, penalty: float, start: np.ndarray | None
             at = np.flatnonzero(sign)
             if not len(at):
                 break
-            inner = g[np.ix_(at, at)]
+            inner = g[at[:, None], at]
             goal = np.linalg.lstsq(inner, c[at] - penalty * sign[at], rcond=1e-13)[0]
             now = b[at]
+            if np.array_equal(np.sign(goal), sign[at]):  # nothing crosses zero on the way, the whole step is the best
+                b[at] = goal
+                break
             with np.errstate(divide="ignore", invalid="ignore"):
                 cross = now / (now - goal)
             steps = [1.0, *np.unique(cross[(cross > 0) & (cross < 1)])]

@@ -41,24 +41,29 @@ def local_fit(method: str, x: np.ndarray, y: np.ndarray, degree: int, q: float,
 
 
 def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], degree: int = 2, q: float = 0.2, seed: int = 0) -> DataFrame:
-    """Fits every method to every group of ``rows`` (``config_id`` and ``trial``). A group is one small trial. A fit that
-    fails is a row with its error as ``status``."""
+    """Fits every method to every group of ``rows`` (``config_id`` and ``trial``). A group is one small trial,
+    which is shuffled once for all methods. A fit that fails is a row with its error as ``status``."""
     keys, columns = {t.key for t in truth}, list(features)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        method, began = pdf["method"].iloc[0], time.perf_counter()
-        base = {"config_id": int(pdf["config_id"].iloc[0]), "method": method, "trial": int(pdf["trial"].iloc[0]), "n": len(pdf)}
-        try:
-            pdf = pdf.sort_values("row_id")
-            found, _, r2 = local_fit(method, pdf[columns].to_numpy(float), pdf[y].to_numpy(float), degree, q, seed + base["trial"])
-            score = evaluate.compare({t.key for t in found}, keys)
-            base |= score | {"n_selected": len(found), "r_squared": r2, "status": "ok"}
-        except (ValueError, np.linalg.LinAlgError) as error:
-            base |= {"status": str(error)[:200]}
-        return pd.DataFrame([base | {"elapsed_seconds": time.perf_counter() - began}]).reindex(columns=[c.split()[0] for c in TRIAL.split(", ")])
-
-    each = rows.withColumn("method", F.explode(F.array(*(F.lit(m) for m in methods))))
-    return each.groupBy(*by, "method").applyInPandas(fit, TRIAL)
+        pdf = pdf.sort_values("row_id")
+        x, response = pdf[columns].to_numpy(float), pdf[y].to_numpy(float)
+        base = {"config_id": int(pdf["config_id"].iloc[0]), "trial": int(pdf["trial"].iloc[0]), "n": len(pdf)}
+        out = []
+        for method in methods:
+            began = time.perf_counter()
+            try:
+                found, _, r2 = local_fit(method, x, response, degree, q, seed + base["trial"])
+                own = evaluate.compare({t.key for t in found}, keys) | {"n_selected": len(found), "r_squared": r2, "status": "ok"}
+            except (ValueError, np.linalg.LinAlgError) as error:
+                own = {"status": str(error)[:200]}
+            out.append(base | own | {"method": method, "elapsed_seconds": time.perf_counter() - began})
+        return pd.DataFrame(out).reindex(columns=[c.split()[0] for c in TRIAL.split(", ")])
+
+    # fits take far longer than their few bytes suggest, so the number of tasks is given and not merged by size
+    spark = rows.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select(*by, *({"config_id", "trial", "row_id"} - set(by)), *columns, y).repartition(tasks, *by).groupBy(*by).applyInPandas(fit, TRIAL)
 
 
 def run_into(path: str, rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], batches: int = 8, **settings) -> DataFrame:
