@@ -569,7 +569,7 @@ def result_json_roundtrip(spark, sf_dir):
     t, null = _trials(spark, sf_dir), lambda kind: F.lit(None).cast(kind)
     fit = F.struct(null("double").alias("n"), null("int").alias("k"), F.when(F.col("r2") > 0.9, float("nan")).otherwise(10 * F.col("r2")).alias("sse"), "r2", null("double").alias("adj_r2"), null("double").alias("bic"), null("double").alias("aic"))
     found = F.struct((F.col("id") % 5).cast("long").alias("n_tp"), null("long").alias("n_fp"), null("long").alias("n_fn"), "fdr", null("double").alias("tpr"))
-    made = t.select("method", F.col("config").alias("dataset"), F.array(F.col("id").cast("string"), F.lit("m")).alias("selected_names"), F.array().cast("array<double>").alias("coef"), r(F.col("r2") - 0.5, 4).alias("intercept"), fit.alias("fit"), found.alias("discovery"), F.struct(null("double").alias("elapsed_seconds")).alias("compute"), *(F.lit(None).cast("variant").alias(c) for c in ("params", "extra")))
+    made = t.select("method", F.col("config").alias("dataset"), F.array(F.col("id").cast("string"), F.lit("m")).alias("selected_names"), F.array().cast("array<double>").alias("coef"), r(F.col("r2") - 0.5, 4).alias("intercept"), fit.alias("fit"), found.alias("discovery"), F.struct(null("double").alias("elapsed_seconds")).alias("compute"), F.lit(None).cast("map<string, string>").alias("params"))
     path = Written(spark).path()
     tables.write_json(made, path)
     return tables.flat(tables.read_json(spark, path)).select("method", "dataset", "selected_names", "intercept", "fit_r2", "fit_sse", "discovery_fdr", "discovery_n_tp")
@@ -580,11 +580,11 @@ def result_open_maps(spark, sf_dir):
     """Results whose parameters differ from row to row, nested and with nulls, written as JSON, read again and asked."""
     null = lambda kind: F.lit(None).cast(kind)
     t = _trials(spark, sf_dir)
-    fields = {f.name: null(f.dataType).alias(f.name) for f in tables.RESULT.fields if f.name not in ("method", "dataset", "params", "extra")}
+    fields = {f.name: null(f.dataType).alias(f.name) for f in tables.OPEN_RESULT.fields if f.name not in ("method", "dataset", "params", "extra")}
     own = t.select("method", F.col("config").alias("dataset"), *fields.values(), "id", F.col("r2").alias("alpha"), F.when(F.col("id") % 3 > 0, F.col("config")).alias("kind"), F.array(F.col("id"), F.when(F.col("id") % 2 == 0, F.col("id") + 1)).alias("list"), F.struct(F.struct((F.col("id") % 5).alias("depth")).alias("in")).alias("tree"), F.when(F.col("id") % 3 == 0, F.col("fdr")).alias("fdr"))
     path = Written(spark).path()
     tables.write_json(tables.with_open(own, params=["id", "alpha", "kind", "list", "tree"], extra=["fdr"]), path)
-    back = tables.read_json(spark, path)
+    back = tables.read_open_json(spark, path)
     said = lambda at, kind, of="params": F.try_variant_get(of, f"$.{at}", kind)
     return back.select("method", "dataset", said("id", "long").alias("id"), said("alpha", "double").alias("alpha"), said("kind", "string").alias("kind"), said("list[1]", "long").alias("second"), said("tree.in.depth", "long").alias("depth"), F.col("extra").isNotNull().alias("has_extra"), said("fdr", "double", "extra").alias("fdr"))
 

@@ -120,7 +120,7 @@ def read_npy(spark: SparkSession, x_path: str, y_path: str, unlabeled_path: str
     return _assembled(_arrays(spark, x_path), _arrays(spark, y_path), _arrays(spark, unlabeled_path) if unlabeled_path else None, x_path)
 
 
-#: Nested results, one row per method and data set. ``params`` and ``extra`` are open: any numbers, texts, lists and maps.
+#: Nested results, one row per method and data set.
 _LONG, _DOUBLE, _TEXT = T.LongType(), T.DoubleType(), T.StringType()
 _STRUCT = lambda **fields: T.StructType([T.StructField(n, t) for n, t in fields.items()])
 RESULT = _STRUCT(
@@ -132,9 +132,10 @@ RESULT = _STRUCT(
     fit=_STRUCT(n=_DOUBLE, k=T.IntegerType(), sse=_DOUBLE, r2=_DOUBLE, adj_r2=_DOUBLE, bic=_DOUBLE, aic=_DOUBLE),
     discovery=_STRUCT(n_tp=_LONG, n_fp=_LONG, n_fn=_LONG, fdr=_DOUBLE, tpr=_DOUBLE),
     compute=_STRUCT(elapsed_seconds=_DOUBLE),
-    params=T.VariantType(),
-    extra=T.VariantType(),
+    params=T.MapType(_TEXT, _TEXT),
 )
+#: The same with open ``params`` and ``extra``: any numbers, texts, lists and maps.
+OPEN_RESULT = T.StructType([*(f for f in RESULT.fields if f.name != "params"), T.StructField("params", T.VariantType()), T.StructField("extra", T.VariantType())])
 
 
 def finite(df: DataFrame) -> DataFrame:
@@ -201,8 +202,12 @@ def write_json(results: DataFrame, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Results as written; an open map that was null is null again."""
-    back = spark.read.schema(RESULT).json(path)
+    return spark.read.schema(RESULT).json(path)
+
+
+def read_open_json(spark: SparkSession, path: str) -> DataFrame:
+    """Results with open maps as written; an open map that was null is null again."""
+    back = spark.read.schema(OPEN_RESULT).json(path)
     opened = {n: F.when(~F.is_variant_null(n), F.col(n)) for n in ("params", "extra")}
     return back.withColumns(opened)
 

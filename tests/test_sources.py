@@ -115,7 +115,7 @@ def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
 
 def test_results_with_open_maps(spark, tmp_path):
     """Nested numbers, lists, nulls and texts come back as they were; rows may differ in what they have."""
-    empty = {f.name: None for f in tables.RESULT.fields}
+    empty = {f.name: None for f in tables.OPEN_RESULT.fields}
     given = [
         {"a": 1, "b": [1, None, {"c": 2.5}], "t": 'say "x" \\ \u00fc\n', "deep": {"m": {"k": [[], {}]}}},
         {"a": None, "big": 12345678901234567890123, "small": 1e-300, "yes": True},
@@ -124,10 +124,10 @@ def test_results_with_open_maps(spark, tmp_path):
         {"a": "text where others have a number"},
     ]
     texts = [(str(k), None if g is None else json.dumps(g)) for k, g in enumerate(given)]
-    plain = [f for f in tables.RESULT.fields if f.name not in ("method", "params", "extra")]
+    plain = [f for f in tables.OPEN_RESULT.fields if f.name not in ("method", "params", "extra")]
     df = spark.createDataFrame(texts, "method string, j string").select("method", *(F.lit(empty[f.name]).cast(f.dataType).alias(f.name) for f in plain), F.parse_json("j").alias("params"), F.lit(None).cast("variant").alias("extra"))
     tables.write_json(df, str(tmp_path / "r"))
-    back = tables.read_json(spark, str(tmp_path / "r"))
+    back = tables.read_open_json(spark, str(tmp_path / "r"))
     assert back.schema["extra"].dataType == df.schema["extra"].dataType
     got = back.orderBy("method").select(F.to_json("params").alias("p"), "extra").collect()
     assert [None if r.p is None else json.loads(r.p) for r in got] == given and all(r.extra is None for r in got)
