@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,13 +19,15 @@ def discovery_metrics(selected: DataFrame, truth: DataFrame, by: Sequence[str] =
     return with_rates(out, universe)
 
 
-def with_rates(counts: DataFrame, universe: int | None = None) -> DataFrame:
+def with_rates(counts: DataFrame, universe: int | Column | None = None) -> DataFrame:
+    """Rates from counts; ``universe`` is one number for all rows or a column."""
     tp, fp, fn = (F.col(c).cast("double") for c in ("n_tp", "n_fp", "n_fn"))
     out = counts.withColumn("fdr", fp / F.greatest(F.lit(1.0), tp + fp)).withColumn("tpr", tp / F.greatest(F.lit(1.0), tp + fn)).withColumn("recall_or_one", F.when(tp + fn > 0, tp / F.greatest(F.lit(1.0), tp + fn)).otherwise(1.0))
     out = out.withColumn("precision", F.when(tp + fp > 0, 1 - F.col("fdr")).otherwise(0.0)).withColumn("f1", 2 * tp / F.greatest(F.lit(1.0), 2 * tp + fp + fn))
     if universe is None:
         return out
-    tn = F.greatest(F.lit(0.0), F.lit(float(universe)) - (tp + fn) - fp)
+    every = universe.cast("double") if isinstance(universe, Column) else F.lit(float(universe))
+    tn = F.greatest(F.lit(0.0), every - (tp + fn) - fp)
     return out.withColumn("auc", 0.5 * (F.col("tpr") + F.when(tn + fp > 0, tn / F.greatest(F.lit(1.0), tn + fp)).otherwise(0.0)))
 
 

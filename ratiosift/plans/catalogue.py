@@ -199,8 +199,12 @@ def s_values_gershgorin(spark, sf_dir):
 
 # --- Planted responses -----------------------------------------------------------------------------------------------
 
-_X = ", ".join(f"0.5::DOUBLE + {sql_uniform('o_orderkey', 1, f'x{j}')} * 2.5::DOUBLE AS x{j}" for j in range(3))
-_PLANTED = f"SELECT o_orderkey, x0, x1, x2, x0 + 1.0::DOUBLE / x1 + 0.1::DOUBLE * {sql_normal('o_orderkey', 1, 'noise')} AS y FROM (SELECT o_orderkey, {_X} FROM orders)"
+def _planted_sql(p: int) -> str:
+    made = ", ".join(f"0.5::DOUBLE + {sql_uniform('o_orderkey', 1, f'x{j}')} * 2.5::DOUBLE AS x{j}" for j in range(p))
+    return f"SELECT o_orderkey, {', '.join(f'x{j}' for j in range(p))}, x0 + 1.0::DOUBLE / x1 + 0.1::DOUBLE * {sql_normal('o_orderkey', 1, 'noise')} AS y FROM (SELECT o_orderkey, {made} FROM orders)"
+
+
+_PLANTED = _planted_sql(3)
 TRUTH = [Term((0,), (1,)), Term((1,), (-1,))]
 
 
@@ -517,6 +521,17 @@ def discovery_edge_cases(spark, sf_dir):
     return evaluate.with_rates(c).select("c_nationkey", "n_tp", "n_fp", "n_fn", *(r(x).alias(x) for x in ("fdr", "tpr", "recall_or_one")))
 
 
+@query(f"""{_SETS}, u AS (SELECT p_brand, count(*) AS universe FROM part GROUP BY 1), g AS (SELECT *, greatest(0.0::DOUBLE, universe - (n_tp + n_fn) - n_fp) AS tn FROM c JOIN u USING (p_brand))
+SELECT p_brand, universe, round(CASE WHEN n_tp + n_fp > 0 THEN n_tp / (n_tp + n_fp) ELSE 0.0::DOUBLE END, 6) AS precision, round(0.5::DOUBLE * (n_tp / greatest(1.0::DOUBLE, n_tp + n_fn) + CASE WHEN tn + n_fp > 0 THEN tn / greatest(1.0::DOUBLE, tn + n_fp) ELSE 0.0::DOUBLE END), 6) AS auc FROM g""")
+def discovery_auc(spark, sf_dir):
+    """Precision and area under the curve of selections from dictionaries of different sizes."""
+    df = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("term_key"))
+    pick = lambda stream, share: df.where(keyed.uniform(F.col("term_key"), 9, stream) < share)
+    counts = evaluate.discovery_metrics(pick("s", 0.3), pick("t", 0.25), ["p_brand"]).select("p_brand", "n_tp", "n_fp", "n_fn")
+    out = evaluate.with_rates(counts.join(df.groupBy("p_brand").agg(F.count("*").alias("universe")), "p_brand"), F.col("universe"))
+    return out.select("p_brand", "universe", r("precision").alias("precision"), r("auc").alias("auc"))
+
+
 # --- Folds, trials, reports ------------------------------------------------------------------------------------------
 
 
@@ -556,6 +571,22 @@ def report_pivot(spark, sf_dir):
     return sweep.pivoted(_trials(spark, sf_dir), ["config"], [f"m{k}" for k in range(4)], {"r2": "mean", "fdr": "median"})
 
 
+@query(f"""WITH t AS ({_TRIALS}), g AS (SELECT config, method, count(r2) AS n_completed, avg(r2) AS r2_mean, stddev_pop(r2) AS r2_std, avg(fdr) AS fdr_mean, CASE WHEN count(fdr) > 1 THEN stddev_pop(fdr) END AS fdr_std FROM t GROUP BY ALL)
+SELECT config, method, id // 500 AS block, id AS trial, r2, fdr, n_completed, round(r2_mean, 6) AS r2_mean, round(CASE WHEN n_completed > 1 THEN r2_std END, 6) AS r2_std, round(fdr_mean, 6) AS fdr_mean, round(fdr_std, 6) AS fdr_std FROM t JOIN g USING (config, method)""")
+def sweep_summary(spark, sf_dir):
+    """A sweep's nested records written as JSON and read again: each trial beside the means of its configuration."""
+    made = sweep.summary(_trials(spark, sf_dir), ["config", "method"], ["r2", "fdr"], ["r2", "fdr"], "id", 500)
+    path = Written(spark).path()
+    tables.write_json(made, path)
+    back = sweep.read_summary(spark.read.schema(made.schema).json(path))
+    return back.select("config", "method", "block", "trial", "r2", "fdr", "n_completed", *(r(c).alias(c) for c in ("r2_mean", "r2_std", "fdr_mean", "fdr_std")))
+
+
+@query(f"SELECT method, count(*) AS n_trials, round(avg(fdr), 3) AS fdr, round(median(r2), 3) AS r2 FROM ({_TRIALS}) WHERE config = '1-URGENT' GROUP BY method")
+def metrics_of_config(spark, sf_dir):
+    return sweep.filtered_metrics(_trials(spark, sf_dir), {"config": "1-URGENT"}, {"fdr": "mean", "r2": "median"})
+
+
 @query("SELECT p.p, c.k, d.d::INT AS degree FROM (SELECT DISTINCT p_size AS p FROM part) p, (SELECT DISTINCT c_nationkey AS k FROM customer) c, (SELECT unnest([1, 2, 3]) AS d) d WHERE k < 2 * d * p")
 def config_grid(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_size").alias("p")).distinct()
@@ -664,12 +695,33 @@ def ic_select(spark, sf_dir):
     return _fit(spark, sf_dir, estimators.IterativeKnockoffs(q=0.3, max_iter=3))
 
 
-@query()
+def _term_sql(term: Term) -> str:
+    one = lambda i, e: f"pow({_clip(f'x{i}')}, {e})"
+    return " * ".join(one(i, e) for i, e in zip(term.idx, term.exp, strict=True))
+
+
+def _pair_sql(chosen: str) -> str:
+    """Least squares on the two terms that ``chosen`` numbers as a and b, from rows d."""
+    terms = dictionary(4, 2, bias=False)
+    names = ", ".join(f"({k + 1}, '{t.name(_FEATURES)}', '{t.key}', {str(t in TRUTH).lower()})" for k, t in enumerate(terms))
+    return f"""WITH d AS (SELECT o_orderkey, y, [{", ".join(map(_term_sql, terms))}] AS t FROM ({_planted_sql(4)})), names(k, name, term_key, is_true) AS (VALUES {names}),
+ l AS (SELECT o_orderkey, y, t, unnest(t) AS v, generate_subscripts(t, 1) AS k FROM d), {chosen},
+ m AS (SELECT min(c.a) AS ka, min(c.b) AS kb, var_pop(t[c.a]) AS aa, covar_pop(t[c.a], t[c.b]) AS ab, var_pop(t[c.b]) AS bb, covar_pop(t[c.a], y) AS ay, covar_pop(t[c.b], y) AS yb FROM d, chosen c)
+ SELECT name, term_key, round(CASE WHEN k = ka THEN bb * ay - ab * yb ELSE aa * yb - ab * ay END / (aa * bb - ab * ab), 5) AS coef, is_true FROM m JOIN names ON k IN (ka, kb)"""
+
+
+_GREEDY = """f AS (SELECT k AS a, corr(v, y) AS fy FROM l GROUP BY k ORDER BY abs(fy) DESC, k LIMIT 1),
+ chosen AS (SELECT a, k AS b FROM l, f WHERE k <> a GROUP BY a, k, fy ORDER BY abs(corr(v, y) - corr(v, t[a]) * fy) DESC, k LIMIT 1)"""
+#: Thresholding must end at the planted terms.
+_AT_TRUTH = "chosen AS (SELECT min(k) AS a, max(k) AS b FROM names WHERE is_true)"
+
+
+@query(_pair_sql(_GREEDY))
 def omp_fit(spark, sf_dir):
     return _fit(spark, sf_dir, estimators.PolyOMP(k=2))
 
 
-@query()
+@query(_pair_sql(_AT_TRUTH))
 def stlsq_fit(spark, sf_dir):
     return _fit(spark, sf_dir, estimators.PolySTLSQ(interactions=False))
 

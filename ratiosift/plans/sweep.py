@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import estimators, evaluate, stats
@@ -110,6 +110,58 @@ def _beside(one: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.join(b, same, "left").select("a.*", *(f"b.{c}" for c in other.columns if c not in by))
 
 
+#: The names that files of records use for counts of a trial (fixed values).
+RECORD_NAMES = {"n_tp": "n_true_positives", "n_fp": "n_false_positives", "n_fn": "n_false_negatives"}
+
+
+def trial_records(trials: DataFrame, universe: int | Column | None = None) -> DataFrame:
+    """Trials with all rates of their counts (``precision``, ``recall``, ``f1``, and ``auc`` with the number of all terms),
+    counts called as in ``RECORD_NAMES``. A trial that failed has no counts, and nulls for its rates."""
+    ran = F.col("n_tp").isNotNull()
+    rated = evaluate.with_rates(trials, universe).withColumnRenamed("recall_or_one", "recall")
+    rates = [c for c in ("fdr", "tpr", "precision", "recall", "f1", "auc") if c in rated.columns]
+    return rated.withColumns({c: F.when(ran, F.col(c)) for c in rates}).withColumnsRenamed(RECORD_NAMES)
+
+
+def summary(trials: DataFrame, by: Sequence[str], metrics: Sequence[str], detail: Sequence[str], trial: str = "trial", block: int = 1_000) -> DataFrame:
+    """Nested records of a sweep: ``by``, ``n_completed`` (trials with a value of the first metric), mean and deviation of each
+    metric, and ``trials``, the trials' own ``detail`` in the order of their numbers.
+
+    A record holds the trials of one ``block`` of numbers, so that no row grows with a configuration that has very many:
+    a configuration of up to ``block`` trials is one record with ``block`` 0, a larger one repeats its means in further
+    ones. Trials are numbered within their configuration; nulls in ``by`` are a group of their own."""
+    own = F.struct(F.col(trial).alias("trial"), *(F.col(c) for c in detail if c != trial))
+    parts = trials.groupBy(*by, F.floor(F.col(trial) / block).cast("long").alias("block")).agg(F.sort_array(F.collect_list(own)).alias("trials"))
+    done = F.count(F.when(~F.isnan(metrics[0]), F.col(metrics[0])))
+    means = _beside(trials.groupBy(*by).agg(done.alias("n_completed")), trial_aggregate(trials, metrics, by).drop("n_trials"), by)
+    out = _beside(parts, means, by)
+    return out.select(*by, "block", "n_completed", *(f"{m}_{n}" for m in metrics for n in ("mean", "std")), "trials")
+
+
+def write_summary(records: DataFrame, path: str, label: str = "label") -> None:
+    """``path``/summary.json with everything, and ``path``/summary.csv with a line for each configuration, without trials and
+    ``label``."""
+    tables.write_json(records, f"{path}/summary.json")
+    tables.write_report(records.drop("block", "trials").distinct().drop(label), f"{path}/summary.csv")
+
+
+def read_summary(records: DataFrame) -> DataFrame:
+    """The trials of nested records as rows, each with its configuration's columns."""
+    return records.select("*", F.explode("trials").alias("__trial")).select(*(f"`{c}`" for c in records.columns if c != "trials"), "__trial.*")
+
+
+def filtered_metrics(trials: DataFrame, config: dict[str, object], metrics: dict[str, str], by: Sequence[str] = ("method",), digits: int = 3) -> DataFrame:
+    """Mean or median of metrics among the trials of one configuration, and ``n_trials``: of experiments read from files the
+    filter prunes folders and row groups. None asks for null."""
+    if unknown := set(metrics.values()) - {"mean", "median"}:
+        raise ValueError(f"unknown aggregates {sorted(unknown)}")
+    own = trials.where(functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(v)) for c, v in config.items()), F.lit(True)))
+    out = own.groupBy(*by).agg(F.count("*").alias("n_trials"), *(F.avg(m).alias(m) for m, a in metrics.items() if a == "mean"))
+    if middle := [m for m, a in metrics.items() if a == "median"]:
+        out = _beside(out, stats.medians(own, by, middle), by)
+    return out.select(*by, "n_trials", *(F.round(m, digits).alias(m) for m in metrics))
+
+
 def best_by(scores: DataFrame, by: Sequence[str], score: str, order: str, value: str) -> DataFrame:
     """The ``value`` with the highest score in each group; the first in ``order`` of equals."""
     return scores.groupBy(*by).agg(F.max_by(value, F.struct(F.col(score), -F.col(order))).alias(value), F.max(score).alias(score))

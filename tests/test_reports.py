@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ratiosift.functions import keyed
 from ratiosift.operators import estimators, gmm, solvers, stats
 from ratiosift.operators.terms import Term, n_terms
-from ratiosift.plans import catalogue, simulate
+from ratiosift.plans import catalogue, simulate, sweep
 from ratiosift.sources import tables
 from ratiosift.sources.scratch import Written
 
@@ -114,3 +114,42 @@ def test_lasso_says_when_it_stops_early():
     g, c = x.T @ x / 200, x.T @ (x @ rng.normal(size=12)) / 200
     with pytest.warns(RuntimeWarning, match="stopped after 1 rounds"):
         solvers.lasso(g, c, 1e-3, rounds=1)
+
+
+def test_trial_records_have_all_rates(spark):
+    trials = spark.createDataFrame([(1, "m", 0, 2, 1, 1, 0.5), (1, "m", 1, 0, 0, 0, None), (1, "m", 2, None, None, None, None)], "config_id int, method string, trial int, n_tp int, n_fp int, n_fn int, r_squared double")
+    got = {x.trial: x for x in sweep.trial_records(trials, 10).collect()}
+    assert (got[0].n_true_positives, got[0].precision, got[0].recall, got[0].f1) == (2, pytest.approx(2 / 3), pytest.approx(2 / 3), pytest.approx(2 / 3))
+    assert got[0].auc == pytest.approx(0.5 * (2 / 3 + 6 / 7))
+    assert (got[1].fdr, got[1].recall, got[1].precision) == (0, 1, 0)
+    assert got[2].fdr is None and got[2].auc is None and got[2].f1 is None
+
+
+def test_summary_of_a_sweep(spark, tmp_path):
+    rows = [("a", 1, k, float(k), None if k == 3 else k / 4) for k in range(5)] + [(None, 1, 7, float("nan"), None), (None, 1, 9, 2.0, None)]
+    trials = spark.createDataFrame(rows, "label string, p int, trial int, r2 double, fdr double")
+    made = sweep.summary(trials, ["label", "p"], ["r2", "fdr"], ["r2", "fdr"], block=4)
+    sweep.write_summary(made, str(tmp_path / "s"))
+    back = spark.read.schema(made.schema).json(str(tmp_path / "s/summary.json"))
+    assert sorted((x.label or "", x.block, [t.trial for t in x.trials]) for x in back.collect()) == [("", 1, [7]), ("", 2, [9]), ("a", 0, [0, 1, 2, 3]), ("a", 1, [4])]
+    flat = sorted(sweep.read_summary(back).collect(), key=lambda x: (x.label or "", x.trial))
+    assert [(x.trial, x.r2, x.fdr) for x in flat] == [(7, None, None), (9, 2.0, None), *((k, float(k), None if k == 3 else k / 4) for k in range(5))]
+    assert {(x.label, x.n_completed, x.r2_mean, x.fdr_mean) for x in flat} == {(None, 1, 2.0, None), ("a", 5, 2.0, 7 / 16)}
+    lines = sorted(spark.read.csv(str(tmp_path / "s/summary.csv"), header=True).collect(), key=lambda x: x.r2_std or "")
+    assert lines[0].asDict().keys() == {"p", "n_completed", "r2_mean", "r2_std", "fdr_mean", "fdr_std"}
+    assert [x.n_completed for x in lines] == ["1", "5"]
+    assert sweep.summary(trials.limit(0), ["p"], ["r2"], ["r2"]).count() == 0
+
+
+def test_metrics_of_one_configuration(spark, tmp_path):
+    rows = [("m", 1, 3.0, 0.1, 1.0), ("m", 1, 3.0, 0.3, 5.0), ("m", 1, 3.0, None, 9.0), ("m", 2, 3.0, 9.0, 9.0), ("k", 1, None, 0.7, 2.0)]
+    trials = spark.createDataFrame(rows, "method string, n int, noise double, fdr double, r2 double")
+    ask = lambda **config: [tuple(x) for x in sweep.filtered_metrics(trials, config, {"fdr": "mean", "r2": "median"}).collect()]
+    assert ask(n=1, noise=3.0) == [("m", 3, 0.2, 5.0)]
+    assert ask(n=1, noise=None) == [("k", 1, 0.7, 2.0)]
+    assert ask(n=5) == []
+    with pytest.raises(ValueError, match="unknown aggregates"):
+        sweep.filtered_metrics(trials, {}, {"fdr": "mode"})
+    trials.write.parquet(str(tmp_path / "t"))
+    own = sweep.filtered_metrics(spark.read.parquet(str(tmp_path / "t")), {"n": 1}, {"fdr": "mean"})
+    assert "EqualNullSafe(n,1)" in own._jdf.queryExecution().toString()  # reaches the scan
