@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import connected_components
-from .shared import Scratch
+from .shared import Scratch, free_name
 from .textkernel import NOT_SPACE, Words, blocks, mix64, ngram_hashes, release, text_bytes, tidy
 
 SHINGLE = 5
@@ -358,8 +358,11 @@ def deduplicated(spark: SparkSession, documents: DataFrame) -> DataFrame:
     ids = near_duplicates(spark, documents).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
     gone, repeated = ids.where("not kept").select("doc_id"), ids.where("kept and rows > 1").select("doc_id")
     small = gone.count() <= MOST_BROADCAST
-    out = documents.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(documents.columns)
+    name = free_name(documents.columns, "__id")
+    same = F.col("doc_id") == F.col(name)
+    gone, repeated = (x.select(F.col("doc_id").alias(name)) for x in (gone, repeated))
+    out = documents.join(F.broadcast(gone) if small else gone, same, "left_anti")
     if repeated.isEmpty():
         return out
-    once = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(repeated, "doc_id", "left_anti").unionByName(once).select(documents.columns)
+    once = out.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    return out.join(repeated, same, "left_anti").unionByName(once)

@@ -184,4 +184,4 @@ def of_quality(spark: SparkSession, documents: DataFrame, labels: DataFrame, row
     """The rows of ``documents``, with all their columns, whose score reaches the threshold."""
     name = free_name(documents.columns, "__quality")
     scored = with_score(spark, documents, train(spark, documents, labels, rows), name)
-    return scored.where(F.col(name) >= THRESHOLD).select(documents.columns)
+    return scored.where(F.col(name) >= THRESHOLD).drop(name)

@@ -200,4 +200,4 @@ def without_toxic(spark: SparkSession, documents: DataFrame, labels: DataFrame,
     """The rows of ``documents``, with all their columns, whose score is under the threshold."""
     name = free_name(documents.columns, "__toxicity")
     scored = with_score(spark, documents, train(spark, documents, labels, rows), name)
-    return scored.where(F.col(name) < THRESHOLD).select(documents.columns)
+    return scored.where(F.col(name) < THRESHOLD).drop(name)

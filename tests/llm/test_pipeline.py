@@ -111,6 +111,44 @@ def test_run_equals_plain_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "decontaminate", "pack"]
 
 
+EDGES = [(20001, None), (20002, ""), (None, "PLAIN"), (None, None), (20003, "LONG"), (20003, "LONG"), (20004, "\x00  "), (20005, "COPY"), (20005, "COPY")]
+OTHER = ["1 as row", "'t' as term", "doc_id as score", "2 as v", "3 as label", "4 as toxic", "5 as quality", "8 as component_id", "9 as kept", "10 as n_shingles", "11 as piece", "13 as item_id", "15 as `dotted.name`", "16 as __id", "17 as bad"]
+
+
+def test_stages_on_nulls_long_texts_repeated_rows_and_other_columns(spark, tmp_path):
+    """What each stage leaves of rows that are null, empty, very long or repeated, with columns called as its own are."""
+    r = random.Random(4)
+    docs, items = corpus(r)
+    labels = [(d["doc_id"], d["toxic"], d["quality"]) for d in docs] + [(None, 1, 0), (20001, 0, None), (1, None, None)]
+    words = [w for d in docs[2:5] for w in d["text"].split()]
+    texts = {"PLAIN": docs[4]["text"] + " more words", "LONG": " ".join(r.choices(words, k=60_000)), "COPY": docs[2]["text"]}
+    rows = [(d["doc_id"], d["text"], "xx") for d in docs[:-1]] + [(i, texts.get(t, t), None) for i, t in EDGES]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", *OTHER).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(x["item_id"], x["text"]) for x in items] + [("n", None), (None, "x"), ("e", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = left.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out, before = stage(spark, left, str(tmp_path)), left.count()
+        out.write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        ids = Counter(x.doc_id for x in out.select("doc_id").collect())
+        once = name in ("near_dedup", "decontaminate", "pack")  # rows of one id are one document from there on, and the copy is gone
+        assert ids[None] == 2 and ids[20001] == ids[20002] == ids[20004] == ids[2] == 1
+        assert ids[20005] == (0 if once else 2) and (name == "pack" or ids[20003] == (1 if once else 2))
+        assert stage(spark, left.limit(0), str(tmp_path)).count() == 0
+        if name != "pack":
+            assert out.columns == columns and out.count() < before
+            left = out
+    assert out.where("doc_id = 20003").selectExpr("count(*) as n", "max(piece) + 1 as m", "min(start) as s").first()[:] == (ids[20003], ids[20003], 0)
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars int"), ("labels", "doc_id long, toxic int, quality int"), ("benchmark", "item_id string, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def article(page):
     """What the one article element of a page says, by a plain reader of its blocks."""
     import html
