@@ -6,6 +6,7 @@ sufficient statistics (one more pass). Lasso, matching pursuit and thresholded l
 
 from __future__ import annotations
 
+import time
 from collections.abc import Generator, Sequence
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fdr, gmm, knockoffs, solvers, stats
-from .rows import Copies, Covariance, FoldedRows, LocalRows, Mean, MixtureCopies, MixtureOf, Model, Norm, Prepare, Prepared, SparkRows
+from .rows import Copies, Covariance, CrossValidated, FoldedRows, LocalRows, Mean, MixtureCopies, MixtureOf, Model, Norm, Prepare, Prepared, SparkRows
 from .terms import Term, dictionary, linear, terms_table
 
 
@@ -71,6 +72,11 @@ class Estimator:
         made = rows.prepare(self._terms(len(rows.features)))
         return self.fitted(rows.features, made, *self.solve(made))
 
+    def steps(self, rows: SparkRows | LocalRows) -> Generator:
+        """``fit_rows`` as a run of questions about the rows, so that many fits can go side by side."""
+        yield from ()
+        return self.fit_rows(rows)
+
     def solve(self, made: Prepared) -> tuple[np.ndarray, float, dict]:
         raise NotImplementedError
 
@@ -162,7 +168,7 @@ def _refit(terms: list[Term], how: str) -> Generator:
         g, c, _, mean, my, _ = _pieces(made)
         b = solvers.ols(g, c)
         return made.raw(b, my - mean @ b)
-    b, constant, _ = solvers.lasso_cv(made.folds)
+    b, constant, _ = yield CrossValidated(made.folds)
     return made.raw(b, constant)
 
 
@@ -192,6 +198,9 @@ class PolyKnockoff(Estimator):
         return self.alpha
 
     def fit_rows(self, rows: SparkRows | LocalRows) -> Fitted:
+        return _answered(self.steps(rows), rows)
+
+    def steps(self, rows: SparkRows | LocalRows) -> Generator:
         features = rows.features
         sampler = knockoffs.Sampler.gaussian(*self.covariance(rows))
         terms = self._terms(len(features))
@@ -199,7 +208,7 @@ class PolyKnockoff(Estimator):
         m = len(terms)
         alpha = self.penalty(made)
         if alpha is None:
-            b, _, _ = solvers.lasso_cv(made.folds)
+            b, _, _ = yield CrossValidated(made.folds)
         else:
             g, c, *_ = _pieces(made)
             b = solvers.lasso(g, c, alpha)
@@ -257,8 +266,11 @@ class IterativeKnockoffs(Estimator):
         return MixtureCopies(mixture, rest, known, key, self.seed, stream)
 
     def fit_rows(self, rows: SparkRows | LocalRows) -> Fitted:
+        return _answered(self.steps(rows), rows)
+
+    def steps(self, rows: SparkRows | LocalRows) -> Generator:
         rows.restart()
-        return _answered(self._course(rows.features, rows.key, self.q), rows)
+        return (yield from self._course(rows.features, rows.key, self.q))
 
     def _course(self, features: list[str], key: str, q: float) -> Generator:
         """A fit as a run of questions about the rows."""
@@ -276,7 +288,7 @@ class IterativeKnockoffs(Estimator):
             terms = self._terms(len(rest))
             copies = yield from self._round_copies(len(features), key, known, mixture, f"round{t}-")
             ready = yield Prepare(terms, rest, copies, left if active else None)
-            b, _, _ = solvers.lasso_cv(ready.folds)
+            b, _, _ = yield CrossValidated(ready.folds)
             m = len(terms)
             w = fdr.w_statistics(b[:m], b[m:], self.w)
             share = fdr.budget(t, q, self.rule, self.gamma)
@@ -336,6 +348,39 @@ def _together(rows: FoldedRows, runs: Sequence[tuple[int | None, Generator]]) ->
     return out
 
 
+def side_by_side(runs: Sequence[tuple[LocalRows, Generator]]) -> list[tuple[Fitted | Exception, float]]:
+    """What runs over rows at hand return, or the error that ends them, and their seconds. Cross-validations that wait for
+    each other are made together; each is charged its share."""
+    out: list = [None] * len(runs)
+    seconds, answers = [0.0] * len(runs), dict.fromkeys(range(len(runs)))
+    while answers:
+        asked: dict[int, CrossValidated] = {}
+        for n, answer in answers.items():
+            began, (rows, run) = time.perf_counter(), runs[n]
+            try:
+                question = run.send(answer)
+                while not isinstance(question, CrossValidated):
+                    question = run.send(rows.answer(question))
+                asked[n] = question
+            except StopIteration as end:
+                out[n] = end.value
+            except (ValueError, np.linalg.LinAlgError) as error:
+                out[n] = error
+            seconds[n] += time.perf_counter() - began
+        began, answers = time.perf_counter(), {}
+        try:
+            answers = dict(zip(asked, solvers.lasso_cvs([q.folds for q in asked.values()]), strict=True))
+        except (ValueError, np.linalg.LinAlgError):  # of one of them; the others go on
+            for n, question in asked.items():
+                try:
+                    answers[n] = solvers.lasso_cv(question.folds)
+                except (ValueError, np.linalg.LinAlgError) as error:
+                    out[n] = error
+        for n in asked:
+            seconds[n] += (time.perf_counter() - began) / len(asked)
+    return list(zip(out, seconds, strict=True))
+
+
 METHODS = {e.method: e for e in (IterativeKnockoffs, PolyLasso, PolyOMP, PolyClime, PolyKnockoff, PolySTLSQ, ImprovedSTLSQ)}
 
 

@@ -163,13 +163,14 @@ def scored(df: DataFrame, columns: Sequence[str], model: Mixture) -> Mixture:
     return replace(model, loglik=loglik, n=float(sums[:, 0, 0].sum()))
 
 
-def _maximise(sums: np.ndarray, alpha: float, reg: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _maximise(sums: np.ndarray, alpha: float, reg: float, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``before``: the precisions of the last round."""
     mass = np.maximum(sums[:, 0, 0], 1e-10)
     mean = sums[:, 0, 1:] / mass[:, None]
     precision = []
-    for s, n, m in zip(sums, mass, mean, strict=True):
+    for k, (s, n, m) in enumerate(zip(sums, mass, mean, strict=True)):
         cov = s[1:, 1:] / n - np.outer(m, m) + reg * np.eye(len(m))
-        precision.append(graphical_lasso(cov, alpha))
+        precision.append(graphical_lasso(cov, alpha, like=None if before is None else before[k]))
     return mass / mass.sum(), mean, np.array(precision)
 
 
@@ -306,7 +307,7 @@ def _course(p: int, k: int, alpha: float | str, max_iter: int, tol: float | None
                 now.converged = True
                 return now
             before, last = loglik, now
-            model = Mixture(*_maximise(sums, penalty, reg), loglik=loglik, n=n, n_iter=t)
+            model = Mixture(*_maximise(sums, penalty, reg, now.precision), loglik=loglik, n=n, n_iter=t)
     except np.linalg.LinAlgError:
         return None
     return model

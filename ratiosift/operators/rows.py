@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed
 from ..sources.scratch import Written
-from . import blocks, gmm, knockoffs, stats
+from . import blocks, gmm, knockoffs, solvers, stats
 from .terms import Term, expanded, linear
 
 #: Terms found so far with their coefficients and constant; questions are about what they leave of the response.
@@ -214,6 +214,7 @@ class LocalRows:
     def __init__(self, x: np.ndarray, y: np.ndarray, folds: int) -> None:
         self.x, self.y, self.features = np.asarray(x, float), np.asarray(y, float), [f"x{j}" for j in range(x.shape[1])]
         self.folds = folds
+        self.plain: dict[tuple[Term, ...], Prepared] = {}
         self.restart()
 
     def restart(self) -> None:
@@ -230,6 +231,9 @@ class LocalRows:
         return gmm.fit_rows(self.x[~np.isnan(self.x).any(axis=1)], k, alpha, max_iter=50)
 
     def prepare(self, terms: list[Term], own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, residual: bool = False) -> Prepared:
+        whole = own is None and copies is None and not residual  # methods without knockoffs ask for the same
+        if whole and tuple(terms) in self.plain:
+            return self.plain[tuple(terms)]
         y = self.residual if residual else self.y
         held = ~np.isnan(np.column_stack((self.x, y))).any(axis=1)
         x, y = self.x[held], y[held]
@@ -240,7 +244,10 @@ class LocalRows:
         scale = stats.or_one(z.std(axis=0), mean)
         z = (z - mean) / scale
         of = np.repeat(np.arange(self.folds), [len(y) // self.folds + (f < len(y) % self.folds) for f in range(self.folds)])
-        return Prepared(terms, mean, scale, {f: stats.gram_of(z[of == f], y[of == f]) for f in range(self.folds) if (of == f).any()})
+        made = Prepared(terms, mean, scale, {f: stats.gram_of(z[of == f], y[of == f]) for f in range(self.folds) if (of == f).any()})
+        if whole:
+            self.plain = {tuple(terms): made}  # the last one
+        return made
 
     def predict(self, terms: list[Term], coef: np.ndarray, constant: float) -> np.ndarray:
         return expanded(self.x, terms) @ coef + constant if terms else np.full(len(self.x), constant)
@@ -338,7 +345,21 @@ class Mean:
         return ("mean",)
 
 
-Question = Covariance | MixtureOf | Prepare | Norm | Mean
+@dataclass
+class CrossValidated:
+    """``lasso_cv`` of statistics at hand: nothing of the rows, but many fits' paths are followed together."""
+
+    folds: dict[int, stats.Gram]
+
+    def of(self, rows: SparkRows | LocalRows) -> tuple[np.ndarray, float, float]:
+        return solvers.lasso_cv(self.folds)
+
+    @property
+    def key(self) -> tuple:
+        return ("cross-validated", id(self.folds))
+
+
+Question = Covariance | MixtureOf | Prepare | Norm | Mean | CrossValidated
 
 
 def _key(model: Model | None) -> tuple:
@@ -360,7 +381,7 @@ class FoldedRows(SparkRows):
 
     def answers(self, asked: Sequence[tuple[int | None, Question]]) -> list:
         known: dict[tuple, object] = {}
-        for kind, answer in ((Covariance, self._covariances), (MixtureOf, self._mixtures), (Prepare, self._prepared), (Norm, self._norms), (Mean, self._means)):
+        for kind, answer in ((Covariance, self._covariances), (MixtureOf, self._mixtures), (Prepare, self._prepared), (Norm, self._norms), (Mean, self._means), (CrossValidated, self._crossed)):
             own = {(held, q.key): (held, q) for held, q in asked if isinstance(q, kind)}
             if own:
                 known |= zip(own, answer(list(own.values())), strict=True)
@@ -384,6 +405,9 @@ class FoldedRows(SparkRows):
     def _means(self, asked: list[tuple[int | None, Mean]]) -> list:
         return [float(v or 0.0) for v in self.rows.agg(*(F.avg(self._of(held, F.col(self.y))) for held, _ in asked)).first()]
 
+    def _crossed(self, asked: list[tuple[int | None, CrossValidated]]) -> list:
+        return solvers.lasso_cvs([q.folds for _, q in asked])
+
     def _of(self, held: int | None, value: Column) -> Column:
         return value if held is None else F.when(F.col("__part") != held, value)
 

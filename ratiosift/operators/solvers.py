@@ -20,9 +20,18 @@ def lasso(g: np.ndarray, c: np.ndarray, penalty: float, start: np.ndarray | None
     breaks the optimality conditions most. Exact after finitely many steps, also for highly correlated columns."""
     m = len(c)
     b = np.zeros(m) if start is None else start.astype(float).copy()
-    usable = np.diag(g) > 1e-14
+    usable = g.diagonal() > 1e-14
+    size = np.abs(c)
+    if not (size[usable] > penalty).any():
+        return np.zeros(m)
+    eps = tol * max(1e-12, float(size.max()))
+    if m <= FEW:
+        for signs in ([] if start is None else [start.tolist()]) + [[0.0] * m]:
+            if few := _lasso_of_few(g.tolist(), c.tolist(), penalty, signs, usable.tolist(), eps):
+                return np.array(few)
+    if start is not None and (kept := _with_signs(g, c, penalty, start, usable, eps)) is not None:
+        return kept
     b[~usable] = 0
-    eps = tol * max(1e-12, float(np.abs(c).max(initial=0.0)))
     target = lambda at, x: 0.5 * x @ g[np.ix_(at, at)] @ x - c[at] @ x + penalty * np.abs(x).sum()
     sign = np.sign(b)
     for _ in range(rounds):
@@ -70,6 +79,58 @@ def lasso(g: np.ndarray, c: np.ndarray, penalty: float, start: np.ndarray | None
     return b
 
 
+#: Columns up to which single numbers are faster than arrays.
+FEW = 6
+
+
+def _lasso_of_few(g: list[list[float]], c: list[float], penalty: float, start: list[float], usable: list[bool], eps: float) -> list[float] | None:
+    """The lasso by letting columns in as in ``lasso``, None where a sign changes on the way."""
+    m = len(c)
+    sign = [(v > 0) - (v < 0) for v in start]
+    for _ in range(m + 1):
+        at = [k for k in range(m) if sign[k]]
+        a = [[g[i][j] for j in at] + [c[i] - penalty * sign[i]] for i in at]
+        for i, top in enumerate(a):  # elimination; the matrix is positive definite or the case is not for here
+            if not top[i] > 1e-10 * g[at[i]][at[i]]:
+                return None
+            for low in a[i + 1 :]:
+                f = low[i] / top[i]
+                for j in range(i, len(low)):
+                    low[j] -= f * top[j]
+        b = [0.0] * m
+        for i in range(len(at) - 1, -1, -1):
+            b[at[i]] = (a[i][-1] - sum(a[i][j] * b[at[j]] for j in range(i + 1, len(at)))) / a[i][i]
+            if b[at[i]] * sign[at[i]] <= 0:
+                return None
+        slope = [sum(g[i][j] * b[j] for j in at) - c[i] for i in range(m)]
+        if any(abs(slope[i] + penalty * sign[i]) > eps for i in at):
+            return None
+        off = [abs(slope[i]) - penalty if usable[i] and not sign[i] else -1.0 for i in range(m)]
+        worst = max(range(m), key=off.__getitem__)
+        if off[worst] <= eps:
+            return b
+        sign[worst] = -1 if slope[worst] > 0 else 1
+    return None
+
+
+def _with_signs(g: np.ndarray, c: np.ndarray, penalty: float, start: np.ndarray, usable: np.ndarray, eps: float) -> np.ndarray | None:
+    """The lasso if its coefficients have the signs of ``start``, else None."""
+    at = np.flatnonzero(start)
+    sign = np.sign(start[at])
+    try:
+        own = np.linalg.solve(g[at[:, None], at], c[at] - penalty * sign)
+    except np.linalg.LinAlgError:
+        return None
+    if not (own * sign > 0).all():
+        return None
+    b = np.zeros(len(c))
+    b[at] = own
+    slope = g @ b - c
+    off = np.abs(slope) - penalty
+    off[at] = np.abs(slope[at] + penalty * sign)
+    return b if (off[usable] <= eps).all() and usable[at].all() else None
+
+
 def penalties(c: np.ndarray, n: int = 100, ratio: float = 1e-3) -> np.ndarray:
     """From the smallest penalty that selects nothing down to ``ratio`` of it, evenly on a log scale."""
     top = float(np.abs(c).max(initial=0.0))
@@ -84,21 +145,125 @@ def lasso_path(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+#: Columns up to which paths are followed side by side; of more, a table for each path would take too much memory.
+SIDE_BY_SIDE = 256
+#: Numbers of the tables that are followed at once, and of those that are pivoted at once, which a core's cache holds.
+TABLES, PIVOTED = 1 << 19, 1 << 15
+
+
+def lasso_paths(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """``lasso_path`` of several problems, stacked in ``g``, ``c`` and ``grid`` (each falling). Coefficients are linear in the
+    penalty between the points where a column enters or leaves (Osborne, Presnell and Turlach, 2000), which are followed for
+    all problems at once. Every solution is then held against the optimality conditions; ``lasso`` solves those that miss them."""
+    if not c.size or c.shape[1] > SIDE_BY_SIDE:
+        return np.array([lasso_path(*own) for own in zip(g, c, grid, strict=True)]).reshape(*grid.shape, c.shape[1])
+    with np.errstate(all="ignore"):
+        out = _followed(g, c, grid)
+    for k, (own, inner, right, points) in enumerate(zip(out, g, c, grid, strict=True)):
+        slope, at = own @ inner - right, points[:, None]
+        gap = np.where(own == 0, np.abs(slope) - at, np.abs(slope + at * np.sign(own)))
+        gap[(own == 0) & (inner.diagonal() <= 1e-14)] = 0
+        for j in np.flatnonzero(~(gap.max(axis=1) <= 1e-9 * max(1e-12, np.abs(right).max()))).tolist():
+            start = own[j] if np.isfinite(own[j]).all() else own[j - 1] if j else None
+            own[j] = lasso(inner, right, float(points[j]), start, rounds=300)
+    return out
+
+
+def _followed(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Paths as far as rounding lets them be followed, NaN beyond. With y = g b - c, the table of a path has b of the columns
+    let in and y of the others as linear functions of y of those let in (the penalty against their signs) and b of the others
+    (zero): t - penalty * w. A column that enters or leaves swaps its b and y, one pivot of the table."""
+    m, n = c.shape[1], grid.shape[1]
+    out = np.full((*grid.shape, m), np.nan)
+    table = np.concatenate((g, -c[:, :, None], np.zeros((len(c), m, 1))), axis=2)
+    least = 1e-12 * np.diagonal(g, axis1=1, axis2=2)
+    usable = np.diagonal(g, axis1=1, axis2=2) > 1e-14
+    # of columns let in: their sign and 0, of the others: -1 and 1, of those of no use: 0 and 0
+    side, outside = np.where(usable, -1.0, 0.0), usable.astype(float)
+    at, done = np.abs(c * outside).max(axis=1), np.zeros(len(c), int)
+    live, each = np.arange(len(c)), np.arange(len(c))
+    block = max(1, PIVOTED // (m * (m + 2)))
+    product = np.empty((min(block, len(c)), m, m + 2))
+    for _ in range(20 * m + 100):
+        t, w, now = table[:, :, m], table[:, :, m + 1], at[:, None]
+        z = t - now * w
+        steps = np.empty((2, *z.shape))  # down to b = 0 or y = penalty, and to y = -penalty
+        for room, fall, step in ((side * z + outside * now, outside - side * w, steps[0]), (z + now, outside - outside * w, steps[1])):
+            step.fill(np.inf)
+            np.divide(np.maximum(room, 0, out=room), fall, out=step, where=fall > 1e-9)
+        step = np.minimum(*steps)
+        k = step.argmin(axis=1)
+        ahead = at - step[each, k]
+        upto = np.maximum(done, (grid >= ahead[:, None]).sum(axis=1))
+        rows = np.repeat(each, upto - done)
+        if len(rows):
+            points = np.arange(len(rows)) - np.repeat(np.cumsum(upto - done) - upto, upto - done)
+            reach = np.minimum(grid[rows, points], at[rows])[:, None]  # nothing is let in above the first point
+            out[live[rows], points] = (t[rows] - reach * w[rows]) * (side[rows] * (1 - outside[rows])) ** 2
+            done = upto
+        pivot, enters = table[each, k, k], outside[each, k] > 0
+        go = (upto < n) & (pivot > least[each, k] * enters)
+        if not go.any():
+            break
+        if go.sum() <= 0.75 * len(go):
+            live, table, least, grid, side, outside, at, done, k, ahead, pivot, enters = (x[go] for x in (live, table, least, grid, side, outside, at, done, k, ahead, pivot, enters))
+            steps, each, go = steps[:, go], np.arange(len(live)), go[go]
+        before = np.where(enters, 0.0, side[each, k])
+        after = np.where(enters, np.where(steps[0, each, k] <= steps[1, each, k], -1.0, 1.0), -1.0)
+        if not go.all():  # those that are finished stand still
+            done, ahead, pivot = np.where(go, done, n), np.where(go, ahead, 0), np.where(go, pivot, 1)
+        column = table[each, :, k] * go[:, None]
+        table[:, :, m + 1] -= before[:, None] * column
+        row = table[each, k] / pivot[:, None] * go[:, None]
+        for first in range(0, len(each), block):
+            part = slice(first, first + block)
+            table[part] -= np.einsum("bi,bj->bij", column[part], row[part], out=product[: len(column[part])])
+        column /= pivot[:, None]
+        column[each, k] = 1 / pivot
+        table[each, k] = -row
+        table[each, :, k] = column
+        table[:, :, m + 1] += (after * enters)[:, None] * column
+        side[each, k], outside[each, k], at = after, ~enters, ahead
+        side[~go] = outside[~go] = 0
+    return out
+
+
 def lasso_cv(folds: dict[int, Gram], n_penalties: int = 100) -> tuple[np.ndarray, float, float]:
     """Coefficients, constant and penalty. The penalty has the smallest mean of the folds' mean squared errors (the largest
     such penalty); held-out errors follow from the folds' statistics, without a further pass."""
-    whole = total(folds)
-    g, c, _, mean, mean_y = whole.centred()
-    grid = penalties(c, n_penalties)
-    error = np.zeros(len(grid))
-    held = [f for f in folds.values() if f.n > 0 and whole.n - f.n > 1]
-    for f in held:
-        gt, ct, _, mt, yt = (whole - f).centred()
-        error += [f.sse(b, yt - mt @ b) / f.n for b in lasso_path(gt, ct, grid)]
-    best = float(grid[int(np.argmin(error))]) if held else float(grid[0])
-    b = lasso_path(g, c, grid[grid >= best])[-1] if len(grid[grid >= best]) else np.zeros(len(c))
-    b = lasso(g, c, best, b)
-    return b, mean_y - mean @ b, best
+    return lasso_cvs([folds], n_penalties)[0]
+
+
+def lasso_cvs(problems: Sequence[dict[int, Gram]], n_penalties: int = 100) -> list[tuple[np.ndarray, float, float]]:
+    """``lasso_cv`` of several problems, of which those of equal size follow their paths together."""
+    out: list = [None] * len(problems)
+    alike: dict[tuple[int, int], list] = {}
+    for k, folds in enumerate(problems):
+        whole = total(folds)
+        held = [f for f in folds.values() if f.n > 0 and whole.n - f.n > 1]
+        centred = [whole.centred(), *((whole - f).centred() for f in held)]
+        grid = penalties(centred[0][1], n_penalties)
+        alike.setdefault((whole.width, len(grid)), []).append((k, held, centred, grid))
+        most = max(1, TABLES // ((whole.width + 1) ** 2 * (len(folds) + 1)))
+        if len(alike[whole.width, len(grid)]) >= most:
+            _crossed(alike.pop((whole.width, len(grid))), out)
+    for own in alike.values():
+        _crossed(own, out)
+    return out
+
+
+def _crossed(problems: list[tuple], out: list) -> None:
+    """Puts the results of problems of one size into ``out``."""
+    paths = iter(lasso_paths(*(np.array([v for p in problems for v in of(p)]) for of in (lambda p: [r[0] for r in p[2]], lambda p: [r[1] for r in p[2]], lambda p: [p[3]] * len(p[2])))))
+    for k, held, centred, grid in problems:
+        all_rows, error = next(paths), np.zeros(len(grid))
+        for f, (_, _, _, mean, y) in zip(held, centred[1:], strict=True):
+            own = next(paths)
+            error += f.sses(own, y - own @ mean) / f.n
+        best = int(np.argmin(error)) if held else 0
+        g, c, _, mean, y = centred[0]
+        b = lasso(g, c, float(grid[best]), all_rows[best])
+        out[k] = b, y - mean @ b, float(grid[best])
 
 
 def ols(g: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -181,22 +346,26 @@ def stlsq(g: np.ndarray, c: np.ndarray, n: float, threshold: float | None = None
     return b
 
 
-def graphical_lasso(s: np.ndarray, alpha: float, rounds: int = 200, tol: float = 1e-6) -> np.ndarray:
-    """Precision matrix that maximises log det - trace(s x) - alpha * off-diagonal |x|, by block coordinate descent."""
+def graphical_lasso(s: np.ndarray, alpha: float, rounds: int = 200, tol: float = 1e-6, like: np.ndarray | None = None) -> np.ndarray:
+    """Precision matrix that maximises log det - trace(s x) - alpha * off-diagonal |x|, by block coordinate descent. The regressions
+    try the signs of ``like`` first, the precision of a similar matrix."""
     p = len(s)
     if p == 1:
         return 1 / np.maximum(s, 1e-12)
+    if p <= FEW + 1:
+        return np.array(_graphical_lasso_of_few(s.tolist(), alpha, rounds, tol, None if like is None else like.tolist()))
     w = s.copy()
     w[np.diag_indices(p)] = np.maximum(np.diag(s), 1e-12)
-    beta = np.zeros((p, p))
+    beta = np.zeros((p, p)) if like is None else -like / like.diagonal()
     rest = [np.delete(np.arange(p), j) for j in range(p)]
+    spread = np.abs(s - np.diag(np.diag(s))).mean()
     for _ in range(rounds):
         before = w.copy()
-        for j in range(p):
-            at = rest[j]
-            beta[at, j] = lasso(w[np.ix_(at, at)], s[at, j], alpha, beta[at, j], rounds=200)
-            w[at, j] = w[j, at] = w[np.ix_(at, at)] @ beta[at, j]
-        if np.abs(w - before).mean() < tol * np.abs(s - np.diag(np.diag(s))).mean() + 1e-15:
+        for j, at in enumerate(rest):
+            inner = w[at[:, None], at]
+            own = beta[at, j] = lasso(inner, s[at, j], alpha, beta[at, j], rounds=200)
+            w[at, j] = w[j, at] = inner @ own
+        if np.abs(w - before).mean() < tol * spread + 1e-15:
             break
     out = np.zeros((p, p))
     for j in range(p):
@@ -206,6 +375,38 @@ def graphical_lasso(s: np.ndarray, alpha: float, rounds: int = 200, tol: float =
     return (out + out.T) / 2
 
 
+def _graphical_lasso_of_few(s: list[list[float]], alpha: float, rounds: int, tol: float, like: list[list[float]] | None) -> list[list[float]]:
+    """The same in single numbers."""
+    p = len(s)
+    w = [[max(v, 1e-12) if i == j else v for j, v in enumerate(row)] for i, row in enumerate(s)]
+    rest = [[i for i in range(p) if i != j] for j in range(p)]
+    beta = [[0.0 if like is None else -like[i][j] / like[j][j] for i in at] for j, at in enumerate(rest)]
+    near = (tol * sum(abs(s[i][j]) for j, at in enumerate(rest) for i in at) / p**2 + 1e-15) * p**2
+    for _ in range(rounds):
+        before = [row[:] for row in w]
+        for j, at in enumerate(rest):
+            c = [s[i][j] for i in at]
+            top = max(map(abs, c))
+            if top <= alpha:
+                own = beta[j] = [0.0] * len(at)
+                new = own
+            else:
+                inner = [[w[i][k] for k in at] for i in at]
+                own = beta[j] = _lasso_of_few(inner, c, alpha, beta[j], [inner[i][i] > 1e-14 for i in range(len(at))], 1e-10 * max(1e-12, top)) or lasso(np.array(inner), np.array(c), alpha, np.array(beta[j]), rounds=200).tolist()
+                new = [sum(v * b for v, b in zip(row, own)) for row in inner]
+            for i, v in zip(at, new):
+                w[i][j] = w[j][i] = v
+        moved = sum(abs(v - u) for row, old in zip(w, before) for v, u in zip(row, old))
+        if moved < near:
+            break
+    out = [[0.0] * p for _ in range(p)]
+    for j, at in enumerate(rest):
+        out[j][j] = 1 / max(w[j][j] - sum(w[i][j] * b for i, b in zip(at, beta[j])), 1e-12)
+        for i, b in zip(at, beta[j]):
+            out[i][j] = -b * out[j][j]
+    return [[(out[i][j] + out[j][i]) / 2 for j in range(p)] for i in range(p)]
+
+
 def theory_sigma(g: np.ndarray, c: np.ndarray, var_y: float, n: float) -> float:
     """Noise level: root mean square residual of least squares on the most correlated columns."""
     k = int(max(1, min(n // 2, len(c) // 4, 10)))

@@ -67,6 +67,11 @@ class Gram:
         v = np.concatenate(([-intercept], -np.asarray(coef), [1.0]))
         return float(max(0.0, v @ self.a @ v))
 
+    def sses(self, coef: np.ndarray, intercept: np.ndarray) -> np.ndarray:
+        """``sse`` of several fits, a row of coefficients each."""
+        v = np.column_stack((-intercept, -coef, np.ones(len(coef))))
+        return np.maximum(0.0, ((v @ self.a) * v).sum(axis=1))
+
 
 def gram_of(z: np.ndarray, y: np.ndarray) -> Gram:
     m = np.column_stack((np.ones(len(y)), z, y))

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import functools
-import time
-from collections.abc import Sequence
+from collections.abc import Generator, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,40 +29,86 @@ def grid(spark: SparkSession, **values: Sequence) -> DataFrame:
 
 def local_fit(method: str, x: np.ndarray, y: np.ndarray, degree: int, q: float, seed: int = 0) -> tuple[list[Term], np.ndarray, float]:
     """A fit of the estimator of this name on rows at hand: selected terms, their coefficients, R2."""
+    rows = estimators.LocalRows(x, y, 5)
+    return _outcome(_estimator(method, degree, q, seed).fit_rows(rows), rows)
+
+
+def _estimator(method: str, degree: int, q: float, seed: int) -> estimators.Estimator:
     if method not in estimators.METHODS:
         raise ValueError(f"unknown method {method!r}")
-    rows = estimators.LocalRows(x, y, 5)
-    fitted = estimators.made(method, degree, q, seed).fit_rows(rows)
-    used = [k for k, c in enumerate(fitted.coef) if c]
+    return estimators.made(method, degree, q, seed)
+
+
+def _outcome(fitted: estimators.Fitted, rows: estimators.LocalRows) -> tuple[list[Term], np.ndarray, float]:
+    y, used = rows.y, [k for k, c in enumerate(fitted.coef) if c]
     sst = float(((y - y.mean()) ** 2).sum())
     sse = float(((y - rows.predict(fitted.terms, fitted.coef, fitted.intercept)) ** 2).sum())
     return [fitted.terms[k] for k in used], fitted.coef[used], 1 - sse / sst if sst > 0 else 0.0
 
 
+#: Trials that a task fits side by side, and rows beyond which it takes fewer.
+TRIALS_AT_ONCE, ROWS_AT_ONCE = 8, 1 << 15
+
+
 def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], degree: int = 2, q: float = 0.2, seed: int = 0) -> DataFrame:
     """Fits every method to every group of ``rows`` (``config_id`` and ``trial``). A group is one small trial,
-    which is shuffled once for all methods. A fit that fails is a row with its error as ``status``."""
+    which is shuffled once for all methods; a task fits some trials side by side. A fit that fails is a row with its error as
+    ``status``."""
     keys, columns = {t.key for t in truth}, list(features)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        x, response = pdf[columns].to_numpy(float), pdf[y].to_numpy(float)
-        base = {"config_id": int(pdf["config_id"].iloc[0]), "trial": int(pdf["trial"].iloc[0]), "n": len(pdf)}
-        out = []
-        for method in methods:
-            began = time.perf_counter()
-            try:
-                found, _, r2 = local_fit(method, x, response, degree, q, seed + base["trial"])
-                own = evaluate.compare({t.key for t in found}, keys) | {"n_selected": len(found), "r_squared": r2, "status": "ok"}
-            except (ValueError, np.linalg.LinAlgError) as error:
-                own = {"status": str(error)[:200]}
-            out.append(base | own | {"method": method, "elapsed_seconds": time.perf_counter() - began})
+    def fit(pdfs: list[pd.DataFrame]) -> pd.DataFrame:
+        out, runs = [], []
+        for pdf in pdfs:
+            pdf = pdf.sort_values("row_id")
+            own = estimators.LocalRows(pdf[columns].to_numpy(float), pdf[y].to_numpy(float), 5)  # methods share what they ask of them
+            base = {"config_id": int(pdf["config_id"].iloc[0]), "trial": int(pdf["trial"].iloc[0]), "n": len(pdf)}
+            for method in methods:
+                out.append(base | {"method": method})
+                runs.append((own, _steps(method, own, degree, q, seed + base["trial"])))
+        for line, (own, _), (fitted, seconds) in zip(out, runs, estimators.side_by_side(runs), strict=True):
+            line["elapsed_seconds"] = seconds
+            if isinstance(fitted, Exception):
+                line["status"] = str(fitted)[:200]
+                continue
+            found, _, r2 = _outcome(fitted, own)
+            line |= evaluate.compare({t.key for t in found}, keys) | {"n_selected": len(found), "r_squared": r2, "status": "ok"}
         return pd.DataFrame(out).reindex(columns=[c.split()[0] for c in TRIAL.split(", ")])
 
+    def fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in _groups(batches, by):
+            held.append(pdf)
+            if len(held) == TRIALS_AT_ONCE or sum(map(len, held)) > ROWS_AT_ONCE:
+                yield fit(held)
+                held = []
+        if held:
+            yield fit(held)
+
     # fits take far longer than their few bytes suggest, so the number of tasks is given and not merged by size
     spark = rows.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.select(*by, *({"config_id", "trial", "row_id"} - set(by)), *columns, y).repartition(tasks, *by).groupBy(*by).applyInPandas(fit, TRIAL)
+    dealt = rows.select(*by, *({"config_id", "trial", "row_id"} - set(by)), *columns, y).repartition(tasks, *by)
+    return dealt.sortWithinPartitions(*by).mapInPandas(fits, TRIAL)
+
+
+def _steps(method: str, rows: estimators.LocalRows, degree: int, q: float, seed: int) -> Generator:
+    """A fit as a run of questions; an unknown method fails as a fit does."""
+    return (yield from _estimator(method, degree, q, seed).steps(rows))
+
+
+def _groups(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of sorted rows that come in batches; null is equal to null."""
+    parts, last = [], None
+    for batch in batches:
+        for key, own in batch.groupby(list(by), sort=False, dropna=False):
+            key = tuple(None if pd.isna(v) else v for v in key)
+            if parts and key != last:
+                yield pd.concat(parts)
+                parts = []
+            parts.append(own)
+            last = key
+    if parts:
+        yield pd.concat(parts)
 
 
 def run_into(path: str, rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], batches: int = 8, **settings) -> DataFrame:

@@ -117,3 +117,55 @@ def test_local_knockoffs_moments():
     np.testing.assert_allclose(own[3:, 3:], cov, atol=0.05)
     cross = own[:3, 3:] - cov
     assert np.abs(cross[~np.eye(3, dtype=bool)]).max() < 0.05 and (np.diag(cross) < -0.3).all()
+
+
+def test_paths_side_by_side_are_the_lasso_with_few_solutions_of_their_own(monkeypatch):
+    rng = np.random.default_rng(5)
+    problems = []
+    for t in range(3):
+        x = rng.normal(size=(90, 12)) @ (np.eye(12) + 0.3 * rng.normal(size=(12, 12)))
+        x[:, 7] = 1.0  # a column of no use
+        y = x[:, 0] - 2 * x[:, 3] + rng.normal(size=90)
+        problems.append({f: gram_of(x[f::5], y[f::5]) for f in range(5)})
+    one, asked = solvers.lasso, []
+    monkeypatch.setattr(solvers, "lasso", lambda *args, **kwargs: asked.append(1) or one(*args, **kwargs))
+    together, alone = solvers.lasso_cvs(problems), [solvers.lasso_cv(p) for p in problems]
+    assert len(asked) < 50  # 600 a problem when each penalty of each fold was solved by itself
+    for (b, constant, penalty), (b1, constant1, penalty1), folds in zip(together, alone, problems):
+        np.testing.assert_allclose(b, b1, atol=1e-10)
+        assert abs(constant - constant1) < 1e-10 and penalty == penalty1
+        whole = total(folds)
+        grid = solvers.penalties(whole.centred()[1])
+        error = 0.0
+        for f in folds.values():
+            g, c, _, mean, my = (whole - f).centred()
+            error = error + np.array([f.sse(own, my - mean @ own) / f.n for own in solvers.lasso_path(g, c, grid)])
+        assert penalty == grid[np.argmin(error)]
+        g, c, *_ = whole.centred()
+        np.testing.assert_allclose(b, one(g, c, penalty), atol=1e-8)
+
+
+def test_paths_of_equal_columns_and_of_more_columns_than_rows():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(15, 30))
+    x[:, 1] = x[:, 0]
+    y = x[:, 0] + 0.1 * rng.normal(size=15)
+    x = x - x.mean(axis=0)
+    g, c = x.T @ x / 15, x.T @ y / 15
+    grid = solvers.penalties(c, 40)
+    for b, p in zip(solvers.lasso_paths(g[None], c[None], grid[None])[0], grid):
+        slope = g @ b - c
+        assert np.abs(np.where(b == 0, np.maximum(np.abs(slope) - p, 0), slope + p * np.sign(b))).max() < 1e-6 * np.abs(c).max()
+
+
+def test_graphical_lasso_in_single_numbers_and_from_signs_of_another():
+    rng = np.random.default_rng(7)
+    for p in (2, 4, 7, 9):
+        x = rng.normal(size=(40, p)) @ rng.normal(size=(p, p))
+        s = np.cov(x, rowvar=False)
+        near = solvers.graphical_lasso(s * 1.1, 0.2)
+        theta = solvers.graphical_lasso(s, 0.2)
+        np.testing.assert_allclose(solvers.graphical_lasso(s, 0.2, like=near), theta, rtol=1e-6, atol=1e-9)
+        gap = np.linalg.inv(theta) - s
+        off = ~np.eye(p, dtype=bool)
+        assert np.abs(gap[off]).max() < 0.2 + 1e-3 * np.abs(s).max()
