@@ -93,22 +93,116 @@ def _read(numbers: np.ndarray, k: int, p: int) -> tuple[np.ndarray, float, float
     return np.array([blocks.Products.square(numbers[c * each : (c + 1) * each], p + 1) for c in range(k)]), float(numbers[-2]), float(numbers[-1])
 
 
+class _Given:
+    """Weighs rows by their responsibilities under a model; they move from those under the one before."""
+
+    def __init__(self, model: Mixture, before: Mixture | None = None) -> None:
+        self.model, self.before = model, before
+
+    def __call__(self, x: np.ndarray, _: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+        share, loglik = self.model.responsibilities(x)
+        return share, loglik, float(np.abs(share - self.before.responsibilities(x)[0]).sum()) if self.before is not None else 0.0
+
+
+class _Stack:
+    """Questions with equal numbers of components about the same rows, answered with a few products for all: rows times the
+    triangular factors of all precisions, then products of columns times all responsibilities."""
+
+    #: Features up to which the products of columns of a row are made once for all components.
+    FEATURES = 10
+    #: Numbers of a matrix of some rows, which a core's cache holds.
+    NUMBERS = 1 << 17
+
+    def __init__(self, given: Sequence[_Given]) -> None:
+        """Fails with ``LinAlgError`` where a precision has no triangular factor."""
+        moving = [q for q, g in enumerate(given) if g.before is not None]
+        models = [g.model for g in given] + [given[q].before for q in moving]
+        self.asked, self.moving = len(given), slice(None) if len(moving) == len(given) else moving
+        self.k, self.p = models[0].mean.shape
+        lower = np.linalg.cholesky(np.array([m.precision for m in models])).transpose(3, 1, 0, 2)  # direction, component, model, feature
+        shift = -(lower * np.array([m.mean for m in models]).transpose(1, 0, 2)).sum(axis=-1)
+        self.turn = np.concatenate((shift[..., None], lower), axis=-1).reshape(-1, self.p + 1)
+        weight = np.log(np.maximum([m.weight for m in models], 1e-300)).T
+        self.level = (weight - 0.5 * self.p * np.log(2 * np.pi) + np.log(np.einsum("jcmj->jcm", lower)).sum(axis=0))[..., None]
+        self.pairs = np.triu_indices(self.p + 1)
+
+    def add(self, x: np.ndarray, total: _StackTotal) -> None:
+        for rows in blocks.pieces(x, len(self.turn), self.NUMBERS):
+            m = np.concatenate((np.ones((1, len(rows))), rows.T))
+            joint = self.turn @ m
+            joint *= joint
+            joint = self.level - 0.5 * joint.reshape(self.p, *self.level.shape[:2], -1).sum(axis=0)
+            top = joint.max(axis=0)
+            joint -= top
+            np.exp(joint, out=joint)
+            mass = joint.sum(axis=0)
+            joint /= mass
+            share = joint[:, : self.asked]
+            # each factor is between one and k: some multiplied are far from the largest number
+            many = np.multiply.reduceat(mass[: self.asked], np.arange(0, len(rows), max(1, min(256, int(700 / np.log(self.k + 1))))), axis=1)
+            total.rest[0] += top[: self.asked].sum(axis=1) + np.log(many).sum(axis=1)
+            if len(self.level[0]) > self.asked:
+                total.rest[1, self.moving] += np.abs(share[:, self.moving] - joint[:, self.asked :]).sum(axis=(0, 2))
+            total.products += (m[self.pairs[0]] * m[self.pairs[1]]) @ share.reshape(-1, len(rows)).T
+
+
+class _StackTotal:
+    def __init__(self, stack: _Stack) -> None:
+        self.stack = stack
+        self.products, self.rest = np.zeros((len(stack.pairs[0]), stack.k * stack.asked)), np.zeros((2, stack.asked))
+
+    def numbers(self, q: int) -> np.ndarray:
+        """Those of ``_Total`` for a question."""
+        s = self.stack
+        square = np.zeros((s.k, s.p + 1, s.p + 1))
+        square[:, *s.pairs] = square[:, *s.pairs[::-1]] = self.products.reshape(-1, s.k, s.asked)[:, :, q].T
+        return np.concatenate((square.ravel(), self.rest[:, q]))
+
+
+def _stacked(p: int, asked: Sequence[tuple[int, Weigh, int | None]]) -> tuple[list[tuple[int | None, list[int], _Stack]], list[int]]:
+    """Questions that go together, with the value of ``__of`` that they leave out, and those that go alone."""
+    alike: dict[tuple, list[int]] = {}
+    alone = []
+    for q, (k, weigh, held) in enumerate(asked):
+        if isinstance(weigh, _Given) and p <= _Stack.FEATURES:
+            alike.setdefault((k, held), []).append(q)
+        else:
+            alone.append(q)
+    out = []
+    for (_, held), own in alike.items():
+        try:
+            out.append((held, own, _Stack([asked[q][1] for q in own])))
+        except np.linalg.LinAlgError:
+            alone += own
+    return out, alone
+
+
 def _sums(df: DataFrame, columns: Sequence[str], asked: Sequence[tuple[int, Weigh, int | None]]) -> list[tuple[np.ndarray, float, float]]:
     """What ``_read`` gives for each of the questions, all in one pass over rows as ``_narrow`` makes them. A question is a
     number of components, how to weigh the rows, and the value of the column ``__of`` whose rows it leaves out (None: none)."""
     p, marked = len(columns), len(df.columns) > len(columns)
+    stacks, alone = _stacked(p, asked)
 
     def add(batches: Iterator[pa.RecordBatch]) -> blocks.Arrays:
-        totals: list[_Total | None] = [None] * len(asked)
+        totals: dict[int, _Total] = {}
+        together = [_StackTotal(stack) for *_, stack in stacks]
+        seen = False
         for batch in batches:
             rows = np.column_stack([c.to_numpy() for c in batch.columns[:p]])
             marks = batch.column(p).to_numpy() if marked else np.zeros(len(rows), int)
             for x, of in zip(blocks.pieces(rows, p), blocks.pieces(marks, p), strict=True):
-                for q, (k, weigh, held) in enumerate(asked):
+                seen = seen or len(x) > 0
+                for (held, _, stack), total in zip(stacks, together, strict=True):
+                    stack.add(x if held is None else x[of != held], total)
+                for q in alone:
+                    k, weigh, held = asked[q]
                     own = slice(None) if held is None else of != held
-                    totals[q] = totals[q] or _Total(k, p)
+                    if q not in totals:
+                        totals[q] = _Total(k, p)
                     totals[q].add(x[own], *weigh(x[own], of[own] if marked else None))
-        yield from ((q, t.numbers()) for q, t in enumerate(totals) if t is not None)
+        if seen:
+            yield from ((q, total.numbers(n)) for (_, own, _), total in zip(stacks, together, strict=True) for n, q in enumerate(own))
+        yield from ((q, t.numbers()) for q, t in totals.items())
 
     found = blocks.summed(df, add, sum(k for k, *_ in asked) * blocks.Products.count(p + 1))
     return [_read(found.get(q, np.zeros(k * blocks.Products.count(p + 1) + 2)), k, p) for q, (k, *_) in enumerate(asked)]
@@ -121,7 +215,7 @@ def _narrow(df: DataFrame, columns: Sequence[str], of: Column | None = None) ->
 
 def weighted_sums(df: DataFrame, columns: Sequence[str], model: Mixture) -> tuple[np.ndarray, float]:
     """Sums of (1, x)(1, x)' weighted by the responsibilities of each component, and the log-likelihood of the rows."""
-    return _sums(_narrow(df, columns), columns, [(len(model.weight), lambda x, _: (*model.responsibilities(x), 0.0), None)])[0][:2]
+    return _sums(_narrow(df, columns), columns, [(len(model.weight), _Given(model), None)])[0][:2]
 
 
 def _rowwise(df: DataFrame, columns: Sequence[str], keep: Sequence[str], made: str, compute) -> DataFrame:
@@ -208,11 +302,19 @@ def fit_rows(x: np.ndarray, k: int = 2, alpha: float | str = "adaptive", max_ite
     """The same for rows at hand, from slices across the direction of largest variance."""
 
     def ask(asked: Sequence[tuple[int, Weigh, int | None]]) -> list[tuple[np.ndarray, float, float]]:
-        out = []
-        for parts, weigh, _ in asked:
-            total = _Total(parts, x.shape[1])
+        p = x.shape[1]
+        stacks, alone = _stacked(p, asked)
+        out: list = [None] * len(asked)
+        for _, own, stack in stacks:
+            together = _StackTotal(stack)
+            stack.add(x, together)
+            for n, q in enumerate(own):
+                out[q] = _read(together.numbers(n), stack.k, p)
+        for q in alone:
+            parts, weigh, _ = asked[q]
+            total = _Total(parts, p)
             total.add(x, *weigh(x, None))
-            out.append(_read(total.numbers(), parts, x.shape[1]))
+            out[q] = _read(total.numbers(), parts, p)
         return out
 
     return _best(ask, x.shape[1], k, alpha, max_iter, tol, reg, stop, None)
@@ -266,14 +368,6 @@ def _sliced(p: int, k: int) -> Generator:
     return sums
 
 
-def _weigh(model: Mixture, before: Mixture | None) -> Weigh:
-    def weigh(x: np.ndarray, _) -> tuple[np.ndarray, np.ndarray, float]:
-        share, loglik = model.responsibilities(x)
-        return share, loglik, float(np.abs(share - before.responsibilities(x)[0]).sum()) if before is not None else 0.0
-
-    return weigh
-
-
 def _course(p: int, k: int, alpha: float | str, max_iter: int, tol: float | None, reg: float, stop: str, sums: np.ndarray | None = None) -> Generator:
     """Expectation-maximisation as a run of questions for sums; None if it breaks down on a singular matrix."""
     if stop not in ("loglik", "responsibility"):
@@ -297,7 +391,7 @@ def _course(p: int, k: int, alpha: float | str, max_iter: int, tol: float | None
             return model
         for t in range(1, max_iter + 1):
             now = model
-            sums, loglik, moved = yield k, _weigh(now, last if stop == "responsibility" else None)
+            sums, loglik, moved = yield k, _Given(now, last if stop == "responsibility" else None)
             now.loglik, now.n_iter = loglik, t
             if stop == "loglik":
                 still = abs(loglik - before) < (1e-4 if tol is None else tol) * max(1.0, n / 1000)
