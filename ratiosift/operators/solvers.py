@@ -22,10 +22,10 @@ def lasso(g: np.ndarray, c: np.ndarray, penalty: float, start: np.ndarray | None
     b = np.zeros(m) if start is None else start.astype(float).copy()
     usable = g.diagonal() > 1e-14
     size = np.abs(c)
-    if not (size[usable] > penalty).any():
+    if (size[usable] <= penalty).all():
         return np.zeros(m)
     eps = tol * max(1e-12, float(size.max()))
-    if m <= FEW:
+    if m <= FEW and np.isfinite(size).all():
         for signs in ([] if start is None else [start.tolist()]) + [[0.0] * m]:
             if few := _lasso_of_few(g.tolist(), c.tolist(), penalty, signs, usable.tolist(), eps):
                 return np.array(few)
@@ -145,7 +145,7 @@ def lasso_path(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-#: Columns up to which paths are followed side by side; of more, a table for each path would take too much memory.
+#: Columns up to which ``lasso_cvs`` follows paths side by side; of more, a table for each path would take too much memory.
 SIDE_BY_SIDE = 256
 #: Numbers of the tables that are followed at once, and of those that are pivoted at once, which a core's cache holds.
 TABLES, PIVOTED = 1 << 19, 1 << 15
@@ -155,8 +155,8 @@ def lasso_paths(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """``lasso_path`` of several problems, stacked in ``g``, ``c`` and ``grid`` (each falling). Coefficients are linear in the
     penalty between the points where a column enters or leaves (Osborne, Presnell and Turlach, 2000), which are followed for
     all problems at once. Every solution is then held against the optimality conditions; ``lasso`` solves those that miss them."""
-    if not c.size or c.shape[1] > SIDE_BY_SIDE:
-        return np.array([lasso_path(*own) for own in zip(g, c, grid, strict=True)]).reshape(*grid.shape, c.shape[1])
+    if not c.size:
+        return np.zeros((*grid.shape, c.shape[1]))
     with np.errstate(all="ignore"):
         out = _followed(g, c, grid)
     for k, (own, inner, right, points) in enumerate(zip(out, g, c, grid, strict=True)):
@@ -241,6 +241,9 @@ def lasso_cvs(problems: Sequence[dict[int, Gram]], n_penalties: int = 100) -> li
     for k, folds in enumerate(problems):
         whole = total(folds)
         held = [f for f in folds.values() if f.n > 0 and whole.n - f.n > 1]
+        if whole.width > SIDE_BY_SIDE:
+            out[k] = _in_turn(whole, held, n_penalties)
+            continue
         centred = [whole.centred(), *((whole - f).centred() for f in held)]
         grid = penalties(centred[0][1], n_penalties)
         alike.setdefault((whole.width, len(grid)), []).append((k, held, centred, grid))
@@ -252,6 +255,19 @@ def lasso_cvs(problems: Sequence[dict[int, Gram]], n_penalties: int = 100) -> li
     return out
 
 
+def _in_turn(whole: Gram, held: list[Gram], n_penalties: int) -> tuple[np.ndarray, float, float]:
+    """``lasso_cv`` of many columns: a fold after another, so that one more Gram is held at a time."""
+    g, c, _, mean, mean_y = whole.centred()
+    grid = penalties(c, n_penalties)
+    error = np.zeros(len(grid))
+    for f in held:
+        gt, ct, _, mt, yt = (whole - f).centred()
+        error += [f.sse(b, yt - mt @ b) / f.n for b in lasso_path(gt, ct, grid)]
+    best = float(grid[int(np.argmin(error))]) if held else float(grid[0])
+    b = lasso(g, c, best, lasso_path(g, c, grid[grid >= best])[-1])
+    return b, mean_y - mean @ b, best
+
+
 def _crossed(problems: list[tuple], out: list) -> None:
     """Puts the results of problems of one size into ``out``."""
     paths = iter(lasso_paths(*(np.array([v for p in problems for v in of(p)]) for of in (lambda p: [r[0] for r in p[2]], lambda p: [r[1] for r in p[2]], lambda p: [p[3]] * len(p[2])))))

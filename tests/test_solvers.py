@@ -169,3 +169,14 @@ def test_graphical_lasso_in_single_numbers_and_from_signs_of_another():
         gap = np.linalg.inv(theta) - s
         off = ~np.eye(p, dtype=bool)
         assert np.abs(gap[off]).max() < 0.2 + 1e-3 * np.abs(s).max()
+
+
+def test_many_columns_are_cross_validated_in_turn(monkeypatch):
+    z, y = design()
+    folds = {k: gram_of(z[k::5], y[k::5]) for k in range(5)}
+    b, constant, penalty = solvers.lasso_cv(folds)
+    monkeypatch.setattr(solvers, "SIDE_BY_SIDE", 5)
+    monkeypatch.setattr(solvers, "lasso_paths", None)
+    b1, constant1, penalty1 = solvers.lasso_cv(folds)
+    assert penalty == penalty1 and abs(constant - constant1) < 1e-9
+    np.testing.assert_allclose(b, b1, atol=1e-9)
