@@ -7,7 +7,7 @@ sufficient statistics (one more pass). Lasso, matching pursuit and thresholded l
 from __future__ import annotations
 
 import time
-from collections.abc import Generator, Sequence
+from collections.abc import Callable, Generator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fdr, gmm, knockoffs, solvers, stats
-from .rows import Copies, Covariance, CrossValidated, FoldedRows, LocalRows, Mean, MixtureCopies, MixtureOf, Model, Norm, Prepare, Prepared, SparkRows
+from .rows import Copies, Covariance, CrossValidated, FoldedRows, LocalRows, Mean, MixtureCopies, MixtureOf, Model, Norm, Penalised, Prepare, Prepared, Question, SparkRows, prepare_each
 from .terms import Term, dictionary, linear, terms_table
 
 
@@ -74,8 +74,13 @@ class Estimator:
 
     def steps(self, rows: SparkRows | LocalRows) -> Generator:
         """``fit_rows`` as a run of questions about the rows, so that many fits can go side by side."""
+        made = yield Prepare(self._terms(len(rows.features)))
+        return self.fitted(rows.features, made, *(yield from self.solution(made)))
+
+    def solution(self, made: Prepared) -> Generator:
+        """``solve`` as a run of questions."""
         yield from ()
-        return self.fit_rows(rows)
+        return self.solve(made)
 
     def solve(self, made: Prepared) -> tuple[np.ndarray, float, dict]:
         raise NotImplementedError
@@ -100,16 +105,19 @@ class PolyLasso(Estimator):
         super().__init__(**kwargs)
         self.alpha, self.sigma = alpha, sigma
 
-    def solve(self, made: Prepared) -> tuple[np.ndarray, float, dict]:
+    def solution(self, made: Prepared) -> Generator:
         g, c, var, mean, y, n = _pieces(made)
         if self.alpha == "cv":
-            b, constant, penalty = solvers.lasso_cv(made.folds)
+            b, constant, penalty = yield CrossValidated(made.folds)
             return b, constant, {"alpha": penalty}
         sigma = np.sqrt(var) if self.sigma == "response" else solvers.theory_sigma(g, c, var, n)
         penalty = solvers.theory_penalty(sigma, n, len(c)) if self.alpha is None else float(self.alpha)
-        b = solvers.lasso(g, c, penalty)
+        b = yield Penalised(g, c, penalty)
         return b, y - mean @ b, {"alpha": penalty}
 
+    def solve(self, made: Prepared) -> tuple[np.ndarray, float, dict]:
+        return _answered(self.solution(made), None)
+
 
 class PolyOMP(Estimator):
     """``k``: a number of terms, None for the rule of thumb, "cv" for cross-validation."""
@@ -204,14 +212,14 @@ class PolyKnockoff(Estimator):
         features = rows.features
         sampler = knockoffs.Sampler.gaussian(*self.covariance(rows))
         terms = self._terms(len(features))
-        made = rows.prepare(terms, copies=Copies(sampler, list(range(len(features))), rows.key, self.seed))
+        made = yield Prepare(terms, copies=Copies(sampler, list(range(len(features))), rows.key, self.seed))
         m = len(terms)
         alpha = self.penalty(made)
         if alpha is None:
             b, _, _ = yield CrossValidated(made.folds)
         else:
             g, c, *_ = _pieces(made)
-            b = solvers.lasso(g, c, alpha)
+            b = yield Penalised(g, c, alpha)
         w = fdr.w_statistics(b[:m], b[m:], self.w)
         tau = fdr.threshold(w, self.q, self.offset)
         at = np.flatnonzero(w >= tau)
@@ -324,12 +332,13 @@ class IterativeKnockoffs(Estimator):
         return chosen
 
 
-def _answered(run: Generator, rows: SparkRows | LocalRows):
-    """What a run of questions returns when these rows answer."""
+def _answered(run: Generator, rows: SparkRows | LocalRows | None):
+    """What a run of questions returns when these rows answer, None for a run that asks only about statistics at hand."""
     answer = None
     while True:
         try:
-            answer = rows.answer(run.send(answer))
+            question = run.send(answer)
+            answer = rows.answer(question) if rows is not None else question.of(None)
         except StopIteration as end:
             return end.value
 
@@ -349,38 +358,77 @@ def _together(rows: FoldedRows, runs: Sequence[tuple[int | None, Generator]]) ->
 
 
 def side_by_side(runs: Sequence[tuple[LocalRows, Generator]]) -> list[tuple[Fitted | Exception, float]]:
-    """What runs over rows at hand return, or the error that ends them, and their seconds. Cross-validations that wait for
-    each other are made together; each is charged its share."""
+    """What runs over rows at hand return, or the error that ends them, and their seconds. Questions of the kinds of ``TOGETHER`` that
+    wait for each other are answered together, those of a later kind when none of an earlier one is left; each is charged
+    its share."""
     out: list = [None] * len(runs)
-    seconds, answers = [0.0] * len(runs), dict.fromkeys(range(len(runs)))
+    seconds, answers, waiting = [0.0] * len(runs), dict.fromkeys(range(len(runs))), {}
     while answers:
-        asked: dict[int, CrossValidated] = {}
         for n, answer in answers.items():
             began, (rows, run) = time.perf_counter(), runs[n]
             try:
                 question = run.send(answer)
-                while not isinstance(question, CrossValidated):
+                while not isinstance(question, tuple(TOGETHER)):
                     question = run.send(rows.answer(question))
-                asked[n] = question
+                waiting[n] = question
             except StopIteration as end:
                 out[n] = end.value
             except (ValueError, np.linalg.LinAlgError) as error:
                 out[n] = error
             seconds[n] += time.perf_counter() - began
-        began, answers = time.perf_counter(), {}
-        try:
-            answers = dict(zip(asked, solvers.lasso_cvs([q.folds for q in asked.values()]), strict=True))
-        except (ValueError, np.linalg.LinAlgError):  # of one of them; the others go on
-            for n, question in asked.items():
-                try:
-                    answers[n] = solvers.lasso_cv(question.folds)
-                except (ValueError, np.linalg.LinAlgError) as error:
-                    out[n] = error
-        for n in asked:
-            seconds[n] += (time.perf_counter() - began) / len(asked)
+        answers = {}
+        for kind in TOGETHER:
+            own = [n for n, q in waiting.items() if isinstance(q, kind)]
+            if own:
+                began = time.perf_counter()
+                for n, answer in zip(own, _of_kind(kind, [(runs[n][0], waiting.pop(n)) for n in own]), strict=True):
+                    if isinstance(answer, Exception):
+                        out[n] = answer
+                    else:
+                        answers[n] = answer
+                spent = (time.perf_counter() - began) / len(own)
+                for n in own:
+                    seconds[n] += spent
+                if answers:
+                    break
     return list(zip(out, seconds, strict=True))
 
 
+def _of_kind(kind: type, asked: list[tuple[LocalRows, Question]]) -> list:
+    """Answers or errors."""
+    try:
+        return TOGETHER[kind](asked)
+    except (ValueError, np.linalg.LinAlgError):  # of one of them; the others go on
+        return [_or_error(rows.answer, q) for rows, q in asked]
+
+
+def _mixtures(asked: list[tuple[LocalRows, MixtureOf]]) -> list[gmm.Mixture | Exception]:
+    alike: dict[tuple, list[int]] = {}
+    for n, (rows, q) in enumerate(asked):
+        alike.setdefault((len(rows.features), q.k, q.alpha), []).append(n)
+    out: list = [None] * len(asked)
+    for (_, k, alpha), own in alike.items():
+        for n, made in zip(own, gmm.fit_each([asked[n][0].known() for n in own], k, alpha, max_iter=50), strict=True):
+            out[n] = made
+    return out
+
+
+#: Kinds of questions that many small fits ask together, and how they are answered.
+TOGETHER: dict[type, Callable[[list], list]] = {
+    MixtureOf: _mixtures,
+    Prepare: prepare_each,
+    Penalised: lambda asked: solvers.lasso_each([(q.g, q.c, q.penalty) for _, q in asked]),
+    CrossValidated: lambda asked: solvers.lasso_cvs([q.folds for _, q in asked]),
+}
+
+
+def _or_error(solve: Callable, *given) -> object:
+    try:
+        return solve(*given)
+    except (ValueError, np.linalg.LinAlgError) as error:
+        return error
+
+
 METHODS = {e.method: e for e in (IterativeKnockoffs, PolyLasso, PolyOMP, PolyClime, PolyKnockoff, PolySTLSQ, ImprovedSTLSQ)}
 
 

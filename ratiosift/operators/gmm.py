@@ -8,6 +8,7 @@ all that are not finished.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass, replace
 from statistics import NormalDist
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .solvers import graphical_lasso
+from .solvers import graphical_lasso, graphical_lassos
 
 
 @dataclass
@@ -320,6 +321,111 @@ def fit_rows(x: np.ndarray, k: int = 2, alpha: float | str = "adaptive", max_ite
     return _best(ask, x.shape[1], k, alpha, max_iter, tol, reg, stop, None)
 
 
+def fit_each(xs: Sequence[np.ndarray], k: int = 2, alpha: float | str = "adaptive", max_iter: int = 100, tol: float = 1e-4, reg: float = 1e-6) -> list[Mixture | ValueError]:
+    """``fit_rows`` of several small sets of rows with equal features, side by side; an error where a set has no mixture. Sets are
+    padded to the longest. Those whose matrices break down, one component and "bic" are left to ``fit_rows``."""
+
+    def alone(x: np.ndarray) -> Mixture | ValueError:
+        try:
+            return fit_rows(x, k, alpha, max_iter, tol, reg)
+        except ValueError as error:
+            return error
+
+    p = xs[0].shape[1] if xs else 0
+    own = np.array([n for n, x in enumerate(xs) if k > 1 and alpha != "bic" and len(x) and np.isfinite(x).all()], int)
+    out: list = [None] * len(xs)
+    if len(own) and p:
+        with contextlib.suppress(np.linalg.LinAlgError), np.errstate(all="ignore"):
+            _courses([xs[n] for n in own], own, out, k, alpha, max_iter, tol, reg)
+    return [alone(x) if made is None else made for x, made in zip(xs, out, strict=True)]
+
+
+def _courses(xs: list[np.ndarray], live: np.ndarray, out: list, k: int, alpha: float | str, max_iter: int, tol: float, reg: float) -> None:
+    """``_course`` of several sets of rows, from ``_sliced``, into the places ``live`` of ``out``; those that break down are left out."""
+    p, n = xs[0].shape[1], np.array([float(len(x)) for x in xs])
+    m = np.zeros((len(xs), p + 1, max(map(len, xs))))  # one and the features, zero beyond the rows
+    for to, x in zip(m, xs, strict=True):
+        to[0, : len(x)], to[1:, : len(x)] = 1, x.T
+    one = m @ m.transpose(0, 2, 1)
+    centre = one[:, 0, 1:] / n[:, None]
+    value, vector = np.linalg.eigh(one[:, 1:, 1:] / n[:, None, None] - centre[:, :, None] * centre[:, None])
+    along = (((m[:, 1:] - centre[:, :, None]).transpose(0, 2, 1) @ vector[:, :, -1:])[:, :, 0])[:, None]
+    wide = np.sqrt(np.maximum(value[:, -1], 1e-300))
+    bounds = np.array([NormalDist().inv_cdf(c / k) for c in range(1, k)])
+    slot = (along > (wide[:, None] * bounds)[:, :, None]).sum(axis=1)
+    sums = _shared(m, (slot[:, None] == np.arange(k)[:, None]) * m[:, :1])
+    few = sums[:, :, 0, 0] < 2
+    sums = np.where(few[:, :, None, None], sums.sum(axis=1, keepdims=True), sums)
+    # a component that is too small takes all rows, those before it that did so counted, as in a fit alone
+    for b in np.flatnonzero(few.sum(axis=1) > 1):
+        live[b] = -1
+    penalty = np.clip(np.where(p <= n, 0.5, 1.0) * np.sqrt(np.log(max(p, 1)) / n), 0.01, 1.0) if alpha == "adaptive" else np.full(len(n), float(alpha))
+    before, like = np.full(len(n), -np.inf), None
+    for t in range(1, max_iter + 2):
+        model = _maximised(sums, penalty, reg, like)
+        lower = _factors(model[2])
+        whole = (live >= 0) & np.isfinite(lower).all(axis=(1, 2, 3)) & np.isfinite(model[1]).all(axis=(1, 2))
+        if t > max_iter:
+            for b in np.flatnonzero(whole):
+                out[live[b]] = Mixture(*(v[b] for v in model), loglik=float(before[b]), n=float(n[b]), n_iter=max_iter)
+            return
+        share, loglik = _weighed(m, lower, *model[:2])
+        still = whole & (np.abs(loglik - before) < tol * np.maximum(1.0, n / 1000))
+        for b in np.flatnonzero(still):
+            out[live[b]] = Mixture(*(v[b] for v in model), loglik=float(loglik[b]), n=float(n[b]), n_iter=t, converged=True)
+        sums, like, before = _shared(m, share), model[2], loglik
+        go = whole & ~still
+        if not go.any():
+            return
+        live = np.where(go, live, -1)
+        if not whole.all() or go.sum() <= 0.8 * len(go):
+            live, n, m, penalty, before, sums, like = (x[go] for x in (live, n, m, penalty, before, sums, like))
+
+
+def _shared(m: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Sums of (1, x)(1, x)' of each set, weighted by the shares of each component."""
+    return (share[:, :, None] * m[:, None]) @ m.transpose(0, 2, 1)[:, None]
+
+
+def _maximised(sums: np.ndarray, penalty: np.ndarray, reg: float, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_maximise`` of several sets."""
+    (sets, k), p = sums.shape[:2], sums.shape[2] - 1
+    mass = np.maximum(sums[:, :, 0, 0], 1e-10)
+    mean = sums[:, :, 0, 1:] / mass[:, :, None]
+    cov = sums[:, :, 1:, 1:] / mass[:, :, None, None] - mean[:, :, :, None] * mean[:, :, None] + reg * np.eye(p)
+    like = None if before is None else before.reshape(-1, p, p)
+    return mass / mass.sum(axis=1, keepdims=True), mean, graphical_lassos(cov.reshape(-1, p, p), np.repeat(penalty, k), like=like).reshape(sets, k, p, p)
+
+
+def _factors(precision: np.ndarray) -> np.ndarray:
+    """Triangular factors, NaN where there is none."""
+    try:
+        return np.linalg.cholesky(precision)
+    except np.linalg.LinAlgError:
+        out = np.full(precision.shape, np.nan)
+        for at in np.ndindex(precision.shape[:-2]):
+            try:
+                out[at] = np.linalg.cholesky(precision[at])
+            except np.linalg.LinAlgError:
+                continue
+        return out
+
+
+def _weighed(m: np.ndarray, lower: np.ndarray, weight: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Responsibilities of each component for the rows of each set, zero beyond them, and log-likelihoods."""
+    sets, k, p = mean.shape
+    turn = np.concatenate((-(mean[:, :, None] @ lower).transpose(0, 1, 3, 2), lower.transpose(0, 1, 3, 2)), axis=3)
+    joint = turn.reshape(sets, k * p, p + 1) @ m
+    joint *= joint
+    level = np.log(np.maximum(weight, 1e-300)) - 0.5 * p * np.log(2 * np.pi) + np.log(np.diagonal(lower, axis1=2, axis2=3)).sum(axis=2)
+    joint = level[:, :, None] - 0.5 * joint.reshape(sets, k, p, -1).sum(axis=2)
+    top = joint.max(axis=1)
+    joint = np.exp(joint - top[:, None])
+    mass = joint.sum(axis=1)
+    joint *= (m[:, 0] / mass)[:, None]
+    return joint, ((top + np.log(mass)) * m[:, 0]).sum(axis=1)
+
+
 def _best(ask, p: int, k: int, alpha: float | str, max_iter: int, tol: float | None, reg: float, stop: str, start: np.ndarray | None) -> Mixture:
     if start is None:
         start = _together(ask, [(None, _sliced(p, k))])[0]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import keyed
 from ..sources.scratch import Written
 from . import blocks, gmm, knockoffs, solvers, stats
-from .terms import Term, expanded, linear
+from .terms import Term, expand_into, expanded, linear
 
 #: Terms found so far with their coefficients and constant; questions are about what they leave of the response.
 Model = tuple[list[Term], np.ndarray, float]
@@ -206,6 +206,69 @@ class SparkRows:
         return float(self.df.agg(F.avg(self.y)).first()[0] or 0.0)
 
 
+#: Features, knockoffs or None, and response of rows without nulls.
+Part = tuple[np.ndarray, np.ndarray | None, np.ndarray]
+
+
+def standardised(terms: list[Term], parts: Sequence[Part], folds: int) -> list[Prepared]:
+    """Statistics of the terms of each part, and of the same terms of its knockoffs; folds are consecutive rows. Rows of all parts
+    are expanded at once, a row of numbers for each term."""
+    t, sizes = len(terms), np.array([len(y) for *_, y in parts])
+    if not sizes.all():
+        raise ValueError("no rows without nulls")
+    start = np.cumsum(sizes) - sizes
+    m = np.empty((t * (1 if parts[0][1] is None else 2) + 2, sizes.sum()))
+    m[0], m[-1] = 1, np.concatenate([y for *_, y in parts])
+    expand_into(m[1 : t + 1], np.concatenate([x for x, *_ in parts]), terms)
+    if parts[0][1] is not None:
+        expand_into(m[t + 1 : -1], np.concatenate([x for _, x, _ in parts]), terms)
+    z = m[1:-1]
+    mean = np.add.reduceat(z, start, axis=1) / sizes
+    z -= np.repeat(mean, sizes, axis=1)
+    scale = stats.or_one(np.sqrt(np.add.reduceat(z * z, start, axis=1) / sizes), mean)
+    z /= np.repeat(scale, sizes, axis=1)
+    edges = start[:, None] + np.arange(folds + 1) * (sizes[:, None] // folds) + np.minimum(np.arange(folds + 1), sizes[:, None] % folds)
+    out = []
+    for k, edge in enumerate(edges.tolist()):
+        own = [(f, m[:, a:b]) for f, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b]
+        out.append(Prepared(terms, mean[:, k], scale[:, k], {f: stats.Gram(x @ x.T) for f, x in own}))
+    return out
+
+
+#: Rows of small fits that are expanded at once.
+EXPANDED = 1 << 11
+
+
+def prepare_each(asked: Sequence[tuple[LocalRows, Prepare]]) -> list[Prepared]:
+    """Answers to ``Prepare`` of many small fits; those of the same terms are expanded together."""
+    out: list = [None] * len(asked)
+    alike: dict[tuple, dict[int | tuple, list[int]]] = {}
+    for n, (rows, q) in enumerate(asked):
+        whole = q.own is None and q.copies is None and q.left is None  # methods without knockoffs ask for the same
+        if whole and rows.plain is not None and rows.plain.terms == q.terms:
+            out[n] = rows.plain
+        else:
+            same = alike.setdefault((tuple(q.terms), rows.folds, None if q.own is None else tuple(q.own), q.copies is None), {})
+            same.setdefault((id(rows),) if whole else n, []).append(n)
+    for (_, folds, *_), same in alike.items():
+        left = list(same.items())
+        while left:
+            now, parts, size = [], [], 0
+            while left and (not now or size + len(asked[left[-1][1][0]][0].y) <= EXPANDED):
+                now.append(left.pop())
+                rows, q = asked[now[-1][1][0]]
+                if q.left:
+                    rows.leave(*q.left)
+                parts.append(rows.part(q.own, q.copies, q.left is not None))
+                size += len(rows.y)
+            for (key, own), made in zip(now, standardised(q.terms, parts, folds), strict=True):
+                if isinstance(key, tuple):
+                    asked[own[0]][0].plain = made
+                for n in own:
+                    out[n] = made
+    return out
+
+
 class LocalRows:
     """The same of rows at hand, as in a task that fits one small trial; folds are consecutive rows. NaN is null."""
 
@@ -214,7 +277,8 @@ class LocalRows:
     def __init__(self, x: np.ndarray, y: np.ndarray, folds: int) -> None:
         self.x, self.y, self.features = np.asarray(x, float), np.asarray(y, float), [f"x{j}" for j in range(x.shape[1])]
         self.folds = folds
-        self.plain: dict[tuple[Term, ...], Prepared] = {}
+        self.plain: Prepared | None = None  # the last one of all features as they are
+        self.powers: dict[tuple[int, int], np.ndarray] = {}
         self.restart()
 
     def restart(self) -> None:
@@ -228,29 +292,37 @@ class LocalRows:
         return x.mean(axis=0), np.atleast_2d(np.cov(x, rowvar=False, ddof=min(1, len(x) - 1))), float(len(x))
 
     def mixture(self, k: int, alpha: float | str, seed: int) -> gmm.Mixture:
-        return gmm.fit_rows(self.x[~np.isnan(self.x).any(axis=1)], k, alpha, max_iter=50)
+        return gmm.fit_rows(self.known(), k, alpha, max_iter=50)
+
+    def known(self) -> np.ndarray:
+        """Features of the rows without nulls."""
+        return self.x[~np.isnan(self.x).any(axis=1)]
 
     def prepare(self, terms: list[Term], own: Sequence[int] | None = None, copies: Copies | MixtureCopies | None = None, residual: bool = False) -> Prepared:
         whole = own is None and copies is None and not residual  # methods without knockoffs ask for the same
-        if whole and tuple(terms) in self.plain:
-            return self.plain[tuple(terms)]
-        y = self.residual if residual else self.y
-        held = ~np.isnan(np.column_stack((self.x, y))).any(axis=1)
-        x, y = self.x[held], y[held]
-        z = expanded(x if own is None else x[:, list(own)], terms)
-        if copies is not None:
-            z = np.hstack((z, expanded(copies.make(x, copies.drawn(len(self.x))[held]), terms)))
-        mean = z.mean(axis=0)
-        scale = stats.or_one(z.std(axis=0), mean)
-        z = (z - mean) / scale
-        of = np.repeat(np.arange(self.folds), [len(y) // self.folds + (f < len(y) % self.folds) for f in range(self.folds)])
-        made = Prepared(terms, mean, scale, {f: stats.gram_of(z[of == f], y[of == f]) for f in range(self.folds) if (of == f).any()})
+        if whole and self.plain is not None and self.plain.terms == terms:
+            return self.plain
+        made = standardised(terms, [self.part(own, copies, residual)], self.folds)[0]
         if whole:
-            self.plain = {tuple(terms): made}  # the last one
+            self.plain = made
         return made
 
+    def part(self, own: Sequence[int] | None, copies: Copies | MixtureCopies | None, residual: bool) -> Part:
+        y = self.residual if residual else self.y
+        held = ~(np.isnan(self.x).any(axis=1) | np.isnan(y))
+        x = self.x[held]
+        return x if own is None else x[:, list(own)], None if copies is None else copies.make(x, copies.drawn(len(self.x))[held]), y[held]
+
     def predict(self, terms: list[Term], coef: np.ndarray, constant: float) -> np.ndarray:
-        return expanded(self.x, terms) @ coef + constant if terms else np.full(len(self.x), constant)
+        out = np.full(len(self.x), constant)
+        for term, b in zip(terms, coef, strict=True):
+            own = b
+            for i, e in zip(term.idx, term.exp, strict=True):
+                if (i, e) not in self.powers:
+                    self.powers[i, e] = expanded(self.x[:, [i]], [Term((0,), (e,))])[:, 0]
+                own = own * self.powers[i, e]
+            out += own
+        return out
 
     def leave(self, terms: list[Term], coef: np.ndarray, constant: float) -> None:
         self.residual = self.y - self.predict(terms, coef, constant)
@@ -359,7 +431,19 @@ class CrossValidated:
         return ("cross-validated", id(self.folds))
 
 
-Question = Covariance | MixtureOf | Prepare | Norm | Mean | CrossValidated
+@dataclass
+class Penalised:
+    """``lasso`` of statistics at hand with one penalty."""
+
+    g: np.ndarray
+    c: np.ndarray
+    penalty: float
+
+    def of(self, rows: SparkRows | LocalRows) -> np.ndarray:
+        return solvers.lasso(self.g, self.c, self.penalty)
+
+
+Question = Covariance | MixtureOf | Prepare | Norm | Mean | CrossValidated | Penalised
 
 
 def _key(model: Model | None) -> tuple:

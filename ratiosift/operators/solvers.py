@@ -32,7 +32,7 @@ def lasso(g: np.ndarray, c: np.ndarray, penalty: float, start: np.ndarray | None
     if start is not None and (kept := _with_signs(g, c, penalty, start, usable, eps)) is not None:
         return kept
     b[~usable] = 0
-    target = lambda at, x: 0.5 * x @ g[np.ix_(at, at)] @ x - c[at] @ x + penalty * np.abs(x).sum()
+    target = lambda at, x: 0.5 * x @ g[at[:, None], at] @ x - c[at] @ x + penalty * np.abs(x).sum()
     sign = np.sign(b)
     for _ in range(rounds):
         slope = g @ b - c
@@ -147,8 +147,10 @@ def lasso_path(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
 
 #: Columns up to which ``lasso_cvs`` follows paths side by side; of more, a table for each path would take too much memory.
 SIDE_BY_SIDE = 256
-#: Numbers of the tables that are followed at once, and of those that are pivoted at once, which a core's cache holds.
-TABLES, PIVOTED = 1 << 19, 1 << 15
+#: Numbers of the matrices of paths that are followed at once, and rows of their steps that are kept in one array.
+TABLES, ROWS_KEPT = 1 << 21, 32
+#: Columns of problems are filled up to a multiple of this number; numbers of solutions that are checked at once.
+WIDTHS, CHECKED = 16, 1 << 15
 
 
 def lasso_paths(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
@@ -159,75 +161,140 @@ def lasso_paths(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
         return np.zeros((*grid.shape, c.shape[1]))
     with np.errstate(all="ignore"):
         out = _followed(g, c, grid)
-    for k, (own, inner, right, points) in enumerate(zip(out, g, c, grid, strict=True)):
-        slope, at = own @ inner - right, points[:, None]
-        gap = np.where(own == 0, np.abs(slope) - at, np.abs(slope + at * np.sign(own)))
-        gap[(own == 0) & (inner.diagonal() <= 1e-14)] = 0
-        for j in np.flatnonzero(~(gap.max(axis=1) <= 1e-9 * max(1e-12, np.abs(right).max()))).tolist():
+    useless = np.diagonal(g, axis1=1, axis2=2) <= 1e-14  # never let in
+    near = 1e-9 * np.maximum(1e-12, np.abs(c).max(axis=1))
+    size = max(1, CHECKED // out[0].size)
+    for first in range(0, len(out), size):
+        part = slice(first, first + size)
+        at = grid[part, :, None]
+        signs = np.sign(out[part])
+        gap = out[part] @ g[part]
+        gap -= c[part, None]
+        gap += at * signs
+        np.abs(gap, out=gap)
+        gap -= at * (signs == 0)
+        if useless[part].any():
+            gap = np.where(useless[part, None], -1.0, gap)
+        for k, j in np.argwhere(~(gap.max(axis=2) <= near[part, None])).tolist():
+            k += first
+            own = out[k]
             start = own[j] if np.isfinite(own[j]).all() else own[j - 1] if j else None
-            own[j] = lasso(inner, right, float(points[j]), start, rounds=300)
+            own[j] = lasso(g[k], c[k], float(grid[k, j]), start, rounds=300)
     return out
 
 
 def _followed(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """Paths as far as rounding lets them be followed, NaN beyond. With y = g b - c, the table of a path has b of the columns
-    let in and y of the others as linear functions of y of those let in (the penalty against their signs) and b of the others
-    (zero): t - penalty * w. A column that enters or leaves swaps its b and y, one pivot of the table."""
+    """Paths as far as rounding lets them be followed, NaN beyond. ``now`` has b of the columns let in and y = g b - c of the others,
+    ``turn`` how much they move while the penalty falls by one. With h the inverse of the part of g of the columns let in, one
+    that enters or leaves adds scale * v v' to h. Of each v a row is kept, v for the columns let in and g v for the others
+    (which are zero for the others and for those let in), so that the next row is one product with them. Where a column has
+    entered, ``aside`` has its g v until it leaves."""
     m, n = c.shape[1], grid.shape[1]
     out = np.full((*grid.shape, m), np.nan)
-    table = np.concatenate((g, -c[:, :, None], np.zeros((len(c), m, 1))), axis=2)
+    outside = (np.diagonal(g, axis1=1, axis2=2) > 1e-14).astype(float)  # 0 for columns let in and those of no use
     least = 1e-12 * np.diagonal(g, axis1=1, axis2=2)
-    usable = np.diagonal(g, axis1=1, axis2=2) > 1e-14
-    # of columns let in: their sign and 0, of the others: -1 and 1, of those of no use: 0 and 0
-    side, outside = np.where(usable, -1.0, 0.0), usable.astype(float)
-    at, done = np.abs(c * outside).max(axis=1), np.zeros(len(c), int)
+    side, inside, turn = -outside, np.zeros(c.shape), np.zeros(c.shape)  # side: the sign of those let in
+    now, at, done = -c, np.abs(c * outside).max(axis=1), np.zeros(len(c), int)
     live, each = np.arange(len(c)), np.arange(len(c))
-    block = max(1, PIVOTED // (m * (m + 2)))
-    product = np.empty((min(block, len(c)), m, m + 2))
-    for _ in range(20 * m + 100):
-        t, w, now = table[:, :, m], table[:, :, m + 1], at[:, None]
-        z = t - now * w
-        steps = np.empty((2, *z.shape))  # down to b = 0 or y = penalty, and to y = -penalty
-        for room, fall, step in ((side * z + outside * now, outside - side * w, steps[0]), (z + now, outside - outside * w, steps[1])):
-            step.fill(np.inf)
-            np.divide(np.maximum(room, 0, out=room), fall, out=step, where=fall > 1e-9)
-        step = np.minimum(*steps)
-        k = step.argmin(axis=1)
-        ahead = at - step[each, k]
-        upto = np.maximum(done, (grid >= ahead[:, None]).sum(axis=1))
+    # all points of all paths in one rising row: twice a path's number and how far the penalty has fallen
+    top = np.maximum(at, 1e-300)
+    fallen, before = (2 * each[:, None] + np.clip(1 - grid / top[:, None], 0, 1)).ravel(), each * n
+    kept: list[np.ndarray] = []
+    aside: list[np.ndarray] = []
+    scale = np.zeros((len(c), 0))
+    room, fall, rate = np.empty((3, len(c), 2, m))
+    for step in range(4 * m + 100):
+        np.multiply(side, now, out=room[:, 0])  # down to b = 0 or y = penalty, and to y = -penalty
+        np.multiply(outside, at[:, None], out=room[:, 1])
+        room[:, 0] += room[:, 1]
+        room[:, 1] += now
+        np.multiply(side, turn, out=fall[:, 0])
+        np.multiply(outside, turn, out=fall[:, 1])
+        np.subtract(outside[:, None], fall, out=fall)
+        fall *= fall > 1e-9
+        np.maximum(room, 1e-300, out=room)
+        np.divide(fall, room, out=rate)
+        k = rate.reshape(-1, 2 * m).argmax(axis=1)
+        own = fall.reshape(-1, 2 * m)[each, k]
+        length = np.where(own > 0, room.reshape(-1, 2 * m)[each, k] / own, np.inf)
+        ahead = at - length
+        upto = np.maximum(done, fallen.searchsorted(2 * live + np.clip(1 - ahead / top, 0, 1), side="right") - before)
         rows = np.repeat(each, upto - done)
         if len(rows):
             points = np.arange(len(rows)) - np.repeat(np.cumsum(upto - done) - upto, upto - done)
-            reach = np.minimum(grid[rows, points], at[rows])[:, None]  # nothing is let in above the first point
-            out[live[rows], points] = (t[rows] - reach * w[rows]) * (side[rows] * (1 - outside[rows])) ** 2
+            to = live[rows]
+            down = np.maximum(at[rows] - grid[to, points], 0)[:, None]  # nothing is let in above the first point
+            own = down * turn[rows]
+            own += now[rows]
+            own *= inside[rows]
+            out[to, points] = own
             done = upto
-        pivot, enters = table[each, k, k], outside[each, k] > 0
-        go = (upto < n) & (pivot > least[each, k] * enters)
-        if not go.any():
+        kind, column = np.divmod(k, m)
+        enters = outside[each, column] > 0
+        move = g[each, column]
+        move *= outside * -enters[:, None].astype(float)
+        columns = []
+        for first, some in zip(range(0, step, ROWS_KEPT), kept):
+            some = some[:, : step - first]
+            columns.append(some[each, :, column])
+            move += ((scale[:, first : first + some.shape[1]] * columns[-1])[:, None] @ some)[:, 0]
+        pivot = move[each, column]
+        go = (upto < n) & (np.abs(pivot) > least[each, column] * enters) & ((pivot < 0) == enters)
+        going = np.count_nonzero(go)
+        if not going:
             break
-        if go.sum() <= 0.75 * len(go):
-            live, table, least, grid, side, outside, at, done, k, ahead, pivot, enters = (x[go] for x in (live, table, least, grid, side, outside, at, done, k, ahead, pivot, enters))
-            steps, each, go = steps[:, go], np.arange(len(live)), go[go]
-        before = np.where(enters, 0.0, side[each, k])
-        after = np.where(enters, np.where(steps[0, each, k] <= steps[1, each, k], -1.0, 1.0), -1.0)
-        if not go.all():  # those that are finished stand still
-            done, ahead, pivot = np.where(go, done, n), np.where(go, ahead, 0), np.where(go, pivot, 1)
-        column = table[each, :, k] * go[:, None]
-        table[:, :, m + 1] -= before[:, None] * column
-        row = table[each, k] / pivot[:, None] * go[:, None]
-        for first in range(0, len(each), block):
-            part = slice(first, first + block)
-            table[part] -= np.einsum("bi,bj->bij", column[part], row[part], out=product[: len(column[part])])
-        column /= pivot[:, None]
-        column[each, k] = 1 / pivot
-        table[each, k] = -row
-        table[each, :, k] = column
-        table[:, :, m + 1] += (after * enters)[:, None] * column
-        side[each, k], outside[each, k], at = after, ~enters, ahead
-        side[~go] = outside[~go] = 0
+        if going <= 0.6 * len(go):
+            live, g, outside, inside, least, side, turn, now, at, done, top, before, scale, length, ahead, kind, column, enters, move, pivot = (x[go] for x in (live, g, outside, inside, least, side, turn, now, at, done, top, before, scale, length, ahead, kind, column, enters, move, pivot))
+            kept, aside, columns = ([x[go] for x in some] for some in (kept, aside, columns))
+            each, go = np.arange(going), go[go]
+            room, fall, rate = np.empty((3, going, 2, m))
+        if going < len(go):  # those that are finished stand still
+            done, length, ahead, pivot, enters = np.where(go, done, n), np.where(go, length, 0), np.where(go, ahead, 0), np.where(go, pivot, np.inf), enters & go
+        now += length[:, None] * turn
+        at = ahead
+        letin = (2 * kind - 1.0) * enters
+        own = -1 / pivot
+        change = (turn[each, column] - letin) * own
+        turn += change[:, None] * move
+        place = step % ROWS_KEPT
+        if not place:
+            kept.append(np.empty((len(live), ROWS_KEPT, m)))
+            aside.append(np.zeros((len(live), ROWS_KEPT, m)))
+            scale = np.concatenate((scale, np.empty((len(live), ROWS_KEPT))), axis=1)
+        kept[-1][:, place], scale[:, step] = move, own
+        come, drop = np.flatnonzero(enters), np.flatnonzero(go & ~enters)
+        own = column[come]
+        turn[come, own], now[come, own] = -change[come], 0
+        outside[come, own], inside[come, own], side[come, own] = 0, 1, letin[come]
+        aside[-1][come, place, own], kept[-1][come, place, own] = pivot[come], -1
+        for some, other, values in zip(kept, aside, columns):
+            other[come, : values.shape[1], own], some[come, : values.shape[1], own] = values[come], 0
+        if len(drop):
+            own = column[drop]
+            turn[drop, own] = side[drop, own] + change[drop]
+            now[drop, own] = -side[drop, own] * at[drop]
+            outside[drop, own], inside[drop, own], side[drop, own] = 1, 0, -1
+            for some, other, values in zip(kept, aside, columns):
+                some[drop, : values.shape[1], own] = other[drop, : values.shape[1], own]
+            kept[-1][drop, place, own] = 1
     return out
 
 
+def lasso_each(problems: Sequence[tuple[np.ndarray, np.ndarray, float]]) -> list[np.ndarray]:
+    """``lasso`` of several problems; the paths of those of equal size are followed together as far as their penalties."""
+    out: list = [None] * len(problems)
+    alike: dict[int, list[int]] = {}
+    for k, (_, c, _) in enumerate(problems):
+        alike.setdefault(len(c), []).append(k)
+    for m, same in alike.items():
+        size = max(1, TABLES // (m + 1) ** 2) if FEW < m <= SIDE_BY_SIDE else 0
+        for at in range(0, len(same) if size else 0, max(1, size)):
+            own = same[at : at + size]
+            for k, (b,) in zip(own, _paths([(g, c, np.array([p])) for g, c, p in (problems[k] for k in own)]), strict=True):
+                out[k] = lasso(*problems[k], b)
+    return [lasso(*problem) if b is None else b for problem, b in zip(problems, out, strict=True)]
+
+
 def lasso_cv(folds: dict[int, Gram], n_penalties: int = 100) -> tuple[np.ndarray, float, float]:
     """Coefficients, constant and penalty. The penalty has the smallest mean of the folds' mean squared errors (the largest
     such penalty); held-out errors follow from the folds' statistics, without a further pass."""
@@ -235,7 +302,7 @@ def lasso_cv(folds: dict[int, Gram], n_penalties: int = 100) -> tuple[np.ndarray
 
 
 def lasso_cvs(problems: Sequence[dict[int, Gram]], n_penalties: int = 100) -> list[tuple[np.ndarray, float, float]]:
-    """``lasso_cv`` of several problems, of which those of equal size follow their paths together."""
+    """``lasso_cv`` of several problems, of which those of about equal size follow their paths together."""
     out: list = [None] * len(problems)
     alike: dict[tuple[int, int], list] = {}
     for k, folds in enumerate(problems):
@@ -244,14 +311,18 @@ def lasso_cvs(problems: Sequence[dict[int, Gram]], n_penalties: int = 100) -> li
         if whole.width > SIDE_BY_SIDE:
             out[k] = _in_turn(whole, held, n_penalties)
             continue
-        centred = [whole.centred(), *((whole - f).centred() for f in held)]
-        grid = penalties(centred[0][1], n_penalties)
-        alike.setdefault((whole.width, len(grid)), []).append((k, held, centred, grid))
-        most = max(1, TABLES // ((whole.width + 1) ** 2 * (len(folds) + 1)))
-        if len(alike[whole.width, len(grid)]) >= most:
-            _crossed(alike.pop((whole.width, len(grid))), out)
-    for own in alike.values():
-        _crossed(own, out)
+        if not np.abs(whole.a[0, 1:-1] * (whole.a[0, -1] / whole.n) - whole.a[1:-1, -1]).max(initial=0.0) > 0:
+            g, c, _, mean, y = whole.centred()
+            b = lasso(g, c, 0.0)
+            out[k] = b, y - mean @ b, 0.0
+            continue
+        wide = -(-whole.width // WIDTHS) * WIDTHS
+        same = alike.setdefault((wide, len(held)), [])
+        same.append((k, whole, held))
+        if len(same) >= max(1, TABLES // ((wide + 1) ** 2 * (len(held) + 1))):
+            _crossed(alike.pop((wide, len(held))), wide, n_penalties, out)
+    for (wide, _), same in alike.items():
+        _crossed(same, wide, n_penalties, out)
     return out
 
 
@@ -268,22 +339,59 @@ def _in_turn(whole: Gram, held: list[Gram], n_penalties: int) -> tuple[np.ndarra
     return b, mean_y - mean @ b, best
 
 
-def _crossed(problems: list[tuple], out: list) -> None:
-    """Puts the results of problems of one size into ``out``."""
-    paths = iter(lasso_paths(*(np.array([v for p in problems for v in of(p)]) for of in (lambda p: [r[0] for r in p[2]], lambda p: [r[1] for r in p[2]], lambda p: [p[3]] * len(p[2])))))
-    for k, held, centred, grid in problems:
-        all_rows, error = next(paths), np.zeros(len(grid))
-        for f, (_, _, _, mean, y) in zip(held, centred[1:], strict=True):
-            own = next(paths)
-            error += f.sses(own, y - own @ mean) / f.n
-        best = int(np.argmin(error)) if held else 0
-        g, c, _, mean, y = centred[0]
-        b = lasso(g, c, float(grid[best]), all_rows[best])
-        out[k] = b, y - mean @ b, float(grid[best])
+def _crossed(problems: list[tuple[int, Gram, list[Gram]]], wide: int, n_penalties: int, out: list) -> None:
+    """Puts the results of problems with equally many folds into ``out``. They are filled up to ``wide`` columns with such that are
+    of no use. The path of all rows is followed as far as the chosen penalty."""
+    folds = len(problems[0][2])
+    (g, c), n = (np.zeros((len(problems), folds + 1, wide, *more)) for more in ((wide,), ())), np.empty((len(problems), folds))
+    # products of the rows left out, less the means of the others, and those with y
+    left, y = np.zeros((len(problems), folds, wide + 1, wide + 1)), np.zeros((len(problems), folds, wide + 1))
+    grid, means = np.empty((len(problems), n_penalties)), []
+    for j, (_, whole, held) in enumerate(problems):
+        m, own = whole.width, np.array([f.a for f in held]).reshape(folds, *whole.a.shape)
+        rest = np.concatenate((whole.a[None], whole.a - own))
+        rest /= rest[:, :1, :1].copy()
+        mean = rest[:, 0].copy()
+        rest -= mean[:, :, None] * mean[:, None]
+        g[j, :, :m, :m], c[j, :, :m], grid[j] = rest[:, 1:-1, 1:-1], rest[:, 1:-1, -1], penalties(rest[0, 1:-1, -1], n_penalties)
+        means.append((mean[0, 1:-1], mean[0, -1]))
+        n[j], shift = own[:, 0, 0], mean[1:, 1:]
+        cross = (own[:, 0, 1:] - 0.5 * n[j, :, None] * shift)[:, :, None] * shift[:, None]
+        cross += cross.transpose(0, 2, 1).copy()
+        np.subtract(own[:, 1:, 1:], cross, out=left[j, :, : m + 1, : m + 1])
+        y[j, :, :m], y[j, :, -1] = left[j, :, :m, m], left[j, :, m, m]
+    paths = lasso_paths(g[:, 1:].reshape(-1, wide, wide), c[:, 1:].reshape(-1, wide), np.repeat(grid, folds, axis=0))
+    left, y = left.reshape(-1, wide + 1, wide + 1), y.reshape(-1, wide + 1)
+    error = np.empty((len(left), n_penalties))
+    size = max(1, CHECKED // max(1, n_penalties * wide))
+    for first in range(0, len(left), size):
+        part = slice(first, first + size)
+        own = paths[part] @ left[part, :-1, :-1]
+        own -= 2 * y[part, None, :-1]
+        error[part] = np.maximum(0.0, np.einsum("bij,bij->bi", own, paths[part]) + y[part, -1:])  # y'y - 2 b'x'y + b'x'x b
+    best = (error.reshape(len(problems), folds, n_penalties) / n[..., None]).sum(axis=1).argmin(axis=1)
+    chosen = grid[np.arange(len(grid)), best]
+    ends = lasso_paths(np.ascontiguousarray(g[:, 0]), c[:, 0], np.maximum(grid, chosen[:, None]))
+    for j, ((k, whole, _), (mean, mean_y)) in enumerate(zip(problems, means, strict=True)):
+        m = whole.width
+        b = lasso(g[j, 0, :m, :m], c[j, 0, :m], float(chosen[j]), ends[j, best[j], :m])
+        out[k] = b, float(mean_y - mean @ b), float(chosen[j])
+
+
+def _paths(asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    return lasso_paths(*(np.array(x) for x in zip(*asked, strict=True))) if asked else np.zeros((0, 0, 0))
 
 
 def ols(g: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.linalg.lstsq(g, c, rcond=1e-12)[0] if len(c) else np.zeros(0)
+    """The shortest solution where columns depend on each other."""
+    if not len(c):
+        return np.zeros(0)
+    try:
+        if (np.linalg.cholesky(g).diagonal() ** 2 > 1e-6 * g.diagonal()).all():
+            return np.linalg.solve(g, c)
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(g, c, rcond=1e-12)[0]
 
 
 def ridge(g: np.ndarray, c: np.ndarray, alpha: float, n: float) -> np.ndarray:
@@ -320,7 +428,7 @@ def omp(g: np.ndarray, c: np.ndarray, k: int, tol: float = 1e-12) -> np.ndarray:
             break
         chosen.append(j)
         b = np.zeros(len(c))
-        b[chosen] = ols(g[np.ix_(chosen, chosen)], c[chosen])
+        b[chosen] = ols(g[np.array(chosen)[:, None], chosen], c[chosen])
     return b
 
 
@@ -345,7 +453,7 @@ def stlsq(g: np.ndarray, c: np.ndarray, n: float, threshold: float | None = None
     the rest are fitted anew, until nothing changes; the ``least`` largest always stay."""
     active = np.arange(len(c))
     b = np.zeros(len(c))
-    fit = lambda at, a: ridge(g[np.ix_(at, at)], c[at], a, n) if a else ols(g[np.ix_(at, at)], c[at])
+    fit = lambda at, a: ridge(g[at[:, None], at], c[at], a, n) if a else ols(g[at[:, None], at], c[at])
     own = fit(active, ridge_alpha)
     for t in range(rounds):
         size = np.abs(own)
@@ -423,11 +531,87 @@ def _graphical_lasso_of_few(s: list[list[float]], alpha: float, rounds: int, tol
     return [[(out[i][j] + out[j][i]) / 2 for j in range(p)] for i in range(p)]
 
 
+def graphical_lassos(s: np.ndarray, alpha: np.ndarray, rounds: int = 200, tol: float = 1e-6, like: np.ndarray | None = None) -> np.ndarray:
+    """``graphical_lasso`` of several matrices, each with its own ``alpha``, side by side."""
+    p = s.shape[1]
+    if p == 1:
+        return 1 / np.maximum(s, 1e-12)
+    out, live = np.empty(s.shape), np.arange(len(s))
+    rest = np.array([np.delete(np.arange(p), j) for j in range(p)])
+    w, every = s.copy(), np.arange(p)
+    w[:, every, every] = np.maximum(s[:, every, every], 1e-12)
+    start = np.zeros(s.shape) if like is None else -like / like[:, every, every][:, None]
+    beta = start[:, rest, every[:, None]]  # of each column, of the others
+    size = np.abs(s).sum(axis=(1, 2)) - np.abs(s[:, every, every]).sum(axis=1)
+    near = (tol * size / p**2 + 1e-15) * p**2
+    right = s[:, rest, every[:, None]]
+    for step in range(rounds):
+        before = w.copy()
+        for j, at in enumerate(rest):
+            inner = w[:, at[:, None], at]
+            beta[:, j] = lassos(inner, right[:, j], alpha, beta[:, j])
+            w[:, at, j] = w[:, j, at] = (inner @ beta[:, j, :, None])[:, :, 0]
+        done = np.abs(w - before).sum(axis=(1, 2)) < near if step < rounds - 1 else np.ones(len(w), bool)
+        if done.any():
+            own = 1 / np.maximum(w[done][:, every, every] - (w[done][:, rest, every[:, None]] * beta[done]).sum(axis=2), 1e-12)
+            made = np.zeros((len(own), p, p))
+            made[:, every, every], made[:, rest, every[:, None]] = own, -beta[done] * own[:, :, None]
+            out[live[done]] = (made + made.transpose(0, 2, 1)) / 2
+            live, w, beta, near, right, alpha = (x[~done] for x in (live, w, beta, near, right, alpha))
+            if not len(live):
+                break
+    return out
+
+
+def lassos(g: np.ndarray, c: np.ndarray, penalty: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """``lasso`` of several small problems, each with its own penalty. Those whose coefficients have not the signs of ``start``
+    let columns in from none as long as no sign changes; what is left then is left to ``lasso``."""
+    m = c.shape[1]
+    top, each = np.abs(c).max(axis=1, initial=0.0), np.arange(m)
+    usable, eps = g[:, each, each] > 1e-14, 1e-10 * np.maximum(1e-12, top)[:, None]
+    signs = np.sign(start) * (usable & (top > penalty)[:, None])
+    out, good, over, _ = _signed(g, c, penalty, signs, usable)
+    live, left = np.flatnonzero(~(good & (over <= eps).all(axis=1))), []
+    signs = np.zeros((len(live), m))
+    for _ in range(m + 1):
+        if not len(live):
+            break
+        own, good, over, slope = _signed(g[live], c[live], penalty[live], signs, usable[live])
+        at = signs != 0
+        good &= (~at | (over <= eps[live])).all(axis=1)
+        worst = np.where(at, -1.0, over).argmax(axis=1)
+        done = good & (over <= eps[live]).all(axis=1)
+        out[live[done]] = own[done]
+        left += live[~good].tolist()
+        more = np.flatnonzero(good & ~done)
+        signs[more, worst[more]] = -np.sign(slope[more, worst[more]])
+        live, signs = live[more], signs[more]
+    for k in [*left, *live.tolist()]:
+        out[k] = lasso(g[k], c[k], float(penalty[k]), start[k], rounds=200)
+    return out
+
+
+def _signed(g: np.ndarray, c: np.ndarray, penalty: np.ndarray, signs: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients if they had these signs, whether they have them, by how much each column misses its condition, slopes."""
+    at, bound, each = signs != 0, penalty[:, None], np.arange(signs.shape[1])
+    inner = g * (at[:, :, None] & at[:, None])
+    inner[:, each, each] += ~at
+    right = bound * signs
+    try:
+        b = np.linalg.solve(inner, (c * at - right)[:, :, None])
+    except np.linalg.LinAlgError:
+        return np.zeros(c.shape), np.zeros(len(c), bool), np.full(c.shape, np.inf), np.zeros(c.shape)
+    slope = (g @ b)[:, :, 0] - c
+    b = b[:, :, 0]
+    over = np.where(usable, np.abs(slope + right) - bound * ~at, -1.0)
+    return b, ((b * signs > 0) == at).all(axis=1), over, slope
+
+
 def theory_sigma(g: np.ndarray, c: np.ndarray, var_y: float, n: float) -> float:
     """Noise level: root mean square residual of least squares on the most correlated columns."""
     k = int(max(1, min(n // 2, len(c) // 4, 10)))
     top = np.argsort(-np.abs(c), kind="stable")[:k]
-    b = ols(g[np.ix_(top, top)], c[top])
+    b = ols(g[top[:, None], top], c[top])
     return float(np.sqrt(max(var_y - c[top] @ b, 0.0)))
 
 

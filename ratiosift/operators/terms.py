@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 from itertools import combinations, product
 
 import numpy as np
@@ -42,6 +42,11 @@ def _exponents(degree: int) -> list[int]:
 
 
 def dictionary(p: int, degree: int = 2, bias: bool = True, interactions: bool = True) -> list[Term]:
+    return list(_dictionary(p, degree, bias, interactions))
+
+
+@cache
+def _dictionary(p: int, degree: int, bias: bool, interactions: bool) -> tuple[Term, ...]:
     if degree < 1:
         raise ValueError("degree must be at least 1")
     powers = [*range(1, degree + 1), *range(-1, -degree - 1, -1)]
@@ -49,7 +54,7 @@ def dictionary(p: int, degree: int = 2, bias: bool = True, interactions: bool =
     if interactions:
         mixed = [(a, b) for a, b in product(_exponents(degree), repeat=2) if abs(a) + abs(b) <= degree]
         terms += [Term(pair, exps) for pair in combinations(range(p), 2) for exps in mixed]
-    return terms + [Term()] * bias
+    return (*terms, *[Term()] * bias)
 
 
 def n_terms(p: int | Column, degree: int | Column, bias: bool = True, interactions: bool = True) -> int | Column:
@@ -79,6 +84,18 @@ def expanded(x: np.ndarray, terms: Sequence[Term], clip: float = CLIP) -> np.nda
     return out
 
 
+def expand_into(out: np.ndarray, x: np.ndarray, terms: Sequence[Term], clip: float = CLIP) -> None:
+    """``expanded`` with a row for each term, into ``out``."""
+    x = np.ascontiguousarray(x.T)
+    safe = np.where(np.abs(x) < clip, np.where(x >= 0, clip, -clip), x)
+    powers = {ie: safe[ie[0]] ** float(ie[1]) for t in terms for ie in zip(t.idx, t.exp, strict=True)}
+    for to, t in zip(out, terms, strict=True):
+        first, *others = [powers[ie] for ie in zip(t.idx, t.exp, strict=True)] or [1.0]
+        to[:] = first
+        for own in others:
+            to *= own
+
+
 def linear(terms: Sequence[Term], coef: Sequence[float], intercept: float, features: Sequence[Column], clip: float = CLIP) -> Column:
     """The fitted value as one column; a constant without terms."""
     return reduce(lambda a, b: a + b, (F.lit(float(c)) * term_column(t, features, clip) for t, c in zip(terms, coef, strict=True)), F.lit(float(intercept)))

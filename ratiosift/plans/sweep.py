@@ -47,7 +47,7 @@ def _outcome(fitted: estimators.Fitted, rows: estimators.LocalRows) -> tuple[lis
 
 
 #: Trials that a task fits side by side, and rows beyond which it takes fewer.
-TRIALS_AT_ONCE, ROWS_AT_ONCE = 8, 1 << 15
+TRIALS_AT_ONCE, ROWS_AT_ONCE = 128, 1 << 15
 
 
 def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], degree: int = 2, q: float = 0.2, seed: int = 0) -> DataFrame:
@@ -57,11 +57,13 @@ def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, tru
     keys, columns = {t.key for t in truth}, list(features)
 
     def fit(pdfs: list[pd.DataFrame]) -> pd.DataFrame:
-        out, runs = [], []
-        for pdf in pdfs:
-            pdf = pdf.sort_values("row_id")
-            own = estimators.LocalRows(pdf[columns].to_numpy(float), pdf[y].to_numpy(float), 5)  # methods share what they ask of them
-            base = {"config_id": int(pdf["config_id"].iloc[0]), "trial": int(pdf["trial"].iloc[0]), "n": len(pdf)}
+        out, runs, whole, sizes = [], [], pd.concat(pdfs), [len(pdf) for pdf in pdfs]
+        ends = np.cumsum(sizes)
+        x, response = np.split(whole[columns].to_numpy(float), ends[:-1]), np.split(whole[y].to_numpy(float), ends[:-1])
+        config, trial = (whole[c].to_numpy()[ends - 1] for c in ("config_id", "trial"))
+        for k, n in enumerate(sizes):
+            own = estimators.LocalRows(x[k], response[k], 5)  # methods share what they ask of them
+            base = {"config_id": int(config[k]), "trial": int(trial[k]), "n": n}
             for method in methods:
                 out.append(base | {"method": method})
                 runs.append((own, _steps(method, own, degree, q, seed + base["trial"])))
@@ -88,7 +90,7 @@ def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, tru
     spark = rows.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.select(*by, *({"config_id", "trial", "row_id"} - set(by)), *columns, y).repartition(tasks, *by)
-    return dealt.sortWithinPartitions(*by).mapInPandas(fits, TRIAL)
+    return dealt.sortWithinPartitions(*by, F.col("row_id").asc_nulls_last()).mapInPandas(fits, TRIAL)
 
 
 def _steps(method: str, rows: estimators.LocalRows, degree: int, q: float, seed: int) -> Generator:
@@ -100,15 +102,32 @@ def _groups(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[pd.D
     """Whole groups of sorted rows that come in batches; null is equal to null."""
     parts, last = [], None
     for batch in batches:
-        for key, own in batch.groupby(list(by), sort=False, dropna=False):
-            key = tuple(None if pd.isna(v) else v for v in key)
-            if parts and key != last:
-                yield pd.concat(parts)
+        if not len(batch):
+            continue
+        starts = np.zeros(len(batch), bool)
+        values = [batch[c].to_numpy() for c in by]
+        for v in values:
+            null = pd.isna(v)
+            starts[1:] |= (v[1:] != v[:-1]) & ~(null[1:] & null[:-1])
+        first, end = (tuple(None if pd.isna(v[at]) else v[at] for v in values) for at in (0, -1))
+        starts[0] = first != last
+        edges = np.flatnonzero(starts).tolist()
+        for a, b in zip([0, *edges], [*edges, len(batch)], strict=True):
+            if a in edges[:1] and parts:
+                yield _joined(parts)
                 parts = []
-            parts.append(own)
-            last = key
+            if a < b:
+                parts.append(batch.iloc[a:b])
+                if b < len(batch):
+                    yield _joined(parts)
+                    parts = []
+        last = end
     if parts:
-        yield pd.concat(parts)
+        yield _joined(parts)
+
+
+def _joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return parts[0] if len(parts) == 1 else pd.concat(parts)
 
 
 def run_into(path: str, rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], batches: int = 8, **settings) -> DataFrame:
