@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fdr, gmm, knockoffs, solvers, stats
-from .rows import Copies, Covariance, CrossValidated, FoldedRows, LocalRows, Mean, MixtureCopies, MixtureOf, Model, Norm, Penalised, Prepare, Prepared, Question, SparkRows, prepare_each
+from .rows import Copies, Covariance, CrossValidated, FoldedRows, LocalRows, Mean, MixtureCopies, MixtureOf, Model, Norm, Penalised, Prepare, Prepared, Pursuit, Question, SparkRows, prepare_each
 from .terms import Term, dictionary, linear, terms_table
 
 
@@ -92,8 +92,7 @@ class Estimator:
 
 
 def _pieces(made: Prepared) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float, float]:
-    w = made.whole
-    return *w.centred(), w.n
+    return made.pieces
 
 
 class PolyLasso(Estimator):
@@ -128,12 +127,15 @@ class PolyOMP(Estimator):
         super().__init__(**kwargs)
         self.k = k
 
-    def solve(self, made: Prepared) -> tuple[np.ndarray, float, dict]:
+    def solution(self, made: Prepared) -> Generator:
         g, c, _, mean, y, n = _pieces(made)
         k = solvers.omp_cv(made.folds) if self.k == "cv" else sparsity(n, len(c)) if self.k is None else int(self.k)
-        b = solvers.omp(g, c, k)
+        b = yield Pursuit(g, c, k)
         return b, y - mean @ b, {"k": k}
 
+    def solve(self, made: Prepared) -> tuple[np.ndarray, float, dict]:
+        return _answered(self.solution(made), None)
+
 
 def sparsity(n: float, p: int) -> int:
     start = n / (2 * np.log(p / n)) if p > n else min(n, p) / 2
@@ -417,6 +419,7 @@ def _mixtures(asked: list[tuple[LocalRows, MixtureOf]]) -> list[gmm.Mixture | Ex
 TOGETHER: dict[type, Callable[[list], list]] = {
     MixtureOf: _mixtures,
     Prepare: prepare_each,
+    Pursuit: lambda asked: solvers.omp_each([(q.g, q.c, q.k) for _, q in asked]),
     Penalised: lambda asked: solvers.lasso_each([(q.g, q.c, q.penalty) for _, q in asked]),
     CrossValidated: lambda asked: solvers.lasso_cvs([q.folds for _, q in asked]),
 }

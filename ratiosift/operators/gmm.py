@@ -55,10 +55,15 @@ class Mixture:
     def conditional(self, known: Sequence[int], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Means of the other features given the known ones, row by row, and their average precision. Components are
         weighted by their responsibilities under the marginal distribution of the known features."""
-        p = self.mean.shape[1]
-        a, b = np.array(known, int), np.setdiff1d(np.arange(p), known)
-        cov = np.linalg.inv(self.precision)
-        r = np.ones((len(x), 1)) if len(self.weight) == 1 else Mixture(self.weight, self.mean[:, a], np.linalg.inv(cov[:, a][:, :, a])).responsibilities(x)[0] if len(a) else np.tile(self.weight, (len(x), 1))
+        a = np.array(known, int)
+        b = np.delete(np.arange(self.mean.shape[1]), a)
+        if len(self.weight) == 1:
+            r = np.ones((len(x), 1))
+        elif len(a):
+            cov = np.linalg.inv(self.precision)
+            r = Mixture(self.weight, self.mean[:, a], np.linalg.inv(cov[:, a][:, :, a])).responsibilities(x)[0]
+        else:
+            r = np.tile(self.weight, (len(x), 1))
         mean = np.zeros((len(x), len(b)))
         for k, theta in enumerate(self.precision):
             tbb = theta[np.ix_(b, b)]

@@ -68,8 +68,8 @@ class Sampler:
     def gaussian(cls, mean: np.ndarray, cov: np.ndarray, s: np.ndarray | None = None, compat: bool = False) -> Sampler:
         """``compat`` uses S inv(cov) for A, with which covariances come out wrong; kept for comparison."""
         s = s_values(cov) if s is None else s
-        solve = np.diag(s) @ np.linalg.inv(cov)
-        noise = nearest_psd(2 * np.diag(s) - solve @ np.diag(s))
+        solve = s[:, None] * np.linalg.inv(cov)
+        noise = nearest_psd(2 * np.diag(s) - solve * s)
         return cls(mean, solve if compat else np.eye(len(cov)) - solve, np.linalg.cholesky(noise))
 
     def columns(self, features: Sequence[Column], key: Column, seed: int, stream: str = "knock", centre: Sequence[Column] | None = None) -> list[Column]:

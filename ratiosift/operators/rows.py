@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -34,10 +35,15 @@ class Prepared:
     scale: np.ndarray
     folds: dict[int, stats.Gram]
 
-    @property
+    @cached_property
     def whole(self) -> stats.Gram:
         return stats.total(self.folds)
 
+    @cached_property
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float, float]:
+        """What ``centred`` gives of all rows, and their number."""
+        return *self.whole.centred(), self.whole.n
+
     def raw(self, coef: np.ndarray, intercept: float) -> tuple[np.ndarray, float]:
         """From the standardised axis back."""
         own = coef / self.scale[: len(coef)]
@@ -279,17 +285,24 @@ class LocalRows:
         self.folds = folds
         self.plain: Prepared | None = None  # the last one of all features as they are
         self.powers: dict[tuple[int, int], np.ndarray] = {}
+        self.nulls = bool(np.isnan(self.x).any() or np.isnan(self.y).any())
+        self.covariances: dict[tuple, tuple[np.ndarray, np.ndarray, float]] = {}
         self.restart()
 
     def restart(self) -> None:
         self.residual = self.y
 
     def covariance(self, at: Sequence[int], labelled: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
-        x = self.x[~np.isnan(self.y) if labelled else slice(None)][:, list(at)]
-        x = x[~np.isnan(x).any(axis=1)]
-        if not len(x):
-            raise ValueError("no rows without nulls")
-        return x.mean(axis=0), np.atleast_2d(np.cov(x, rowvar=False, ddof=min(1, len(x) - 1))), float(len(x))
+        key = (*at, labelled and self.nulls)
+        if key not in self.covariances:
+            x = self.x[~np.isnan(self.y) if labelled else slice(None)][:, list(at)]
+            x = x[~np.isnan(x).any(axis=1)]
+            if not len(x):
+                raise ValueError("no rows without nulls")
+            mean = x.mean(axis=0)
+            off = x - mean
+            self.covariances[key] = mean, off.T @ off / max(len(x) - 1, 1), float(len(x))
+        return self.covariances[key]
 
     def mixture(self, k: int, alpha: float | str, seed: int) -> gmm.Mixture:
         return gmm.fit_rows(self.known(), k, alpha, max_iter=50)
@@ -309,7 +322,7 @@ class LocalRows:
 
     def part(self, own: Sequence[int] | None, copies: Copies | MixtureCopies | None, residual: bool) -> Part:
         y = self.residual if residual else self.y
-        held = ~(np.isnan(self.x).any(axis=1) | np.isnan(y))
+        held = ~(np.isnan(self.x).any(axis=1) | np.isnan(y)) if self.nulls else slice(None)
         x = self.x[held]
         return x if own is None else x[:, list(own)], None if copies is None else copies.make(x, copies.drawn(len(self.x))[held]), y[held]
 
@@ -431,6 +444,18 @@ class CrossValidated:
         return ("cross-validated", id(self.folds))
 
 
+@dataclass
+class Pursuit:
+    """``omp`` of statistics at hand."""
+
+    g: np.ndarray
+    c: np.ndarray
+    k: int
+
+    def of(self, rows: SparkRows | LocalRows) -> np.ndarray:
+        return solvers.omp(self.g, self.c, self.k)
+
+
 @dataclass
 class Penalised:
     """``lasso`` of statistics at hand with one penalty."""
@@ -443,7 +468,7 @@ class Penalised:
         return solvers.lasso(self.g, self.c, self.penalty)
 
 
-Question = Covariance | MixtureOf | Prepare | Norm | Mean | CrossValidated | Penalised
+Question = Covariance | MixtureOf | Prepare | Norm | Mean | CrossValidated | Penalised | Pursuit
 
 
 def _key(model: Model | None) -> tuple:

@@ -148,7 +148,7 @@ def lasso_path(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
 #: Columns up to which ``lasso_cvs`` follows paths side by side; of more, a table for each path would take too much memory.
 SIDE_BY_SIDE = 256
 #: Numbers of the matrices of paths that are followed at once, and rows of their steps that are kept in one array.
-TABLES, ROWS_KEPT = 1 << 21, 32
+TABLES, ROWS_KEPT = 1 << 20, 32
 #: Columns of problems are filled up to a multiple of this number; numbers of solutions that are checked at once.
 WIDTHS, CHECKED = 16, 1 << 15
 
@@ -167,15 +167,17 @@ def lasso_paths(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
     for first in range(0, len(out), size):
         part = slice(first, first + size)
         at = grid[part, :, None]
-        signs = np.sign(out[part])
+        bound = np.sign(out[part])
+        bound *= at
         gap = out[part] @ g[part]
         gap -= c[part, None]
-        gap += at * signs
-        np.abs(gap, out=gap)
-        gap -= at * (signs == 0)
+        gap += bound
+        np.abs(gap, out=gap)  # of columns let in, at most the penalty of others
+        np.abs(bound, out=bound)
+        gap += bound
         if useless[part].any():
-            gap = np.where(useless[part, None], -1.0, gap)
-        for k, j in np.argwhere(~(gap.max(axis=2) <= near[part, None])).tolist():
+            gap = np.where(useless[part, None], 0.0, gap)
+        for k, j in np.argwhere(~(gap.max(axis=2) <= grid[part] + near[part, None])).tolist():
             k += first
             own = out[k]
             start = own[j] if np.isfinite(own[j]).all() else own[j - 1] if j else None
@@ -243,7 +245,7 @@ def _followed(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
         going = np.count_nonzero(go)
         if not going:
             break
-        if going <= 0.6 * len(go):
+        if going <= 0.5 * len(go):
             live, g, outside, inside, least, side, turn, now, at, done, top, before, scale, length, ahead, kind, column, enters, move, pivot = (x[go] for x in (live, g, outside, inside, least, side, turn, now, at, done, top, before, scale, length, ahead, kind, column, enters, move, pivot))
             kept, aside, columns = ([x[go] for x in some] for some in (kept, aside, columns))
             each, go = np.arange(going), go[go]
@@ -345,21 +347,29 @@ def _crossed(problems: list[tuple[int, Gram, list[Gram]]], wide: int, n_penaltie
     folds = len(problems[0][2])
     (g, c), n = (np.zeros((len(problems), folds + 1, wide, *more)) for more in ((wide,), ())), np.empty((len(problems), folds))
     # products of the rows left out, less the means of the others, and those with y
-    left, y = np.zeros((len(problems), folds, wide + 1, wide + 1)), np.zeros((len(problems), folds, wide + 1))
-    grid, means = np.empty((len(problems), n_penalties)), []
+    left, y, means = np.zeros((len(problems), folds, wide + 1, wide + 1)), np.zeros((len(problems), folds, wide + 1)), []
+    own = rest = product = np.zeros((0, 0, 0))
     for j, (_, whole, held) in enumerate(problems):
-        m, own = whole.width, np.array([f.a for f in held]).reshape(folds, *whole.a.shape)
-        rest = np.concatenate((whole.a[None], whole.a - own))
+        m = whole.width
+        if len(rest) == 0 or rest.shape[1] != m + 2:
+            own, rest, product = (np.empty((f, w, w)) for f, w in ((folds, m + 2), (folds + 1, m + 2), (folds + 1, m)))
+        for to, f in zip(own, held, strict=True):
+            to[:] = f.a
+        rest[0] = whole.a
+        np.subtract(whole.a, own, out=rest[1:])
         rest /= rest[:, :1, :1].copy()
-        mean = rest[:, 0].copy()
-        rest -= mean[:, :, None] * mean[:, None]
-        g[j, :, :m, :m], c[j, :, :m], grid[j] = rest[:, 1:-1, 1:-1], rest[:, 1:-1, -1], penalties(rest[0, 1:-1, -1], n_penalties)
-        means.append((mean[0, 1:-1], mean[0, -1]))
-        n[j], shift = own[:, 0, 0], mean[1:, 1:]
-        cross = (own[:, 0, 1:] - 0.5 * n[j, :, None] * shift)[:, :, None] * shift[:, None]
-        cross += cross.transpose(0, 2, 1).copy()
-        np.subtract(own[:, 1:, 1:], cross, out=left[j, :, : m + 1, : m + 1])
+        mean, inner = rest[:, 0, 1:].copy(), rest[:, 0, 1:-1]
+        np.multiply(inner[:, :, None], inner[:, None], out=product)
+        np.subtract(rest[:, 1:-1, 1:-1], product, out=g[j, :, :m, :m])
+        c[j, :, :m] = rest[:, 1:-1, -1] - inner * mean[:, -1:]
+        means.append((mean[0, :-1], mean[0, -1]))
+        n[j], shift = own[:, 0, 0], mean[1:]
+        sums = own[:, 0, 1:] - 0.5 * n[j, :, None] * shift
+        np.matmul(np.stack((sums, shift), axis=2), np.stack((shift, sums), axis=1), out=left[j, :, : m + 1, : m + 1])
+        np.subtract(own[:, 1:, 1:], left[j, :, : m + 1, : m + 1], out=left[j, :, : m + 1, : m + 1])
         y[j, :, :m], y[j, :, -1] = left[j, :, :m, m], left[j, :, m, m]
+    top = np.maximum(np.abs(c[:, 0]).max(axis=1), 1e-300)
+    grid = np.ascontiguousarray(np.geomspace(top, top * 1e-3, n_penalties).T) if n_penalties > 1 else top[:, None]
     paths = lasso_paths(g[:, 1:].reshape(-1, wide, wide), c[:, 1:].reshape(-1, wide), np.repeat(grid, folds, axis=0))
     left, y = left.reshape(-1, wide + 1, wide + 1), y.reshape(-1, wide + 1)
     error = np.empty((len(left), n_penalties))
@@ -432,6 +442,39 @@ def omp(g: np.ndarray, c: np.ndarray, k: int, tol: float = 1e-12) -> np.ndarray:
     return b
 
 
+def omp_each(problems: Sequence[tuple[np.ndarray, np.ndarray, int]], tol: float = 1e-12) -> list[np.ndarray]:
+    """``omp`` of several problems; those of equal size and number of columns choose side by side."""
+    out: list = [None] * len(problems)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, (_, c, most) in enumerate(problems):
+        alike.setdefault((len(c), min(most, len(c))), []).append(k)
+    for (m, most), same in alike.items():
+        g, c = (np.array([problems[k][of] for k in same]).reshape(len(same), *shape) for of, shape in ((0, (m, m)), (1, (m,))))
+        scale = np.sqrt(np.maximum(np.diagonal(g, axis1=1, axis2=2), 1e-30))
+        b, chosen, live = np.zeros(c.shape), np.zeros((len(same), 0), int), np.arange(len(same))
+        for _ in range(most):
+            left = np.abs(c[live] - (g[live] @ b[live, :, None])[:, :, 0]) / scale[live]
+            left[np.arange(len(live))[:, None], chosen] = -1
+            j = left.argmax(axis=1)
+            go = left[np.arange(len(live)), j] > tol
+            live, chosen = live[go], np.column_stack((chosen, j))[go]
+            if not len(live):
+                break
+            b[live[:, None], chosen] = _ols_each(g[live[:, None, None], chosen[:, :, None], chosen[:, None]], c[live[:, None], chosen])
+        for k, own in zip(same, b, strict=True):
+            out[k] = own
+    return out
+
+
+def _ols_each(g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    try:
+        if (np.diagonal(np.linalg.cholesky(g), axis1=1, axis2=2) ** 2 > 1e-6 * np.diagonal(g, axis1=1, axis2=2)).all():
+            return np.linalg.solve(g, c[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:
+        pass
+    return np.array([ols(*own) for own in zip(g, c, strict=True)])
+
+
 def omp_cv(folds: dict[int, Gram], sizes: Sequence[int] = (1, 2, 3, 5, 7, 10, 15, 20, 30)) -> int:
     """The number of terms with the highest mean held-out R2; the first of equal ones."""
     whole, best = total(folds), (-np.inf, sizes[0])
@@ -594,15 +637,20 @@ def lassos(g: np.ndarray, c: np.ndarray, penalty: np.ndarray, start: np.ndarray)
 def _signed(g: np.ndarray, c: np.ndarray, penalty: np.ndarray, signs: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Coefficients if they had these signs, whether they have them, by how much each column misses its condition, slopes."""
     at, bound, each = signs != 0, penalty[:, None], np.arange(signs.shape[1])
-    inner = g * (at[:, :, None] & at[:, None])
-    inner[:, each, each] += ~at
-    right = bound * signs
-    try:
-        b = np.linalg.solve(inner, (c * at - right)[:, :, None])
-    except np.linalg.LinAlgError:
-        return np.zeros(c.shape), np.zeros(len(c), bool), np.full(c.shape, np.inf), np.zeros(c.shape)
-    slope = (g @ b)[:, :, 0] - c
-    b = b[:, :, 0]
+    m, right = len(each), bound * signs
+    a = np.empty((m, m + 1, len(c)))  # elimination of all at once; columns without a sign are 0
+    a[:, :m] = np.where(at[:, :, None] & at[:, None], g, 0).transpose(1, 2, 0)
+    a[each, each] += ~at.T
+    a[:, m] = (c * at - right).T
+    with np.errstate(all="ignore"):
+        for k in range(m):
+            a[k, k + 1 :] /= a[k, k]
+            for low in range(k + 1, m):
+                a[low, k + 1 :] -= a[low, k] * a[k, k + 1 :]
+        for k in range(m - 1, 0, -1):
+            a[:k, m] -= a[:k, k] * a[k, m]
+    b = np.ascontiguousarray(a[:, m].T)
+    slope = (g @ b[:, :, None])[:, :, 0] - c
     over = np.where(usable, np.abs(slope + right) - bound * ~at, -1.0)
     return b, ((b * signs > 0) == at).all(axis=1), over, slope
 

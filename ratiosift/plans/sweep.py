@@ -40,20 +40,20 @@ def _estimator(method: str, degree: int, q: float, seed: int) -> estimators.Esti
 
 
 def _outcome(fitted: estimators.Fitted, rows: estimators.LocalRows) -> tuple[list[Term], np.ndarray, float]:
-    y, used = rows.y, [k for k, c in enumerate(fitted.coef) if c]
+    y, used = rows.y, np.flatnonzero(fitted.coef).tolist()
     sst = float(((y - y.mean()) ** 2).sum())
     sse = float(((y - rows.predict(fitted.terms, fitted.coef, fitted.intercept)) ** 2).sum())
     return [fitted.terms[k] for k in used], fitted.coef[used], 1 - sse / sst if sst > 0 else 0.0
 
 
 #: Trials that a task fits side by side, and rows beyond which it takes fewer.
-TRIALS_AT_ONCE, ROWS_AT_ONCE = 128, 1 << 15
+TRIALS_AT_ONCE, ROWS_AT_ONCE = 256, 1 << 16
 
 
-def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], degree: int = 2, q: float = 0.2, seed: int = 0) -> DataFrame:
+def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], degree: int = 2, q: float = 0.2, seed: int = 0, trials: int = 0) -> DataFrame:
     """Fits every method to every group of ``rows`` (``config_id`` and ``trial``). A group is one small trial,
     which is shuffled once for all methods; a task fits some trials side by side. A fit that fails is a row with its error as
-    ``status``."""
+    ``status``. ``trials``: about how many groups there are, so that many of them get more tasks and the last ones to end are short."""
     keys, columns = {t.key for t in truth}, list(features)
 
     def fit(pdfs: list[pd.DataFrame]) -> pd.DataFrame:
@@ -88,7 +88,8 @@ def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, tru
 
     # fits take far longer than their few bytes suggest, so the number of tasks is given and not merged by size
     spark = rows.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")), min(16 * cores, trials // (2 * TRIALS_AT_ONCE)))
     dealt = rows.select(*by, *({"config_id", "trial", "row_id"} - set(by)), *columns, y).repartition(tasks, *by)
     return dealt.sortWithinPartitions(*by, F.col("row_id").asc_nulls_last()).mapInPandas(fits, TRIAL)
 
