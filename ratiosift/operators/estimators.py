@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fdr, gmm, knockoffs, solvers, stats
-from .rows import Copies, Covariance, CrossValidated, FoldedRows, LocalRows, Mean, MixtureCopies, MixtureOf, Model, Norm, Penalised, Prepare, Prepared, Pursuit, Question, SparkRows, prepare_each
+from .rows import Copies, Covariance, CrossValidated, FoldedRows, LocalRows, Mean, MixtureCopies, MixtureOf, Model, Norm, Penalised, Prepare, Prepared, Pursuit, Question, SparkRows, Thresholded, prepare_each
 from .terms import Term, dictionary, linear, terms_table
 
 
@@ -149,12 +149,15 @@ class PolySTLSQ(Estimator):
         super().__init__(**kwargs)
         self.threshold = threshold
 
-    def solve(self, made: Prepared) -> tuple[np.ndarray, float, dict]:
+    def solution(self, made: Prepared) -> Generator:
         g, c, _, mean, y, n = _pieces(made)
         alpha = solvers.ridge_cv(made.folds) if n < len(c) else 0.0
-        b = solvers.stlsq(g, c, n, self.threshold, alpha, relative=False)
+        b = yield Thresholded(g, c, n, {"threshold": self.threshold, "ridge_alpha": alpha, "relative": False})
         return b, y - mean @ b, {"ridge": alpha}
 
+    def solve(self, made: Prepared) -> tuple[np.ndarray, float, dict]:
+        return _answered(self.solution(made), None)
+
 
 class ImprovedSTLSQ(Estimator):
     method = "improved_stlsq"
@@ -163,11 +166,15 @@ class ImprovedSTLSQ(Estimator):
         super().__init__(**kwargs)
         self.threshold, self.relative, self.alpha, self.min_features = threshold, relative, alpha, min_features
 
-    def solve(self, made: Prepared) -> tuple[np.ndarray, float, dict]:
+    def solution(self, made: Prepared) -> Generator:
         g, c, _, mean, y, n = _pieces(made)
-        b = solvers.stlsq(g, c, n, self.threshold, self.alpha, self.relative, self.min_features, grow=0.1)
+        settings = {"threshold": self.threshold, "ridge_alpha": self.alpha, "relative": self.relative, "least": self.min_features, "grow": 0.1}
+        b = yield Thresholded(g, c, n, settings)
         return b, y - mean @ b, {"ridge": self.alpha}
 
+    def solve(self, made: Prepared) -> tuple[np.ndarray, float, dict]:
+        return _answered(self.solution(made), None)
+
 
 def _refit(terms: list[Term], how: str) -> Generator:
     """Coefficients of these terms on the raw axis."""
@@ -420,6 +427,7 @@ TOGETHER: dict[type, Callable[[list], list]] = {
     MixtureOf: _mixtures,
     Prepare: prepare_each,
     Pursuit: lambda asked: solvers.omp_each([(q.g, q.c, q.k) for _, q in asked]),
+    Thresholded: lambda asked: solvers.stlsq_each([(q.g, q.c, q.n, q.settings) for _, q in asked]),
     Penalised: lambda asked: solvers.lasso_each([(q.g, q.c, q.penalty) for _, q in asked]),
     CrossValidated: lambda asked: solvers.lasso_cvs([q.folds for _, q in asked]),
 }

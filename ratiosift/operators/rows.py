@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 from zlib import crc32
 
 import numpy as np
@@ -129,12 +129,13 @@ class MixtureCopies:
 
     def __post_init__(self) -> None:
         m = self.mixture
-        self.parts = [gmm.Mixture(np.ones(1), m.mean[[k]], m.precision[[k]]) for k in range(len(m.weight))]
-        self.samplers = []
-        for part in self.parts:
-            mean, precision = part.conditional(self.known, part.mean[:, self.known])
-            cov = np.linalg.inv(precision) + 1e-6 * np.eye(len(self.own))
-            self.samplers.append(knockoffs.Sampler.gaussian(mean[0], cov, knockoffs.s_values_conditional(cov)))
+        own, known = np.array(self.own, int), np.array(self.known, int)
+        self.samplers, self.shifts = [], []
+        for mean, precision in zip(m.mean, m.precision, strict=True):
+            inner = precision[own[:, None], own]
+            cov = np.linalg.inv(inner) + 1e-6 * np.eye(len(own))
+            self.samplers.append(knockoffs.Sampler.gaussian(mean[own], cov, knockoffs.s_values_conditional(cov)))
+            self.shifts.append(np.linalg.solve(inner, precision[own[:, None], known]))  # of the mean, by the known features
 
     def noise(self) -> list[Column]:
         """Normal numbers, and an even one that draws the component."""
@@ -152,11 +153,11 @@ class MixtureCopies:
     def make(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), len(self.own)))
         upto = np.cumsum(self.mixture.responsibilities(x)[0], axis=1)
-        of = np.minimum((upto <= z[:, [-1]]).sum(axis=1), len(self.parts) - 1)
-        for k, (part, sampler) in enumerate(zip(self.parts, self.samplers, strict=True)):
+        of = np.minimum((upto <= z[:, [-1]]).sum(axis=1), len(self.samplers) - 1)
+        for k, (sampler, shift) in enumerate(zip(self.samplers, self.shifts, strict=True)):
             at = np.flatnonzero(of == k)
             if len(at):
-                mean, _ = part.conditional(self.known, x[np.ix_(at, self.known)])
+                mean = sampler.mean - (x[np.ix_(at, self.known)] - self.mixture.mean[k, self.known]) @ shift.T
                 out[at] = mean + (x[np.ix_(at, self.own)] - mean) @ sampler.a.T + z[at, :-1] @ sampler.l.T
         return out
 
@@ -242,7 +243,7 @@ def standardised(terms: list[Term], parts: Sequence[Part], folds: int) -> list[P
 
 
 #: Rows of small fits that are expanded at once.
-EXPANDED = 1 << 11
+EXPANDED = 1 << 10
 
 
 def prepare_each(asked: Sequence[tuple[LocalRows, Prepare]]) -> list[Prepared]:
@@ -284,7 +285,7 @@ class LocalRows:
         self.x, self.y, self.features = np.asarray(x, float), np.asarray(y, float), [f"x{j}" for j in range(x.shape[1])]
         self.folds = folds
         self.plain: Prepared | None = None  # the last one of all features as they are
-        self.powers: dict[tuple[int, int], np.ndarray] = {}
+        self.values: dict[tuple, np.ndarray] = {}
         self.nulls = bool(np.isnan(self.x).any() or np.isnan(self.y).any())
         self.covariances: dict[tuple, tuple[np.ndarray, np.ndarray, float]] = {}
         self.restart()
@@ -327,15 +328,18 @@ class LocalRows:
         return x if own is None else x[:, list(own)], None if copies is None else copies.make(x, copies.drawn(len(self.x))[held]), y[held]
 
     def predict(self, terms: list[Term], coef: np.ndarray, constant: float) -> np.ndarray:
-        out = np.full(len(self.x), constant)
-        for term, b in zip(terms, coef, strict=True):
-            own = b
-            for i, e in zip(term.idx, term.exp, strict=True):
-                if (i, e) not in self.powers:
-                    self.powers[i, e] = expanded(self.x[:, [i]], [Term((0,), (e,))])[:, 0]
-                own = own * self.powers[i, e]
-            out += own
-        return out
+        if not terms:
+            return np.full(len(self.x), constant)
+        return coef @ np.array([self._values(t.idx, t.exp) for t in terms]) + constant
+
+    def _values(self, idx: tuple[int, ...], exp: tuple[int, ...]) -> np.ndarray:
+        """Of a term for each row, kept since models share terms."""
+        if (idx, exp) not in self.values:
+            if len(idx) == 1:
+                self.values[idx, exp] = expanded(self.x[:, list(idx)], [Term((0,), exp)])[:, 0]
+            else:
+                self.values[idx, exp] = reduce(np.multiply, (self._values((i,), (e,)) for i, e in zip(idx, exp, strict=True)), np.ones(len(self.x)))
+        return self.values[idx, exp]
 
     def leave(self, terms: list[Term], coef: np.ndarray, constant: float) -> None:
         self.residual = self.y - self.predict(terms, coef, constant)
@@ -456,6 +460,19 @@ class Pursuit:
         return solvers.omp(self.g, self.c, self.k)
 
 
+@dataclass
+class Thresholded:
+    """``stlsq`` of statistics at hand."""
+
+    g: np.ndarray
+    c: np.ndarray
+    n: float
+    settings: dict
+
+    def of(self, rows: SparkRows | LocalRows) -> np.ndarray:
+        return solvers.stlsq(self.g, self.c, self.n, **self.settings)
+
+
 @dataclass
 class Penalised:
     """``lasso`` of statistics at hand with one penalty."""
@@ -468,7 +485,7 @@ class Penalised:
         return solvers.lasso(self.g, self.c, self.penalty)
 
 
-Question = Covariance | MixtureOf | Prepare | Norm | Mean | CrossValidated | Penalised | Pursuit
+Question = Covariance | MixtureOf | Prepare | Norm | Mean | CrossValidated | Penalised | Pursuit | Thresholded
 
 
 def _key(model: Model | None) -> tuple:

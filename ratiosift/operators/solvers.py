@@ -148,7 +148,7 @@ def lasso_path(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
 #: Columns up to which ``lasso_cvs`` follows paths side by side; of more, a table for each path would take too much memory.
 SIDE_BY_SIDE = 256
 #: Numbers of the matrices of paths that are followed at once, and rows of their steps that are kept in one array.
-TABLES, ROWS_KEPT = 1 << 20, 32
+TABLES, ROWS_KEPT = 1 << 21, 32
 #: Columns of problems are filled up to a multiple of this number; numbers of solutions that are checked at once.
 WIDTHS, CHECKED = 16, 1 << 15
 
@@ -186,55 +186,48 @@ def lasso_paths(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
 
 
 def _followed(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """Paths as far as rounding lets them be followed, NaN beyond. ``now`` has b of the columns let in and y = g b - c of the others,
-    ``turn`` how much they move while the penalty falls by one. With h the inverse of the part of g of the columns let in, one
-    that enters or leaves adds scale * v v' to h. Of each v a row is kept, v for the columns let in and g v for the others
-    (which are zero for the others and for those let in), so that the next row is one product with them. Where a column has
-    entered, ``aside`` has its g v until it leaves."""
+    """Paths as far as rounding lets them be followed, NaN beyond. ``room`` has for the columns let in how far b is from 0, for the
+    others how far y = g b - c is from the penalty and from minus the penalty, ``fall`` how fast that shrinks while the
+    penalty falls. With h the inverse of the part of g of the columns let in, one that enters or leaves adds scale * v v' to h.
+    Of each v a row is kept, v for the columns let in and g v for the others (which are zero for the others and for those let
+    in), so that the next row is one product with them. Where a column has entered, ``aside`` has its g v until it leaves."""
     m, n = c.shape[1], grid.shape[1]
-    out = np.full((*grid.shape, m), np.nan)
-    outside = (np.diagonal(g, axis1=1, axis2=2) > 1e-14).astype(float)  # 0 for columns let in and those of no use
-    least = 1e-12 * np.diagonal(g, axis1=1, axis2=2)
-    side, inside, turn = -outside, np.zeros(c.shape), np.zeros(c.shape)  # side: the sign of those let in
-    now, at, done = -c, np.abs(c * outside).max(axis=1), np.zeros(len(c), int)
-    live, each = np.arange(len(c)), np.arange(len(c))
+    out, reached = np.empty((*grid.shape, m)), np.zeros(len(c), int)
+    usable, least = np.diagonal(g, axis1=1, axis2=2) > 1e-14, 1e-12 * np.diagonal(g, axis1=1, axis2=2)
+    sign, fall = np.zeros(c.shape), np.repeat(usable[:, None].astype(float), 2, axis=1)
+    turn = fall * [[-1.0], [1.0]]  # what a move takes from ``fall``: the sign of those let in and 0, of the others -1 and 1
+    at, done, live, each = np.abs(c * usable).max(axis=1), np.zeros(len(c), int), np.arange(len(c)), np.arange(len(c))
+    room = at[:, None, None] - c[:, None] * [[-1.0], [1.0]]
     # all points of all paths in one rising row: twice a path's number and how far the penalty has fallen
     top = np.maximum(at, 1e-300)
     fallen, before = (2 * each[:, None] + np.clip(1 - grid / top[:, None], 0, 1)).ravel(), each * n
     kept: list[np.ndarray] = []
     aside: list[np.ndarray] = []
     scale = np.zeros((len(c), 0))
-    room, fall, rate = np.empty((3, len(c), 2, m))
+    rate, least_room, falls = np.empty(room.shape), np.empty(room.shape), np.empty(room.shape, bool)
     for step in range(4 * m + 100):
-        np.multiply(side, now, out=room[:, 0])  # down to b = 0 or y = penalty, and to y = -penalty
-        np.multiply(outside, at[:, None], out=room[:, 1])
-        room[:, 0] += room[:, 1]
-        room[:, 1] += now
-        np.multiply(side, turn, out=fall[:, 0])
-        np.multiply(outside, turn, out=fall[:, 1])
-        np.subtract(outside[:, None], fall, out=fall)
-        fall *= fall > 1e-9
-        np.maximum(room, 1e-300, out=room)
-        np.divide(fall, room, out=rate)
+        np.greater(fall, 1e-9, out=falls)
+        np.multiply(fall, falls, out=rate)
+        np.maximum(room, 1e-300, out=least_room)
+        rate /= least_room
         k = rate.reshape(-1, 2 * m).argmax(axis=1)
-        own = fall.reshape(-1, 2 * m)[each, k]
-        length = np.where(own > 0, room.reshape(-1, 2 * m)[each, k] / own, np.inf)
+        kind, column = np.divmod(k, m)
+        length = np.where(rate[each, kind, column] > 0, least_room[each, kind, column] / fall[each, kind, column], np.inf)
         ahead = at - length
-        upto = np.maximum(done, fallen.searchsorted(2 * live + np.clip(1 - ahead / top, 0, 1), side="right") - before)
+        upto = np.maximum(done, fallen.searchsorted(2 * live + np.minimum(1 - ahead / top, 1), side="right") - before)
         rows = np.repeat(each, upto - done)
         if len(rows):
             points = np.arange(len(rows)) - np.repeat(np.cumsum(upto - done) - upto, upto - done)
             to = live[rows]
-            down = np.maximum(at[rows] - grid[to, points], 0)[:, None]  # nothing is let in above the first point
-            own = down * turn[rows]
-            own += now[rows]
-            own *= inside[rows]
+            own = np.maximum(at[rows] - grid[to, points], 0)[:, None] * fall[rows, 0]  # nothing is let in above the first point
+            np.subtract(room[rows, 0], own, out=own)
+            own *= sign[rows]
             out[to, points] = own
+            reached[to] = points + 1  # the last one of a path counts
             done = upto
-        kind, column = np.divmod(k, m)
-        enters = outside[each, column] > 0
+        enters = turn[each, 1, column] > 0
         move = g[each, column]
-        move *= outside * -enters[:, None].astype(float)
+        move *= turn[:, 1] * -enters[:, None].astype(float)
         columns = []
         for first, some in zip(range(0, step, ROWS_KEPT), kept):
             some = some[:, : step - first]
@@ -246,39 +239,43 @@ def _followed(g: np.ndarray, c: np.ndarray, grid: np.ndarray) -> np.ndarray:
         if not going:
             break
         if going <= 0.5 * len(go):
-            live, g, outside, inside, least, side, turn, now, at, done, top, before, scale, length, ahead, kind, column, enters, move, pivot = (x[go] for x in (live, g, outside, inside, least, side, turn, now, at, done, top, before, scale, length, ahead, kind, column, enters, move, pivot))
+            live, g, least, sign, turn, room, fall, at, done, top, before, scale, length, ahead, kind, column, enters, move, pivot = (x[go] for x in (live, g, least, sign, turn, room, fall, at, done, top, before, scale, length, ahead, kind, column, enters, move, pivot))
             kept, aside, columns = ([x[go] for x in some] for some in (kept, aside, columns))
             each, go = np.arange(going), go[go]
-            room, fall, rate = np.empty((3, going, 2, m))
+            rate, least_room, falls = np.empty(room.shape), np.empty(room.shape), np.empty(room.shape, bool)
         if going < len(go):  # those that are finished stand still
             done, length, ahead, pivot, enters = np.where(go, done, n), np.where(go, length, 0), np.where(go, ahead, 0), np.where(go, pivot, np.inf), enters & go
-        now += length[:, None] * turn
-        at = ahead
         letin = (2 * kind - 1.0) * enters
         own = -1 / pivot
-        change = (turn[each, column] - letin) * own
-        turn += change[:, None] * move
+        change = np.where(enters, fall[each, 0, column] - 1, -sign[each, column] * fall[each, 0, column])  # how the column itself moves
+        change = (change - letin) * own
+        room -= np.multiply(length[:, None, None], fall, out=rate)
+        fall -= np.multiply(turn, (change[:, None] * move)[:, None], out=rate)
+        at = ahead
         place = step % ROWS_KEPT
         if not place:
             kept.append(np.empty((len(live), ROWS_KEPT, m)))
-            aside.append(np.zeros((len(live), ROWS_KEPT, m)))
+            aside.append(np.zeros((len(live), m, ROWS_KEPT)))
             scale = np.concatenate((scale, np.empty((len(live), ROWS_KEPT))), axis=1)
         kept[-1][:, place], scale[:, step] = move, own
         come, drop = np.flatnonzero(enters), np.flatnonzero(go & ~enters)
-        own = column[come]
-        turn[come, own], now[come, own] = -change[come], 0
-        outside[come, own], inside[come, own], side[come, own] = 0, 1, letin[come]
-        aside[-1][come, place, own], kept[-1][come, place, own] = pivot[come], -1
+        own, now = column[come], letin[come]
+        room[come, 0, own], room[come, 1, own], fall[come, 0, own], fall[come, 1, own] = 0, 1, now * change[come], 0
+        turn[come, 0, own], turn[come, 1, own], sign[come, own] = now, 0, now
+        aside[-1][come, own, place], kept[-1][come, place, own] = pivot[come], -1
         for some, other, values in zip(kept, aside, columns):
-            other[come, : values.shape[1], own], some[come, : values.shape[1], own] = values[come], 0
+            other[come, own, : values.shape[1]], some[come, : values.shape[1], own] = values[come], 0
         if len(drop):
             own = column[drop]
-            turn[drop, own] = side[drop, own] + change[drop]
-            now[drop, own] = -side[drop, own] * at[drop]
-            outside[drop, own], inside[drop, own], side[drop, own] = 1, 0, -1
+            now = sign[drop, own]
+            room[drop, 0, own], room[drop, 1, own] = at[drop] * (1 + now), at[drop] * (1 - now)
+            fall[drop, 0, own], fall[drop, 1, own] = 1 + now + change[drop], 1 - now - change[drop]
+            turn[drop, 0, own], turn[drop, 1, own], sign[drop, own] = -1, 1, 0
             for some, other, values in zip(kept, aside, columns):
-                some[drop, : values.shape[1], own] = other[drop, : values.shape[1], own]
+                some[drop, : values.shape[1], own] = other[drop, own, : values.shape[1]]
             kept[-1][drop, place, own] = 1
+    for path in np.flatnonzero(reached < n).tolist():
+        out[path, reached[path] :] = np.nan
     return out
 
 
@@ -345,9 +342,10 @@ def _crossed(problems: list[tuple[int, Gram, list[Gram]]], wide: int, n_penaltie
     """Puts the results of problems with equally many folds into ``out``. They are filled up to ``wide`` columns with such that are
     of no use. The path of all rows is followed as far as the chosen penalty."""
     folds = len(problems[0][2])
-    (g, c), n = (np.zeros((len(problems), folds + 1, wide, *more)) for more in ((wide,), ())), np.empty((len(problems), folds))
+    made = np.empty if all(whole.width == wide for _, whole, _ in problems) else np.zeros
+    (g, c), n = (made((len(problems), folds + 1, wide, *more)) for more in ((wide,), ())), np.empty((len(problems), folds))
     # products of the rows left out, less the means of the others, and those with y
-    left, y, means = np.zeros((len(problems), folds, wide + 1, wide + 1)), np.zeros((len(problems), folds, wide + 1)), []
+    left, y, means = made((len(problems), folds, wide + 1, wide + 1)), made((len(problems), folds, wide + 1)), []
     own = rest = product = np.zeros((0, 0, 0))
     for j, (_, whole, held) in enumerate(problems):
         m = whole.width
@@ -513,6 +511,48 @@ def stlsq(g: np.ndarray, c: np.ndarray, n: float, threshold: float | None = None
     return b
 
 
+def stlsq_each(problems: Sequence[tuple[np.ndarray, np.ndarray, float, dict]]) -> list[np.ndarray]:
+    """``stlsq`` of several problems with its settings; those of equal size and settings go side by side, all but the columns that
+    are left held at 0. What a factor does not solve well is left to ``stlsq``."""
+    out: list = [None] * len(problems)
+    alike: dict[tuple, list[int]] = {}
+    for k, (_, c, _, settings) in enumerate(problems):
+        alike.setdefault((len(c), *settings.items()), []).append(k)
+    for (m, *settings), same in alike.items():
+        own = dict(settings)
+        ridge_alpha, least, rounds = own.get("ridge_alpha", 0.0), own.get("least", 1), own.get("rounds", 20)
+        threshold, relative, grow = own.get("threshold"), own.get("relative", True), own.get("grow", 0.0)
+        g, c = (np.array([problems[k][of] for k in same]).reshape(len(same), *shape) for of, shape in ((0, (m, m)), (1, (m,))))
+        n, live, active = np.array([problems[k][2] for k in same]), np.arange(len(same)), np.ones(c.shape, bool)
+        alpha, each = ridge_alpha, np.arange(m)
+        for t in range(rounds + 1):
+            inner = np.where(active[:, :, None] & active[:, None], g, 0)
+            inner[:, each, each] += np.where(active, alpha / n[:, None], 1)
+            try:
+                whole = (np.diagonal(np.linalg.cholesky(inner), axis1=1, axis2=2) ** 2 > 1e-6 * np.diagonal(inner, axis1=1, axis2=2)).all(axis=1)
+            except np.linalg.LinAlgError:
+                break
+            b = np.linalg.solve(inner, (c * active)[:, :, None])[:, :, 0]
+            size = np.abs(b)
+            bound = (0.1 if threshold is None else threshold) * (size.max(axis=1, keepdims=True, initial=0.0) if relative or threshold is None else 1.0)
+            keep = (size >= bound) & active
+            few = keep.sum(axis=1) < np.minimum(least, active.sum(axis=1))
+            if few.any():
+                order = np.argsort(-np.where(active, size, -1.0), axis=1, kind="stable")[:, :least]
+                first = np.zeros(keep.shape, bool)
+                np.put_along_axis(first, order, True, axis=1)
+                keep = np.where(few[:, None], first & active, keep)
+            done = whole & ((keep == active).all(axis=1) | (t == rounds))
+            for k in np.flatnonzero(done).tolist():
+                out[same[live[k]]] = b[k]
+            go = whole & ~done
+            live, g, c, n, active = live[go], g[go], c[go], n[go], keep[go]
+            alpha = ridge_alpha * (1 + grow * (t + 1))
+            if not len(live):
+                break
+    return [stlsq(g, c, n, **settings) if b is None else b for (g, c, n, settings), b in zip(problems, out, strict=True)]
+
+
 def graphical_lasso(s: np.ndarray, alpha: float, rounds: int = 200, tol: float = 1e-6, like: np.ndarray | None = None) -> np.ndarray:
     """Precision matrix that maximises log det - trace(s x) - alpha * off-diagonal |x|, by block coordinate descent. The regressions
     try the signs of ``like`` first, the precision of a similar matrix."""
