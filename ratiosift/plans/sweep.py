@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Generator, Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -50,10 +50,12 @@ def _outcome(fitted: estimators.Fitted, rows: estimators.LocalRows) -> tuple[lis
 TRIALS_AT_ONCE, ROWS_AT_ONCE = 256, 1 << 16
 
 
-def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], degree: int = 2, q: float = 0.2, seed: int = 0, trials: int = 0) -> DataFrame:
+def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, truth: Sequence[Term], methods: Sequence[str], degree: int = 2, q: float = 0.2, seed: int = 0, trials: int = 0, make: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Fits every method to every group of ``rows`` (``config_id`` and ``trial``). A group is one small trial,
     which is shuffled once for all methods; a task fits some trials side by side. A fit that fails is a row with its error as
-    ``status``. ``trials``: about how many groups there are, so that many of them get more tasks and the last ones to end are short."""
+    ``status``. ``trials``: about how many groups there are, so that many of them get more tasks and the last ones to end are short.
+    ``make`` adds the features and the response, row by row; then rows come without them and are dealt to the tasks first, so
+    that they are made there, however few files there are."""
     keys, columns = {t.key for t in truth}, list(features)
 
     def fit(pdfs: list[pd.DataFrame]) -> pd.DataFrame:
@@ -90,8 +92,9 @@ def run(rows: DataFrame, by: Sequence[str], features: Sequence[str], y: str, tru
     spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
     tasks = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")), min(16 * cores, trials // (2 * TRIALS_AT_ONCE)))
-    dealt = rows.select(*by, *({"config_id", "trial", "row_id"} - set(by)), *columns, y).repartition(tasks, *by)
-    return dealt.sortWithinPartitions(*by, F.col("row_id").asc_nulls_last()).mapInPandas(fits, TRIAL)
+    told = [*by, *sorted({"config_id", "trial", "row_id"} - set(by))]
+    dealt = rows.select(*told, *([] if make else [*columns, y])).repartition(tasks, *by).sortWithinPartitions(*by, F.col("row_id").asc_nulls_last())
+    return (make(dealt).select(*told, *columns, y) if make else dealt).mapInPandas(fits, TRIAL)
 
 
 def _steps(method: str, rows: estimators.LocalRows, degree: int, q: float, seed: int) -> Generator:
